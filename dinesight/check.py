@@ -69,7 +69,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         a, b = _rows(df.columns, got), _rows(want_columns, want)
         kinds = {d[0]: str(d[1]) for d in res.description}
         for column, kind in df.dtypes:
-            expected = SPARK_TYPES.get(kinds.get(column, ""), kinds.get(column, ""))
+            expected = SPARK_TYPES.get(kinds.get(column, ""), kinds.get(column, "").lower())
             if column in kinds and kind.replace("timestamp_ntz", "timestamp") != expected:
                 print(f"TYPE  {name}.{column}: {kind} vs {kinds[column]}", flush=True)
                 failures += 1

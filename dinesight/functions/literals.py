@@ -62,6 +62,24 @@ def quoted_pattern(value: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.regexp_replace(value, r"\\E", ""), F.lit("\\E"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    A lambda re-evaluates whatever expressions it closes over for every array
+    element; binding them first keeps that work to once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def letter_tree(values: Iterable[str]) -> str:
+    """Alternation of literals, longest first, grouped by first letter."""
+    groups: dict[str, list[str]] = {}
+    for value in sorted(checked(values), key=len, reverse=True):
+        groups.setdefault(value[0], []).append(value[1:])
+    return "|".join(literal_pattern(head) + "(?:" + "|".join(literal_pattern(t) for t in tails) + ")"
+                    for head, tails in groups.items())
+
+
 def contains_any(text: Column, values: Iterable[str]) -> Column:
     """Any value is a substring of the text (one regex pass)."""
     return text.rlike(alternation(values))
@@ -69,7 +87,7 @@ def contains_any(text: Column, values: Iterable[str]) -> Column:
 
 def contained(text: Column, values: Iterable[str]) -> Column:
     """The values that are substrings of the text, in list order."""
-    return F.filter(text_array(values), lambda v: text.contains(v))
+    return let(text, lambda t: F.filter(text_array(values), lambda v: t.contains(v)))
 
 
 def count_contained(text: Column, values: Iterable[str]) -> Column:

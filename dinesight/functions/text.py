@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dinesight.functions.literals import (
-    alternation, contained, contains_any, count_contained, ends_with_any, text_array)
+    alternation, contained, contains_any, count_contained, ends_with_any, let, text_array)
 from dinesight.vocab import web
 
 
@@ -333,15 +333,16 @@ def score_page_text(c: Column) -> Column:
 
 def mentions_entity(text: Column, name: Column, mode: str = "all") -> Column:
     """The text names the entity: compact match, or all / most of its words."""
-    low = norm_ws(text)
     compact = strip_ws(name)
     tokens = F.filter(F.split(norm_ws(name), " "), lambda t: F.length(t) >= 3)
-    hits = F.size(F.filter(tokens, lambda t: low.contains(t)))
-    if mode == "all":
-        by_words = (F.size(tokens) > 0) & (hits == F.size(tokens))
-    else:
-        by_words = (F.size(tokens) > 0) & (hits >= F.greatest(F.lit(1), F.floor((F.size(tokens) + 1) / 2)))
-    return (F.length(low) > 0) & (((F.length(compact) > 0) & strip_ws(text).contains(compact)) | by_words)
+
+    def named(low: Column) -> Column:
+        hits = F.size(F.filter(tokens, lambda t: low.contains(t)))
+        needed = F.size(tokens) if mode == "all" else F.greatest(F.lit(1), F.floor((F.size(tokens) + 1) / 2))
+        whole = (F.length(compact) > 0) & F.replace(low, F.lit(" "), F.lit("")).contains(compact)
+        return (F.length(low) > 0) & (whole | ((F.size(tokens) > 0) & (hits >= needed)))
+
+    return let(norm_ws(text), named)
 
 
 def strict_menu_words(c: Column) -> Column:

@@ -102,3 +102,36 @@ def global_rank_bounds(df: DataFrame, value: str, buckets: int = 64) -> DataFram
     # At most ``buckets`` rows on the broadcast side.
     return (inside.join(F.broadcast(offsets.select("_range", "_offset")), "_range")
             .select(value, (F.col("_offset") + F.col("_inside")).alias("below"), "peers"))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], ordinal: str, name: str, width: int = 100_000) -> DataFrame:
+    """1, 2, 3, ... per key in the order of a unique integer column.
+
+    Numbered inside slices of ``width`` ordinals, plus the rows of the slices
+    before: a key of any size is spread over as many tasks as it has slices.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(ordinal) / width))
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(ordinal))
+    return (sliced.withColumn("_inside", inside).join(offsets, [*keys, "_slice"])
+            .withColumn(name, F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before"))
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], value: Column, name: str,
+                  width_s: int = 3600) -> DataFrame:
+    """Latest non-null ``value`` at or before each row of its key.
+
+    ``order`` names ascending columns, nulls first, starting with ``time``.
+    Rows are windowed inside time slices; what a slice inherits is the latest
+    value of earlier slices, found over one row per key and slice.
+    """
+    sliced = df.withColumn("_v", value).withColumn("_slice", F.floor(F.unix_micros(time) / (width_s * 1_000_000)))
+    lasts = sliced.where("_v IS NOT NULL").groupBy(*keys, "_slice").agg(F.max_by("_v", F.struct(*order)).alias("_last"))
+    slices = sliced.select(*keys, "_slice").distinct().join(lasts, [*keys, "_slice"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = slices.select(*keys, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_inherited"))
+    here = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (sliced.withColumn("_own", F.last("_v", ignorenulls=True).over(here)).join(inherited, [*keys, "_slice"])
+            .withColumn(name, F.coalesce("_own", "_inherited")).drop("_v", "_slice", "_own", "_inherited"))

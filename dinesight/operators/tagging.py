@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinesight.functions.literals import (
-    MAX_LITERAL_ENTRIES, alternation, contains_any, literal_pattern, struct_array, text_array)
+    MAX_LITERAL_ENTRIES, alternation, contains_any, let, letter_tree, literal_pattern, struct_array, text_array)
 from dinesight.functions.text import blank_to_empty, norm_ws
 from dinesight.operators.common import bounded_rows, small_side
 from dinesight.vocab import allergens as av
@@ -28,14 +29,17 @@ def mask_words(text: Column, words: Sequence[str]) -> Column:
 def matched_terms(text: Column, terms: Sequence[str], false_friends: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Sorted terms that occur in the text, ignoring false-friend words."""
     friends = false_friends or {}
-    low = F.lower(blank_to_empty(text))
     plain = [t for t in dict.fromkeys(terms) if t not in friends]
-    parts = [F.filter(text_array(plain), lambda t: low.contains(t))]
-    for term in dict.fromkeys(terms):
-        if term in friends:
-            parts.append(F.when(low.contains(term) & mask_words(low, friends[term]).contains(term), F.array(F.lit(term)))
-                         .otherwise(text_array([])))
-    return F.array_sort(F.concat(*parts))
+
+    def found(low: Column) -> Column:
+        parts = [F.filter(text_array(plain), lambda t: low.contains(t))]
+        for term in dict.fromkeys(terms):
+            if term in friends:
+                hit = low.contains(term) & mask_words(low, friends[term]).contains(term)
+                parts.append(F.when(hit, F.array(F.lit(term))).otherwise(text_array([])))
+        return F.array_sort(F.concat(*parts))
+
+    return let(F.lower(blank_to_empty(text)), found)
 
 
 def tag_terms(docs: DataFrame, text: str, terms: Sequence[str] | DataFrame, id_cols: Sequence[str],
@@ -81,36 +85,69 @@ def _whole_word(variants: Sequence[str]) -> str:
     return rf"(?<![a-z])(?:{'|'.join(literal_pattern(v) for v in variants)})s?(?![a-z])"
 
 
+def _variant_table(rules: Sequence[Mapping]) -> tuple[list[dict], list[str]]:
+    """Variant -> rule ids, counting variants that begin inside a longer one.
+
+    One scan finds the longest variant at each word start; a shorter variant of
+    another rule at the same place is a whole-word prefix of it.
+    """
+    variants = list(dict.fromkeys(v for rule in rules for v in rule["variants"]))
+    rows = []
+    for variant in variants:
+        inside = [i for i, rule in enumerate(rules)
+                  if any(re.match(rf"{re.escape(v)}s?(?![a-z])", variant) for v in rule["variants"])]
+        rows.append({"variant": variant, "rules": inside})
+    return rows, variants
+
+
 def infer_allergens(text: Column, rules: Sequence[Mapping] | None = None,
                     free_from: Sequence[tuple[Sequence[str], Sequence[str]]] | None = None) -> Column:
     """struct(definite, may): allergens implied by ingredient words.
 
-    Rules without exclusions that imply the same thing share one pattern.
+    One pattern finds every ingredient word; only rules whose word occurs and
+    that carry exclusions look at the text again.
     """
     rules = iv.ingredient_rules() if rules is None else rules
     free_from = iv.FREE_FROM if free_from is None else free_from
-    norm = F.concat(F.lit(" "), F.lower(blank_to_empty(text)), F.lit(" "))
-    merged: dict[tuple, list[str]] = {}
-    for rule in rules:
-        key = (tuple(rule["tokens"]), rule["tier"], tuple(rule["exclusions"]))
-        merged.setdefault(key, []).extend(v for v in rule["variants"] if v not in merged.get(key, []))
-
-    def found(tier: str) -> Column:
-        hits = []
-        for (tokens, rule_tier, exclusions), variants in merged.items():
-            if rule_tier != tier:
-                continue
-            local = norm
-            for phrase in exclusions:
-                local = F.replace(local, F.lit(phrase), F.lit("  "))
-            hits.append(F.when(local.rlike(_whole_word(variants)), text_array(tokens)).otherwise(text_array([])))
-        return F.array_distinct(F.flatten(F.array(*hits))) if hits else text_array([])
-
-    suppressed = F.flatten(F.array(*[F.when(norm.rlike(_whole_word(phrases)), text_array(tokens)).otherwise(text_array([]))
-                                     for phrases, tokens in free_from]))
-    definite = F.array_except(found("def"), suppressed)
-    may = F.array_except(F.array_except(found("may"), suppressed), definite)
-    return F.struct(F.array_sort(definite).alias("definite"), F.array_sort(may).alias("may"))
+    rows, variants = _variant_table(rules)
+    rules_of = F.map_from_arrays(text_array(variants), F.array(*[F.array(*[F.lit(i) for i in row["rules"]]) for row in rows]))
+    scan = rf"(?<![a-z])(?=((?:{letter_tree(variants)}))s?(?![a-z]))"
+    free_words = alternation(dict.fromkeys(p for phrases, _ in free_from for p in phrases))
+    none = text_array([])
+
+    def suppressed(norm: Column) -> Column:
+        hits = [F.when(norm.rlike(_whole_word(phrases)), text_array(tokens)).otherwise(none) for phrases, tokens in free_from]
+        return F.when(norm.rlike(free_words), F.flatten(F.array(*hits))).otherwise(none)
+
+    def fired(norm: Column, hits: Column) -> Column:
+        by_word = F.flatten(F.transform(hits, lambda word: F.element_at(rules_of, word)))
+        return F.filter(F.array_distinct(by_word), lambda i: allowed(norm, i))
+
+    def allowed(norm: Column, rule_id: Column) -> Column:
+        result = F.lit(True)
+        for i, rule in enumerate(rules):
+            if rule["exclusions"]:
+                local = norm
+                for phrase in rule["exclusions"]:
+                    local = F.replace(local, F.lit(phrase), F.lit("  "))
+                result = F.when(rule_id == i, local.rlike(_whole_word(rule["variants"]))).otherwise(result)
+        return result
+
+    def tokens_of(ids: Column, tier: str) -> Column:
+        by_rule = F.array(*[text_array(rule["tokens"] if rule["tier"] == tier else []) for rule in rules])
+        return F.array_distinct(F.flatten(F.transform(ids, lambda i: F.element_at(by_rule, i + 1))))
+
+    def split(ids: Column, out: Column) -> Column:
+        return let(F.array_except(tokens_of(ids, "def"), out), lambda definite: F.struct(
+            F.array_sort(definite).alias("definite"),
+            F.array_sort(F.array_except(F.array_except(tokens_of(ids, "may"), out), definite)).alias("may")))
+
+    def infer(norm: Column) -> Column:
+        words = F.array_distinct(F.regexp_extract_all(norm, F.lit(scan), F.lit(1)))
+        return let(words, lambda hits: F.when(F.size(hits) > 0, let(fired(norm, hits), lambda ids: split(ids, suppressed(norm))))
+                   .otherwise(F.struct(none.alias("definite"), none.alias("may"))))
+
+    return let(F.concat(F.lit(" "), F.lower(blank_to_empty(text)), F.lit(" ")), infer)
 
 
 def enrich_inferred(items: DataFrame) -> DataFrame:
@@ -158,13 +195,14 @@ def dish_text(name: Column, description: Column) -> Column:
 def dish_hits(text: Column, rules: Sequence[Mapping] | None = None) -> Column:
     """All dish-knowledge entries named in a normalised dish text."""
     friends = [w for words in cv.DISH_FALSE_FRIENDS.values() for w in words]
-    masked = mask_words(text, friends)
-    return F.filter(struct_array(cv.dish_rules() if rules is None else rules, _DISH_SCHEMA), lambda r: masked.contains(r.pattern))
+    table = struct_array(cv.dish_rules() if rules is None else rules, _DISH_SCHEMA)
+    return let(mask_words(text, friends), lambda t: F.filter(table, lambda r: t.contains(r.pattern)))
 
 
 def suspected_hits(text: Column) -> Column:
     """All suspected dish types of a normalised dish text."""
-    return F.filter(struct_array(cv.suspected_rules(), _SUSPECT_SCHEMA), lambda r: text.contains(r.pattern))
+    table = struct_array(cv.suspected_rules(), _SUSPECT_SCHEMA)
+    return let(text, lambda t: F.filter(table, lambda r: t.contains(r.pattern)))
 
 
 def best_dish(hits: Column, families: Column, nuts: Column) -> Column:
@@ -174,8 +212,8 @@ def best_dish(hits: Column, families: Column, nuts: Column) -> Column:
     """
     wanted = F.filter(hits, lambda r: F.arrays_overlap(r.families, families) & (
         nuts.isNull() | (F.size(r.nuts) == 0) | F.arrays_overlap(r.nuts, nuts)))
-    best = F.array_max(F.transform(wanted, lambda r: F.struct(r.risk.alias("risk"), (-r.ord).alias("rank"), r.note.alias("note"))))
-    return F.when(F.size(wanted) > 0, F.struct(best.risk.alias("risk"), best.note.alias("note")))
+    ranked = F.transform(wanted, lambda r: F.struct(r.risk.alias("risk"), (-r.ord).alias("rank"), r.note.alias("note")))
+    return let(F.array_max(ranked), lambda b: F.when(b.isNotNull(), F.struct(b.risk.alias("risk"), b.note.alias("note"))))
 
 
 def first_suspected(hits: Column, text: Column, families: Column, cuisines: Column) -> Column:
@@ -183,8 +221,8 @@ def first_suspected(hits: Column, text: Column, families: Column, cuisines: Colu
     listed = F.array_min(F.transform(F.filter(hits, lambda r: F.arrays_overlap(r.families, families)),
                                      lambda r: F.struct(r.ord.alias("ord"), r.note.alias("note"))))
     plant = F.coalesce(F.arrays_overlap(cuisines, text_array(["vegan", "vegetarian"])), F.lit(False)) & F.array_contains(families, "tree_nuts")
-    dairy = F.get(F.filter(text_array(cv.VEGAN_SUSPECTED), lambda p: text.contains(p)), F.lit(0))
-    analogue = F.when(plant & dairy.isNotNull(), F.concat(F.lit("plant-based '"), dairy, F.lit("' is usually cashew-based")))
+    dairy = let(text, lambda t: F.get(F.filter(text_array(cv.VEGAN_SUSPECTED), lambda p: t.contains(p)), F.lit(0)))
+    analogue = F.when(plant, F.concat(F.lit("plant-based '"), dairy, F.lit("' is usually cashew-based")))
     return F.coalesce(listed.note, analogue)
 
 
@@ -220,8 +258,8 @@ def generic_dish_prior(items: DataFrame, kb: DataFrame, id_cols: Sequence[str])
     rows = bounded_rows(kb, MAX_LITERAL_ENTRIES)
     if rows is not None:
         schema = "allergen string, pattern string, risk double, note string, ord int"
-        hits = F.filter(struct_array(rows, schema), lambda r: F.col("_text").contains(r.pattern))
-        long = items.select(*id_cols, text.alias("_text")).select(*id_cols, F.inline(hits))
+        hits = let(text, lambda t: F.filter(struct_array(rows, schema), lambda r: t.contains(r.pattern)))
+        long = items.select(*id_cols, F.inline(hits))
     else:
         found = match_table(items.select(*id_cols, text.alias("_text")), "_text", kb.select(F.col("pattern").alias("term")), id_cols)
         long = found.withColumnRenamed("term", "pattern").join(kb, "pattern")
