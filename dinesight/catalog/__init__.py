@@ -24,7 +24,7 @@ class Entry:
 
 
 ENTRIES: dict[str, Entry] = {}
-_MODULES = ["text_queries", "source_queries", "place_queries", "tagging_queries", "evidence_queries", "page_queries"]
+_MODULES = ["text_queries", "source_queries", "place_queries", "tagging_queries", "evidence_queries", "page_queries", "scoring_queries"]
 
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Runner], Runner]:

@@ -1,0 +1 @@
+"""End-to-end plans over restaurant-shaped tables."""
