@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -19,32 +20,31 @@ def checked(values: Iterable) -> list:
     return values
 
 
+def _constant(value: list, ddl: str) -> Column:
+    """A constant parsed once from JSON; the optimizer folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
 def text_array(values: Iterable[str]) -> Column:
     """A constant array<string>."""
     values = checked(values)
     if not values:
         return F.expr("CAST(array() AS ARRAY<STRING>)")
-    return F.array(*[F.lit(v) for v in values])
+    return _constant(values, "array<string>") if len(values) > 3 else F.array(*[F.lit(v) for v in values])
 
 
 def struct_array(rows: Iterable[Mapping], schema: str) -> Column:
     """Records as one constant array<struct>; ``schema`` is the struct's DDL."""
-    rows = checked(rows)
-    fields = T.StructType.fromDDL(schema).fields
-
-    def cell(row: Mapping, field: T.StructField) -> Column:
-        value = row[field.name]
-        column = text_array(value) if isinstance(value, list) else F.lit(value)
-        return column.cast(field.dataType).alias(field.name)
-
-    return F.array(*[F.struct(*[cell(row, f) for f in fields]) for row in rows])
+    names = [field.name for field in T.StructType.fromDDL(schema).fields]
+    fields = ", ".join(f"{field.name}: {field.dataType.simpleString()}" for field in T.StructType.fromDDL(schema).fields)
+    return _constant([{n: row[n] for n in names} for row in checked(rows)], f"array<struct<{fields}>>")
 
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """Value of a constant map, null when absent."""
-    items = checked(table.items())
-    flat = [F.lit(part) for item in items for part in item]
-    return F.try_element_at(F.create_map(*flat), key)
+    items = dict(checked(table.items()))
+    kind = {str: "string", int: "int", float: "double"}[type(next(iter(items.values())))]
+    return F.try_element_at(F.from_json(F.lit(json.dumps(items, ensure_ascii=False)), f"map<string,{kind}>"), key)
 
 
 def alternation(values: Iterable[str]) -> str:
@@ -98,3 +98,13 @@ def count_contained(text: Column, values: Iterable[str]) -> Column:
 def ends_with_any(text: Column, values: Iterable[str]) -> Column:
     """The text ends with any of the values."""
     return text.rlike(f"(?:{alternation(values)})$")
+
+
+def py_round(value: Column, digits: int) -> Column:
+    """Round the binary value: scale, round to whole, scale back.
+
+    ``round(x, d)`` rounds the printed decimal instead, so 0.5075 would become
+    0.508 although the stored double lies below the tie.
+    """
+    scale = float(10 ** digits)
+    return F.round(value * scale) / scale

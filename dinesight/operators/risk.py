@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contains_any, let, lookup, struct_array, text_array
+from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contains_any, let, lookup, py_round, struct_array, text_array
 from dinesight.functions.text import blank_to_empty, has_value
 from dinesight.functions.urls import absence_factor, labeling_trust, source_trust
 from dinesight.operators.common import bounded_rows, keep_first
@@ -136,6 +136,20 @@ def _kb_literal(kb: DataFrame | Sequence[Mapping] | None):
     return bounded_rows(kb, MAX_LITERAL_ENTRIES) if isinstance(kb, DataFrame) else list(kb)
 
 
+_EVIDENCE_COLUMNS = ["restaurant_id", "item_name", "description", "extraction_method", "menu_source_url", "allergen_terms",
+                     "cross_contact_terms", "matrix_allergen_columns"]
+
+
+def distinct_dishes(items: DataFrame) -> DataFrame:
+    """Equal dish rows as one row with their count, combined map-side.
+
+    Evidence flags do not change with repetition, so copies (however many share
+    one dish) never travel or get analysed twice. Rows leave this step spread by
+    their whole content, not by restaurant.
+    """
+    return items.groupBy(*_EVIDENCE_COLUMNS).agg(F.count("*").alias("n_rows"))
+
+
 def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> DataFrame:
     """Everything about a dish that no pref changes, computed once per dish."""
     named = items.withColumn("_text", dish_text(F.col("item_name"), F.col("description")))
@@ -143,8 +157,10 @@ def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> Da
     rows = _kb_literal(kb)
     if rows is None:
         # A base too large to inline: equi-join, then at most one row per allergen and dish.
-        hits = generic_dish_prior(items, kb, ["arrival"]).groupBy("arrival").agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
-        named = named.join(hits, "arrival", "left")
+        texts = items.select("item_name", "description").distinct()
+        keys = ["item_name", "description"]
+        hits = generic_dish_prior(texts, kb, keys).groupBy(*keys).agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
+        named = named.join(hits, keys, "left").withColumn("kb_hits", F.coalesce("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")))
     elif rows:
         found = let(F.col("_text"), lambda t: F.filter(struct_array(rows, schema), lambda r: t.contains(r.pattern)))
         named = named.withColumn("kb_hits", F.transform(found, lambda r: F.struct(r.allergen.alias("allergen"), r.risk.alias("risk"), r.note.alias("note"))))
@@ -152,7 +168,7 @@ def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> Da
         named = named.withColumn("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)"))
     text = F.col("_text")
     return named.select(
-        "restaurant_id", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), text.alias("text"),
+        "restaurant_id", "n_rows", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), text.alias("text"),
         F.lower(blank_to_empty(F.col("extraction_method"))).alias("method"), F.col("menu_source_url").alias("url"),
         contains_any(text, av.NUT_FREE_CLAIMS).alias("claim"), dish_hits(text).alias("dishes"), suspected_hits(text).alias("suspects"),
         "kb_hits", term_facts(F.col("allergen_terms")).alias("terms"), term_facts(F.col("cross_contact_terms")).alias("cross_terms"),
@@ -183,7 +199,7 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
     """
     classes = needs.groupBy("restaurant_id").agg(F.collect_set(F.struct("class_key", "allergen", "nut_types", "families")).alias("classes"))
     context = restaurants.select("restaurant_id", "cuisines", "region", "official_domain").join(classes, "restaurant_id")
-    joined = dish_facts(items, kb).join(context, "restaurant_id")
+    joined = dish_facts(distinct_dishes(items), kb).join(context, "restaurant_id")
     home = at_home(F.col("cuisines"), F.col("region"))
     staged = joined.withColumns({"_home": home, "is_chart": F.col("method").contains("matrix"),
                                  "trust": source_trust(F.col("url"), F.col("official_domain"), as_of_year)})
@@ -212,13 +228,13 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
     chart = F.col("is_chart")
     flags = per_class.select(
         "restaurant_id", F.col("c.class_key").alias("class_key"), "name", F.col("_base.risk").alias("base_risk"),
-        (named & (F.col("method") != "community_mention")).alias("parsed"), (chart & hit & named).alias("chart_hit"), (~chart & hit & named).alias("text_hit"),
+        F.when(named & (F.col("method") != "community_mention"), F.col("n_rows")).otherwise(0).alias("parsed"), (chart & hit & named).alias("chart_hit"), (~chart & hit & named).alias("text_hit"),
         (cross & named).alias("cross_hit"), F.when(is_nut, F.when(named, nut_prior)).otherwise(boosted(F.col("_kb"))).alias("prior_risk"),
         (suspected & named).alias("suspected"), chart.alias("chart"), (chart & covers).alias("covers"), F.when(chart, F.col("trust")).alias("trust"),
         (is_nut & (F.size("_nut.other") > 0)).alias("other_nuts"))
     ors = ["chart_hit", "text_hit", "cross_hit", "suspected", "chart", "covers", "other_nuts"]
     return flags.groupBy("restaurant_id", "class_key", "name").agg(
-        F.count_if("parsed").alias("parsed"), F.max("prior_risk").alias("prior_risk"), F.max("base_risk").alias("base_risk"),
+        F.sum("parsed").alias("parsed"), F.max("prior_risk").alias("prior_risk"), F.max("base_risk").alias("base_risk"),
         F.min("trust").alias("trust"), *[F.bool_or(o).alias(o) for o in ors]).withColumn(
         "risky", F.col("chart_hit") | F.col("text_hit") | F.coalesce(
             F.col("prior_risk") >= F.greatest(F.lit(0.5), F.col("base_risk") + 0.1), F.lit(False)))
@@ -378,7 +394,7 @@ def fuse(facts: DataFrame, with_rationale: bool = False) -> DataFrame:
     df = df.withColumn("_s", apply_community(F.col("_r4"), F.col("_c4"), F.aggregate("_mine", F.lit(0).cast("bigint"), lambda acc, a: acc + a.n),
                                              F.array_max(F.transform("_mine", lambda a: a.best)), F.col("n_poor"), F.col("best_poor")))
     tier = tier_for(F.col("_s.risk"), F.col("severity_rank"), F.col("caution"), F.col("_presence"), F.col("chart_hit"), F.col("navigable"), F.col("_s.reported"))
-    out = df.withColumns({"risk": F.round(clamp(F.col("_s.risk")), 3), "confidence": F.round("_s.confidence", 2), "tier": tier, "basis": F.col("_b3"),
+    out = df.withColumns({"risk": py_round(clamp(F.col("_s.risk")), 3), "confidence": py_round(F.col("_s.confidence"), 2), "tier": tier, "basis": F.col("_b3"),
                           "community_reported": F.col("_s.reported"), "menu_total": F.col("parsed"), "menu_flagged": F.col("risky"), "menu_suspected": F.col("suspected")})
     columns = ["user_id", "restaurant_id", "pref_ord", "allergen", "class_key", "severity", "risk", "confidence", "tier", "basis", "community_reported",
                "menu_total", "menu_flagged", "menu_suspected", "navigable"]
@@ -464,7 +480,7 @@ def apply_guardrails(det: DataFrame, model: DataFrame) -> DataFrame:
     tiers = F.element_at(text_array(list(sv.TIER_RANK)), new_rank + 1)
     scored = F.coalesce("model_risk", "model_confidence").isNotNull() | F.col("model_tier").isNotNull()
     return joined.select(
-        "key", F.when(scored, tiers).otherwise(F.col("tier")).alias("tier"), F.when(scored, F.round(held, 3)).otherwise(F.col("risk")).alias("risk"),
+        "key", F.when(scored, tiers).otherwise(F.col("tier")).alias("tier"), F.when(scored, py_round(held, 3)).otherwise(F.col("risk")).alias("risk"),
         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("model_confidence", "confidence"))), 2).alias("confidence"), "basis",
         F.array_intersect(F.coalesce("cited_ids", text_array([])), "evidence_ids").alias("citations"))
 

@@ -22,7 +22,7 @@ def build_session(app: str = "dinesight", master: str | None = None, **extra: st
     """A session with the library's settings; ``master`` only for local runs."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = (builder.master(master).config("spark.ui.enabled", "false")
+        builder = (builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                    .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g"))
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
