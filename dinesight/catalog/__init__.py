@@ -24,7 +24,8 @@ class Entry:
 
 
 ENTRIES: dict[str, Entry] = {}
-_MODULES = ["text_queries", "source_queries", "place_queries", "tagging_queries", "evidence_queries", "page_queries", "scoring_queries"]
+_MODULES = ["text_queries", "source_queries", "place_queries", "tagging_queries", "evidence_queries", "page_queries", "scoring_queries",
+            "report_queries", "evaluation_queries", "stream_queries"]
 
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Runner], Runner]:

@@ -34,7 +34,7 @@ def menu_summary(items: DataFrame) -> DataFrame:
     grouped = keyed.groupingSets(sets, "restaurant_id", "extraction_method", "source_type", "category").agg(
         F.grouping_id().alias("_g"), F.count("*").alias("n_items"), F.count_if(has_value(F.col("price"))).alias("n_priced"),
         F.count_if(F.size("dietary_terms") > 0).alias("n_dietary"), F.count_if(F.size("allergen_terms") > 0).alias("n_allergen"))
-    kind = lookup(F.col("_g"), {7: "total", 3: "method", 5: "source_type", 6: "category"})
+    kind = lookup(F.col("_g").cast("string"), {"7": "total", "3": "method", "5": "source_type", "6": "category"})
     return grouped.select("restaurant_id", kind.alias("kind"), F.coalesce("extraction_method", "source_type", "category", F.lit("all")).alias("value"),
                           "n_items", "n_priced", "n_dietary", "n_allergen")
 

@@ -1,0 +1 @@
+"""Structured Streaming jobs over request, evidence and stage logs."""
