@@ -179,3 +179,16 @@ def clean_history(spark, sf_dir):
 def validate_required(spark, sf_dir):
     rejected = v.validate_required(places(spark, sf_dir), ["name", "address", "website_url"])[1]
     return rejected.select("restaurant_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("lenient_casts", "SC-5",
+       "SELECT o_orderkey, o_custkey AS review_count, o_totalprice AS rating, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 2 = 0 AS BOOLEAN) END AS is_open_now, "
+       "replace(o_orderpriority, '-', '|') AS categories FROM orders")
+def lenient_casts(spark, sf_dir):
+    from dinesight.sources.records import with_schema
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("review_count"), F.col("o_totalprice").cast("string").alias("rating"),
+        F.when(F.col("o_orderkey") % 3 == 0, "maybe").otherwise((F.col("o_orderkey") % 2 == 0).cast("string")).alias("is_open_now"),
+        F.concat(F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit(" ;")), F.lit("; ")).alias("categories"))
+    cast = with_schema(rows, "o_orderkey BIGINT, review_count BIGINT, rating DOUBLE, is_open_now BOOLEAN, categories ARRAY<STRING>")
+    return cast.withColumn("categories", F.array_join("categories", "|"))
