@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dinesight.functions.literals import text_array
+from dinesight.operators.common import spread
+
+
+TEXT_TABLES = {"documents", "pages"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the ones holding long texts are dealt out when they scan as too few pieces."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXT_TABLES else scan
 
 
 def pick(values: list[str], key: Column) -> Column:
@@ -158,7 +164,8 @@ def _split_sql(values: list[str], key: str) -> str:
 def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     order = F.col("l_orderkey")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
+    return spread(lines).select(
         F.concat(F.lit("s"), supplier.cast("string")).alias("restaurant_id"), supplier.alias("k"),
         F.concat(F.lpad(order.cast("string"), 14, "0"), line.cast("string"), F.lpad(part.cast("string"), 12, "0"),
                  F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 3, "0")).alias("arrival"),

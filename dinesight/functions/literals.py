@@ -33,13 +33,6 @@ def text_array(values: Iterable[str]) -> Column:
     return _constant(values, "array<string>") if len(values) > 3 else F.array(*[F.lit(v) for v in values])
 
 
-def struct_array(rows: Iterable[Mapping], schema: str) -> Column:
-    """Records as one constant array<struct>; ``schema`` is the struct's DDL."""
-    names = [field.name for field in T.StructType.fromDDL(schema).fields]
-    fields = ", ".join(f"{field.name}: {field.dataType.simpleString()}" for field in T.StructType.fromDDL(schema).fields)
-    return _constant([{n: row[n] for n in names} for row in checked(rows)], f"array<struct<{fields}>>")
-
-
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """Value of a constant map, null when absent."""
     items = dict(checked(table.items()))
@@ -80,9 +73,32 @@ def letter_tree(values: Iterable[str]) -> str:
                     for head, tails in groups.items())
 
 
+def first_letters(values: Iterable[str]) -> str:
+    """Lookahead that lets a scan skip places where no value can start."""
+    return "(?=[" + "".join(literal_pattern(ch) for ch in dict.fromkeys(v[0] for v in values)) + "])"
+
+
+def contained_rows(text: Column, rows: Iterable[Mapping], key: str, schema: str) -> Column:
+    """Records whose ``key`` is a substring of the text, in one scan.
+
+    The scan yields the longest key at each place; the keys that are prefixes
+    of it are attached to it beforehand, so every occurring key is found.
+    """
+    rows = checked(rows)
+    keys = list(dict.fromkeys(row[key] for row in rows))
+    names = [field.name for field in T.StructType.fromDDL(schema).fields]
+    table = {k: [{n: row[n] for n in names} for row in rows if k.startswith(row[key])] for k in keys}
+    fields = ", ".join(f"{field.name}: {field.dataType.simpleString()}" for field in T.StructType.fromDDL(schema).fields)
+    by_key = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"map<string,array<struct<{fields}>>>")
+    scan = first_letters(keys) + f"(?=({letter_tree(keys)}))"
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(scan), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(hits, lambda k: F.element_at(by_key, k))))
+
+
 def contains_any(text: Column, values: Iterable[str]) -> Column:
     """Any value is a substring of the text (one regex pass)."""
-    return text.rlike(alternation(values))
+    values = checked(values)
+    return text.rlike(alternation(values) if len(values) <= 8 else f"{first_letters(values)}(?:{letter_tree(values)})")
 
 
 def contained(text: Column, values: Iterable[str]) -> Column:

@@ -22,6 +22,17 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return ranked if rank else ranked.drop(name)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that came as fewer pieces than there are cores.
+
+    For CPU-heavy row work on small inputs (one file, one row group). A large
+    table already scans as more pieces than cores and is returned unchanged, so
+    no shuffle is added at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only for a side whose row count has been checked.
 

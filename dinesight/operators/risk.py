@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contains_any, let, lookup, py_round, struct_array, text_array
+from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contained_rows, contains_any, let, lookup, py_round, text_array
 from dinesight.functions.text import blank_to_empty, has_value
 from dinesight.functions.urls import absence_factor, labeling_trust, source_trust
 from dinesight.operators.common import bounded_rows, keep_first
@@ -99,9 +99,12 @@ def term_facts(terms: Column) -> Column:
         return t.isin(av.GENERIC_NUT_TERMS) | (t.contains("nut") & rest.contains("nut"))
 
     def facts(t: Column) -> Column:
-        nuts = F.array_compact(F.array(*[F.when(contains_any(t, av.NUT_TYPE_TERMS[n]), n) for n in av.TREE_NUT_TYPES]))
+        tree = contains_any(t, av.TREE_NUT_TERMS)
+        named = F.array_compact(F.array(*[F.when(contains_any(t, av.NUT_TYPE_TERMS[n]), n) for n in av.TREE_NUT_TYPES]))
+        # Only tree-nut terms are told apart.
+        nuts = F.when(tree, named).otherwise(text_array([]))
         core = F.regexp_replace(F.replace(F.replace(t, F.lit("may contain"), F.lit("")), F.lit("traces"), F.lit("")), r"^[ :\-]+|[ :\-]+$", "")
-        return F.struct(t.alias("term"), contains_any(t, av.PEANUT_TERMS).alias("peanut"), contains_any(t, av.TREE_NUT_TERMS).alias("tree"),
+        return F.struct(t.alias("term"), contains_any(t, av.PEANUT_TERMS).alias("peanut"), tree.alias("tree"),
                         generic(t).alias("generic"), nuts.alias("nuts"), canonical_allergen(core).alias("key"), canonical_allergen(t).alias("whole_key"),
                         t.rlike("may contain|traces|trace of|cross").alias("cross"))
 
@@ -162,7 +165,7 @@ def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> Da
         hits = generic_dish_prior(texts, kb, keys).groupBy(*keys).agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
         named = named.join(hits, keys, "left").withColumn("kb_hits", F.coalesce("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")))
     elif rows:
-        found = let(F.col("_text"), lambda t: F.filter(struct_array(rows, schema), lambda r: t.contains(r.pattern)))
+        found = contained_rows(F.col("_text"), rows, "pattern", schema)
         named = named.withColumn("kb_hits", F.transform(found, lambda r: F.struct(r.allergen.alias("allergen"), r.risk.alias("risk"), r.note.alias("note"))))
     else:
         named = named.withColumn("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)"))
@@ -197,27 +200,30 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
     ``needs`` holds restaurant_id and the class columns. A restaurant's classes
     ride along as one bounded array, so dishes shuffle once.
     """
-    classes = needs.groupBy("restaurant_id").agg(F.collect_set(F.struct("class_key", "allergen", "nut_types", "families")).alias("classes"))
-    context = restaurants.select("restaurant_id", "cuisines", "region", "official_domain").join(classes, "restaurant_id")
+    # Whatever depends on the restaurant and class only is settled before dishes join.
+    places = restaurants.select("restaurant_id", "cuisines", "region", "official_domain", at_home(F.col("cuisines"), F.col("region")).alias("_home"))
+    based = needs.join(places.select("restaurant_id", "cuisines", "region"), "restaurant_id").withColumn(
+        "base_risk", _class_base(F.col("cuisines"), F.col("region"), F.col("allergen"), baselines)["risk"])
+    classes = based.groupBy("restaurant_id").agg(F.collect_set(F.struct("class_key", "allergen", "nut_types", "families", "base_risk")).alias("classes"))
+    context = places.drop("region").join(classes, "restaurant_id")
     joined = dish_facts(distinct_dishes(items), kb).join(context, "restaurant_id")
-    home = at_home(F.col("cuisines"), F.col("region"))
-    staged = joined.withColumns({"_home": home, "is_chart": F.col("method").contains("matrix"),
-                                 "trust": source_trust(F.col("url"), F.col("official_domain"), as_of_year)})
-    per_class = staged.withColumn("c", F.explode("classes")).withColumns({
-        "is_nut": F.col("c.allergen").isin(NUT_KEYS), "_base": _class_base(F.col("cuisines"), F.col("region"), F.col("c.allergen"), baselines)})
+    staged = joined.withColumns({"is_chart": F.col("method").contains("matrix"), "trust": source_trust(F.col("url"), F.col("official_domain"), as_of_year)})
+    per_class = staged.withColumn("c", F.explode("classes")).withColumn("is_nut", F.col("c.allergen").isin(NUT_KEYS))
     families, nuts, allergen = F.col("c.families"), F.col("c.nut_types"), F.col("c.allergen")
     per_class = per_class.withColumns({
         "_dish": F.when(F.col("is_nut"), best_dish(F.col("dishes"), families, nuts)),
         "_suspect": F.when(F.col("is_nut"), first_suspected(F.col("suspects"), F.col("text"), families, F.col("cuisines"))),
-        "_nut": split_nut_terms(F.col("terms"), families, nuts), "_nut_cross": split_nut_terms(F.col("cross_terms"), families, nuts),
-        "_own": split_allergen_terms(F.col("terms"), allergen), "_own_cross": split_allergen_terms(F.col("cross_terms"), allergen),
+        "_nut": F.when(F.col("is_nut"), split_nut_terms(F.col("terms"), families, nuts)),
+        "_nut_cross": F.when(F.col("is_nut"), split_nut_terms(F.col("cross_terms"), families, nuts)),
+        "_own": F.when(~F.col("is_nut"), split_allergen_terms(F.col("terms"), allergen)),
+        "_own_cross": F.when(~F.col("is_nut"), split_allergen_terms(F.col("cross_terms"), allergen)),
         "_kb": F.array_max(F.transform(F.filter("kb_hits", lambda h: h.allergen == allergen), lambda h: h.risk))})
 
     def boosted(risk: Column) -> Column:
         return F.least(F.lit(cv.MAX_RISK), F.when(F.col("_home"), risk * 1.10).otherwise(risk))
 
     nut_prior = (F.when(F.col("claim"), 0.08).when(F.col("_dish").isNotNull(), boosted(F.col("_dish.risk")))
-                 .when(F.col("_suspect").isNotNull(), F.greatest(F.col("_base.risk"), F.lit(cv.SUSPECTED_RISK))).otherwise(F.col("_base.risk")))
+                 .when(F.col("_suspect").isNotNull(), F.greatest(F.col("c.base_risk"), F.lit(cv.SUSPECTED_RISK))).otherwise(F.col("c.base_risk")))
     is_nut, named = F.col("is_nut"), F.length("name") > 0
     suspected = is_nut & ~F.col("claim") & F.col("_dish").isNull() & F.col("_suspect").isNotNull()
     hit = F.when(is_nut, F.size("_nut.contains") > 0).otherwise(F.size("_own.contains") > 0)
@@ -227,7 +233,7 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
         F.exists("columns", lambda t: F.coalesce(canonical_allergen(t) == allergen, F.lit(False))))
     chart = F.col("is_chart")
     flags = per_class.select(
-        "restaurant_id", F.col("c.class_key").alias("class_key"), "name", F.col("_base.risk").alias("base_risk"),
+        "restaurant_id", F.col("c.class_key").alias("class_key"), "name", F.col("c.base_risk").alias("base_risk"),
         F.when(named & (F.col("method") != "community_mention"), F.col("n_rows")).otherwise(0).alias("parsed"), (chart & hit & named).alias("chart_hit"), (~chart & hit & named).alias("text_hit"),
         (cross & named).alias("cross_hit"), F.when(is_nut, F.when(named, nut_prior)).otherwise(boosted(F.col("_kb"))).alias("prior_risk"),
         (suspected & named).alias("suspected"), chart.alias("chart"), (chart & covers).alias("covers"), F.when(chart, F.col("trust")).alias("trust"),

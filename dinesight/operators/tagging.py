@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinesight.functions.literals import (
-    MAX_LITERAL_ENTRIES, alternation, contains_any, let, letter_tree, literal_pattern, struct_array, text_array)
+    MAX_LITERAL_ENTRIES, alternation, contained_rows, contains_any, first_letters, let, letter_tree, literal_pattern, text_array)
 from dinesight.functions.text import blank_to_empty, norm_ws
 from dinesight.operators.common import bounded_rows, small_side
 from dinesight.vocab import allergens as av
@@ -111,7 +111,7 @@ def infer_allergens(text: Column, rules: Sequence[Mapping] | None = None,
     free_from = iv.FREE_FROM if free_from is None else free_from
     rows, variants = _variant_table(rules)
     rules_of = F.map_from_arrays(text_array(variants), F.array(*[F.array(*[F.lit(i) for i in row["rules"]]) for row in rows]))
-    scan = rf"(?<![a-z])(?=((?:{letter_tree(variants)}))s?(?![a-z]))"
+    scan = rf"(?<![a-z]){first_letters(variants)}(?=((?:{letter_tree(variants)}))s?(?![a-z]))"
     free_words = alternation(dict.fromkeys(p for phrases, _ in free_from for p in phrases))
     none = text_array([])
 
@@ -195,14 +195,12 @@ def dish_text(name: Column, description: Column) -> Column:
 def dish_hits(text: Column, rules: Sequence[Mapping] | None = None) -> Column:
     """All dish-knowledge entries named in a normalised dish text."""
     friends = [w for words in cv.DISH_FALSE_FRIENDS.values() for w in words]
-    table = struct_array(cv.dish_rules() if rules is None else rules, _DISH_SCHEMA)
-    return let(mask_words(text, friends), lambda t: F.filter(table, lambda r: t.contains(r.pattern)))
+    return contained_rows(mask_words(text, friends), cv.dish_rules() if rules is None else rules, "pattern", _DISH_SCHEMA)
 
 
 def suspected_hits(text: Column) -> Column:
     """All suspected dish types of a normalised dish text."""
-    table = struct_array(cv.suspected_rules(), _SUSPECT_SCHEMA)
-    return let(text, lambda t: F.filter(table, lambda r: t.contains(r.pattern)))
+    return contained_rows(text, cv.suspected_rules(), "pattern", _SUSPECT_SCHEMA)
 
 
 def best_dish(hits: Column, families: Column, nuts: Column) -> Column:
@@ -258,7 +256,7 @@ def generic_dish_prior(items: DataFrame, kb: DataFrame, id_cols: Sequence[str])
     rows = bounded_rows(kb, MAX_LITERAL_ENTRIES)
     if rows is not None:
         schema = "allergen string, pattern string, risk double, note string, ord int"
-        hits = let(text, lambda t: F.filter(struct_array(rows, schema), lambda r: t.contains(r.pattern)))
+        hits = contained_rows(text, rows, "pattern", schema)
         long = items.select(*id_cols, F.inline(hits))
     else:
         found = match_table(items.select(*id_cols, text.alias("_text")), "_text", kb.select(F.col("pattern").alias("term")), id_cols)
