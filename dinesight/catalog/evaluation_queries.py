@@ -192,3 +192,13 @@ def lenient_casts(spark, sf_dir):
         F.concat(F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit(" ;")), F.lit("; ")).alias("categories"))
     cast = with_schema(rows, "o_orderkey BIGINT, review_count BIGINT, rating DOUBLE, is_open_now BOOLEAN, categories ARRAY<STRING>")
     return cast.withColumn("categories", F.array_join("categories", "|"))
+
+
+@query("evidence_ids", "WI-13",
+       "SELECT restaurant_id, ordinal, 'E' || CAST(row_number() OVER (PARTITION BY restaurant_id ORDER BY ordinal) AS VARCHAR) AS evidence_id "
+       "FROM (SELECT conv_id % 100 AS restaurant_id, conv_id * 1000 + turn AS ordinal FROM conversations)")
+def evidence_ids(spark, sf_dir):
+    from dinesight.operators.common import numbered
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 100).alias("restaurant_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"))
+    out = numbered(rows, ["restaurant_id"], "ordinal", "_n", width=50_000)
+    return out.select("restaurant_id", "ordinal", F.concat(F.lit("E"), F.col("_n").cast("string")).alias("evidence_id"))
