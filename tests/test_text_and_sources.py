@@ -48,8 +48,9 @@ def test_name_split_and_prices(spark):
     got = values(spark, [("Miso Soup - with tofu",), ("Fish and Chips with peas and lemon",), ("grilled half chicken with rice and beans today",), ("Toast",)], "s string",
                  t.split_name_description(F.col("s")))
     assert [tuple(g) for g in got] == [("Miso Soup", "with tofu"), ("Fish and Chips", "with peas and lemon"), ("grilled half chicken with", "rice and beans today"), ("Toast", "")]
-    prices = values(spark, [("Soup 12",), ("Steak 250 g 24",), ("Open 11 am",), ("section 12",), ("Toast 5.5 and jam 180",), ("Pad $14 for 2",)], "s string", t.line_prices(F.col("s"), True))
-    assert prices == [["12"], ["24"], [], [], ["5.5"], ["$14"]]
+    prices = values(spark, [("Soup 12",), ("Steak 250 g 24",), ("Open 11 am",), ("section 12",), ("Toast 5.5 and jam 180",), ("Jam 180, toast 5.5",), ("Pad $14 for 2",)], "s string", t.line_prices(F.col("s"), True))
+    # A number followed by a word is a quantity, one above 175 is no price.
+    assert prices == [["12"], ["24"], [], [], [], ["5.5"], ["$14"]]
 
 
 def test_recency_and_trust(spark):
