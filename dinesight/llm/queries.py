@@ -7,12 +7,81 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dinesight.llm.common import read_table
+from dinesight.llm.mixing import mix_sources
+from dinesight.llm.ngram_join import jaccard_classes
 from dinesight.llm.quality_rules import quality_rules
+from dinesight.llm.sentencepiece import encoded
+from dinesight.llm.suffix_dedup import suffix_dedup
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_rules": op4_quality_rules}
-SQL: dict[str, str] = {}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules,
+    "op6_ngram_join": op6_ngram_join, "op10_sentencepiece": op10_sentencepiece,
+}
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, n, h FROM d WHERE n >= 400),
+win AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM w),
+again AS (SELECT doc_id, s FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+gap AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS new FROM again),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r FROM gap),
+span AS (SELECT doc_id, r, min(s) AS a, max(s) + 400 AS b FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, r, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY r), 0) AS p FROM span),
+piece AS (SELECT c.doc_id, c.r, substr(d.h, 2 * p + 1, 2 * (a - p)) AS t FROM cut c JOIN d USING (doc_id)
+          UNION ALL SELECT s.doc_id, 9e15, substr(d.h, 2 * max(s.b) + 1) FROM span s JOIN d USING (doc_id) GROUP BY s.doc_id, d.h),
+kept AS (SELECT doc_id, string_agg(t, '' ORDER BY r) AS h FROM piece GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op3_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
+           md5('mix-1' || coalesce(':' || doc_id, '')) AS o FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+w AS (SELECT source, total, 2.0::DOUBLE * total AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM src),
+filled AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS before, sum(w) OVER r AS open FROM w
+           WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                  r AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+level AS (SELECT min_by((1.5::DOUBLE * (SELECT sum(total) FROM src) - before) / open, cap / w) AS v FROM filled
+          WHERE cap >= (1.5::DOUBLE * (SELECT sum(total) FROM src) - before) / open * w),
+t AS (SELECT source, total, least(cap, v * w) AS target FROM w, level),
+n AS (SELECT source, total, target, CASE WHEN total > 0 THEN floor(target / total)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (SELECT d.doc_id, d.size, n.total, n.target, n.whole, n.target - n.whole * n.total AS need,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, total AS source_size, target,
+       (size * (whole + CASE WHEN ahead < need AND 2 * ahead + size <= 2 * need THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+    "op6_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(r.y), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n""",
+}
