@@ -80,56 +80,93 @@ class Transducer:
 
     def __post_init__(self) -> None:
         self._longest = max(map(len, self.model.ids), default=1)
+        order = sorted(self.model.ids.values(), key=lambda k: -self.model.scores[k])
+        self._rank = {k: r for r, k in enumerate(order)}
+        self._reach: dict[str, int] = {}  # the longest piece that ends in a character
+        for p in self.model.ids:
+            self._reach[p[-1]] = max(self._reach.get(p[-1], 0), len(p))
+        self._splits: dict[int, tuple[int, int] | None] = {}
         self._surface = [p.replace(MARK, " ").encode() for p in self.model.pieces]
         for b, k in enumerate(self.model.byte_ids):
             self._surface[k] = bytes([b])
 
-    def _weight(self, before: int, piece: int) -> float:
-        """Weight of the arc of ``piece`` in the state after ``before``."""
-        if not self.model.merges:
-            return -self.model.scores[piece]
-        if before < 0:
-            return 0.0
+    def _passes(self, before: int, piece: int) -> bool:
+        """Whether merging the text of two pieces gives them again.
+
+        Undo the merges next to the border, latest first. A merge across the border that ranks before the one undone
+        would have come first; of equal merges the left one does.
+        """
         known = self.allowed.get((before, piece))
-        if known is None:
-            known = self._merged(self.model.pieces[before] + self.model.pieces[piece]) == [self.model.pieces[before], self.model.pieces[piece]]
-            if len(self.allowed) >= REMEMBERED:
-                self.allowed.clear()
-            self.allowed[before, piece] = known
-        return 0.0 if known else math.inf
-
-    def _merged(self, text: str) -> list[str]:
-        """The text after merging the best-scored neighbours, the leftmost of equals, until none are a piece."""
-        parts = list(text)
-        ids, scores = self.model.ids, self.model.scores
+        if known is not None:
+            return known
+        text, ids, rank = self.model.pieces, self.model.ids, self._rank
+        left, right, limit, passes = before, piece, math.inf, True
         while True:
-            best, at = -math.inf, -1
-            for k in range(len(parts) - 1):
-                piece = ids.get(parts[k] + parts[k + 1])
-                if piece is not None and scores[piece] > best:
-                    best, at = scores[piece], k
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-
-    def word(self, text: str) -> list[int]:
-        """Shortest path for one word."""
-        ids, longest, weight = self.model.ids, self._longest, self._weight
-        unknown = 10.0 - min(self.model.scores, default=0.0) if not self.model.merges else 0.0
-        state, cost, arrived = [_START], [0.0], [0]
+            across = ids.get(text[left] + text[right])
+            if across is not None and rank[across] < limit:
+                passes = False
+                break
+            parts, others = self._split(left), self._split(right)
+            if parts and (not others or rank[left] > rank[right]):
+                limit, left = rank[left], parts[1]
+            elif others:
+                limit, right = rank[right] + 0.5, others[0]
+            else:
+                break
+        if len(self.allowed) >= REMEMBERED:
+            self.allowed.clear()
+        self.allowed[before, piece] = passes
+        return passes
+
+    def _split(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes ``piece``; none for a single character."""
+        if piece not in self._splits:
+            parts = list(self.model.pieces[piece])
+            ids, rank = self.model.ids, self._rank
+            while len(parts) > 2:
+                pairs = [(rank[found], k) for k in range(len(parts) - 1) if (found := ids.get(parts[k] + parts[k + 1])) is not None]
+                k = min(pairs)[1]
+                parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            self._splits[piece] = (ids[parts[0]], ids[parts[1]]) if len(parts) == 2 else None
+        return self._splits[piece]
+
+    def _best(self, text: str) -> tuple[list[int], list[int]]:
+        """Piece of the best path into every position, and where it begins, by summed weights."""
+        ids, scores, longest = self.model.ids, self.model.scores, self._longest
+        unknown = 10.0 - min(scores, default=0.0)
+        cost, state, arrived = [0.0], [_START], [0]
         for end in range(1, len(text) + 1):
-            best, piece, begin = math.inf, _BYTES, end - 1
+            best, piece, begin = cost[end - 1] + unknown, _BYTES, end - 1
             for start in range(max(0, end - longest), end):
+                found = ids.get(text[start:end])
+                if found is not None and cost[start] - scores[found] < best:
+                    best, piece, begin = cost[start] - scores[found], found, start
+            cost.append(best)
+            state.append(piece)
+            arrived.append(begin)
+        return state, arrived
+
+    def _only(self, text: str) -> tuple[list[int], list[int]]:
+        """The same for a merge model, where one path into every position is finite."""
+        ids, reach, allowed = self.model.ids, self._reach, self.allowed
+        state, arrived = [_START], [0]
+        for end in range(1, len(text) + 1):
+            piece, begin = _BYTES, end - 1
+            longest = reach.get(text[begin], 0)
+            for start in range(end - longest if end > longest else 0, end):
                 found = ids.get(text[start:end])
                 if found is not None:
-                    total = cost[start] + weight(state[start], found)
-                    if total < best:
-                        best, piece, begin = total, found, start
-            if best == math.inf:
-                best = cost[end - 1] + unknown
+                    before = state[start]
+                    if before < 0 or allowed.get((before, found)) or self._passes(before, found):
+                        piece, begin = found, start
+                        break
             state.append(piece)
-            cost.append(best)
             arrived.append(begin)
+        return state, arrived
+
+    def word(self, text: str) -> list[int]:
+        """Ids on the shortest path for one word."""
+        state, arrived = self._only(text) if self.model.merges else self._best(text)
         out: list[int] = []
         end = len(text)
         while end:

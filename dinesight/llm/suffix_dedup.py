@@ -8,11 +8,13 @@ row for about every 180 bytes: the fragment that its windows cover.
 
 Fragments whose anchor occurs once hold no repeat. Where all fragments of an
 anchor are equal, all their windows repeat. Only anchors with different
-fragments need order: their distinct fragments form a text of bounded size, its
-suffix array is built by linear grouping, and windows that repeat stand next to
-each other in it. Anchors whose distinct fragments exceed ``GROUP_BYTES`` (a
-passage amid ever different text) are counted window by window, in Spark, with
-sums before the shuffle: exact, and no task holds them.
+fragments need order. Their windows are taken in blocks by distance from the
+anchor; the windows of a block share a core of bytes, so blocks that may repeat
+have equal cores, and the core shrinks to one symbol. The shrunk blocks form a
+text of bounded size, its suffix array is built by linear grouping, and windows
+that repeat stand next to each other in it. Anchors whose distinct fragments
+exceed ``GROUP_BYTES`` (a passage amid ever different text) are counted window by
+window, in Spark, with sums before the shuffle: exact, and no task holds them.
 
 Null and empty texts give n_bytes 0 and the hash of nothing. Repeated rows repeat
 each other's text. Texts under ``LENGTH`` bytes stay as they are. Long texts are
@@ -53,7 +55,7 @@ def window_minima(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def fragments(chunk: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first byte, length, anchor hash and content hash of every fragment of a chunk."""
+    """Document, first byte, length, anchor's place, anchor hash and content hash of every fragment of a chunk."""
     hashes = Hashes(chunk.data)
     grams = hashes.windows(gram)
     packed = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
@@ -67,11 +69,11 @@ def fragments(chunk: Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
     lo, hi = start[first], start[last] + length
-    return doc[first], lo - chunk.starts[doc[first]], hi - lo, grams[anchor[first]], hashes.of(lo, hi)
+    return doc[first], lo - chunk.starts[doc[first]], hi - lo, anchor[first] - lo, grams[anchor[first]], hashes.of(lo, hi)
 
 
 def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``uid, key, frag, lo, n``: the fragments of every text."""
+    """``uid, key, frag, lo, n, anchor``: the fragments of every text."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
@@ -80,37 +82,73 @@ def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             pieces = [(k, at, t[at:at + step + length - 1]) for k, t in whole for at in range(0, len(t) - length + 1, step)]
             row, offset = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
             for chunk in chunks([p[2] for p in pieces]):
-                doc, lo, n, key, frag = fragments(chunk, length, gram)
+                doc, lo, n, anchor, key, frag = fragments(chunk, length, gram)
                 piece = doc + chunk.first
                 yield pa.RecordBatch.from_pydict({"uid": uid[row[piece]], "key": key.view(np.int64), "frag": frag.view(np.int64),
-                                                  "lo": lo + offset[piece], "n": n})
-
-    return docs.select("uid", "text").mapInArrow(scan, "uid long, key long, frag long, lo long, n long")
-
-
-def repeated_windows(parts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """Starts, within each part, of the windows that occur again in these parts or stand for several equal parts."""
-    sizes = np.array([len(p) for p in parts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
-    text = np.zeros(int(sizes.sum()) + len(parts), np.int64)
-    for b, p in zip(begin, parts, strict=True):
-        text[b:b + len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) + 1
-    order = suffix_array(text)
-    flat = text.astype(np.uint16)
-    part = np.searchsorted(begin, order, "right") - 1
-    order = order[order + length <= begin[part] + sizes[part]]
-    view = np.lib.stride_tricks.sliding_window_view(flat, length)
-    repeated = np.zeros(len(text), bool)
-    for at in range(0, len(order) - 1, 4096):
-        a = order[at:at + 4097]
-        same = (view[a[:-1]] == view[a[1:]]).all(axis=1)
-        repeated[a[:-1][same]] = True
-        repeated[a[1:][same]] = True
-    out = []
-    for b, size, count in zip(begin, sizes, counts, strict=True):
-        windows = size - length + 1
-        out.append(np.arange(windows) if count > 1 else np.flatnonzero(repeated[b:b + windows]))
-    return out
+                                                  "lo": lo + offset[piece], "n": n.astype(np.int32), "anchor": anchor.astype(np.int32)})
+
+    return docs.select("uid", "text").mapInArrow(scan, "uid long, key long, frag long, lo long, n int, anchor int")
+
+
+def _blocks(parts: list[bytes], anchors: list[int], length: int, gram: int) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """Windows of every part in blocks by distance from the anchor: part, first window, number of windows, bytes before
+    the core, core, bytes after it. Any window of a block holds the core."""
+    width = -(-(length - gram + 1) // 8)
+    core = length - width + 1
+    for k, (part, anchor) in enumerate(zip(parts, anchors, strict=True)):
+        last = len(part) - length
+        for block in range(max(0, anchor - last) // width, anchor // width + 1):
+            first, final = max(0, anchor - width * block - width + 1), min(last, anchor - width * block)
+            at = anchor - width * block
+            if first <= final:
+                yield k, first, final - first + 1, part[first:at], part[at:at + core], part[at + core:final + length]
+
+
+def repeated_windows(parts: list[bytes], anchors: list[int], keys: list[int], copies: list[int], length: int, gram: int) -> list[np.ndarray]:
+    """Starts, within each part, of the windows that occur again in parts with the same key, or whose part has copies.
+
+    ``anchors`` tells where the gram that gave the key begins in each part.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in parts]
+    groups: dict[tuple[int, int, bytes], list[tuple[int, int, int, bytes, bytes]]] = {}
+    for k, first, count, before, core, after in _blocks(parts, anchors, length, gram):
+        if copies[k] > 1:
+            found[k].append(np.arange(first, first + count))
+        groups.setdefault((keys[k], anchors[k] - first - len(before), core), []).append((k, first, count, before, after))
+    width = -(-(length - gram + 1) // 8)
+    pieces: list[tuple[int, int, int]] = []
+    symbols: list[np.ndarray] = []
+    name = 257
+    for members in groups.values():
+        if len(members) < 2:
+            continue
+        kinds: dict[tuple[bytes, bytes], list[tuple[int, int, int, bytes, bytes]]] = {}
+        for m in members:
+            kinds.setdefault(m[3:], []).append(m)
+        for same in kinds.values():
+            for k, first, count, _, _ in same if len(same) > 1 else ():
+                found[k].append(np.arange(first, first + count))
+        if len(kinds) > 1:
+            for (before, after), same in kinds.items():
+                pieces.append(same[0][:3])
+                symbols.append(np.concatenate([np.frombuffer(before, np.uint8).astype(np.int64) + 1, [name],
+                                               np.frombuffer(after, np.uint8).astype(np.int64) + 1, [0]]))
+            name += 1
+    if pieces:
+        text = np.concatenate(symbols)
+        begin = np.concatenate([[0], np.cumsum([len(s) for s in symbols])[:-1]])
+        counts = np.array([p[2] for p in pieces])
+        order = suffix_array(text)
+        piece = np.searchsorted(begin, order, "right") - 1
+        order = order[order - begin[piece] < counts[piece]]
+        view = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(width, np.int64)), width)
+        repeated = np.zeros(len(text), bool)
+        same = (view[order[:-1]] == view[order[1:]]).all(axis=1)
+        repeated[order[:-1][same]] = True
+        repeated[order[1:][same]] = True
+        for (k, first, count), b in zip(pieces, begin, strict=True):
+            found[k].append(first + np.flatnonzero(repeated[b:b + count]))
+    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64) for f in found]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,32 +161,59 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.append(new[1:], True)]
 
 
-def _ordered(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows(group["bytes"].tolist(), group["copies"].tolist(), length)
-        rows = []
-        for key, frag, starts in zip(group["key"], group["frag"], found, strict=True):
-            for s, e in zip(*merged(starts, starts + length), strict=True):
-                rows.append((key, frag, s, e))
-        return pd.DataFrame(rows, columns=["key", "frag", "s", "e"])
-    return order
+def _packed(docs: DataFrame) -> DataFrame:
+    """``uid, doc_id, text``, the text compressed, since it crosses the network as it is."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [pa.compress(t, "zstd", asbytes=True) for t in texts(batch.column("text"))]
+            sizes = [len(t) for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "doc_id": batch.column("doc_id"), "size": pa.array(sizes, pa.int64()),
+                                              "packed": pa.array(values, pa.binary())})
 
+    return docs.select("uid", "doc_id", "text").mapInArrow(pack, "uid long, doc_id long, size long, packed binary")
 
-def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(texts(batch.column("bytes"))):
-                h = Hashes(chunk.data).windows(length)
-                counts = chunk.ends - chunk.starts - length + 1
-                row = np.repeat(np.arange(len(chunk)), counts)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                take = pa.array(row + chunk.first)
-                yield pa.RecordBatch.from_pydict({**{c: batch.column(c).take(take) for c in ("key", "frag", "copies")},
-                                                  "at": at, "hash": h[chunk.starts[row] + at].view(np.int64)})
-    return expand
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+
+def _unpack(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted fragments of each text."""
+    for batch in batches:
+        rows = []
+        for packed, size, wanted in zip(*(batch.column(c).to_pylist() for c in ("packed", "size", "wanted")), strict=True):
+            text = _unpack(packed, size)
+            rows += [(w["key"], w["frag"], w["copies"], w["hot"], w["anchor"], text[w["lo"]:w["lo"] + w["n"]]) for w in wanted]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "frag", "copies", "hot", "anchor", "bytes"])
+
+
+def _found(length: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a group of fragments: the ranges that repeat (hash null), or, of hot ones, every window with its hash."""
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        cold, hot = group[~group["hot"]], group[group["hot"]]
+        if len(cold):
+            starts = repeated_windows(*(cold[c].tolist() for c in ("bytes", "anchor", "key", "copies")), length, gram)
+            for key, frag, at in zip(cold["key"], cold["frag"], starts, strict=True):
+                s, e = merged(at, at + length)
+                out.append(pd.DataFrame({"key": key, "frag": frag, "s": s, "e": e}))
+        for chunk in chunks(hot["bytes"].tolist()):
+            rows = hot.iloc[chunk.first:chunk.first + len(chunk)]
+            h = Hashes(chunk.data).windows(length)
+            counts = chunk.ends - chunk.starts - length + 1
+            row = np.repeat(np.arange(len(chunk)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            out.append(pd.DataFrame({"key": rows["key"].to_numpy()[row], "frag": rows["frag"].to_numpy()[row], "s": at, "e": at + length,
+                                     "hash": h[chunk.starts[row] + at].view(np.int64), "copies": rows["copies"].to_numpy()[row]}))
+        columns = {"key": "int64", "frag": "int64", "s": "int64", "e": "int64", "hash": "Int64", "copies": "Int64"}
+        found = pd.concat(out) if out else pd.DataFrame()
+        return found.reindex(columns=list(columns)).astype(columns)
+    return find
+
+
+def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``uid, spans``: of texts (uid, text) with repeats, the byte ranges to remove, not yet merged."""
     rows = stored(anchored(docs, length, gram))
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("frag").alias("f"), F.max("frag").alias("g")).where("c > 1")
@@ -156,21 +221,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     plain = shared.where("NOT mixed").select("uid", F.col("lo").alias("s"), (F.col("lo") + F.col("n")).alias("e"))
 
     mixed = shared.where("mixed")
-    kinds = mixed.groupBy("key", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "lo", "n")).alias("at"))
+    kinds = mixed.groupBy("key", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "lo", "n", "anchor")).alias("at"))
     sizes = kinds.groupBy("key").agg(F.sum("at.n").alias("bytes"))
     kinds = stored(kinds.join(sizes, "key").select("key", "frag", "copies", "at.*", (F.col("bytes") > group_bytes).alias("hot")))
-    total = kinds.where("NOT hot").agg(F.sum("n")).first()[0] or 0
-    groups = 1 + total // group_bytes
-    cut = kinds.join(docs.select("uid", "text"), "uid").dropDuplicates(["key", "frag"]).select(
-        "key", "frag", "copies", "hot", F.expr("substring(CAST(text AS BINARY), CAST(lo + 1 AS INT), CAST(n AS INT))").alias("bytes"))
-    cut = stored(cut)
-    spans = "key long, frag long, s long, e long"
-    cold = (cut.where("NOT hot").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
-            .groupBy("g").applyInPandas(_ordered(length), spans))
-    wide = cut.where("hot").mapInArrow(_windows(length), "key long, frag long, copies long, at long, hash long")
-    often = wide.groupBy("key", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("key", "hash")
-    hot = wide.join(often, ["key", "hash"]).select("key", "frag", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
-    back = mixed.join(cold.unionByName(hot), ["key", "frag"]).select("uid", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
+    groups = 1 + (kinds.agg(F.sum("n")).first()[0] or 0) // group_bytes
+    # As many as a text has fragments at most.
+    wanted = kinds.groupBy("uid").agg(F.collect_list(F.struct("key", "frag", "copies", "hot", "anchor", "lo", "n")).alias("wanted"))
+    cut = packed.join(wanted, "uid").select("packed", "size", "wanted").mapInArrow(
+        _cut_out, "key long, frag long, copies long, hot boolean, anchor int, bytes binary")
+    # Hot keys are spread by fragment; the others stay together, several to a group of bounded size.
+    group = F.pmod(F.when(F.col("hot"), F.xxhash64("key", "frag")).otherwise(F.xxhash64("key")), F.lit(groups))
+    found = stored(cut.withColumn("g", group).groupBy("g").applyInPandas(_found(length, gram), "key long, frag long, s long, e long, hash long, copies long"))
+    windows = found.where("hash IS NOT NULL")
+    often = windows.groupBy("key", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("key", "hash")
+    ranges = found.where("hash IS NULL").select("key", "frag", "s", "e").unionByName(windows.join(often, ["key", "hash"]).select("key", "frag", "s", "e"))
+    back = mixed.join(ranges, ["key", "frag"]).select("uid", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
     return plain.unionByName(back).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -187,22 +252,23 @@ def _cut(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int, int]:
     return [text[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)], int((ends - starts).sum()), len(starts)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes left."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    spans = repeated_spans(keyed, length)
+    packed = _packed(keyed)
+    spans = repeated_spans(keyed, packed, length, gram, group_bytes)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, runs in zip(texts(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                left, removed, count = _cut(text, runs)
-                for name, value in zip(out, (len(text), removed, count, hashlib.sha256(b"".join(left)).hexdigest()), strict=True):
+            out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": []}
+            for packed_text, size, runs in zip(*(batch.column(c).to_pylist() for c in ("packed", "size", "spans")), strict=True):
+                left, removed, count = _cut(_unpack(packed_text, size), runs)
+                for name, value in zip(out, (removed, count, hashlib.sha256(b"".join(left)).hexdigest()), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("size")} | {
                 n: pa.array(v, pa.string() if n == "kept_sha256" else pa.int64()) for n, v in out.items()})
 
-    return keyed.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(
+    return packed.join(spans, "uid", "left").select("doc_id", "size", "packed", "spans").mapInArrow(
         digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -212,19 +278,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A cut may fall inside a character; the bytes of a character that lost some are dropped from the text. A null text
     stays null.
     """
-    columns = docs.columns
-    spans = repeated_spans(_keyed(docs.select("doc_id", "text")), length)
+    columns, schema = docs.columns, docs.schema
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    spans = repeated_spans(keyed, _packed(keyed), length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = batch.column("text").to_pylist()
             left = [None if g is None else b"".join(_cut(g.encode(), runs)[0]).decode("utf-8", "ignore")
-                    for g, runs in zip(given, batch.column("spans").to_pylist(), strict=True)]
+                    for g, runs in zip(given, batch.column("_spans").to_pylist(), strict=True)]
             values = {c: batch.column(c) for c in columns} | {"text": pa.array(left, pa.string())}
             if "n_chars" in columns:
-                values["n_chars"] = pa.array([None if t is None else len(t) for t in left], pa.int64())
+                values["n_chars"] = pa.array([None if t is None else len(t) for t in left], batch.column("n_chars").type)
             yield pa.RecordBatch.from_pydict(values)
 
-    schema = docs.schema
-    keyed = docs.withColumn("_uid", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return keyed.join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left").select(*columns, "spans").mapInArrow(cut, schema)
+    keyed = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    spans = spans.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
+    return keyed.join(spans, "_uid", "left").select(*columns, "_spans").mapInArrow(cut, schema)
