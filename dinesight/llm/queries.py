@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dinesight.llm.common import read_table
+from dinesight.llm.html_text import extract_pages
+from dinesight.llm.license_scan import license_scan
 from dinesight.llm.mixing import mix_sources
 from dinesight.llm.ngram_join import jaccard_classes
+from dinesight.llm.posting_lists import nearest_neighbours
 from dinesight.llm.quality_rules import quality_rules
+from dinesight.llm.rule_ensemble import quality_scores
 from dinesight.llm.sentencepiece import encoded
 from dinesight.llm.suffix_dedup import suffix_dedup
+from dinesight.llm.toxicity import toxicity_scores
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -26,17 +36,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_array_dedup": op1_suffix_array_dedup, "op3_mixing": op3_mixing, "op4_quality_rules": op4_quality_rules,
-    "op6_ngram_join": op6_ngram_join, "op10_sentencepiece": op10_sentencepiece,
+    "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_posting_lists": op2_posting_lists, "op3_mixing": op3_mixing,
+    "op4_quality_rules": op4_quality_rules, "op5_rule_ensemble": op5_rule_ensemble, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece,
 }
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 

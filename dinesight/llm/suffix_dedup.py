@@ -207,9 +207,9 @@ def _found(length: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             out.append(pd.DataFrame({"key": rows["key"].to_numpy()[row], "frag": rows["frag"].to_numpy()[row], "s": at, "e": at + length,
                                      "hash": h[chunk.starts[row] + at].view(np.int64), "copies": rows["copies"].to_numpy()[row]}))
+        # Typed one by one: a column that is missing from some would turn all hashes into floats.
         columns = {"key": "int64", "frag": "int64", "s": "int64", "e": "int64", "hash": "Int64", "copies": "Int64"}
-        found = pd.concat(out) if out else pd.DataFrame()
-        return found.reindex(columns=list(columns)).astype(columns)
+        return pd.concat([part.reindex(columns=list(columns)).astype(columns) for part in [pd.DataFrame(), *out]])
     return find
 
 
