@@ -166,7 +166,7 @@ def set_relation(spark, sf_dir):
 
 
 @query("clean_history", "PR-37",
-       "SELECT user_id, CAST(rn AS INTEGER) AS position, event_type AS name, least(10, greatest(1, CAST(trunc(value) AS INTEGER))) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id % 9 <> 0) WHERE rn <= 30")
+       "SELECT user_id, CAST(rn AS INTEGER) AS position, event_type AS name, least(10, greatest(1, CAST(trunc(value) AS INTEGER))) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_id % 9 <> 0)")
 def clean_history(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("visit_ord"), F.concat(F.lit(" "), "event_type").alias("name"),
                                                  F.when(F.col("event_id") % 9 == 0, "bad").otherwise(F.floor("value").cast("string")).alias("rating"), F.lit(None).cast("string").alias("note"))
@@ -196,9 +196,9 @@ def lenient_casts(spark, sf_dir):
 
 @query("evidence_ids", "WI-13",
        "SELECT restaurant_id, ordinal, 'E' || CAST(row_number() OVER (PARTITION BY restaurant_id ORDER BY ordinal) AS VARCHAR) AS evidence_id "
-       "FROM (SELECT conv_id % 100 AS restaurant_id, conv_id * 1000 + turn AS ordinal FROM conversations)")
+       "FROM (SELECT conv_id % 100 AS restaurant_id, conv_id * 4294967296 + turn AS ordinal FROM conversations)")
 def evidence_ids(spark, sf_dir):
     from dinesight.operators.common import numbered
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 100).alias("restaurant_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"))
-    out = numbered(rows, ["restaurant_id"], "ordinal", "_n", width=50_000)
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 100).alias("restaurant_id"), (F.col("conv_id") * 4294967296 + F.col("turn")).alias("ordinal"))
+    out = numbered(rows, ["restaurant_id"], "ordinal", "_n", width=50_000 * 4294967296)
     return out.select("restaurant_id", "ordinal", F.concat(F.lit("E"), F.col("_n").cast("string")).alias("evidence_id"))

@@ -386,14 +386,14 @@ def group_sources(spark, sf_dir):
 
 
 @query("candidate_ids", "PR-34", with_tables(
-    "SELECT restaurant_id, arrival, 'c' || lpad(CAST(rn AS VARCHAR), 4, '0') AS candidate_id FROM " + first("dishes", "restaurant_id", "arrival", 400), dishes=DISHES_SQL))
+    "SELECT restaurant_id, arrival, printf('c%04d', rn) AS candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY arrival) AS rn FROM dishes)", dishes=DISHES_SQL))
 def candidate_ids(spark, sf_dir):
     return ev.candidate_ids(dishes(spark, sf_dir)).select("restaurant_id", "arrival", "candidate_id")
 
 
 @query("candidate_validation_summary", "AG-34", with_tables(
     "SELECT restaurant_id, count(*) AS candidate_rows, count(v) AS validated_rows, count(*) FILTER (v) AS accepted_rows, count(*) FILTER (NOT v) AS rejected_rows, "
-    "count(*) FILTER (v IS NULL) AS missing_rows FROM (SELECT restaurant_id, CASE WHEN rn % 7 <> 0 THEN rn % 3 <> 0 END AS v FROM " + first("dishes", "restaurant_id", "arrival", 400) + ") GROUP BY 1", dishes=DISHES_SQL))
+    "count(*) FILTER (v IS NULL) AS missing_rows FROM (SELECT restaurant_id, CASE WHEN rn % 7 <> 0 THEN rn % 3 <> 0 END AS v FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY arrival) AS rn FROM dishes)) GROUP BY 1", dishes=DISHES_SQL))
 def candidate_validation_summary(spark, sf_dir):
     candidates = ev.candidate_ids(dishes(spark, sf_dir)).select("restaurant_id", "candidate_id")
     n = F.substring("candidate_id", 2, 10).cast("int")

@@ -166,11 +166,11 @@ def profile_rollup(spark, sf_dir):
 
 @query("rank_for_user", "SO-2 RS-8", doubles(with_tables(
     "SELECT user_id, restaurant_id, tier, overall_risk, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE tier WHEN 'avoid' THEN 2 WHEN 'caution' THEN 1 ELSE 0 END, overall_risk, "
-    "overall_confidence DESC, quality DESC, restaurant_id) AS position FROM rolled) WHERE position <= 10", **BOTH)))
+    "overall_confidence DESC, quality DESC, restaurant_id) AS position FROM rolled)", **BOTH)))
 def rank_for_user(spark, sf_dir):
     quality = plan.restaurants(spark, sf_dir).select("restaurant_id", "quality")
     rolled = risk.profile_rollup(_both(spark, sf_dir)).join(quality, "restaurant_id")
-    return risk.rank_for_user(rolled, F.col("quality"), 10).select("user_id", "restaurant_id", "tier", "overall_risk", "position")
+    return risk.rank_for_user(rolled, F.col("quality")).select("user_id", "restaurant_id", "tier", "overall_risk", "position")
 
 
 @query("ranked_restaurants", "RS-8")
@@ -319,9 +319,9 @@ def menu_label_scenario(spark, sf_dir):
 
 @query("compact_menu", "WI-14", with_tables(
     "SELECT restaurant_id, CAST(position AS INTEGER) AS position, CASE WHEN len(allergen_terms) > 0 THEN item_name || ' [' || array_to_string(list_sort(list_distinct(allergen_terms)), ', ') || ']' ELSE item_name END AS line FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY arrival) AS position FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, lower(item_name) ORDER BY arrival) AS rn FROM dishes) WHERE rn = 1) WHERE position <= 20", dishes=DISHES_SQL))
+    "(SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY arrival) AS position FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, lower(item_name) ORDER BY arrival) AS rn FROM dishes) WHERE rn = 1)", dishes=DISHES_SQL))
 def compact_menu(spark, sf_dir):
-    return risk.compact_menu(dishes(spark, sf_dir), 20)
+    return risk.compact_menu(dishes(spark, sf_dir))
 
 
 # --- Diets -----------------------------------------------------------------------------------

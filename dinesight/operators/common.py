@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
 
-
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of every key.
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None = 1, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of every key, all of them without ``n``.
 
     The rank filter sits directly on the window, so Spark prunes each map task
     to ``n`` rows per key before the shuffle: a key holding a third of the
     table never travels whole to one task.
     """
     name = rank or "_rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = ranked if n is None else ranked.where(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
 
 
@@ -33,14 +32,6 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a side whose row count has been checked.
-
-    Beyond the bound the side is returned as it is and the join shuffles.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def bounded_rows(df: DataFrame, max_rows: int) -> list[dict] | None:
     """The rows of a small dimension, or None when it is larger than the bound."""
     rows = df.limit(max_rows + 1).collect()

@@ -11,7 +11,8 @@ from dinesight.functions import geo
 from dinesight.functions.literals import contains_any, literal_pattern, lookup, text_array
 from dinesight.functions.text import blank_to_empty, has_value, norm_key, norm_ws
 from dinesight.functions.urls import entity_compact, host, netloc, registrable_domain
-from dinesight.operators.common import keep_first, small_side
+from dinesight.operators.common import keep_first
+from dinesight.operators.tagging import match_table
 from dinesight.session import cut_lineage
 from dinesight.vocab import cuisines as cv
 from dinesight.vocab import places as pv
@@ -248,32 +249,23 @@ def geocode_best_place(results: DataFrame) -> DataFrame:
 
 
 # --- Registry and name lookups ---------------------------------------------------------
-def _substrings(key: Column, longest: int) -> Column:
-    """Distinct substrings of a short key (names and hosts: a few dozen characters)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.length(key) - i + 1)), lambda n: F.substr(key, i, n)))))
-
-
 def lookup_registry(restaurants: DataFrame, registry: DataFrame) -> DataFrame:
     """First registry entry by domain, or by name inside the restaurant's name plus city.
 
-    Both tests are equi-joins: on each domain suffix of the site, and on each
-    substring of the compact name. ``registry`` holds entry_ord, name, city, domain and flags.
+    Both tests are equi-joins: on each domain suffix of the site, and on the
+    anchors of the compact names. ``registry`` holds entry_ord, name, city, domain and flags.
     """
     reg = registry.select("entry_ord", F.lower(blank_to_empty(F.col("domain"))).alias("domain"),
                           entity_compact(F.col("name")).alias("entry_key"), F.lower(blank_to_empty(F.col("city"))).alias("city"))
-    reg = small_side(reg)
-    longest = registry.agg(F.max(F.length("name"))).first()[0] or 1
     site = registrable_domain(netloc(F.col("website_url")))
     labels = F.split(site, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     by_domain = (restaurants.where(F.length(site) > 0).select("restaurant_id", F.explode(suffixes).alias("domain"))
                  .join(reg.where(F.length("domain") > 0), "domain").select("restaurant_id", "entry_ord"))
     key = entity_compact(F.col("name"))
-    by_name = (restaurants.where(F.length(key) > 0)
-               .select("restaurant_id", F.lower(blank_to_empty(F.col("address"))).alias("_addr"), F.explode(_substrings(key, longest)).alias("entry_key"))
-               .join(reg.where(F.length("entry_key") > 0), "entry_key")
+    named = restaurants.where(F.length(key) > 0).select("restaurant_id", F.lower(blank_to_empty(F.col("address"))).alias("_addr"), key.alias("_key"))
+    inside = match_table(named, "_key", reg.select(F.col("entry_key").alias("term")), ["restaurant_id", "_addr"])
+    by_name = (inside.withColumnRenamed("term", "entry_key").join(reg.where(F.length("entry_key") > 0), "entry_key")
                .where((F.length("city") == 0) | F.col("_addr").contains(F.col("city"))).select("restaurant_id", "entry_ord"))
     first = by_domain.unionByName(by_name).groupBy("restaurant_id").agg(F.min("entry_ord").alias("entry_ord"))
     return restaurants.join(first, "restaurant_id", "left")
@@ -281,28 +273,23 @@ def lookup_registry(restaurants: DataFrame, registry: DataFrame) -> DataFrame:
 
 def registry_signals(matched: DataFrame, registry: DataFrame) -> DataFrame:
     """OR verified flags into handling signals; a signal is never lowered."""
-    flags = small_side(registry.select("entry_ord", "nut_free", "allergy_dedicated"))
+    flags = registry.select("entry_ord", "nut_free", "allergy_dedicated")
     joined = matched.join(flags, "entry_ord", "left")
     return joined.withColumn("nut_free_claim", F.col("nut_free_claim") | F.coalesce("nut_free", F.lit(False))).withColumn(
         "allergy_disclaimer", F.col("allergy_disclaimer") | F.coalesce("allergy_dedicated", F.lit(False))).drop("nut_free", "allergy_dedicated")
 
 
-MAX_NAME = 80
-
-
 def name_matches(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """Row/query pairs whose name keys contain one another, with a match tier.
 
-    Tier 1 exact, 2 prefix, 3 containment. Containment is an equi-join on every
-    substring of the longer key, so no pair is formed that does not match.
-    ``queries`` holds query_id, query; ``rows`` row_id, name.
+    Tier 1 exact, 2 prefix, 3 containment. Containment joins on anchors, keys of
+    any length. ``queries`` holds query_id, query; ``rows`` row_id, name.
     """
-    left = rows.withColumn("_rk", norm_key(F.col("name"))).where(F.length("_rk") > 0)
+    left = rows.select("row_id", norm_key(F.col("name")).alias("_rk")).where(F.length("_rk") > 0)
     right = queries.select("query_id", norm_key(F.col("query")).alias("_qk")).where(F.length("_qk") > 0)
-    right = small_side(right)
-    query_in_row = left.select("row_id", F.col("_rk"), F.explode(_substrings(F.col("_rk"), MAX_NAME)).alias("_qk")).join(right, "_qk")
-    row_in_query = right.select("query_id", F.col("_qk"), F.explode(_substrings(F.col("_qk"), MAX_NAME)).alias("_rk")).where(
-        F.col("_rk") != F.col("_qk")).join(left.select("row_id", "_rk"), "_rk")
+    query_in_row = match_table(left, "_rk", right.select(F.col("_qk").alias("term")), ["row_id", "_rk"]).withColumnRenamed("term", "_qk").join(right, "_qk")
+    row_in_query = match_table(right, "_qk", left.select(F.col("_rk").alias("term")), ["query_id", "_qk"]).withColumnRenamed("term", "_rk").where(
+        F.col("_rk") != F.col("_qk")).join(left, "_rk")
     pairs = query_in_row.select("row_id", "query_id", "_rk", "_qk").unionByName(
         row_in_query.select("row_id", "query_id", "_rk", "_qk"))
     tier = F.when(F.col("_rk") == F.col("_qk"), 1).when(

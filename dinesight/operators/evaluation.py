@@ -179,8 +179,8 @@ def set_relation(groups: DataFrame, left: str, right: str) -> DataFrame:
                                "n_common": F.size(F.array_intersect(left, right))})
 
 
-def clean_history(history: DataFrame, keep: int = 30) -> DataFrame:
-    """First rated visits of a user: name, rating 1..10 and note, sanitised.
+def clean_history(history: DataFrame, keep: int | None = None) -> DataFrame:
+    """Rated visits, or the first ``keep`` of them, of a user: name, rating 1..10 and note, sanitised.
 
     ``history`` holds user_id, visit_ord, name, rating (text), note.
     """

@@ -337,8 +337,8 @@ def group_sources(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"), F.min("row_ord").alias("first_row"), F.sum(F.length("extracted_text")).alias("n_chars"))
 
 
-def candidate_ids(items: DataFrame, max_candidates: int = 400) -> DataFrame:
-    """c0001, c0002, ... over the first rows of every restaurant."""
+def candidate_ids(items: DataFrame, max_candidates: int | None = None) -> DataFrame:
+    """c0001, c0002, ... over the rows of every restaurant, or the first ``max_candidates``."""
     ranked = keep_first(items, ["restaurant_id"], [F.asc("arrival")], max_candidates, rank="_n")
     return ranked.withColumn("candidate_id", F.format_string("c%04d", F.col("_n"))).drop("_n")
 

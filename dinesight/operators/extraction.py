@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +22,24 @@ from dinesight.vocab import allergens as av
 from dinesight.vocab import places as pv
 from dinesight.vocab import web
 
-# Named character references that occur in menus (fixed values).
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·",
-             "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&reg;": "®", "&eacute;": "é", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+_REFERENCE = r"(?s)&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
 
 def decode_entities(c: Column) -> Column:
-    for name, char in _ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references decoded in one pass: all named ones of HTML 5, decimal and hexadecimal ones."""
+    # The standard library's table; no-break spaces become plain ones.
+    named = {f"&{name}": " " if value == "\u00a0" else value for name, value in html5.items() if name.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(named, ensure_ascii=False)), "map<string,string>")
+
+    def one(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#([0-9]+);$", 1).try_cast("int")
+        hexadecimal = F.conv(F.nullif(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("int")
+        code = F.coalesce(digits, hexadecimal)
+        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(code == 160, " ").when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).when(code.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(table, piece), piece))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), one), "")).otherwise(c)
 
 
 def plain(html: Column) -> Column:
@@ -269,9 +280,9 @@ def _grid_items(rows: DataFrame, id_cols: Sequence[str], name_text, marked) -> D
         F.lit("allergen_matrix").alias("extraction_method"), F.lit(0.9).alias("confidence"))
 
 
-def allergen_grid_long(pages: DataFrame, id_col: str = "page_id", max_tables: int = 40) -> DataFrame:
+def allergen_grid_long(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Dish rows of HTML dish-by-allergen tables, one row per dish and page."""
-    tables = pages.select(id_col, F.posexplode(F.slice(blocks(F.col("html"), "table"), 1, max_tables)).alias("table_ord", "_table"))
+    tables = pages.select(id_col, F.posexplode(blocks(F.col("html"), "table")).alias("table_ord", "_table"))
 
     def cells(row: Column) -> Column:
         found = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>.*?(?=<t[dh]\b|</tr|$)"), F.lit(0))
@@ -288,7 +299,7 @@ def allergen_grid_long(pages: DataFrame, id_col: str = "page_id", max_tables: in
     head_rows = blocks(head_part, "tr")
     body = F.get(blocks(table, "tbody"), F.lit(0))
     header_row = F.coalesce(F.get(head_rows, F.lit(0)), F.get(all_rows, F.lit(0)))
-    data_rows = F.when(body.isNotNull(), blocks(body, "tr")).otherwise(F.slice(all_rows, 2, 100000))
+    data_rows = F.when(body.isNotNull(), blocks(body, "tr")).otherwise(F.slice(all_rows, F.lit(2), F.greatest(F.size(all_rows) - 1, F.lit(0))))
     caption = F.substring(plain(F.coalesce(F.get(blocks(table, "caption"), F.lit(0)), F.lit(""))), 1, 80)
     rows = tables.select(id_col, "table_ord", caption.alias("category"), F.transform(cells(header_row), lambda c: plain(c)).alias("header"),
                          F.posexplode(data_rows).alias("row_ord", "_row")).withColumn("cells", cells(F.col("_row")))
@@ -302,7 +313,7 @@ def text_grid_long(grids: DataFrame, id_col: str = "grid_id") -> DataFrame:
     clean = F.transform("grid", lambda row: F.transform(row, lambda c: clean_text(c)))
     staged = grids.select(id_col, clean.alias("_g")).where(F.size("_g") >= 2)
     rows = staged.select(id_col, F.get("_g", F.lit(0)).alias("header"), F.lit("").alias("category"),
-                         F.posexplode(F.slice("_g", 2, 100000)).alias("row_ord", "cells"))
+                         F.posexplode(F.slice("_g", F.lit(2), F.size("_g") - 1)).alias("row_ord", "cells"))
     items = _grid_items(rows, [id_col], lambda c: F.trim(c), text_cell_marked)
     return keep_first(items.withColumn("_key", F.lower("item_name")), [id_col, "_key"], [F.asc("row_ord")]).drop("_key")
 
@@ -564,8 +575,3 @@ def embedded_allergen_items(pages: DataFrame, id_col: str = "page_id", depth: in
         "allergen_terms", matched_terms(F.col("_w"), av.ALLERGEN_TERMS, av.ALLERGEN_FALSE_FRIENDS)).where(F.size("allergen_terms") > 0)
     first = keep_first(found.withColumn("_n", F.lower("item_name")), [id_col, "_n"], [F.asc("node_ord")])
     return first.drop("_n", "_w").withColumns({"extraction_method": F.lit("embedded_allergens"), "confidence": F.lit(0.6)})
-
-
-def line_price_rows(lines: DataFrame) -> DataFrame:
-    """Prices of every line, long."""
-    return lines.select("*", F.posexplode(extract_prices(F.col("line"))).alias("price_ord", "price"))

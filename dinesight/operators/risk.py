@@ -160,12 +160,12 @@ def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> Da
     rows = _kb_literal(kb)
     if rows is None:
         # A base too large to inline: equi-join, then at most one row per allergen and dish.
-        texts = items.select("item_name", "description").distinct()
-        keys = ["item_name", "description"]
-        hits = generic_dish_prior(texts, kb, keys).groupBy(*keys).agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
-        named = named.join(hits, keys, "left").withColumn("kb_hits", F.coalesce("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")))
+        # The key is the text, never null, so a dish without a description finds its hits.
+        texts = named.select(F.col("_text").alias("dish")).distinct().withColumns({"item_name": F.col("dish"), "description": F.lit(None).cast("string")})
+        hits = generic_dish_prior(texts, kb, ["dish"]).groupBy(F.col("dish").alias("_text")).agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
+        named = named.join(hits, "_text", "left").withColumn("kb_hits", F.coalesce("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")))
     elif rows:
-        found = contained_rows(F.col("_text"), rows, "pattern", schema)
+        found = F.filter(contained_rows(F.col("_text"), rows, "pattern", schema), lambda r: r.risk > 0)
         named = named.withColumn("kb_hits", F.transform(found, lambda r: F.struct(r.allergen.alias("allergen"), r.risk.alias("risk"), r.note.alias("note"))))
     else:
         named = named.withColumn("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)"))
@@ -460,9 +460,7 @@ def safest_first(quality: Column) -> list[Column]:
 
 
 def rank_for_user(rolled: DataFrame, quality: Column, top: int | None = None) -> DataFrame:
-    """Restaurants safest-first per user: all, or each user's first ``top``."""
-    if top is None:
-        return rolled.orderBy(F.asc("user_id"), *safest_first(quality))
+    """Restaurants safest-first per user, with their position: all, or each user's first ``top``."""
     return keep_first(rolled, ["user_id"], safest_first(quality), top, rank="position")
 
 
@@ -499,8 +497,8 @@ def menu_label_scenario(items: DataFrame) -> DataFrame:
         "scenario", F.when(F.col("n_named") == 0, "no_menu").when(F.col("n_charted") / F.col("n_named") >= sv.LABELED_SHARE, "labeled").otherwise("raw_menu"))
 
 
-def compact_menu(items: DataFrame, limit: int = 120) -> DataFrame:
-    """First distinct dish names of a restaurant with their sorted tags."""
+def compact_menu(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """All, or the first ``limit``, distinct dish names of a restaurant with their sorted tags."""
     named = items.where(has_value(F.col("item_name"))).withColumn("_key", F.lower(F.trim("item_name")))
     first = keep_first(named, ["restaurant_id", "_key"], [F.asc("arrival")])
     top = keep_first(first, ["restaurant_id"], [F.asc("arrival")], limit, rank="position")

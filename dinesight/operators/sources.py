@@ -116,8 +116,8 @@ def web_candidates(results: DataFrame, kind: str = "allergen", limit: int = 8) -
     pdf = u.is_pdf_url(url)
     wanted = pdf if kind == "menu" else pdf | hay.contains("allerg") | hay.contains("nutrition")
     hits = results.where(wanted).withColumn("found_by", F.when(pdf, "pdf").otherwise("page"))
-    ordinal = F.col("query_ord") * 1000 + F.col("result_ord")
-    first = keep_first(hits.withColumn("_ord", ordinal), ["restaurant_id", "url"], [F.asc("_ord")])
+    order = F.struct("query_ord", "result_ord")
+    first = keep_first(hits.withColumn("_ord", order), ["restaurant_id", "url"], [F.asc("_ord")])
     return rank_sources(first, "_ord", limit).drop("_ord")
 
 
@@ -191,18 +191,17 @@ def subdomain_seeds(links: DataFrame, restaurants: DataFrame, limit: int = 2) ->
         "restaurant_id", "seed_rank", F.concat(F.lit("https://"), "host", F.lit("/")).alias("seed_url"))
 
 
-def source_budget(candidates: DataFrame, max_sources: int = 4, enough_items: int = 30, matrix_enough: int = 10,
-                  max_candidates: int = 12) -> DataFrame:
+def source_budget(candidates: DataFrame, max_sources: int = 4, enough_items: int = 30, matrix_enough: int = 10) -> DataFrame:
     """Sources taken in priority order until their yield is enough.
 
     Expects restaurant_id, position (1..), url, kind, n_items, n_allergen,
     n_matrix. Allergen and nutrition sources are skipped once three allergen
-    dishes are known. At most ``max_candidates`` ranked rows exist per
-    restaurant (see finalize_candidates), so the fold sees a bounded array.
+    dishes are known. The fold sees the ranked candidates of one restaurant
+    (see finalize_candidates, which bounds them by its own argument).
     """
-    capped = keep_first(candidates.where("kind <> 'allergy_info'"), ["restaurant_id"], [F.asc("position")], max_candidates, rank="_slot")
-    rows = capped.groupBy("restaurant_id").agg(F.array_sort(F.collect_list(F.struct(
-        "_slot", "position", "url", "kind", *[F.col(c).cast("bigint").alias(c) for c in ("n_items", "n_allergen", "n_matrix")]))).alias("rows"))
+    wanted = candidates.where("kind <> 'allergy_info'")
+    rows = wanted.groupBy("restaurant_id").agg(F.array_sort(F.collect_list(F.struct(
+        "position", "url", "kind", *[F.col(c).cast("bigint").alias(c) for c in ("n_items", "n_allergen", "n_matrix")]))).alias("rows"))
     start = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("items"),
                      F.lit(0).cast("bigint").alias("allergen"), F.lit(0).cast("bigint").alias("matrix"),
                      F.expr("CAST(array() AS ARRAY<INT>)").alias("kept"))
@@ -218,7 +217,7 @@ def source_budget(candidates: DataFrame, max_sources: int = 4, enough_items: int
 
     folded = rows.select("restaurant_id", "rows", F.aggregate("rows", start, step).alias("s"))
     chosen = F.filter("rows", lambda r: F.array_contains(F.col("s.kept"), r.position))
-    return folded.select("restaurant_id", F.inline(chosen)).drop("_slot")
+    return folded.select("restaurant_id", F.inline(chosen))
 
 
 def signal_pages(candidates: DataFrame, pages: DataFrame, limit: int = 2) -> DataFrame:

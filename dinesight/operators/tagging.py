@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dinesight.functions.literals import (
     MAX_LITERAL_ENTRIES, alternation, contained_rows, contains_any, first_letters, let, letter_tree, literal_pattern, text_array)
 from dinesight.functions.text import blank_to_empty, norm_ws
-from dinesight.operators.common import bounded_rows, small_side
+from dinesight.operators.common import bounded_rows
 from dinesight.vocab import allergens as av
 from dinesight.vocab import cuisines as cv
 from dinesight.vocab import ingredients as iv
@@ -61,7 +61,9 @@ def match_table(docs: DataFrame, text: str, vocab: DataFrame, id_cols: Sequence[
 
     Every text is reduced to its distinct three-character pieces; a term joins
     on its first three, so only texts that may hold it are tested. Shorter
-    terms are few (bounded by the alphabet) and join on their own length.
+    terms are few (bounded by the alphabet) and join on their own length. The
+    pieces travel with a hash of the text; the text itself meets its candidate
+    terms once, in the join that tests them.
     """
     low = F.lower(blank_to_empty(F.col(text)))
     terms = vocab.select(F.lower("term").alias("term")).where(F.length("term") > 0).distinct().withColumn(
@@ -69,9 +71,9 @@ def match_table(docs: DataFrame, text: str, vocab: DataFrame, id_cols: Sequence[
     grams = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
         lambda i: F.array(*[F.substr(F.col("_low"), i, F.lit(n)) for n in range(1, ANCHOR + 1)]))))
-    anchored = docs.select(*id_cols, low.alias("_low")).select("*", F.explode(grams).alias("_anchor"))
-    hits = anchored.join(small_side(terms), "_anchor").where(F.col("_low").contains(F.col("term")))
-    return hits.select(*id_cols, "term")
+    texts = docs.select(*id_cols, low.alias("_low")).withColumn("_hash", F.xxhash64("_low"))
+    candidates = texts.select("_hash", F.explode(grams).alias("_anchor")).distinct().join(terms, "_anchor").select("_hash", "term").distinct()
+    return texts.join(candidates, "_hash").where(F.col("_low").contains(F.col("term"))).select(*id_cols, "term")
 
 
 def vocab_gap(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def assessed(spark: SparkSession, sf_dir: str, allergen: str | None = None, kb=N
                       reviews(spark, sf_dir), AS_OF_YEAR, kb=kb, with_rationale=with_rationale)
 
 
-def ranked_restaurants(spark: SparkSession, sf_dir: str, top: int | None = 10) -> DataFrame:
+def ranked_restaurants(spark: SparkSession, sf_dir: str, top: int | None = None) -> DataFrame:
     """Each user's restaurants in safest-first order."""
     from dinesight.catalog.tagging_queries import KB_ROWS
     kb = [dict(zip(("allergen", "pattern", "risk", "note", "ord"), row)) for row in KB_ROWS]

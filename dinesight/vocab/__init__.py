@@ -5,30 +5,3 @@ into an expression), so operators inline it into the plan as a literal: no
 join, no shuffle, no broadcast of anything that grows with the data.
 Knowledge bases that can grow are always DataFrame parameters instead.
 """
-
-from __future__ import annotations
-
-
-def entries(block: str, sep: str = "|") -> list[str]:
-    """Split a text block into its trimmed, non-empty entries, keeping order."""
-    return [part.strip() for line in block.strip().splitlines()
-            for part in line.split(sep) if part.strip()]
-
-
-def pairs(block: str) -> dict[str, str]:
-    """``left = right`` entries -> dict, keeping order."""
-    out: dict[str, str] = {}
-    for entry in entries(block):
-        left, right = entry.split("=", 1)
-        out[left.strip()] = right.strip()
-    return out
-
-
-def grouped(block: str) -> dict[str, list[str]]:
-    """``key: a, b, c`` lines -> dict of lists, keeping order."""
-    out: dict[str, list[str]] = {}
-    for line in block.strip().splitlines():
-        if line.strip():
-            key, values = line.split(":", 1)
-            out[key.strip()] = [v.strip() for v in values.split(",") if v.strip()]
-    return out

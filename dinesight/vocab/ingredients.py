@@ -2,115 +2,212 @@
 
 from __future__ import annotations
 
-from dinesight.vocab import entries
-
-# --- Fixed values: variants ; allergen tokens ; tier ; phrases blanked first -
-_RULES_TEXT = """
-tahini|tahina|tahin ; sesame ; def ;
-za'atar|zaatar|za atar ; sesame ; def ;
-halva|halvah|halwa ; sesame ; def ;
-gomashio|gomasio ; sesame ; def ;
-benne ; sesame ; def ;
-furikake ; sesame ; def ;
-hummus|houmous|hommus ; sesame ; may ;
-baba ganoush|babaganoush|baba ghanoush ; sesame ; may ;
-paneer ; milk ; def ;
-ghee ; milk ; def ;
-labneh|labne|labane ; milk ; def ;
-alfredo ; milk ; def ;
-bechamel|béchamel ; milk ; def ;
-au gratin|gratin ; milk ; def ;
-queso|crema ; milk ; def ;
-mozzarella|parmesan|parmigiano|ricotta|mascarpone|burrata|cheddar|gouda|brie|feta|halloumi|provolone|gorgonzola|camembert ; milk ; def ;
-custard|creme brulee|crème brûlée|panna cotta|gelato|kulfi ; milk ; may ;
-malai|khoya|raita|lassi|kheer ; milk ; def ;
-cheese ; milk ; def ; vegan cheese|nut cheese
-yogurt|yoghurt|yoghourt ; milk ; def ; coconut yogurt|soy yogurt|almond yogurt|oat yogurt
-butter ; milk ; def ; peanut butter|almond butter|cashew butter|hazelnut butter|sunflower butter|seed butter|nut butter|cocoa butter|shea butter|apple butter|fruit butter|body butter|butter lettuce|butter bean
-cream ; milk ; def ; coconut cream|cashew cream|almond cream|oat cream|soy cream|cream of tartar|ice cream cone
-buttermilk|condensed milk|evaporated milk|whey|casein|milk ; milk ; def ; coconut milk|almond milk|soy milk|soya milk|oat milk|rice milk|cashew milk|hemp milk|pea milk|macadamia milk|flax milk|hazelnut milk|walnut milk|peanut milk|milk thistle
-mayonnaise|mayo|aioli|aïoli ; egg ; def ; vegan mayo|vegan mayonnaise|vegan aioli
-hollandaise|bearnaise|béarnaise ; egg ; def ;
-meringue|pavlova|zabaglione|financier ; egg ; def ;
-carbonara ; egg ; def ;
-frittata|omelet|omelette|quiche|shakshuka|tamagoyaki|chawanmushi ; egg ; def ;
-egg ; egg ; def ; egg plant|eggfruit
-brioche|challah|custard ; egg ; may ;
-tofu|bean curd ; soy ; def ;
-edamame ; soy ; def ;
-tempeh ; soy ; def ;
-miso ; soy ; def ;
-natto ; soy ; def ;
-doenjang|gochujang ; soy ; def ;
-tamari ; soy ; def ;
-soy sauce|soya sauce|shoyu ; soy|wheat|gluten ; def ;
-teriyaki|hoisin|ponzu ; soy ; def ;
-edamame|soybean|soya bean ; soy ; def ;
-seitan ; wheat|gluten ; def ;
-panko|breadcrumb|bread crumb ; wheat|gluten ; def ;
-tempura|katsu|schnitzel|milanese|breaded ; wheat|gluten ; def ;
-udon|ramen|somen|lo mein|chow mein|spaetzle ; wheat|gluten ; def ;
-naan|roti|paratha|chapati|pita|focaccia|ciabatta|couscous|bulgur|semolina|farro|orzo ; wheat|gluten ; def ;
-barley|rye|malt|spelt|kamut|farina ; gluten ; def ; malt vinegar
-gnocchi|pierogi|wonton|dumpling|pretzel|crouton ; wheat|gluten ; may ;
-anchovy|anchovies ; fish ; def ;
-fish sauce|nuoc mam|nam pla|patis|colatura ; fish ; def ;
-bonito|katsuobushi|dashi ; fish ; def ; kombu dashi
-surimi ; fish ; def ;
-tuna|salmon|cod|halibut|tilapia|mackerel|sardine|herring|trout|snapper|branzino|sea bass|mahi|swordfish|haddock|pollock|catfish|barramundi ; fish ; def ;
-caviar|roe|ikura|tobiko|masago|taramasalata|lox|gravlax ; fish ; def ;
-worcestershire|caesar ; fish ; may ; vegan caesar|vegan worcestershire
-shrimp|prawn ; shellfish ; def ;
-lobster|crab|crawfish|crayfish|langoustine|scampi|krill ; shellfish ; def ; crab apple|crabapple
-shrimp paste|belacan|terasi|bagoong|xo sauce ; shellfish ; def ;
-mussel|clam|scallop|squid|calamari|octopus|cuttlefish|escargot|snail|abalone|whelk|cockle|periwinkle|geoduck ; mollusc ; def ;
-oyster ; mollusc ; def ; oyster mushroom
-mustard|dijon|colman ; mustard ; def ; mustard green
-celery|celeriac|celery salt ; celery ; def ;
-lupin|lupini|lupine ; lupin ; def ;
-groundnut|goober ; peanut ; def ; groundnut-free
-gado gado|gado-gado|gadogado ; peanut ; def ;
-peanut sauce|satay sauce|peanut oil|groundnut oil ; peanut ; def ;
-satay|sate ; peanut ; may ;
-pad thai|phad thai ; peanut ; may ;
-kung pao|gong bao|kung po ; peanut ; may ;
-massaman ; peanut ; may ;
-baklava|baklawa ; tree nut ; def ;
-marzipan ; almond ; def ;
-frangipane ; almond ; def ;
-amaretto|amaretti ; almond ; def ;
-gianduja|gianduia ; hazelnut ; def ;
-nutella|ferrero ; hazelnut ; def ;
-praline|pralines ; tree nut ; may ;
-nougat|turron|turrón ; tree nut ; may ;
-pesto ; tree nut ; may ;
-korma|pasanda ; tree nut ; may ;
-kulfi ; tree nut ; may ;
-romesco ; tree nut ; may ;
-"""
-TREE_NUT_TOKENS = entries("tree nut|almond|walnut|cashew|hazelnut|pistachio|pecan|pine nut|macadamia|brazil nut")
+# --- Fixed values: ingredient words, the allergens they imply, how surely, and phrases that do not count ---
+RULES = [
+    {"variants": ["tahini", "tahina", "tahin"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["za'atar", "zaatar", "za atar"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["halva", "halvah", "halwa"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["gomashio", "gomasio"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["benne"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["furikake"], "tokens": ["sesame"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["hummus", "houmous", "hommus"], "tokens": ["sesame"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["baba ganoush", "babaganoush", "baba ghanoush"], "tokens": ["sesame"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["paneer"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["ghee"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["labneh", "labne", "labane"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["alfredo"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["bechamel", "béchamel"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["au gratin", "gratin"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["queso", "crema"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": [
+            "mozzarella", "parmesan", "parmigiano", "ricotta", "mascarpone", "burrata", "cheddar", "gouda", "brie", "feta",
+            "halloumi", "provolone", "gorgonzola", "camembert",
+        ], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["custard", "creme brulee", "crème brûlée", "panna cotta", "gelato", "kulfi"], "tokens": ["milk"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["malai", "khoya", "raita", "lassi", "kheer"], "tokens": ["milk"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["cheese"], "tokens": ["milk"],
+     "tier": "def", "exclusions": ["vegan cheese", "nut cheese"]},
+    {"variants": ["yogurt", "yoghurt", "yoghourt"], "tokens": ["milk"],
+     "tier": "def", "exclusions": ["coconut yogurt", "soy yogurt", "almond yogurt", "oat yogurt"]},
+    {"variants": ["butter"], "tokens": ["milk"],
+     "tier": "def", "exclusions": [
+            "peanut butter", "almond butter", "cashew butter", "hazelnut butter", "sunflower butter", "seed butter",
+            "nut butter", "cocoa butter", "shea butter", "apple butter", "fruit butter", "body butter", "butter lettuce",
+            "butter bean",
+        ]},
+    {"variants": ["cream"], "tokens": ["milk"],
+     "tier": "def", "exclusions": [
+            "coconut cream", "cashew cream", "almond cream", "oat cream", "soy cream", "cream of tartar", "ice cream cone",
+        ]},
+    {"variants": ["buttermilk", "condensed milk", "evaporated milk", "whey", "casein", "milk"], "tokens": ["milk"],
+     "tier": "def", "exclusions": [
+            "coconut milk", "almond milk", "soy milk", "soya milk", "oat milk", "rice milk", "cashew milk", "hemp milk",
+            "pea milk", "macadamia milk", "flax milk", "hazelnut milk", "walnut milk", "peanut milk", "milk thistle",
+        ]},
+    {"variants": ["mayonnaise", "mayo", "aioli", "aïoli"], "tokens": ["egg"],
+     "tier": "def", "exclusions": ["vegan mayo", "vegan mayonnaise", "vegan aioli"]},
+    {"variants": ["hollandaise", "bearnaise", "béarnaise"], "tokens": ["egg"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["meringue", "pavlova", "zabaglione", "financier"], "tokens": ["egg"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["carbonara"], "tokens": ["egg"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["frittata", "omelet", "omelette", "quiche", "shakshuka", "tamagoyaki", "chawanmushi"], "tokens": ["egg"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["egg"], "tokens": ["egg"],
+     "tier": "def", "exclusions": ["egg plant", "eggfruit"]},
+    {"variants": ["brioche", "challah", "custard"], "tokens": ["egg"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["tofu", "bean curd"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["edamame"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["tempeh"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["miso"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["natto"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["doenjang", "gochujang"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["tamari"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["soy sauce", "soya sauce", "shoyu"], "tokens": ["soy", "wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["teriyaki", "hoisin", "ponzu"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["edamame", "soybean", "soya bean"], "tokens": ["soy"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["seitan"], "tokens": ["wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["panko", "breadcrumb", "bread crumb"], "tokens": ["wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["tempura", "katsu", "schnitzel", "milanese", "breaded"], "tokens": ["wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["udon", "ramen", "somen", "lo mein", "chow mein", "spaetzle"], "tokens": ["wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": [
+            "naan", "roti", "paratha", "chapati", "pita", "focaccia", "ciabatta", "couscous", "bulgur", "semolina",
+            "farro", "orzo",
+        ], "tokens": ["wheat", "gluten"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["barley", "rye", "malt", "spelt", "kamut", "farina"], "tokens": ["gluten"],
+     "tier": "def", "exclusions": ["malt vinegar"]},
+    {"variants": ["gnocchi", "pierogi", "wonton", "dumpling", "pretzel", "crouton"], "tokens": ["wheat", "gluten"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["anchovy", "anchovies"], "tokens": ["fish"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["fish sauce", "nuoc mam", "nam pla", "patis", "colatura"], "tokens": ["fish"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["bonito", "katsuobushi", "dashi"], "tokens": ["fish"],
+     "tier": "def", "exclusions": ["kombu dashi"]},
+    {"variants": ["surimi"], "tokens": ["fish"],
+     "tier": "def", "exclusions": []},
+    {"variants": [
+            "tuna", "salmon", "cod", "halibut", "tilapia", "mackerel", "sardine", "herring", "trout", "snapper",
+            "branzino", "sea bass", "mahi", "swordfish", "haddock", "pollock", "catfish", "barramundi",
+        ], "tokens": ["fish"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["caviar", "roe", "ikura", "tobiko", "masago", "taramasalata", "lox", "gravlax"], "tokens": ["fish"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["worcestershire", "caesar"], "tokens": ["fish"],
+     "tier": "may", "exclusions": ["vegan caesar", "vegan worcestershire"]},
+    {"variants": ["shrimp", "prawn"], "tokens": ["shellfish"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["lobster", "crab", "crawfish", "crayfish", "langoustine", "scampi", "krill"], "tokens": ["shellfish"],
+     "tier": "def", "exclusions": ["crab apple", "crabapple"]},
+    {"variants": ["shrimp paste", "belacan", "terasi", "bagoong", "xo sauce"], "tokens": ["shellfish"],
+     "tier": "def", "exclusions": []},
+    {"variants": [
+            "mussel", "clam", "scallop", "squid", "calamari", "octopus", "cuttlefish", "escargot", "snail", "abalone",
+            "whelk", "cockle", "periwinkle", "geoduck",
+        ], "tokens": ["mollusc"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["oyster"], "tokens": ["mollusc"],
+     "tier": "def", "exclusions": ["oyster mushroom"]},
+    {"variants": ["mustard", "dijon", "colman"], "tokens": ["mustard"],
+     "tier": "def", "exclusions": ["mustard green"]},
+    {"variants": ["celery", "celeriac", "celery salt"], "tokens": ["celery"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["lupin", "lupini", "lupine"], "tokens": ["lupin"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["groundnut", "goober"], "tokens": ["peanut"],
+     "tier": "def", "exclusions": ["groundnut-free"]},
+    {"variants": ["gado gado", "gado-gado", "gadogado"], "tokens": ["peanut"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["peanut sauce", "satay sauce", "peanut oil", "groundnut oil"], "tokens": ["peanut"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["satay", "sate"], "tokens": ["peanut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["pad thai", "phad thai"], "tokens": ["peanut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["kung pao", "gong bao", "kung po"], "tokens": ["peanut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["massaman"], "tokens": ["peanut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["baklava", "baklawa"], "tokens": ["tree nut"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["marzipan"], "tokens": ["almond"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["frangipane"], "tokens": ["almond"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["amaretto", "amaretti"], "tokens": ["almond"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["gianduja", "gianduia"], "tokens": ["hazelnut"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["nutella", "ferrero"], "tokens": ["hazelnut"],
+     "tier": "def", "exclusions": []},
+    {"variants": ["praline", "pralines"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["nougat", "turron", "turrón"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["pesto"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["korma", "pasanda"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["kulfi"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+    {"variants": ["romesco"], "tokens": ["tree nut"],
+     "tier": "may", "exclusions": []},
+]
+TREE_NUT_TOKENS = [
+    "tree nut", "almond", "walnut", "cashew", "hazelnut", "pistachio", "pecan", "pine nut", "macadamia", "brazil nut",
+]
 # --- Fixed values: free-from wording ; tokens it rules out -------------------
 FREE_FROM: list[tuple[list[str], list[str]]] = [
-    (entries("dairy free|dairy-free|non dairy|non-dairy"), ["milk"]),
-    (entries("gluten free|gluten-free"), ["wheat", "gluten"]),
-    (entries("wheat free|wheat-free"), ["wheat"]),
-    (entries("soy free|soy-free|soya free|soya-free"), ["soy"]),
-    (entries("sesame free|sesame-free"), ["sesame"]),
-    (entries("egg free|egg-free|eggless"), ["egg"]),
-    (entries("peanut free|peanut-free"), ["peanut"]),
-    (entries("tree nut free|tree-nut-free|treenut free"), TREE_NUT_TOKENS),
-    (entries("nut free|nut-free"), ["peanut", *TREE_NUT_TOKENS]),
-    (entries("shellfish free|shellfish-free"), ["shellfish", "mollusc"]),
-    (entries("fish free|fish-free"), ["fish"]),
-    (entries("vegan|plant based|plant-based"), ["milk", "egg", "fish", "shellfish", "mollusc"]),
+    (["dairy free", "dairy-free", "non dairy", "non-dairy"], ["milk"]),
+    (["gluten free", "gluten-free"], ["wheat", "gluten"]),
+    (["wheat free", "wheat-free"], ["wheat"]),
+    (["soy free", "soy-free", "soya free", "soya-free"], ["soy"]),
+    (["sesame free", "sesame-free"], ["sesame"]),
+    (["egg free", "egg-free", "eggless"], ["egg"]),
+    (["peanut free", "peanut-free"], ["peanut"]),
+    (["tree nut free", "tree-nut-free", "treenut free"], TREE_NUT_TOKENS),
+    (["nut free", "nut-free"], ["peanut", *TREE_NUT_TOKENS]),
+    (["shellfish free", "shellfish-free"], ["shellfish", "mollusc"]),
+    (["fish free", "fish-free"], ["fish"]),
+    (["vegan", "plant based", "plant-based"], ["milk", "egg", "fish", "shellfish", "mollusc"]),
 ]
 
 
 def ingredient_rules() -> list[dict]:
-    """The rule text as records: variants, tokens, tier, exclusions."""
-    rules = []
-    for line in _RULES_TEXT.strip().splitlines():
-        variants, tokens, tier, exclusions = (part.strip() for part in line.split(";"))
-        rules.append({"variants": entries(variants), "tokens": entries(tokens),
-                      "tier": tier, "exclusions": entries(exclusions) if exclusions else []})
-    return rules
+    """The rules as records: variants, tokens, tier, exclusions."""
+    return RULES

@@ -2,120 +2,52 @@
 
 from __future__ import annotations
 
-from dinesight.vocab import entries, grouped, pairs
-
 EARTH_RADIUS_M = 6_371_000
 
 # --- Fixed values: place types ------------------------------------------------
-FOOD_TYPES = entries("""
-restaurant|cafe|coffee_shop|bakery|bar|pub|bistro|diner|meal_takeaway|meal_delivery|fast_food|ice_cream
-food_court|tea_house|juice_shop|deli|steak_house|pizza
-""")
-NON_FOOD_TYPES = entries("""
-shopping_mall|department_store|hotel|lodging|movie_theater|museum|supermarket|grocery|tourist_attraction|gym
-convention_center|store|stadium|park|airport|hospital
-""")
-FOOD_AMENITIES = entries("restaurant|cafe|fast_food|food_court")
-GEOCODE_PLACE_TYPES = entries("city|town|village|municipality|hamlet|suburb")
-QUALITY_FIELDS = entries("name|address|website_url|phone_number|opening_hours|categories|source_last_updated")
+FOOD_TYPES = [
+    "restaurant", "cafe", "coffee_shop", "bakery", "bar", "pub", "bistro", "diner", "meal_takeaway", "meal_delivery",
+    "fast_food", "ice_cream", "food_court", "tea_house", "juice_shop", "deli", "steak_house", "pizza",
+]
+NON_FOOD_TYPES = [
+    "shopping_mall", "department_store", "hotel", "lodging", "movie_theater", "museum", "supermarket", "grocery",
+    "tourist_attraction", "gym", "convention_center", "store", "stadium", "park", "airport", "hospital",
+]
+FOOD_AMENITIES = ["restaurant", "cafe", "fast_food", "food_court"]
+GEOCODE_PLACE_TYPES = ["city", "town", "village", "municipality", "hamlet", "suburb"]
+QUALITY_FIELDS = ["name", "address", "website_url", "phone_number", "opening_hours", "categories", "source_last_updated"]
 
 # --- Fixed values: country code -> address spellings --------------------------
-COUNTRY_SPELLINGS = grouped("""
-US: usa, u.s.a, u.s.a., us, united states, united states of america
-CA: canada
-GB: united kingdom, uk, england, scotland, wales
-IE: ireland
-AU: australia
-NZ: new zealand
-IN: india
-PK: pakistan
-BD: bangladesh
-LK: sri lanka
-NP: nepal
-TH: thailand
-VN: vietnam
-ID: indonesia
-MY: malaysia
-CN: china
-TW: taiwan
-HK: hong kong
-JP: japan
-KR: south korea
-LB: lebanon
-SY: syria
-JO: jordan
-IL: israel
-TR: turkey, türkiye, turkiye
-EG: egypt
-IR: iran
-SA: saudi arabia
-IS: iceland
-AE: united arab emirates, uae
-IQ: iraq
-AF: afghanistan
-MX: mexico
-FR: france
-DE: germany
-IT: italy
-ES: spain
-NL: netherlands
-ET: ethiopia
-NG: nigeria
-GH: ghana
-BR: brazil
-SG: singapore
-PE: peru
-CL: chile
-AR: argentina
-CO: colombia
-VE: venezuela
-CU: cuba
-JM: jamaica
-MA: morocco
-DZ: algeria
-TN: tunisia
-LY: libya
-KE: kenya
-TZ: tanzania
-ZA: south africa
-RU: russia
-GE: georgia
-UA: ukraine
-DK: denmark
-SE: sweden
-NO: norway
-FI: finland
-PL: poland
-CZ: czech republic, czechia
-AT: austria
-CH: switzerland
-BE: belgium
-PT: portugal
-GR: greece
-PH: philippines
-MM: myanmar, burma
-KH: cambodia
-LA: laos
-UZ: uzbekistan
-MN: mongolia
-QA: qatar
-KW: kuwait
-BH: bahrain
-OM: oman
-AM: armenia
-""")
-COUNTRY_ALIASES = {name: code for code, names in COUNTRY_SPELLINGS.items() for name in names}
-US_STATE_CODES = entries("""
-AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI
-SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC
-""")
-US_STATE_NAMES = entries("""
-alabama|alaska|arizona|arkansas|california|colorado|connecticut|delaware|florida|georgia|hawaii|idaho|illinois|indiana
-iowa|kansas|kentucky|louisiana|maine|maryland|massachusetts|michigan|minnesota|mississippi|missouri|montana|nebraska
-nevada|new hampshire|new jersey|new mexico|new york|north carolina|north dakota|ohio|oklahoma|oregon|pennsylvania
-rhode island|south carolina|south dakota|tennessee|texas|utah|vermont|virginia|washington|west virginia|wisconsin
-wyoming|district of columbia
-""")
+COUNTRY_ALIASES = {
+    "usa": "US", "u.s.a": "US", "u.s.a.": "US", "us": "US", "united states": "US", "united states of america": "US",
+    "canada": "CA", "united kingdom": "GB", "uk": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "ireland": "IE",
+    "australia": "AU", "new zealand": "NZ", "india": "IN", "pakistan": "PK", "bangladesh": "BD", "sri lanka": "LK",
+    "nepal": "NP", "thailand": "TH", "vietnam": "VN", "indonesia": "ID", "malaysia": "MY", "china": "CN", "taiwan": "TW",
+    "hong kong": "HK", "japan": "JP", "south korea": "KR", "lebanon": "LB", "syria": "SY", "jordan": "JO", "israel": "IL",
+    "turkey": "TR", "türkiye": "TR", "turkiye": "TR", "egypt": "EG", "iran": "IR", "saudi arabia": "SA", "iceland": "IS",
+    "united arab emirates": "AE", "uae": "AE", "iraq": "IQ", "afghanistan": "AF", "mexico": "MX", "france": "FR",
+    "germany": "DE", "italy": "IT", "spain": "ES", "netherlands": "NL", "ethiopia": "ET", "nigeria": "NG", "ghana": "GH",
+    "brazil": "BR", "singapore": "SG", "peru": "PE", "chile": "CL", "argentina": "AR", "colombia": "CO", "venezuela": "VE",
+    "cuba": "CU", "jamaica": "JM", "morocco": "MA", "algeria": "DZ", "tunisia": "TN", "libya": "LY", "kenya": "KE",
+    "tanzania": "TZ", "south africa": "ZA", "russia": "RU", "georgia": "GE", "ukraine": "UA", "denmark": "DK",
+    "sweden": "SE", "norway": "NO", "finland": "FI", "poland": "PL", "czech republic": "CZ", "czechia": "CZ",
+    "austria": "AT", "switzerland": "CH", "belgium": "BE", "portugal": "PT", "greece": "GR", "philippines": "PH",
+    "myanmar": "MM", "burma": "MM", "cambodia": "KH", "laos": "LA", "uzbekistan": "UZ", "mongolia": "MN", "qatar": "QA",
+    "kuwait": "KW", "bahrain": "BH", "oman": "OM", "armenia": "AM",
+}
+US_STATE_CODES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD",
+    "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC",
+    "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
+US_STATE_NAMES = [
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia",
+    "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland",
+    "massachusetts", "michigan", "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire",
+    "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania",
+    "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia", "washington",
+    "west virginia", "wisconsin", "wyoming", "district of columbia",
+]
 STATE_COUNTRY_COLLISIONS = [n for n in US_STATE_NAMES if n in COUNTRY_ALIASES]
 
 # --- Fixed values: code, lat_min, lat_max, lon_min, lon_max, in priority order -
@@ -126,80 +58,58 @@ COUNTRY_BOXES = [
 ]
 
 # --- Fixed values: labelling culture -------------------------------------------
-MANDATE_REGIONS = entries("GB|IE|AU|NZ|FR|DE|IT|ES|NL|BE|SE|DK|FI|NO|PT|AT|PL|CZ|GR|CH")
+MANDATE_REGIONS = [
+    "GB", "IE", "AU", "NZ", "FR", "DE", "IT", "ES", "NL", "BE", "SE", "DK", "FI", "NO", "PT", "AT", "PL", "CZ", "GR", "CH",
+]
 HIGH_LABELING_REGIONS = ["US", "CA", *MANDATE_REGIONS, "JP", "SG", "KR", "HK"]
 HIGH_LABELING_TRUST, LOW_LABELING_TRUST = 0.70, 0.35
 
 # --- Fixed values: home-country spellings used for source provenance -----------
-HOME_SPELLINGS = grouped("""
-US: united states, usa, us, u.s.a., u.s.
-GB: united kingdom, uk, u.k., england, scotland, wales, great britain, britain
-CA: canada
-AU: australia
-NZ: new zealand
-IE: ireland
-DE: germany, deutschland
-FR: france
-ES: spain
-IT: italy
-NL: netherlands
-BE: belgium
-AT: austria
-CH: switzerland
-SE: sweden
-NO: norway
-DK: denmark
-FI: finland
-PT: portugal
-PL: poland
-MT: malta
-SG: singapore
-PH: philippines
-JP: japan
-TW: taiwan
-IN: india
-MX: mexico
-BR: brazil
-ZA: south africa
-KR: south korea
-HK: hong kong
-CN: china
-AE: united arab emirates, uae
-SA: saudi arabia
-""")
-HOME_NAMES = {name: code for code, names in HOME_SPELLINGS.items() for name in names}
-CCTLD = {("uk" if code == "GB" else code.lower()): code for code in HOME_SPELLINGS}
-_NAMED = {code: names[0].title() for code, names in HOME_SPELLINGS.items()}
+HOME_NAMES = {
+    "united states": "US", "usa": "US", "us": "US", "u.s.a.": "US", "u.s.": "US", "united kingdom": "GB", "uk": "GB",
+    "u.k.": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "great britain": "GB", "britain": "GB", "canada": "CA",
+    "australia": "AU", "new zealand": "NZ", "ireland": "IE", "germany": "DE", "deutschland": "DE", "france": "FR",
+    "spain": "ES", "italy": "IT", "netherlands": "NL", "belgium": "BE", "austria": "AT", "switzerland": "CH",
+    "sweden": "SE", "norway": "NO", "denmark": "DK", "finland": "FI", "portugal": "PT", "poland": "PL", "malta": "MT",
+    "singapore": "SG", "philippines": "PH", "japan": "JP", "taiwan": "TW", "india": "IN", "mexico": "MX", "brazil": "BR",
+    "south africa": "ZA", "south korea": "KR", "hong kong": "HK", "china": "CN", "united arab emirates": "AE", "uae": "AE",
+    "saudi arabia": "SA",
+}
+CCTLD = {("uk" if code == "GB" else code.lower()): code for code in HOME_NAMES.values()}
+_NAMED = {code: next(name for name, of in HOME_NAMES.items() if of == code).title() for code in dict.fromkeys(HOME_NAMES.values())}
 REGION_TOKEN = _NAMED | {"US": "USA", "GB": "UK", "AE": "UAE"}
 COUNTRY_LABEL = _NAMED | {"US": "the United States", "GB": "the United Kingdom", "NL": "the Netherlands",
                           "PH": "the Philippines", "AE": "the UAE"}
-STRONG_NAMES = grouped("""
-GB: united kingdom, great britain
-NZ: new zealand, aotearoa
-ZA: south africa
-SA: saudi arabia
-AE: united arab emirates
-KR: south korea
-HK: hong kong
-""")
+STRONG_NAMES = {
+    "GB": ["united kingdom", "great britain"],
+    "NZ": ["new zealand", "aotearoa"],
+    "ZA": ["south africa"],
+    "SA": ["saudi arabia"],
+    "AE": ["united arab emirates"],
+    "KR": ["south korea"],
+    "HK": ["hong kong"],
+}
 STRUCTURAL_TELLS = {
     "NZ": r"\+64\b|nz\$|\bnzd\b", "GB": r"\+44\b|£|\bgbp\b", "ZA": r"\+27\b|\bzar\b",
     "SA": r"\+966\b|\bsar\b|﷼", "AE": r"\+971\b|\baed\b", "KR": r"\+82\b|₩|\bkrw\b", "HK": r"\+852\b|hk\$|\bhkd\b",
 }
-ADDRESS_COUNTRIES = entries("""
-united states of america|united states|usa|united kingdom|great britain|england|scotland|wales|canada|australia
-new zealand|ireland|germany|france|spain|italy|netherlands|belgium|austria|switzerland|sweden|norway|denmark|finland
-portugal|poland|malta|singapore|philippines|japan|taiwan|india|mexico|brazil|south africa|south korea|hong kong|china
-united arab emirates|saudi arabia
-""")
-NON_CITY_TOKENS = entries("""
-menu|menus|pdf|pdfs|brunch|dinner|lunch|breakfast|drinks|drink|dessert|desserts|kids|kid|catering|wine|wines|cocktail
-cocktails|seasonal|weekend|new|updated|current|food|allergen|allergens|nutrition|final|draft|specials|special|main|mains
-full|sample|bar|happy|hour|holiday|spring|summer|fall|autumn|winter|takeout|delivery|order|ordering|togo|dinein|print
-online|download|view|our|home|index|page|files|file|uploads|upload|assets|asset|wp|content|sites|default|documents|docs
-img|images|image|media|static|cdn|s|downloads
-""")
-STREET_SUFFIXES = entries("""
-ave|avenue|blvd|boulevard|cir|circle|ct|court|dr|drive|hwy|highway|ln|lane|pkwy|parkway|pl|place|rd|road|st|street
-ter|terrace|way
-""")
+ADDRESS_COUNTRIES = [
+    "united states of america", "united states", "usa", "united kingdom", "great britain", "england", "scotland", "wales",
+    "canada", "australia", "new zealand", "ireland", "germany", "france", "spain", "italy", "netherlands", "belgium",
+    "austria", "switzerland", "sweden", "norway", "denmark", "finland", "portugal", "poland", "malta", "singapore",
+    "philippines", "japan", "taiwan", "india", "mexico", "brazil", "south africa", "south korea", "hong kong", "china",
+    "united arab emirates", "saudi arabia",
+]
+NON_CITY_TOKENS = [
+    "menu", "menus", "pdf", "pdfs", "brunch", "dinner", "lunch", "breakfast", "drinks", "drink", "dessert", "desserts",
+    "kids", "kid", "catering", "wine", "wines", "cocktail", "cocktails", "seasonal", "weekend", "new", "updated",
+    "current", "food", "allergen", "allergens", "nutrition", "final", "draft", "specials", "special", "main", "mains",
+    "full", "sample", "bar", "happy", "hour", "holiday", "spring", "summer", "fall", "autumn", "winter", "takeout",
+    "delivery", "order", "ordering", "togo", "dinein", "print", "online", "download", "view", "our", "home", "index",
+    "page", "files", "file", "uploads", "upload", "assets", "asset", "wp", "content", "sites", "default", "documents",
+    "docs", "img", "images", "image", "media", "static", "cdn", "s", "downloads",
+]
+STREET_SUFFIXES = [
+    "ave", "avenue", "blvd", "boulevard", "cir", "circle", "ct", "court", "dr", "drive", "hwy", "highway", "ln", "lane",
+    "pkwy", "parkway", "pl", "place", "rd", "road", "st", "street", "ter", "terrace", "way",
+]

@@ -89,9 +89,3 @@ def test_keep_first_prunes_before_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = common.keep_first(df, ["k"], [F.asc("id")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
-
-
-def test_small_side_checks_size(spark):
-    big, small = spark.range(100), spark.range(5)
-    assert "ResolvedHint" in common.small_side(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in common.small_side(big, 10)._jdf.queryExecution().analyzed().toString()
