@@ -98,8 +98,12 @@ def visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.visible_text(F.col("html"))).alias("digest"))
 
 
+# The references that the given pages hold.
+_REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def _decoded(expr: str) -> str:
-    for name, char in x._ENTITIES.items():
+    for name, char in _REFERENCES.items():
         expr = f"replace({expr}, {sql_list([name])[1:-1]}, {sql_list([char])[1:-1]})"
     return expr
 
