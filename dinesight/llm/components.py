@@ -19,6 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
+    if pairs.isEmpty():
+        return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

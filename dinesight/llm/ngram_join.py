@@ -36,7 +36,7 @@ from dinesight.llm.kernel import Chunk, chunks, mix, shingles, texts, words
 SIZE = 3
 RARITY_BUCKETS = 1 << 16
 HISTOGRAM = 32
-ORDERS = 4
+BROADCAST_ROWS = 250_000
 
 
 def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +153,35 @@ def _linked(table: pa.Table, first: bool, last: bool) -> tuple[list[pa.RecordBat
     return part.combine_chunks().to_batches(), table.slice(max(0, len(tok) - 2))
 
 
-def chained(postings: DataFrame, seed: int) -> DataFrame:
-    """Postings of shared shingles, each with the next one of its list in a shuffled order of like sizes."""
-    ordered = postings.withColumn("_band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(0.9))).cast("int")) \
-        .withColumn("_order", F.xxhash64("node", F.pmod("tok", F.lit(ORDERS)), F.lit(seed)))
-    return (ordered.repartitionByRange("tok", "_band", "_order").sortWithinPartitions("tok", "_band", "_order")
-            .select("tok", "node", "pos", "n")
-            .mapInArrow(_neighbours, "tok long, node long, pos int, n long, next_node long, next_pos int, next_n long"))
+def _ordered(postings: DataFrame, seed: int) -> DataFrame:
+    """Postings in lists: those that may pass the positional filter first, by like size, in a shuffled order."""
+    late = F.col("pos") > F.col("n") - F.ceil(18 * F.col("n") / F.lit(19.0))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(0.9))).cast("int")
+    keys = ["tok", "_late", "_band", "_order"]
+    return (postings.withColumns({"_late": late, "_band": band, "_order": F.xxhash64("node", F.lit(seed))})
+            .repartitionByRange(*keys).sortWithinPartitions(*keys).select("tok", "node", "pos", "n"))
+
+
+def chained(postings: DataFrame) -> DataFrame:
+    """Postings of shared shingles, each with the next one of its list."""
+    return _ordered(postings, 0).mapInArrow(_neighbours, "tok long, node long, pos int, n long, next_node long, next_pos int, next_n long")
+
+
+def paired(postings: DataFrame, seed: int, reach: int) -> DataFrame:
+    """Each posting with the ``reach`` next ones of its list, in another order."""
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("tok", "node", "pos", "n")]
+            rows = [np.concatenate([h, v]) for h, v in zip(held, new, strict=True)]
+            begin, size = len(held[0]), len(rows[0])
+            for k in range(1, reach + 1):
+                later = np.arange(max(begin, k), size)
+                later = later[rows[0][later] == rows[0][later - k]]
+                yield pa.RecordBatch.from_pydict({f"{x}{c}": rows[i][at] for x, at in (("", later - k), ("next_", later)) for i, c in ((1, "node"), (2, "pos"), (3, "n"))})
+            held = [v[-reach:] for v in rows]
+
+    return _ordered(postings, seed).mapInArrow(pair, "node long, pos int, n long, next_node long, next_pos int, next_n long")
 
 
 def _pairs(chain: DataFrame) -> DataFrame:
@@ -168,45 +190,74 @@ def _pairs(chain: DataFrame) -> DataFrame:
             .select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct())
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in chunks(texts(batch.column("text")), lower=True):
-            doc, h = shingle_sets(chunk)
-            edges = np.searchsorted(doc, np.arange(len(chunk) + 1))
-            values = [h[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node")[chunk.first:chunk.first + len(chunk)], "members": pa.array(values, pa.binary())})
+        values = texts(batch.column("text"))
+        yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "size": pa.array([len(v) for v in values], pa.int64()),
+                                          "packed": pa.array([pa.compress(v, "zstd", asbytes=True) for v in values], pa.binary())})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare the exact sets, made anew from the texts: a packed text is a fraction of its set."""
     for batch in batches:
+        packed: dict[int, tuple[bytes, int]] = {}
+        for node, text, size in (("a", "packed_a", "size_a"), ("b", "packed_b", "size_b")):
+            packed.update(zip(batch.column(node).to_pylist(), zip(batch.column(text).to_pylist(), batch.column(size).to_pylist(), strict=True), strict=True))
+        sets: dict[int, np.ndarray] = {}
+        names = list(packed)
+        for chunk in chunks([pa.decompress(t, n, "zstd", asbytes=True) for t, n in packed.values()], lower=True):
+            doc, h = shingle_sets(chunk)
+            edges = np.searchsorted(doc, np.arange(len(chunk) + 1))
+            for k in range(len(chunk)):
+                sets[names[chunk.first + k]] = h[edges[k]:edges[k + 1]]
         keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([u, v])
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            both = np.concatenate([sets[x], sets[y]])
+            size = len(both)
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= 90 * (len(u) + len(v) - shared))
+            keep.append(100 * shared >= 90 * (size - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose exact sets link; the suffix filter spares most others the sets."""
+    """The pairs whose exact sets link; the suffix filter spares most others the texts."""
     facts = nodes.select("node", "n", "uid", "histogram")
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(facts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "uid", "histogram")]), side)
     shared = F.aggregate(F.zip_with("histogram_a", "histogram_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     left = stored(sides.where(shared >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "uid_a", "uid_b"))
-    wanted = left.select(F.col("a").alias("node"), F.col("uid_a").alias("uid")).unionByName(left.select(F.col("b").alias("node"), F.col("uid_b").alias("uid"))).distinct()
-    sets = stored(docs.select("uid", "text").join(wanted, "uid").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, members binary"))
-    joined = (left.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-              .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"))
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+    if left.isEmpty():
+        return left.select("a", "b")
+    wanted = stored(left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("uid_a").alias("uid")), F.struct(F.col("b").alias("node"), F.col("uid_b").alias("uid")))).alias("w"))
+                    .select("w.*").distinct())
+    # Two numbers a row: sent to every task while they are few, otherwise the texts are dealt out by key.
+    few = wanted.count() <= BROADCAST_ROWS
+    found = docs.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid").select("node", "text")
+    packed = stored(found.mapInArrow(_pack, "node long, size long, packed binary").dropDuplicates(["node"]))
+    joined = left.select("a", "b")
+    for side in ("a", "b"):
+        joined = joined.join(packed.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("packed").alias(f"packed_{side}")), side)
+    return stored(joined.mapInArrow(_verify, "a long, b long"))
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, label)`` after more links: the components of labels, put in for the labels."""
+    if found is None:
+        return components(links)
+    if links.isEmpty():
+        return found
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(found.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    merged = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").withColumn("label", F.col("node"))
+    return stored(found.unionByName(new).join(merged, "label", "left").select("node", F.coalesce("_new", "label").alias("label")))
 
 
-def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(postings: DataFrame, found: DataFrame) -> DataFrame:
     """Postings of the lists that still hold several components, with the component."""
-    found = components(links).select("node", "label")
     marked = postings.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("tok").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("tok")
     return stored(marked.join(mixed, "tok").select("tok", "node", "pos", "n", "label"))
@@ -223,25 +274,25 @@ def jaccard_classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
     nodes = stored(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("histogram").alias("histogram")))
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "tok"))
-    chain = stored(chained(postings, 0))
+    chain = stored(chained(postings))
     postings = chain.select("tok", "node", "pos", "n")
     tested = stored(_pairs(chain))
-    links = verified(tested, nodes, docs)
+    found = _joined(None, verified(tested, nodes, docs))
     for seed in range(1, rounds):
-        left = _labelled(postings, links)
+        left = _labelled(postings, found)
         crossing = left.select("node", "label").distinct()
-        new = _pairs(chained(left.select("tok", "node", "pos", "n"), seed))
+        new = _pairs(paired(left.select("tok", "node", "pos", "n"), seed, 4 * seed))
         for side in ("a", "b"):
             new = new.join(crossing.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side)
         new = stored(new.where("label_a <> label_b").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        links, tested = links.unionByName(verified(new, nodes, docs)), tested.unionByName(new)
-    left = _labelled(postings, links)
+        found, tested = _joined(found, verified(new, nodes, docs)), tested.unionByName(new)
+    left = _labelled(postings, found)
     x, y = left.alias("x"), left.alias("y")
     may = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     rest = (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") < F.col("y.label")) & may)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(verified(rest, nodes, docs)))
+    found = _joined(found, verified(rest, nodes, docs))
     named = nodes.select("node", "smallest").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_node = stored(named.join(smallest, "label").select("node", F.col("label").alias("class"), "component_id"))
