@@ -138,6 +138,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[Rule, float]], f
         found.update(dict.fromkeys(rules))
         logit += predicted
     rules = list(found)
+    if not rules:
+        return [], bias
     active = np.column_stack([r.holds(x) for r in rules]).astype(float)
     center, scale = active.mean(0), np.maximum(active.std(0), 0.05)
     z = (active - center) / scale

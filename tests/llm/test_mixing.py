@@ -22,7 +22,7 @@ def water_fill(sizes):
 
 def corpus():
     rows = [(k, "word " * (k % 17), ["a", "b", "c", "Z", "é", None][k % 6] if k % 5 else "a") for k in range(900)]
-    return [*rows, (900, None, "b"), (901, "", "empty"), (902, " \t\n\x0b ", "empty"), (3, "one two", "a"), (3, "one two", "a")]
+    return [*rows, (900, None, "b"), (901, "", "empty"), (902, " \t\n\x0b ", "empty"), (903, "one two", "a"), (903, "one two", "a")]
 
 
 def test_targets_and_taken(table):

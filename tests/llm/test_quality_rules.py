@@ -20,8 +20,9 @@ def brute(text):
 
 def corpus():
     random.seed(3)
-    clean = [" ".join(random.choice(["tree", "river", "Haus", "été", "walks", "slow.", "then,"]) + str(random.randint(0, 99)) for _ in range(90)) for _ in range(60)]
-    junk = [" ".join(random.choice(["tree###", "river$$$", "%%%"]) + str(random.randint(0, 99)) + "***" for _ in range(90)) for _ in range(12)]
+    words = [a + b for a in ("tree", "river", "haus", "été", "walk", "slow") for b in ("", "s", "en", "ly", "er", "ing", "ed", "heit", "ment", ".")]
+    clean = [" ".join(random.choice(words) for _ in range(90)) for _ in range(500)]
+    junk = [" ".join(random.choice(words) + random.choice(["###", "$$$", "%%%", "***"]) for _ in range(90)) for _ in range(90)]
     odd = [None, "", " ", "\n\n", "a\na\n \na b\na", "é " * 60, "x", "a b c " * 30, "same line\n" * 40, "w" * 3_000_000, " wide spaces are no white space\x00 " * 9]
     return clean + junk + odd, len(clean), len(junk)
 
