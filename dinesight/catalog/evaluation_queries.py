@@ -130,13 +130,16 @@ def span_stats(spark, sf_dir):
 
 
 @query("stage_durations", "WI-16",
-       "SELECT user_id AS run_id, day AS stage, CASE WHEN d >= s THEN 'done' ELSE 'failed' END AS status, CASE WHEN d >= s THEN round((epoch_us(d) - epoch_us(s)) / 1e6, 3) END AS seconds FROM (SELECT user_id, CAST(ts AS DATE) AS day, "
-       "min(ts) FILTER (event_type = 'signup') AS s, max(ts) FILTER (event_type = 'purchase') AS d FROM events GROUP BY ALL) WHERE s IS NOT NULL")
+       "WITH e AS (SELECT user_id AS run_id, CAST(ts AS DATE) AS stage, event_type = 'purchase' AS d, ts FROM events WHERE event_type IN ('signup', 'purchase')), "
+       "b AS (SELECT *, max(CASE WHEN NOT d THEN ts END) OVER (PARTITION BY run_id, stage ORDER BY ts, d RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e), "
+       "c AS (SELECT run_id, stage, s, min(ts) AS t FROM b WHERE d AND s IS NOT NULL GROUP BY ALL) "
+       "SELECT run_id, stage, epoch_us(s) AS started_us, CASE WHEN t IS NULL THEN 'failed' ELSE 'done' END AS status, round((epoch_us(t) - epoch_us(s)) / 1e6, 3) AS seconds "
+       "FROM (SELECT DISTINCT run_id, stage, ts AS s FROM e WHERE NOT d) LEFT JOIN c USING (run_id, stage, s)")
 def stage_durations(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     kind = F.when(F.col("event_type") == "signup", "stage_start").when(F.col("event_type") == "purchase", "stage_done")
     events = rows.select(F.col("user_id").alias("run_id"), F.to_date("ts").alias("stage"), kind.alias("kind"), "ts").where("kind IS NOT NULL")
-    return v.stage_durations(events).select("run_id", "stage", "status", F.round("seconds", 3).alias("seconds"))
+    return v.stage_durations(events).select("run_id", "stage", F.unix_micros("started_at").alias("started_us"), "status", F.round("seconds", 3).alias("seconds"))
 
 
 @query("drift", "SE-4",

@@ -195,12 +195,13 @@ def evidence_flags(spark, sf_dir):
         *FLAG_COLUMNS.replace(" ", "").split(","), F.round("top_risk", 4).alias("top_risk"), F.round("trust", 4).alias("trust"))
 
 
-_PER_DISH = f"SELECT restaurant_id, trim(item_name) AS name, max(prior_risk) AS prior, max(base_risk) AS base, bool_or({_NUTS_HIT} AND chart) AS ch, bool_or({_NUTS_HIT}) AS hit, bool_or(prior_basis = 'suspected_nuts') AS sus FROM {_NUT_ITEMS} GROUP BY ALL"
+_PER_DISH = f"SELECT restaurant_id, trim(item_name) AS name, max(prior_risk) AS prior, max(base_risk) AS base, bool_or({_NUTS_HIT} AND chart) AS ch, bool_or({_NUTS_HIT}) AS hit, bool_or(prior_basis = 'suspected_nuts') AS sus, min(arrival) AS arrival FROM {_NUT_ITEMS} GROUP BY ALL"
 
 
 @query("riskiest_items", "WI-15", with_tables(
-    "SELECT restaurant_id, name, CAST(position AS INTEGER) AS position, CAST(risk AS DOUBLE) AS risk FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY risk DESC, name) AS position FROM (SELECT *, "
-    f"CASE WHEN charted THEN 0.95 ELSE round(prior, 3) END AS risk FROM (SELECT *, bool_or(ch) OVER (PARTITION BY restaurant_id) AS charted FROM ({_PER_DISH})) WHERE CASE WHEN charted THEN ch ELSE hit OR sus OR prior >= greatest(0.5, base + 0.1) END)) WHERE position <= 8",
+    "SELECT restaurant_id, name, CAST(row_number() OVER (PARTITION BY restaurant_id ORDER BY CASE WHEN charted THEN pc ELSE pp END) AS INTEGER) AS position, CAST(CASE WHEN charted THEN 0.95 ELSE round(prior, 3) END AS DOUBLE) AS risk FROM (SELECT *, "
+    "bool_or(ch) OVER (PARTITION BY restaurant_id) AS charted, row_number() OVER (PARTITION BY restaurant_id, ch ORDER BY arrival, name) AS pc, row_number() OVER (PARTITION BY restaurant_id ORDER BY prior DESC, arrival, name) AS pp "
+    f"FROM ({_PER_DISH})) WHERE CASE WHEN charted THEN ch AND pc <= 8 ELSE pp <= 8 AND (hit OR sus OR prior >= greatest(0.5, base + 0.1)) END",
     **{k: v for k, v in COMMON.items() if k not in ("pairs", "reviews")}))
 def riskiest_items(spark, sf_dir):
     return risk.riskiest_items(_all_class_evidence(spark, sf_dir)).select("restaurant_id", "name", "position", "risk")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dinesight.functions.text import looks_noise, norm_ws, price_ok
-from dinesight.operators.common import global_rank_bounds, keep_first
+from dinesight.operators.common import carry_forward, global_rank_bounds, keep_first
 
 
 def safety_eval(assessed: DataFrame) -> DataFrame:
@@ -146,17 +146,20 @@ def span_stats(spans: DataFrame) -> DataFrame:
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
-    """Starts paired with their completion per run and stage; open ones are failed.
+    """Every start with its own completion per run and stage; starts without one are failed.
 
-    ``events`` holds run_id, stage, kind ('stage_start'/'stage_done'), ts. The
-    first start and first later completion are combined map-side.
+    ``events`` holds run_id, stage, kind ('stage_start'/'stage_done'), ts. A
+    completion belongs to the latest start at or before it, and a start ends
+    with its first completion. The look-up works in time slices.
     """
-    started, done = F.col("kind") == "stage_start", F.col("kind") == "stage_done"
-    per = events.groupBy("run_id", "stage").agg(F.min(F.when(started, F.col("ts"))).alias("started_at"), F.max(F.when(done, F.col("ts"))).alias("done_at"))
+    keys = ["run_id", "stage"]
+    marked = events.select(*keys, "kind", "ts", (F.col("kind") == "stage_done").cast("int").alias("_after"))
+    begun = carry_forward(marked, keys, "ts", ["ts", "_after"], F.when(F.col("kind") == "stage_start", F.col("ts")), "_begun")
+    done = begun.where((F.col("kind") == "stage_done") & F.col("_begun").isNotNull()).groupBy(*keys, F.col("_begun").alias("started_at")).agg(F.min("ts").alias("done_at"))
+    starts = events.where(F.col("kind") == "stage_start").select(*keys, F.col("ts").alias("started_at")).distinct()
     seconds = (F.unix_micros("done_at") - F.unix_micros("started_at")) / 1e6
-    finished = F.coalesce(F.col("done_at") >= F.col("started_at"), F.lit(False))
-    return per.where("started_at IS NOT NULL").select("run_id", "stage", "started_at", F.when(finished, seconds).alias("seconds"),
-                                                      F.when(finished, "done").otherwise("failed").alias("status"))
+    return starts.join(done, [*keys, "started_at"], "left").select(*keys, "started_at", seconds.alias("seconds"),
+                                                                   F.when(F.col("done_at").isNotNull(), "done").otherwise("failed").alias("status"))
 
 
 def drift(base: DataFrame, current: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contained_rows, contains_any, let, lookup, py_round, text_array
@@ -150,7 +150,8 @@ def distinct_dishes(items: DataFrame) -> DataFrame:
     one dish) never travel or get analysed twice. Rows leave this step spread by
     their whole content, not by restaurant.
     """
-    return items.groupBy(*_EVIDENCE_COLUMNS).agg(F.count("*").alias("n_rows"))
+    arrival = F.min("arrival") if "arrival" in items.columns else F.lit(None).cast("string")
+    return items.groupBy(*_EVIDENCE_COLUMNS).agg(F.count("*").alias("n_rows"), arrival.alias("arrival"))
 
 
 def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> DataFrame:
@@ -171,7 +172,7 @@ def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> Da
         named = named.withColumn("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)"))
     text = F.col("_text")
     return named.select(
-        "restaurant_id", "n_rows", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), text.alias("text"),
+        "restaurant_id", "n_rows", "arrival", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), text.alias("text"),
         F.lower(blank_to_empty(F.col("extraction_method"))).alias("method"), F.col("menu_source_url").alias("url"),
         contains_any(text, av.NUT_FREE_CLAIMS).alias("claim"), dish_hits(text).alias("dishes"), suspected_hits(text).alias("suspects"),
         "kb_hits", term_facts(F.col("allergen_terms")).alias("terms"), term_facts(F.col("cross_contact_terms")).alias("cross_terms"),
@@ -233,7 +234,7 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
         F.exists("columns", lambda t: F.coalesce(canonical_allergen(t) == allergen, F.lit(False))))
     chart = F.col("is_chart")
     flags = per_class.select(
-        "restaurant_id", F.col("c.class_key").alias("class_key"), "name", F.col("c.base_risk").alias("base_risk"),
+        "restaurant_id", F.col("c.class_key").alias("class_key"), "name", "arrival", F.col("c.base_risk").alias("base_risk"),
         F.when(named & (F.col("method") != "community_mention"), F.col("n_rows")).otherwise(0).alias("parsed"), (chart & hit & named).alias("chart_hit"), (~chart & hit & named).alias("text_hit"),
         (cross & named).alias("cross_hit"), F.when(is_nut, F.when(named, nut_prior)).otherwise(boosted(F.col("_kb"))).alias("prior_risk"),
         (suspected & named).alias("suspected"), chart.alias("chart"), (chart & covers).alias("covers"), F.when(chart, F.col("trust")).alias("trust"),
@@ -241,7 +242,7 @@ def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as
     ors = ["chart_hit", "text_hit", "cross_hit", "suspected", "chart", "covers", "other_nuts"]
     return flags.groupBy("restaurant_id", "class_key", "name").agg(
         F.sum("parsed").alias("parsed"), F.max("prior_risk").alias("prior_risk"), F.max("base_risk").alias("base_risk"),
-        F.min("trust").alias("trust"), *[F.bool_or(o).alias(o) for o in ors]).withColumn(
+        F.min("trust").alias("trust"), F.min("arrival").alias("arrival"), *[F.bool_or(o).alias(o) for o in ors]).withColumn(
         "risky", F.col("chart_hit") | F.col("text_hit") | F.coalesce(
             F.col("prior_risk") >= F.greatest(F.lit(0.5), F.col("base_risk") + 0.1), F.lit(False)))
 
@@ -256,14 +257,17 @@ def evidence_flags(evidence: DataFrame) -> DataFrame:
 
 
 def riskiest_items(evidence: DataFrame, limit: int = 8) -> DataFrame:
-    """Chart-confirmed dishes of a class, else its named and suspected ones."""
-    charted = evidence.groupBy("restaurant_id", "class_key").agg(F.bool_or("chart_hit").alias("_charted"))
-    joined = evidence.join(charted, ["restaurant_id", "class_key"])
-    shown = joined.where(F.when(F.col("_charted"), F.col("chart_hit")).otherwise(F.col("risky") | F.col("suspected")) & (F.length("name") > 0))
+    """The first chart-confirmed dishes of a class as they came; without any, those of the riskiest ``limit`` that are named or suspected."""
+    kinds = F.array_compact(F.array(F.when(F.col("chart_hit"), "chart"), F.when(F.col("prior_risk").isNotNull(), "prior")))
+    rows = evidence.where(F.length("name") > 0).withColumn("_kind", F.explode(kinds))
+    keys = ["restaurant_id", "class_key"]
+    top = keep_first(rows, [*keys, "_kind"], [F.when(F.col("_kind") == "prior", -F.col("prior_risk")).otherwise(0.0), F.asc("arrival"), F.asc("name")], limit, rank="_rank")
+    # At most two times ``limit`` rows a class are left.
+    charted = F.bool_or(F.col("_kind") == "chart").over(Window.partitionBy(*keys))
+    shown = top.withColumn("_charted", charted).where(F.when(F.col("_charted"), F.col("_kind") == "chart").otherwise(F.col("risky") | F.col("suspected")))
     risk = F.when(F.col("_charted"), 0.95).otherwise(F.round("prior_risk", 3))
-    top = keep_first(shown.withColumn("risk", risk), ["restaurant_id", "class_key"], [F.desc_nulls_last("risk"), F.asc("name")], limit, rank="position")
-    return top.select("restaurant_id", "class_key", "position", "name", "risk",
-                      (~F.col("_charted") & F.col("suspected") & ~F.col("risky")).alias("is_suspected"))
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank"))
+    return shown.select(*keys, position.alias("position"), "name", risk.alias("risk"), (~F.col("_charted") & F.col("suspected") & ~F.col("risky")).alias("is_suspected"))
 
 
 # --- Community ---------------------------------------------------------------------------
