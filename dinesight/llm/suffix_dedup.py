@@ -192,24 +192,29 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(length: int, gram: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Of a group of fragments: the ranges that repeat (hash null), or, of hot ones, every window with its hash."""
     def find(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        names = ("key", "frag", "s", "e", "hash", "copies")
+        out: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in names}
         cold, hot = group[~group["hot"]], group[group["hot"]]
         if len(cold):
-            starts = repeated_windows(*(cold[c].tolist() for c in ("bytes", "anchor", "key", "copies")), length, gram)
-            for key, frag, at in zip(cold["key"], cold["frag"], starts, strict=True):
-                s, e = merged(at, at + length)
-                out.append(pd.DataFrame({"key": key, "frag": frag, "s": s, "e": e}))
+            found = [merged(at, at + length) for at in repeated_windows(*(cold[c].tolist() for c in ("bytes", "anchor", "key", "copies")), length, gram)]
+            counts = [len(s) for s, _ in found]
+            for name, values in (("key", np.repeat(cold["key"].to_numpy(), counts)), ("frag", np.repeat(cold["frag"].to_numpy(), counts)),
+                                 ("s", np.concatenate([s for s, _ in found])), ("e", np.concatenate([e for _, e in found]))):
+                out[name].append(values)
+        plain = sum(map(len, out["s"]))
         for chunk in chunks(hot["bytes"].tolist()):
             rows = hot.iloc[chunk.first:chunk.first + len(chunk)]
             h = Hashes(chunk.data).windows(length)
             counts = chunk.ends - chunk.starts - length + 1
             row = np.repeat(np.arange(len(chunk)), counts)
             at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append(pd.DataFrame({"key": rows["key"].to_numpy()[row], "frag": rows["frag"].to_numpy()[row], "s": at, "e": at + length,
-                                     "hash": h[chunk.starts[row] + at].view(np.int64), "copies": rows["copies"].to_numpy()[row]}))
-        # Typed one by one: a column that is missing from some would turn all hashes into floats.
-        columns = {"key": "int64", "frag": "int64", "s": "int64", "e": "int64", "hash": "Int64", "copies": "Int64"}
-        return pd.concat([part.reindex(columns=list(columns)).astype(columns) for part in [pd.DataFrame(), *out]])
+            for name, values in (("key", rows["key"].to_numpy()[row]), ("frag", rows["frag"].to_numpy()[row]), ("s", at), ("e", at + length),
+                                 ("hash", h[chunk.starts[row] + at].view(np.int64)), ("copies", rows["copies"].to_numpy()[row])):
+                out[name].append(values)
+        columns = {n: np.concatenate(out[n]) for n in names}
+        for name in ("hash", "copies"):  # null for ranges
+            columns[name] = pd.arrays.IntegerArray(np.concatenate([np.zeros(plain, np.int64), columns[name]]), np.arange(plain + len(columns[name])) < plain)
+        return pd.DataFrame(columns)
     return find
 
 
