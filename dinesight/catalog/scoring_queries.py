@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dinesight.catalog import query
 from dinesight.catalog.place_queries import CUISINES
 from dinesight.catalog.source_queries import HOST
-from dinesight.catalog.tables import DISHES_SQL, PLACES_SQL, dishes, pick, pick_sql, sql_list, table, with_tables
+from dinesight.catalog.tables import DISHES_SQL, PLACES_SQL, dishes, pick, pick_sql, places, sql_list, table, with_tables
 from dinesight.catalog.tagging_queries import (
     FACTS_SQL, GENERIC_KB_SQL, ITEM_PRIOR_SQL, KB_ROWS, KB_SQL, PRIOR_PLACES, SUSPECT_SQL, TEXTS_SQL)
 from dinesight.functions.literals import text_array
@@ -354,17 +354,36 @@ DIET_SQL = (
     + _diet_sql("vegan", ["vegan", "plant-based", "plant based"]) + " UNION ALL " + _diet_sql("vegetarian", ["vegetarian", "vegan", "plant-based", "plant based"]) + ")))")
 
 
-def diet_rows(spark, sf_dir):
+def judged_rows(spark, sf_dir):
     items = dishes(spark, sf_dir)
     judged = items.where(F.col("arrival").endswith("7")).select("restaurant_id", "arrival", F.explode(text_array(["vegan", "vegetarian"])).alias("diet"), F.lit("yes").alias("verdict"))
+    return dt.judged_items(items, ["vegan", "vegetarian"], _diet_terms(spark), judged)
+
+
+def diet_rows(spark, sf_dir, restaurants=None):
     accommodations = plan.restaurants(spark, sf_dir).where(F.col("restaurant_id").endswith("3")).select(
         "restaurant_id", F.explode(text_array(["vegan", "vegetarian"])).alias("diet"), F.lit("can be made vegan").alias("quote"))
-    return dt.assess_diets(items, ["vegan", "vegetarian"], _diet_terms(spark), judged, accommodations)
+    return dt.assess_diets(judged_rows(spark, sf_dir), accommodations, restaurants, ["vegan", "vegetarian"])
 
 
-@query("diet_assessment", "AG-14", with_tables(DIET_SQL, dishes=DISHES_SQL))
+@query("diet_assessment", "AG-14", with_tables(
+    "SELECT restaurant_id, diet, coalesce(verdict, 'unknown') AS verdict, coalesce(basis, 'none') AS basis, CAST(coalesce(support, 0) AS DOUBLE) AS support "
+    "FROM (SELECT restaurant_id, unnest(['vegan', 'vegetarian']) AS diet FROM places) LEFT JOIN diets USING (restaurant_id, diet)", dishes=DISHES_SQL, places=PLACES_SQL, diets=DIET_SQL))
 def diet_assessment(spark, sf_dir):
-    return diet_rows(spark, sf_dir).select("restaurant_id", "diet", "verdict", "basis", "support")
+    return diet_rows(spark, sf_dir, places(spark, sf_dir)).select("restaurant_id", "diet", "verdict", "basis", "support")
+
+
+def _diet_side_sql(diet: str, labels: list[str]) -> str:
+    kind = f"CASE WHEN arrival LIKE '%7' THEN 1 WHEN {_conflict_sql(diet)} THEN 3 WHEN list_has_any(dietary_terms, {sql_list(labels)}) THEN 0 ELSE 2 END"
+    return f"SELECT restaurant_id, '{diet}' AS diet, arrival, item_name, {kind} AS k FROM dishes"
+
+
+@query("diet_dishes", "AG-14", with_tables(
+    "SELECT restaurant_id, diet, side, CAST(position AS INTEGER) AS position, item_name FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id, diet, side ORDER BY k, arrival) AS position "
+    "FROM (SELECT *, CASE WHEN k = 3 THEN 'offending' ELSE 'compatible' END AS side FROM (" + _diet_side_sql("vegan", ["vegan", "plant-based", "plant based"]) + " UNION ALL "
+    + _diet_side_sql("vegetarian", ["vegetarian", "vegan", "plant-based", "plant based"]) + "))) WHERE position <= 10", dishes=DISHES_SQL))
+def diet_dishes(spark, sf_dir):
+    return dt.diet_dishes(judged_rows(spark, sf_dir))
 
 
 @query("valid_judgments", "FI-15", with_tables(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dinesight.functions.literals import MAX_LITERAL_ENTRIES, contains_any, let, lookup, text_array
 from dinesight.functions.text import has_value
-from dinesight.operators.common import bounded_rows
+from dinesight.operators.common import bounded_rows, keep_first
 from dinesight.operators.tagging import canonical_allergen
 from dinesight.vocab import allergens as av
 from dinesight.vocab import scoring as sv
@@ -25,12 +25,11 @@ def _item_kind(diet: str, terms_by_category: dict[str, list[str]]) -> Column:
     return F.when(by_term | by_name, "conflict").when(label, "labeled").otherwise("assumed")
 
 
-def assess_diets(items: DataFrame, diets: Sequence[str], diet_terms: DataFrame, judgments: DataFrame | None = None,
-                 accommodations: DataFrame | None = None) -> DataFrame:
-    """Verdict, basis and support of every restaurant and diet.
+def judged_items(items: DataFrame, diets: Sequence[str], diet_terms: DataFrame, judgments: DataFrame | None = None) -> DataFrame:
+    """Every dish and diet with its kind: conflict, ai (judged fit), labeled or assumed.
 
-    ``diet_terms`` holds category, term (animal-product words, a small table
-    whose size is checked); ``judgments`` restaurant_id, arrival, diet, verdict.
+    ``diet_terms`` holds category, term (animal-product words, a fixed list of a
+    few hundred); ``judgments`` restaurant_id, arrival, diet, verdict.
     """
     rows = bounded_rows(diet_terms, MAX_LITERAL_ENTRIES)
     if rows is None:
@@ -39,13 +38,30 @@ def assess_diets(items: DataFrame, diets: Sequence[str], diet_terms: DataFrame,
     for row in rows:
         by_category.setdefault(row["category"], []).append(row["term"].lower())
     kinds = F.array(*[F.struct(F.lit(d).alias("diet"), _item_kind(d, by_category).alias("floor")) for d in diets])
-    long = items.select("restaurant_id", "arrival", F.inline(kinds))
+    long = items.select("restaurant_id", "arrival", "item_name", F.inline(kinds))
     if judgments is not None:
         long = long.join(judgments.select("restaurant_id", "arrival", "diet", F.col("verdict").alias("_judged")), ["restaurant_id", "arrival", "diet"], "left")
     else:
         long = long.withColumn("_judged", F.lit(None).cast("string"))
     kind = F.when(F.col("_judged") == "no", "conflict").when(F.col("_judged") == "yes", "ai").otherwise(F.col("floor"))
-    counts = long.withColumn("kind", kind).groupBy("restaurant_id", "diet").agg(
+    return long.withColumn("kind", kind).drop("floor", "_judged")
+
+
+def diet_dishes(judged: DataFrame, limit: int = 10) -> DataFrame:
+    """The first offending and compatible dishes of every restaurant and diet: labeled ones before judged and assumed ones."""
+    side = F.when(F.col("kind") == "conflict", "offending").otherwise("compatible")
+    order = F.when(F.col("kind") == "labeled", 0).when(F.col("kind") == "ai", 1).otherwise(2)
+    return keep_first(judged.withColumn("side", side), ["restaurant_id", "diet", "side"], [order, F.asc("arrival")], limit, rank="position").select(
+        "restaurant_id", "diet", "side", "position", "item_name")
+
+
+def assess_diets(judged: DataFrame, accommodations: DataFrame | None = None, restaurants: DataFrame | None = None,
+                 diets: Sequence[str] = ()) -> DataFrame:
+    """Verdict, basis and support of every restaurant and diet of ``judged_items``.
+
+    Each of ``restaurants`` without a dish is unknown for each of ``diets``.
+    """
+    counts = judged.groupBy("restaurant_id", "diet").agg(
         F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("labeled", "assumed", "ai", "conflict")])
     noted = counts.withColumn("accommodated", F.lit(False))
     if accommodations is not None:
@@ -60,7 +76,13 @@ def assess_diets(items: DataFrame, diets: Sequence[str], diet_terms: DataFrame,
              .when((F.col("ai") > 0) | ((F.col("labeled") > 0) & (F.col("assumed") > 0)), "mixed").when(F.col("labeled") > 0, "labeled").otherwise("estimated"))
     upgraded = let(verdict, lambda v: F.when(F.col("accommodated") & (v == "limited"), "good_options").when(
         F.col("accommodated") & (v == "unknown"), "limited").otherwise(v))
-    return noted.withColumns({"verdict": upgraded, "basis": basis, "support": F.when(ok > 0, F.round(ok / F.col("total"), 2)).otherwise(0.0)})
+    rated = noted.withColumns({"verdict": upgraded, "basis": basis, "support": F.when(ok > 0, F.round(ok / F.col("total"), 2)).otherwise(0.0)})
+    if restaurants is None:
+        return rated
+    every = restaurants.select("restaurant_id").distinct().withColumn("diet", F.explode(text_array(diets)))
+    return every.join(rated, ["restaurant_id", "diet"], "left").withColumns({
+        "verdict": F.coalesce("verdict", F.lit("unknown")), "basis": F.coalesce("basis", F.lit("none")), "support": F.coalesce("support", F.lit(0.0)),
+        **{c: F.coalesce(c, F.lit(0)) for c in ("total", "labeled", "assumed", "ai", "conflict")}, "accommodated": F.coalesce("accommodated", F.lit(False))})
 
 
 def valid_judgments(raw: DataFrame, items: DataFrame, diets: Sequence[str]) -> DataFrame:
