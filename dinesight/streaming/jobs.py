@@ -62,7 +62,8 @@ def admission_stream(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int =
     """Admit or reject each request; rejected ones do not count.
 
     State per client is the timestamps of its admitted requests in the window,
-    at most ``limit`` of them. ``log`` holds client, event_id, ts.
+    at most ``limit`` of them; it goes once the watermark has passed the window.
+    ``log`` holds client, event_id, ts.
     """
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -78,11 +79,12 @@ def admission_stream(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int =
             if admitted[-1]:
                 hits.append(int(at))
         state.update((list(hits),))
-        state.setTimeoutDuration(window_s * 1000)
+        # In event time: on a replay the state lives as long as the log says, however fast it is read.
+        state.setTimeoutTimestamp(max(int(rows["ts"].astype("int64").max()) // 1_000_000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"].to_numpy(), "admitted": admitted})
 
-    return log.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("client").applyInPandasWithState(
-        decide, "client string, event_id bigint, admitted boolean", "hits array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", WATERMARK).groupBy("client").applyInPandasWithState(
+        decide, "client string, event_id bigint, admitted boolean", "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _admit(batches: Iterator[pd.DataFrame], limit: int, window_us: int) -> Iterator[pd.DataFrame]:
@@ -105,16 +107,20 @@ def admissions(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int = 60) -
     """Batch twin of admission_stream.
 
     A client's log splits where it paused for a whole window: nothing before a
-    pause can matter after it. Runs spread over tasks; each task streams over
-    sorted rows with a bounded queue.
+    pause can matter after it. Where a run never has more than ``limit`` attempts
+    in a window, all are admitted as they are; only other runs are walked, spread
+    over tasks, each streaming over sorted rows with a bounded queue.
     """
     counted = attempts_in_window(log, "client", "ts", window_s)
     peers = counted.groupBy("client", "ts").agg(F.count("*").alias("_peers"))
     marked = counted.join(peers, ["client", "ts"]).withColumn("_start", F.when(F.col("attempts") == F.col("_peers"), F.unix_micros("ts")))
     runs = carry_forward(marked, ["client"], "ts", ["ts", "event_id"], F.col("_start"), "run")
-    flat = runs.select("client", "event_id", "run", F.unix_micros("ts").alias("t"))
-    ordered = flat.repartition("client", "run").sortWithinPartitions("client", "run", "t", "event_id")
-    return ordered.mapInPandas(partial(_admit, limit=limit, window_us=window_s * 1_000_000), "client string, event_id bigint, admitted boolean")
+    flat = runs.select("client", "event_id", "run", F.unix_micros("ts").alias("t"), "attempts")
+    crowded = flat.groupBy("client", "run").agg(F.max("attempts").alias("_most")).where(F.col("_most") > limit).select("client", "run")
+    ordered = flat.join(crowded, ["client", "run"], "left_semi").repartition("client", "run").sortWithinPartitions("client", "run", "t", "event_id")
+    walked = ordered.mapInPandas(partial(_admit, limit=limit, window_us=window_s * 1_000_000), "client string, event_id bigint, admitted boolean")
+    free = flat.join(crowded, ["client", "run"], "left_anti").select(F.col("client").cast("string").alias("client"), "event_id", F.lit(True).alias("admitted"))
+    return walked.unionByName(free)
 
 
 # --- Keyed tables fed by streams -------------------------------------------------------

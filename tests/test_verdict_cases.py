@@ -44,3 +44,21 @@ def test_tables_beyond_forty(spark):
     table = "<table><tr><th>Dish</th><th>Milk</th><th>Egg</th><th>Soy</th></tr><tr><td>Dish number {0}</td><td>x</td><td></td><td></td></tr></table>"
     pages = spark.createDataFrame([(1, "".join(table.format(k) for k in range(60)))], "page_id long, html string")
     assert extraction.allergen_grid_long(pages).count() == 60
+
+
+def test_every_start_has_its_own_completion(spark):
+    from dinesight.operators.evaluation import stage_durations
+    rows = [("r", "s", "stage_start", 0), ("r", "s", "stage_done", 10), ("r", "s", "stage_start", 100), ("r", "s", "stage_done", 130), ("r", "s", "stage_done", 140),
+            ("r", "s", "stage_start", 9_000), ("r", "s", "stage_start", 9_500), ("r", "s", "stage_done", 90_000), ("q", "s", "stage_done", 5), ("q", "s", "stage_start", 6)]
+    events = spark.createDataFrame(rows, "run_id string, stage string, kind string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = sorted((r["run_id"], r["status"], r["seconds"]) for r in stage_durations(events).collect())
+    assert got == sorted([("r", "done", 10.0), ("r", "done", 30.0), ("r", "failed", None), ("r", "done", 80_500.0), ("q", "failed", None)], key=lambda x: (x[0], x[1], x[2] or 0))
+
+
+def test_riskiest_items_take_the_top_before_they_filter(spark):
+    schema = "restaurant_id string, class_key string, name string, arrival string, prior_risk double, chart_hit boolean, risky boolean, suspected boolean"
+    plain = [("r", "c", f"plain {k}", f"{k:02d}", 0.6, False, False, False) for k in range(8)]
+    rows = [*plain, ("r", "c", "named", "09", 0.9, False, True, False), ("r", "c", "late suspect", "10", 0.4, False, False, True),
+            ("x", "c", "b", "01", 0.2, True, True, False), ("x", "c", "a", "02", 0.9, True, True, False), ("x", "c", "z", "00", 0.99, False, True, False)]
+    got = sorted((r["restaurant_id"], r["position"], r["name"], r["risk"]) for r in risk.riskiest_items(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("r", 1, "named", 0.9), ("x", 1, "b", 0.95), ("x", 2, "a", 0.95)]
