@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dinesight.catalog import query
 from dinesight.catalog.evidence_queries import first
 from dinesight.catalog.source_queries import CITY_FACTS, HOST
-from dinesight.catalog.tables import DISHES_SQL, LINKS_SQL, PLACES_SQL, dishes, links, pick, pick_sql, places, with_tables
+from dinesight.catalog.tables import DISHES_SQL, LINKS_SQL, PLACES_SQL, dishes, links, pick, pick_sql, places, table, with_tables
 from dinesight.functions import urls as u
 from dinesight.operators import reports as r
 from dinesight.operators import risk
@@ -33,11 +33,12 @@ def sorted_counts(spark, sf_dir):
 
 @query("coverage_status", "AG-5", with_tables(
     "SELECT p.restaurant_id, CASE WHEN bool_or(d.source_type <> 'community') THEN 'menu_backed' WHEN count(d.arrival) > 0 OR bool_or(l.restaurant_id IS NOT NULL) THEN 'cuisine_estimate' ELSE 'no_menu_found' END AS coverage_status "
-    "FROM places p LEFT JOIN dishes d ON d.restaurant_id = p.restaurant_id AND d.k % 3 <> 0 LEFT JOIN (SELECT DISTINCT 'c' || substr(restaurant_id, 2) AS restaurant_id FROM links) l ON l.restaurant_id = p.restaurant_id GROUP BY 1",
+    "FROM places p LEFT JOIN dishes d ON d.restaurant_id = p.restaurant_id LEFT JOIN (SELECT DISTINCT 'c' || substr(restaurant_id, 2) AS restaurant_id FROM links UNION SELECT DISTINCT 'c' || CAST(doc_id % 997 AS VARCHAR) FROM documents) l ON l.restaurant_id = p.restaurant_id GROUP BY 1",
     places=PLACES_SQL, dishes=DISHES_SQL, links=LINKS_SQL))
 def coverage_status(spark, sf_dir):
     sources = links(spark, sf_dir).select(F.concat(F.lit("c"), F.substring("restaurant_id", 2, 10)).alias("restaurant_id"))
-    return r.coverage_status(places(spark, sf_dir), sources, sources.limit(0), dishes(spark, sf_dir).where("k % 3 <> 0"))
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 997).cast("string")).alias("restaurant_id"))
+    return r.coverage_status(places(spark, sf_dir), sources, texts, dishes(spark, sf_dir))
 
 
 @query("item_contributions", "AG-6", with_tables(

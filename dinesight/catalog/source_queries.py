@@ -300,7 +300,7 @@ def allergen_search_queries(spark, sf_dir):
     _NAMED_PLACES), places=PLACES_SQL))
 def menu_pdf_search_queries(spark, sf_dir):
     from dinesight.operators.sources import search_queries
-    return search_queries(places(spark, sf_dir).where("name IS NOT NULL"), "menu_pdf")
+    return search_queries(places(spark, sf_dir), "menu_pdf")
 
 
 @query("website_recovery_queries", "PR-41")
