@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dinesight.llm.common import read_table, stored
+from dinesight.llm.common import read_table, small_batches, stored
 from dinesight.llm.mixing import mixed_documents
 from dinesight.llm.ngram_join import keep_one_per_class
 from dinesight.llm.quality_rules import keep_good
@@ -40,6 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
+    small_batches(spark)
     return encoded(docs)
 
 

@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of bounded size, so that a worker's memory does not depend on their lengths."""
+    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        given = spark.conf.get(key, None)
+        if given is None or not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -33,12 +42,14 @@ def stored(df: DataFrame) -> DataFrame:
     table, never the work that made it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTES = -2
 _START = -1

@@ -1,20 +1,22 @@
 """Operator 7: toxicity by subword-bag embeddings and a linear softmax.
 
 A word is the bag of its character n-grams (3 to 5 bytes, word ends marked) and
-of itself, hashed into buckets that have vectors; a passage of ``PASSAGE`` words
-is the mean of its words, each the mean of its bag; a linear softmax on top tells
-toxic passages from others. Vectors and softmax are trained jointly in numpy, so
-an unseen misspelling has most of its vectors from words that were seen. Labels
-belong to documents: after a first fit each toxic document keeps its most toxic
-passage as the example and the fit goes on.
-
-A document scores as its most toxic passage, over all passages at every word of
-the whole text. The model is linear up to the softmax, so for scoring it folds
-into one number per bucket.
+of itself, hashed into buckets that have vectors; a passage is the mean of its
+words, each the mean of its bag; a linear softmax on top tells toxic passages
+from others. Vectors and softmax are trained jointly in numpy, so an unseen
+misspelling has most of its vectors from words that were seen. Labels belong to
+documents: a first fit on long passages finds what toxic documents have in
+common; then each document is represented by its most toxic short passages, and
+the fit goes on, a few times over.
+
+A document scores as its most toxic run of ``PASSAGE`` words, over all of them
+in the whole text. The model is linear up to the softmax, so for scoring it
+folds into one number per bucket; slope and intercept are set on documents that
+the fit did not see, at the share of toxic labels.
 
 Labels of held-out rows (crc32 of the id modulo 4 is 2) are never read; training
 reads at most ``TRAINING_ROWS`` documents of each class and ``TRAINING_PASSAGES``
-passages of each, chosen by hashes. Null and empty texts score as a passage
+long passages of each, chosen by hashes. Null and empty texts score as a passage
 without words. Without both classes every score is the smoothed share of toxic
 labels (0 without labels). Repeated rows score alike. Only ``doc_id`` and
 ``text`` are inputs.
@@ -34,14 +36,16 @@ from pyspark.sql import functions as F
 from dinesight.llm.common import held_out, sampled_labels
 from dinesight.llm.kernel import ALNUM, LOWER, Chunk, Hashes, chunks, runs, texts
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 GRAMS = (3, 4, 5)
-WIDTH = 8
-PASSAGE = 32
-TRAINING_ROWS = 1_500
-TRAINING_PASSAGES = 24
-ROUNDS = (60, 60)
+WIDTH = 6
+PASSAGE = 5
+LONG_PASSAGE = 32
+TRAINING_ROWS = 1_200
+TRAINING_PASSAGES = 40
+ROUNDS = (25, 40, 40, 40)
 RATE = 0.5
+DECAY = 1e-4
 THRESHOLD = 0.3
 
 
@@ -104,64 +108,148 @@ def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return np.column_stack([np.bincount(index, rows[:, k], minlength=size) for k in range(rows.shape[1])])
 
 
-def fit(passages: list[tuple[int, int, str]]) -> Toxicity:
-    """Train on (document, label, passage); the passages are a bounded sample."""
-    labels = np.array([p[1] for p in passages], float)
+@dataclass
+class _Bags:
+    """The words of the sample and the buckets of each: ``gram[edges[w]:edges[w + 1]]``."""
+    gram: np.ndarray
+    edges: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> _Bags:
+        starts, _, parts = _bags(np.frombuffer(b" ".join(words), np.uint8))
+        owner = np.concatenate([np.repeat(np.arange(len(starts)), last - first) for _, first, last in parts])
+        bucket = np.concatenate([b[np.repeat(first - np.cumsum(last - first) + (last - first), last - first) + np.arange((last - first).sum())] for b, first, last in parts])
+        order = np.argsort(owner, kind="stable")
+        return cls(bucket[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(starts)))]))
+
+    def chosen(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of some words, one after the other, and where each begins."""
+        sizes = self.edges[words + 1] - self.edges[words]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        return self.gram[np.repeat(self.edges[words] - edges[:-1], sizes) + np.arange(edges[-1])], edges
+
+
+class _Model:
+    """Bucket vectors and softmax, and one step of their joint training."""
+
+    def __init__(self) -> None:
+        random = np.random.default_rng(7)
+        self.vectors = random.normal(0, 0.05, (BUCKETS, WIDTH))
+        self.softmax, self.bias = random.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
+        self.squares = [np.full_like(v, 1e-8) for v in (self.vectors, self.softmax, self.bias)]
+
+    def word_logits(self, bags: _Bags) -> np.ndarray:
+        """What each word adds to the difference of the logits."""
+        table = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
+        running = np.concatenate([[0.0], np.cumsum(table[bags.gram])])
+        return (running[bags.edges[1:]] - running[bags.edges[:-1]]) / np.maximum(np.diff(bags.edges), 1)
+
+    def train(self, bags: _Bags, passages: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rounds: int) -> None:
+        sizes = np.array([len(p) for p in passages])
+        used, word = np.unique(np.concatenate(passages), return_inverse=True)
+        part, of_word = np.repeat(np.arange(len(passages)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+        gram, of_gram = bags.chosen(used)
+        rows, local = np.unique(gram, return_inverse=True)
+        per_word = np.maximum(np.diff(of_gram), 1)[:, None]
+        owner, sizes = np.repeat(np.arange(len(used)), np.diff(of_gram)), sizes[:, None]
+        target = np.column_stack([1 - labels, labels])
+        vectors, square = self.vectors[rows], self.squares[0][rows]
+        for _ in range(rounds):
+            by_word = _gather(vectors[local], of_gram) / per_word
+            hidden = _gather(by_word[word], of_word) / sizes
+            logits = hidden @ self.softmax + self.bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            error = (p / p.sum(1, keepdims=True) - target) * weight[:, None]
+            to_word = _scatter(word, (error @ self.softmax.T / sizes)[part], len(used)) / per_word
+            steps = ((vectors, _scatter(local, to_word[owner], len(rows)) + DECAY * vectors, square),
+                     (self.softmax, hidden.T @ error + DECAY * self.softmax, self.squares[1]), (self.bias, error.sum(0), self.squares[2]))
+            for value, gradient, total in steps:
+                total += gradient ** 2
+                value -= RATE * gradient / np.sqrt(total)
+        self.vectors[rows], self.squares[0][rows] = vectors, square
+
+
+def _balanced(labels: np.ndarray) -> np.ndarray:
+    return np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
+
+
+def _short(value: np.ndarray, passages: list[np.ndarray], count: int) -> list[np.ndarray]:
+    """The ``count`` runs of ``PASSAGE`` words with the largest mean, of one document's passages; they may not overlap."""
+    runs_ = []
+    for p in passages:
+        size = min(PASSAGE, len(p))
+        running = np.concatenate([[0.0], np.cumsum(value[p])])
+        mean = (running[size:] - running[:len(p) - size + 1]) / size
+        for at in np.argsort(-mean, kind="stable")[:count]:
+            runs_.append((-mean[at], len(runs_), p[at:at + size]))
+    return [r for _, _, r in sorted(runs_, key=lambda r: r[:2])[:count]]
+
+
+def _best(value: np.ndarray, passages: list[np.ndarray]) -> float:
+    return float(value[_short(value, passages, 1)[0]].mean())
+
+
+def _slope(score: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one number by Newton's method, slightly damped."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
+        g = np.array([(weight * (p - labels) * score).sum() + 1e-3 * (a - 1), (weight * (p - labels)).sum()])
+        c = weight * p * (1 - p)
+        h = np.array([[(c * score ** 2).sum() + 1e-3, (c * score).sum()], [(c * score).sum(), c.sum() + 1e-6]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        a, b = a - step[0], b - step[1]
+    return (a, b) if a > 0 else (1.0, 0.0)
+
+
+def fit(passages: list[tuple[int, int, str]], share: float | None = None) -> Toxicity:
+    """Train on (document, label, long passage); the passages are a bounded sample. ``share`` is that of toxic labels."""
+    documents = sorted({(d, label) for d, label, _ in passages})
+    labels = np.array([label for _, label in documents], float)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 1e-9
         return Toxicity(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    share = min(max(labels.mean() if share is None else share, 1e-3), 1 - 1e-3)
     vocabulary: dict[bytes, int] = {}
-    members = [[vocabulary.setdefault(w, len(vocabulary)) for w in p[2].encode().split()] for p in passages]
-    sizes = np.array([len(m) for m in members])
-    word = np.concatenate([np.array(m, np.int64) for m in members])
-    of_word = np.concatenate([[0], np.cumsum(sizes)])
-    starts, _, parts = _bags(np.frombuffer(b" ".join(vocabulary), np.uint8))
-    order = np.argsort(np.concatenate([np.repeat(np.arange(len(starts)), last - first) for _, first, last in parts]), kind="stable")
-    spans = [np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)]) if len(first) else first for _, first, last in parts]
-    gram = np.concatenate([bucket[s] for (bucket, _, _), s in zip(parts, spans, strict=True)])[order]
-    per_word = np.sum([last - first for _, first, last in parts], axis=0)
-    of_gram = np.concatenate([[0], np.cumsum(per_word)])
-    owner, part = np.repeat(np.arange(len(starts)), per_word), np.repeat(np.arange(len(passages)), sizes)
-
-    random = np.random.default_rng(7)
-    used, local = np.unique(gram, return_inverse=True)
-    vectors = random.normal(0, 0.1, (len(used), WIDTH))
-    softmax, bias = random.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
-    seen = [np.full_like(vectors, 1e-8), np.full_like(softmax, 1e-8), np.full_like(bias, 1e-8)]
-    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    document = np.array([p[0] for p in passages])
-    for rounds in ROUNDS:
-        for _ in range(rounds):
-            by_word = _gather(vectors[local], of_gram) / np.maximum(per_word, 1)[:, None]
-            hidden = _gather(by_word[word], of_word) / np.maximum(sizes, 1)[:, None]
-            logits = hidden @ softmax + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = (p - np.column_stack([1 - labels, labels])) * weight[:, None]
-            back = (error @ softmax.T) / np.maximum(sizes, 1)[:, None]
-            to_word = _scatter(word, back[part], len(starts)) / np.maximum(per_word, 1)[:, None]
-            gradients = [_scatter(local, to_word[owner], len(used)), hidden.T @ error, error.sum(0)]
-            for value, gradient, square in zip((vectors, softmax, bias), gradients, seen, strict=True):
-                square += gradient ** 2
-                value -= RATE * gradient / np.sqrt(square)
-        # From here on the most toxic passage stands for a toxic document.
-        best = np.lexsort((-(logits[:, 1] - logits[:, 0]), document))
-        top = np.zeros(len(labels), bool)
-        top[best[np.append(True, document[best][1:] != document[best][:-1])]] = True
-        positive = (labels == 1) & top
-        weight = np.where(positive, 0.5 / positive.sum(), np.where(labels == 1, 0.0, 0.5 / (1 - labels).sum()))
-    table = np.zeros(BUCKETS)
-    table[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Toxicity(table, float(bias[1] - bias[0]))
+    place = {d: k for k, d in enumerate(documents)}
+    owned: list[list[np.ndarray]] = [[] for _ in documents]
+    for d, label, text in passages:
+        owned[place[d, label]].append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.encode().split()], np.int64))
+    bags, model = _Bags.of(list(vocabulary)), _Model()
+    aside = np.array([zlib.crc32(f"aside {d}".encode()) % 5 == 0 for d, _ in documents])
+    if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
+        aside[:] = False
+    fitted = np.flatnonzero(~aside)
+    long = [(p, labels[k]) for k in fitted for p in owned[k]]
+    y = np.array([label for _, label in long])
+    model.train(bags, [p for p, _ in long], y, _balanced(y), ROUNDS[0])
+    random = np.random.default_rng(11)
+    for rounds in ROUNDS[1:]:
+        value = model.word_logits(bags)
+        short: list[tuple[np.ndarray, float]] = []
+        for k in fitted:
+            short += [(p, labels[k]) for p in _short(value, owned[k], 1 if labels[k] else 6)]
+            if not labels[k]:
+                short += [(p[a:a + PASSAGE], 0.0) for p in owned[k][:6] for a in [int(random.integers(0, max(1, len(p) - PASSAGE)))]]
+        y = np.array([label for _, label in short])
+        model.train(bags, [p for p, _ in short], y, _balanced(y), rounds)
+    value = model.word_logits(bags)
+    judged = np.flatnonzero(aside) if aside.any() else fitted
+    y = labels[judged]
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
+    slope, intercept = _slope(np.array([_best(value, owned[k]) for k in judged]), y, weight)
+    return Toxicity(slope * (model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])), intercept)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training passages: runs of ``PASSAGE`` words, at most ``TRAINING_PASSAGES`` of a document, by a hash."""
+    """Training passages: runs of ``LONG_PASSAGE`` words, at most ``TRAINING_PASSAGES`` of a document, by a hash."""
+    letters = bytes(b if ALNUM[b] else 32 for b in range(256))
     for batch in batches:
         rows: list[tuple[int, int, str]] = []
         for doc, label, text in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), texts(batch.column("text")), strict=True):
-            found = text.translate(LOWER).translate(bytes(b if ALNUM[b] else 32 for b in range(256))).split()
-            cut = [b" ".join(found[k:k + PASSAGE]) for k in range(0, len(found), PASSAGE // 2)]
+            found = text.translate(LOWER).translate(letters).split()
+            cut = [b" ".join(found[k:k + LONG_PASSAGE]) for k in range(0, len(found), LONG_PASSAGE)]
             rows += [(doc, label, p.decode("utf-8", "ignore")) for p in sorted(cut, key=zlib.crc32)[:TRAINING_PASSAGES]]
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32()),
                                           "passage": pa.array([r[2] for r in rows], pa.string())})
@@ -172,7 +260,8 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> To
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     # At most 2 * rows documents with a bounded number of passages of a bounded number of words.
     found = read.mapInArrow(_passages, "doc_id long, label int, passage string").limit(2 * rows * TRAINING_PASSAGES).collect()
-    return fit(sorted((r["doc_id"], r["label"], r["passage"]) for r in found if r["passage"]))
+    share = labels.where(~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
+    return fit(sorted((r["doc_id"], r["label"], r["passage"]) for r in found if r["passage"]), share)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
