@@ -37,8 +37,8 @@ MAX_LISTS = 256
 ROWS_PER_LIST = 40
 COPIES = 4
 BOUNDARY_RATIO = 1.15
-SEARCHED = 64
-SEARCH_RATIO = 1.25
+SEARCHED = 104
+SEARCH_RATIO = 1.5
 NEIGHBOURS = 16
 BLOCK = 4_096
 NEAREST = 20
