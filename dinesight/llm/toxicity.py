@@ -10,13 +10,13 @@ common; then each document is represented by its most toxic short passages, and
 the fit goes on, a few times over.
 
 A document scores as its most toxic run of ``PASSAGE`` words, over all of them
-in the whole text. The model is linear up to the softmax, so for scoring it
+in the whole text; a word that stands in it again counts 0. The model is linear up to the softmax, so for scoring it
 folds into one number per bucket; slope and intercept are set on documents that
 the fit did not see, at the share of toxic labels.
 
 Labels of held-out rows (crc32 of the id modulo 4 is 2) are never read; training
-reads at most ``TRAINING_ROWS`` documents of each class and ``TRAINING_PASSAGES``
-long passages of each, chosen by hashes. Null and empty texts score as a passage
+reads at most ``TRAINING_ROWS`` toxic and ``OTHER_ROWS`` other documents and
+``TRAINING_PASSAGES`` long passages of each, chosen by hashes. Null and empty texts score as a passage
 without words. Without both classes every score is the smoothed share of toxic
 labels (0 without labels). Repeated rows score alike. Only ``doc_id`` and
 ``text`` are inputs.
@@ -42,15 +42,16 @@ WIDTH = 6
 PASSAGE = 5
 LONG_PASSAGE = 32
 TRAINING_ROWS = 1_200
-TRAINING_PASSAGES = 40
-ROUNDS = (25, 40, 40, 40)
+OTHER_ROWS = 2_400
+TRAINING_PASSAGES = 24
+ROUNDS = (15, 25, 25, 25, 25, 25, 25)
 RATE = 0.5
 DECAY = 1e-4
 THRESHOLD = 0.3
 
 
-def _bags(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Words of a lower-cased buffer, and for each part of their bags: bucket by position, first and last position of every word."""
+def _bags(data: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Start of every word of a lower-cased buffer, and for each part of their bags: bucket by position, first and last position of every word."""
     padded = np.concatenate([[32], np.where(ALNUM[data], data, 32), [32]]).astype(np.uint8)
     starts, ends = runs(ALNUM[padded])
     hashes = Hashes(padded)
@@ -61,18 +62,26 @@ def _bags(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarr
         parts.append((bucket, first, np.maximum(ends + 2 - n, first)))
     whole = (hashes.of(starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
     at = np.arange(len(starts))
-    return starts - 1, ends - 1, [*parts, (whole, at, at + 1)]
+    return starts - 1, [*parts, (whole, at, at + 1)]
 
 
 def word_values(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every word and the mean of its bag's numbers."""
-    starts, _, parts = _bags(data)
+    """Start of every word and the mean of its bag's numbers (0 for a repeated one)."""
+    starts, parts = _bags(data)
     total, count = np.zeros(len(starts)), np.zeros(len(starts))
     for bucket, first, last in parts:
         running = np.concatenate([[0.0], np.cumsum(table[bucket])])
         total += running[last] - running[first]
         count += last - first
-    return starts, total / np.maximum(count, 1)
+    return starts, _once(parts[-1][0], total / np.maximum(count, 1))
+
+
+def _once(word: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """``value``, but 0 where the same word stands among the ``PASSAGE - 1`` before."""
+    again = np.zeros(len(word), bool)
+    for k in range(1, min(PASSAGE, len(word))):
+        again[k:] |= word[k:] == word[:-k]
+    return np.where(again, 0.0, value)
 
 
 def passage_scores(chunk: Chunk, table: np.ndarray) -> np.ndarray:
@@ -116,7 +125,7 @@ class _Bags:
 
     @classmethod
     def of(cls, words: list[bytes]) -> _Bags:
-        starts, _, parts = _bags(np.frombuffer(b" ".join(words), np.uint8))
+        starts, parts = _bags(np.frombuffer(b" ".join(words), np.uint8))
         owner = np.concatenate([np.repeat(np.arange(len(starts)), last - first) for _, first, last in parts])
         bucket = np.concatenate([b[np.repeat(first - np.cumsum(last - first) + (last - first), last - first) + np.arange((last - first).sum())] for b, first, last in parts])
         order = np.argsort(owner, kind="stable")
@@ -178,7 +187,7 @@ def _short(value: np.ndarray, passages: list[np.ndarray], count: int) -> list[np
     runs_ = []
     for p in passages:
         size = min(PASSAGE, len(p))
-        running = np.concatenate([[0.0], np.cumsum(value[p])])
+        running = np.concatenate([[0.0], np.cumsum(_once(p, value[p]))])
         mean = (running[size:] - running[:len(p) - size + 1]) / size
         for at in np.argsort(-mean, kind="stable")[:count]:
             runs_.append((-mean[at], len(runs_), p[at:at + size]))
@@ -186,7 +195,8 @@ def _short(value: np.ndarray, passages: list[np.ndarray], count: int) -> list[np
 
 
 def _best(value: np.ndarray, passages: list[np.ndarray]) -> float:
-    return float(value[_short(value, passages, 1)[0]].mean())
+    best = _short(value, passages, 1)[0]
+    return float(_once(best, value[best]).mean())
 
 
 def _slope(score: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -255,18 +265,18 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "passage": pa.array([r[2] for r in rows], pa.string())})
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Toxicity:
-    sample = sampled_labels(labels, "toxic", rows, value=1).unionByName(sampled_labels(labels, "toxic", rows, value=0)).groupBy("doc_id").agg(F.max("label").alias("label"))
+def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, others: int = OTHER_ROWS) -> Toxicity:
+    sample = sampled_labels(labels, "toxic", rows, value=1).unionByName(sampled_labels(labels, "toxic", others, value=0)).groupBy("doc_id").agg(F.max("label").alias("label"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    # At most 2 * rows documents with a bounded number of passages of a bounded number of words.
-    found = read.mapInArrow(_passages, "doc_id long, label int, passage string").limit(2 * rows * TRAINING_PASSAGES).collect()
+    # At most rows + others documents with a bounded number of passages of a bounded number of words.
+    found = read.mapInArrow(_passages, "doc_id long, label int, passage string").limit((rows + others) * TRAINING_PASSAGES).collect()
     share = labels.where(~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
     return fit(sorted((r["doc_id"], r["label"], r["passage"]) for r in found if r["passage"]), share)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, others: int = OTHER_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows, others))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
