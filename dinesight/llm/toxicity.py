@@ -10,7 +10,7 @@ common; then each document is represented by its most toxic short passages, and
 the fit goes on, a few times over.
 
 A document scores as its most toxic run of ``PASSAGE`` words, over all of them
-in the whole text; a word that stands in it again counts 0. The model is linear up to the softmax, so for scoring it
+in the whole text; what speaks for toxicity counts once when a word is repeated. The model is linear up to the softmax, so for scoring it
 folds into one number per bucket; slope and intercept are set on documents that
 the fit did not see, at the share of toxic labels.
 
@@ -66,7 +66,7 @@ def _bags(data: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarr
 
 
 def word_values(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every word and the mean of its bag's numbers (0 for a repeated one)."""
+    """Start of every word and the mean of its bag's numbers."""
     starts, parts = _bags(data)
     total, count = np.zeros(len(starts)), np.zeros(len(starts))
     for bucket, first, last in parts:
@@ -77,11 +77,11 @@ def word_values(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _once(word: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """``value``, but 0 where the same word stands among the ``PASSAGE - 1`` before."""
+    """``value``, but at most 0 where the same word stands among the ``PASSAGE - 1`` before."""
     again = np.zeros(len(word), bool)
     for k in range(1, min(PASSAGE, len(word))):
         again[k:] |= word[k:] == word[:-k]
-    return np.where(again, 0.0, value)
+    return np.where(again, np.minimum(value, 0.0), value)
 
 
 def passage_scores(chunk: Chunk, table: np.ndarray) -> np.ndarray:
