@@ -28,7 +28,7 @@ from dinesight.llm.kernel import CLASSES, WORDS, Chunk, Hashes, Words, chunks, m
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.36
 SMOOTHING = 1.0
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
