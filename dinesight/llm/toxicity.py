@@ -41,6 +41,7 @@ GRAMS = (3, 4, 5)
 WIDTH = 6
 PASSAGE = 5
 LONG_PASSAGE = 32
+LONG_PASSAGES = 10
 TRAINING_ROWS = 1_200
 OTHER_ROWS = 2_400
 TRAINING_PASSAGES = 24
@@ -107,14 +108,18 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(passage_scores(chunk, self.table) + self.bias, -50, 50)))
 
 
-def _gather(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows between ``edges``."""
-    running = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-    return running[edges[1:]] - running[edges[:-1]]
+def _gather(rows: np.ndarray, index: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[index]`` between consecutive ``edges``, one column at a time to spare memory."""
+    out = np.empty((len(edges) - 1, rows.shape[1]))
+    for k in range(rows.shape[1]):
+        running = np.concatenate([[0.0], np.cumsum(rows[index, k])])
+        out[:, k] = running[edges[1:]] - running[edges[:-1]]
+    return out
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    return np.column_stack([np.bincount(index, rows[:, k], minlength=size) for k in range(rows.shape[1])])
+def _scatter(index: np.ndarray, rows: np.ndarray, pick: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``rows[pick]`` by ``index``."""
+    return np.column_stack([np.bincount(index, rows[pick, k], minlength=size) for k in range(rows.shape[1])])
 
 
 @dataclass
@@ -164,13 +169,13 @@ class _Model:
         target = np.column_stack([1 - labels, labels])
         vectors, square = self.vectors[rows], self.squares[0][rows]
         for _ in range(rounds):
-            by_word = _gather(vectors[local], of_gram) / per_word
-            hidden = _gather(by_word[word], of_word) / sizes
+            by_word = _gather(vectors, local, of_gram) / per_word
+            hidden = _gather(by_word, word, of_word) / sizes
             logits = hidden @ self.softmax + self.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             error = (p / p.sum(1, keepdims=True) - target) * weight[:, None]
-            to_word = _scatter(word, (error @ self.softmax.T / sizes)[part], len(used)) / per_word
-            steps = ((vectors, _scatter(local, to_word[owner], len(rows)) + DECAY * vectors, square),
+            to_word = _scatter(word, error @ self.softmax.T / sizes, part, len(used)) / per_word
+            steps = ((vectors, _scatter(local, to_word, owner, len(rows)) + DECAY * vectors, square),
                      (self.softmax, hidden.T @ error + DECAY * self.softmax, self.squares[1]), (self.bias, error.sum(0), self.squares[2]))
             for value, gradient, total in steps:
                 total += gradient ** 2
@@ -231,7 +236,7 @@ def fit(passages: list[tuple[int, int, str]], share: float | None = None) -> Tox
     if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
         aside[:] = False
     fitted = np.flatnonzero(~aside)
-    long = [(p, labels[k]) for k in fitted for p in owned[k]]
+    long = [(p, labels[k]) for k in fitted for p in owned[k][:LONG_PASSAGES]]
     y = np.array([label for _, label in long])
     model.train(bags, [p for p, _ in long], y, _balanced(y), ROUNDS[0])
     random = np.random.default_rng(11)
