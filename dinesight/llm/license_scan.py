@@ -1,11 +1,12 @@
 """Operator 8: licence scan with a positional rare-token index.
 
-Templates of licence statements are indexed by their rarest words, with
-positions; rarity is the inverse document frequency over all documents. A file
-looks up the licence words it holds, rarest first; every posting votes for a
-template at a relative position. Templates with votes are compared with the file
-in place, word by word, and count only if their mandatory key phrase stands
-where it should. The best share of equal words is the score.
+Templates of licence statements are indexed by their rarest words and the rarest
+word of their key phrase, with positions; rarity is the inverse document
+frequency over all documents. A file looks up every indexed word it holds; every
+posting votes for a template at a relative position. Templates with votes are
+compared with the file in place, word by word, and count only if their mandatory
+key phrase stands where it should: as one of its words votes wherever it stands,
+no statement is missed. The best share of equal words is the score.
 
 Beside that the base rule holds whatever the method says: places where a fixed
 phrase's words stand consecutively, and their labels. Null and empty texts have
@@ -15,7 +16,6 @@ no words, no labels, score 0 and null positions. Repeated rows score alike. Only
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +56,6 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered software"),
 )
 INDEXED = 4
-LOOKED_UP = 6
 COVERAGE = 0.7
 
 
@@ -103,10 +102,9 @@ def frequencies(docs: DataFrame, templates: tuple = TEMPLATES) -> tuple[dict[str
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of the templates' rarest words; bounded by the templates."""
+    """Postings of the templates' rarest words, those of the key phrases among them; bounded by the templates."""
     templates: tuple[tuple[np.ndarray, str, int, list[int]], ...]  # words, label, place of the key phrase, key phrase
     postings: dict[int, list[tuple[int, int]]]
-    rarity: dict[int, float]
 
 
 def build_index(frequency: dict[str, int], total: int, templates: tuple = TEMPLATES) -> Index:
@@ -117,30 +115,34 @@ def build_index(frequency: dict[str, int], total: int, templates: tuple = TEMPLA
         parts, key_parts = text.split(), key.split()
         place = next(i for i in range(len(parts)) if parts[i:i + len(key_parts)] == key_parts)
         compiled.append((np.array([vocabulary[w] for w in parts], np.uint64), label, place, [vocabulary[w] for w in key_parts]))
-        for word in sorted(set(parts), key=lambda w: (-idf[w], w))[:INDEXED]:
+        rarest = sorted(set(parts), key=lambda w: (-idf[w], w))
+        for word in {*rarest[:INDEXED], next(w for w in rarest if w in key_parts)}:
             postings.setdefault(vocabulary[word], []).extend((k, i) for i, p in enumerate(parts) if p == word)
-    return Index(tuple(compiled), postings, {vocabulary[w]: v for w, v in idf.items()})
-
-
-def _matches(index: Index, own: np.ndarray, hits: np.ndarray) -> tuple[set[str], float]:
-    """Labels and best coverage for one file: its word hashes, and the places of indexed words."""
-    rare = sorted({int(own[i]) for i in hits}, key=lambda h: (-index.rarity[h], h))[:LOOKED_UP]
-    votes: Counter[tuple[int, int]] = Counter()
-    for i in hits.tolist():
-        if int(own[i]) in rare:
-            votes.update((k, i - place) for k, place in index.postings[int(own[i])])
-    labels, best = set(), 0.0
-    for (k, offset), _ in votes.items():
-        template, label, place, key = index.templates[k]
-        at = offset + place
-        if at < 0 or at + len(key) > len(own) or [int(h) for h in own[at:at + len(key)]] != key:
-            continue
-        a, b = max(0, offset), min(len(own), offset + len(template))
-        coverage = float((own[a:b] == template[a - offset:b - offset]).sum()) / len(template)
-        if coverage >= COVERAGE:
-            labels.add(label)
-            best = max(best, coverage)
-    return labels, best
+    return Index(tuple(compiled), postings)
+
+
+def _candidates(index: Index, w: Words, hits: np.ndarray) -> set[tuple[int, int]]:
+    """(template, place of its key phrase) wherever a vote meets the whole key phrase in the voting word's document."""
+    found = set()
+    order = hits[np.argsort(w.hash[hits], kind="stable")]
+    held, cuts = np.unique(w.hash[order], return_index=True)
+    for h, own in zip(held.tolist(), np.split(order, cuts)[1:], strict=True):
+        for k, posted in index.postings[h]:
+            _, _, place, key = index.templates[k]
+            at = own - posted + place
+            inside = (at >= 0) & (at + len(key) <= len(w.hash))
+            voter, at = own[inside], at[inside]
+            for n, word in enumerate(key):
+                same = (w.hash[at + n] == np.uint64(word)) & (w.doc[at + n] == w.doc[voter])
+                voter, at = voter[same], at[same]
+            found.update((k, i) for i in at.tolist())
+    return found
+
+
+def _coverage(template: np.ndarray, own: np.ndarray, offset: int) -> float:
+    """Share of the template's words that stand in place in the file's words ``own``; the template begins at ``offset``."""
+    a, b = max(0, offset), min(len(own), offset + len(template))
+    return float((own[a:b] == template[a - offset:b - offset]).sum()) / len(template)
 
 
 def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
@@ -169,11 +171,13 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
                 found, scores = [set(b) for b in base], np.zeros(n)
                 near = np.minimum(np.searchsorted(indexed, w.hash), len(indexed) - 1)
                 hits = np.flatnonzero(indexed[near] == w.hash)
-                cuts = np.searchsorted(w.doc[hits], np.arange(n + 1))
-                for d in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = w.hash[begin[d]:begin[d + 1]]
-                    more, scores[d] = _matches(index.value, own, hits[cuts[d]:cuts[d + 1]] - begin[d])
-                    found[d] |= more
+                for k, at in _candidates(index.value, w, hits):
+                    template, label, place, _ = index.value.templates[k]
+                    d = int(w.doc[at])
+                    coverage = _coverage(template, w.hash[begin[d]:begin[d + 1]], at - place - int(begin[d]))
+                    if coverage >= COVERAGE:
+                        found[d].add(label)
+                        scores[d] = max(scores[d], coverage)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id")[chunk.first:chunk.first + n], "n_words": np.diff(begin), "n_base": count,
                     "first_word": pa.array(first, mask=none), "last_word": pa.array(last, mask=none),

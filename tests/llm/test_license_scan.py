@@ -1,6 +1,6 @@
 import re
 
-from dinesight.llm.license_scan import PHRASES, license_scan
+from dinesight.llm.license_scan import COVERAGE, PHRASES, TEMPLATES, license_scan
 
 TEXTS = [None, "", "nothing here", "Released under the MIT License.", "x y\nLicensed under the Apache License, Version 2.0.\nmit mit mit license",
          "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "cc by cc by", "GNU  general\n\npublic--license",
@@ -35,3 +35,37 @@ def test_repeated_rows_and_empty_table(table):
     rows = license_scan(table([(1, TEXTS[3]), (1, TEXTS[3]), (None, TEXTS[3])])).collect()
     assert len(rows) == 3 and {r["labels"] for r in rows} == {"mit"}
     assert license_scan(table([])).collect() == []
+
+
+def statements(text):
+    """Labels and best share of equal words by trying every template at every place."""
+    words, labels, best = text.split(), set(), 0.0
+    for template, label, key in TEMPLATES:
+        t, k = template.split(), key.split()
+        place = next(i for i in range(len(t)) if t[i:i + len(k)] == k)
+        for at in range(-len(t), len(words)):
+            if at + place >= 0 and words[at + place:at + place + len(k)] == k:
+                share = sum(0 <= at + i < len(words) and words[at + i] == t[i] for i in range(len(t))) / len(t)
+                if share >= COVERAGE:
+                    labels.add(label)
+                    best = max(best, share)
+    return labels, best
+
+
+def test_every_statement_of_a_file_is_found(table):
+    """Files with all statements, with rarer licence words beside one statement, and with statements that miss their rarest words."""
+    texts = [" x ".join(t for t, _, _ in TEMPLATES),
+             "mozilla public purpose domain granted unencumbered charge person obtaining binary and licensed under the gnu lesser general public license"]
+    rare = {w for t, _, k in TEMPLATES for w in t.split()}
+    for t, _, key in TEMPLATES:
+        words = t.split()
+        spare = len(words) - int(-(-COVERAGE * len(words) // 1))
+        for gone in (words[:spare], words[-spare:]):
+            texts.append(" ".join("zzz" if w in gone and w not in key.split() else w for w in words))
+    texts += ["filler text with " + w for w in sorted(rare) for _ in range(2)]
+    rows = {r["doc_id"]: r for r in license_scan(table(texts)).collect()}
+    for k, text in enumerate(texts):
+        labels, best = statements(text)
+        assert set(filter(None, rows[k]["labels"].split(","))) == labels | set(filter(None, rows[k]["base_labels"].split(","))) and rows[k]["score"] == best
+    assert set(rows[0]["labels"].split(",")) == {label for _, label, _ in TEMPLATES} and "lgpl" in rows[1]["labels"]
+    assert [(r["labels"], r["score"]) for r in license_scan(table(["no such words", None])).collect()] == [("", 0), ("", 0)]
