@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample, with a penalty on full clusters. Every
 vector goes to its nearest list and, at a boundary, to up to ``COPIES`` lists that
 are nearly as near and not behind each other. A query finds its nearest centroids
-by best-first search in a neighbour graph of the centroids held in memory, keeps
-those within a ratio of the nearest distance, and is compared with their lists.
+by best-first search in a neighbour graph of the centroids held in memory, takes
+lists in order of distance until they hold enough candidates, keeps those within a
+ratio of the distance reached then, and is compared with their lists.
 Lists and the queries that meet them are cut into blocks of bounded size, so a
 list that holds a third of all vectors (copies of one) is spread.
 
@@ -85,8 +86,12 @@ class Lists:
             lists += taken
         return np.array(rows, np.int64), np.array(lists, np.int64)
 
-    def search(self, query: np.ndarray) -> list[int]:
-        """Lists to read: best-first over the graph, pruned by the ratio of distances."""
+    def search(self, query: np.ndarray, size: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Lists to read: best-first over the graph, pruned by the ratio of distances.
+
+        With the ``size`` of every list the ratio is that to the list with which those read hold ``least`` rows;
+        where the lists found hold fewer, all are taken in order of distance.
+        """
         length = np.linalg.norm(query)
         target = np.append(query * (self.norm / length), 0.0)
         seen = {0}
@@ -106,7 +111,12 @@ class Lists:
                         if len(best) > SEARCHED:
                             heapq.heappop(best)
         found = sorted((-d, n) for d, n in best)
-        return [n for d, n in found if d <= SEARCH_RATIO * found[0][0] + 1e-12]
+        filled = 0
+        if size is not None:
+            if size[[n for _, n in found]].sum() < least:
+                found = sorted(zip(np.linalg.norm(self.centroids - target, axis=1).tolist(), range(len(self.centroids)), strict=True))
+            filled = min(int(np.searchsorted(np.cumsum(size[[n for _, n in found]]), least)), len(found) - 1)
+        return [n for d, n in found if d <= SEARCH_RATIO * found[filled][0] + 1e-12]
 
 
 def fit_lists(sample: np.ndarray, norm: float) -> Lists:
@@ -165,7 +175,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
         for batch in batches:
             x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
             if asking:
-                found = [lists.value.search(v) for v in x]
+                found = [lists.value.search(v, size.value, COPIES * (nearest + 1)) for v in x]
                 row, home = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.array([c for f in found for c in f], np.int64)
             else:
                 row, home = lists.value.homes(x) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -173,6 +183,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
 
     schema = "list int, id long, v array<double>"
     filed = stored(base.mapInArrow(lambda b: route(b, False), schema))
+    # One number per list. A vector stands in COPIES lists at most, and the query itself is no candidate.
+    held = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    size = vectors.sparkSession.sparkContext.broadcast(np.array([held.get(k, 0) for k in range(len(lists.value.centroids))], np.int64))
     reading = stored(asked.mapInArrow(lambda b: route(b, True), schema))
     # One row per list: in how many blocks its vectors and its queries are cut.
     blocks = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv")).join(

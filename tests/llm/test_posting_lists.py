@@ -1,6 +1,6 @@
 import numpy as np
 
-from dinesight.llm.posting_lists import fit_lists, nearest_neighbours
+from dinesight.llm.posting_lists import Lists, fit_lists, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -58,3 +58,35 @@ def test_graph_search_finds_the_nearest_list():
         target = np.append(q * lists.norm / np.linalg.norm(q), 0)
         same += lists.search(q)[0] == int(((lists.centroids - target) ** 2).sum(1).argmin())
     assert same >= 190
+
+
+def test_every_query_gets_its_rows(spark):
+    """Outliers, groups of copies and tight groups of fewer rows than are due."""
+    random = np.random.default_rng(5)
+
+    def unit(n):
+        v = random.normal(size=(n, 24))
+        return v / np.linalg.norm(v, axis=1)[:, None]
+    tight = np.repeat(unit(20), 15, axis=0) + 1e-6 * random.normal(size=(300, 24))
+    crowd = np.eye(24)[0] + 0.05 * random.normal(size=(1200, 24))
+    x = np.concatenate([unit(20), np.repeat(unit(20), 5, axis=0), tight, crowd / np.linalg.norm(crowd, axis=1)[:, None]])
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    got: dict = {}
+    for r in nearest_neighbours(vectors, vectors).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert sorted(got) == list(range(len(x))) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+
+
+def test_lists_are_read_until_they_hold_enough():
+    angle = np.arange(256) * 2 * np.pi / 256
+    centroids = np.column_stack([np.cos(angle), np.sin(angle), np.zeros(256)])
+    around = (np.arange(256)[:, None] + np.array([1, -1])) % 256
+    lists = Lists(centroids, around, 1.0)
+    for size in (np.ones(256, np.int64), np.where(np.arange(256) % 128 == 127, 60, 0)):
+        for q in (0, 40, 200):
+            read = lists.search(centroids[q, :2], size, 84)
+            assert size[read].sum() >= 84 and read[0] == q and len(read) == len(set(read))
+    few = np.where(np.arange(256) < 50, 1, 0)
+    assert few[lists.search(centroids[128, :2], few, 84)].sum() == 50
+    assert lists.search(centroids[9, :2], np.full(256, 100), 84) == [9]
