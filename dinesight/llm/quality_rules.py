@@ -4,7 +4,7 @@ Each text is read as tokens (runs of letters and digits, runs of other
 characters); their unigrams and bigrams are hashed into a fixed number of
 buckets. Two multinomials over the buckets are counted: one over all documents,
 one over trusted ones. A document's score is the mean of
-``log p_trusted - log p_raw`` over its n-grams; it is kept when the base rules
+``log p_trusted - log p_raw`` over its n-grams, each bucket backed off by itself; it is kept when the base rules
 hold and the score is at least ``threshold``. The verdict has no random part.
 
 Null and empty texts have no words and fail the base rules (score 0). Repeated
@@ -29,7 +29,7 @@ from dinesight.llm.kernel import CLASSES, WORDS, Chunk, Hashes, Words, chunks, m
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 THRESHOLD = -0.36
-SMOOTHING = 1.0
+BACK_OFF = 3.5
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 _SYMBOLS = np.zeros(256, bool)
@@ -102,11 +102,11 @@ def ngram_ratios(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.any():
         return np.zeros(BUCKETS)
-    # The smoothing follows the raw distribution, so an n-gram that the trusted side has not shown yet weighs by its
-    # frequency alone.
-    p_raw = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    p_target = (target + SMOOTHING * BUCKETS * p_raw) / (target.sum() + SMOOTHING * BUCKETS)
-    return np.log(p_target) - np.log(p_raw)
+    # Each bucket backs off by itself: against the count that the raw distribution lets expect on the trusted side. A
+    # bucket the trusted side can hardly have shown yet says little, a frequent one that it lacks speaks against a text
+    # however few documents are trusted.
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + BACK_OFF) / (expected + BACK_OFF))
 
 
 def _judge(batch: pa.RecordBatch, ratio: np.ndarray, threshold: float) -> dict[str, np.ndarray]:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from dinesight.llm.common import read_table
 from dinesight.llm.quality_rules import keep_good, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,3 +46,15 @@ def test_without_labels_base_rules_decide(table, labelled):
     rows = quality_rules(table([*texts, (0, texts[0]), (None, texts[0])]), labelled([])).collect()
     assert all(r["kept"] == (not r["base_failed"]) and r["score"] == 0 for r in rows) and len(rows) == len(texts) + 2
     assert quality_rules(table([]), labelled([])).collect() == []
+
+
+def test_few_trusted_documents_reject_junk(spark, table, labelled):
+    texts, clean, junk = corpus()
+    got = {r["doc_id"]: r for r in quality_rules(table(texts), labelled([(k, 1, 0) for k in range(40)])).collect()}
+    assert all(got[k]["kept"] for k in range(clean)) and not any(got[k]["kept"] for k in range(clean, clean + junk))
+    docs, labels = (read_table(spark, "/root/testdata/sf0.001", name) for name in ("documents", "labels"))
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for trusted in (labels, labels.where("doc_id % 3 = 0")):
+        for r in quality_rules(docs, trusted).collect():
+            if quality.get(r["doc_id"]) is not None:
+                assert r["kept"] == (quality[r["doc_id"]] == 1 and not r["base_failed"]), r
