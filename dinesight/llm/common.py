@@ -35,17 +35,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: an executor lost later costs only the tasks that read the
     table, never the work that made it.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``written``, with batches of bounded size for the Python workers that read it."""
+    small_batches(df.sparkSession)
+    return written(df)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from dinesight.llm.ngram_join import jaccard_classes
 from dinesight.llm.posting_lists import nearest_neighbours
 from dinesight.llm.quality_rules import quality_rules
 from dinesight.llm.rule_ensemble import quality_scores
+from dinesight.llm.secret_scan import KINDS, LIVE_CHARACTERS, PLACEHOLDER, WIDE_OWNERS, WIDE_REPOSITORIES, secret_scan
 from dinesight.llm.sentencepiece import encoded
 from dinesight.llm.suffix_dedup import suffix_dedup
 from dinesight.llm.toxicity import toxicity_scores
@@ -60,14 +61,41 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_posting_lists": op2_posting_lists, "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules, "op5_rule_ensemble": op5_rule_ensemble, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity,
-    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece,
+    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece, "op13_secret_scan": op13_secret_scan,
 }
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+
+def _matches(rank: int) -> str:
+    kind = KINDS[rank]
+    p = kind.pattern.replace("'", "''")
+    more = "AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')" if kind.mixed else ""
+    return f"""SELECT * FROM (SELECT r, '{kind.name}' AS kind, {rank} AS rank, {str(kind.base).lower()} AS base, value,
+        (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n
+    FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i, unnest(regexp_extract_all(t, '{p}', {kind.group})) AS value
+          FROM (SELECT r, t, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d))) WHERE length(value) >= {kind.least} {more}"""
+
+
 SQL: dict[str, str] = {
+    "op13_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_matches(rank) for rank in range(len(KINDS)))}),
+wide AS (SELECT value, count(DISTINCT owner) >= {WIDE_OWNERS} AND count(DISTINCT t) >= {WIDE_REPOSITORIES} AS wide FROM found JOIN d USING (r) GROUP BY value),
+judged AS (SELECT found.*, wide, NOT wide AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{PLACEHOLDER}')
+                  AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} AS live, kind || ':' || a || ':' || (a + n) AS span
+           FROM found JOIN wide USING (value)),
+per AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+               string_agg(span, ',' ORDER BY a, rank) FILTER (base) AS b, string_agg(span, ',' ORDER BY a, rank) FILTER (base OR live) AS spans,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (wide) AS n_copied FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN per USING (r)""",
     "op1_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 w AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, n, h FROM d WHERE n >= 400),
