@@ -18,6 +18,7 @@ from dinesight.llm.secret_scan import KINDS, LIVE_CHARACTERS, PLACEHOLDER, WIDE_
 from dinesight.llm.sentencepiece import encoded
 from dinesight.llm.suffix_dedup import suffix_dedup
 from dinesight.llm.toxicity import toxicity_scores
+from dinesight.llm.whitening import whitened
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -68,7 +73,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_posting_lists": op2_posting_lists, "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules, "op5_rule_ensemble": op5_rule_ensemble, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity,
-    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece, "op13_secret_scan": op13_secret_scan,
+    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece, "op12_whitening": op12_whitening, "op13_secret_scan": op13_secret_scan,
 }
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
