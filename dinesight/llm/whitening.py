@@ -164,12 +164,10 @@ def eigenvectors(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(a.dtype)
     noise = d * float(np.finfo(a.dtype).eps) * _norm(a)
     for _ in range(ROUNDS):
-        change = np.inf
         for _ in range(ITERATIONS):
-            x, values, s, apart, last = _corrected(a, x)
-            if last <= noise or last > change / 2:
+            x, values, s, apart, change = _corrected(a, x)
+            if change <= noise:
                 break
-            change = last
         # The vectors have moved since: take their values anew and look for clusters among them.
         _, values, s, apart, _ = _corrected(a, x)
         order = np.argsort(-values, kind="stable")
@@ -185,7 +183,8 @@ def eigenvectors(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 turned = True
         if not turned:
             break
-    x = x / np.sqrt((x * x).sum(0))
+    for _ in range(2):
+        x = x + x @ (np.eye(d, dtype=a.dtype) - x.T @ x) / 2
     sign = np.sign(x[np.abs(x).argmax(0), np.arange(d)])
     values = np.where(np.abs(values) > noise, values, 0) * scale
     return values, x * np.where(sign == 0, 1, sign)
