@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dinesight.llm.common import read_table
+from dinesight.llm.hard_negatives import hard_negatives
 from dinesight.llm.html_text import extract_pages
 from dinesight.llm.license_scan import license_scan
 from dinesight.llm.mixing import mix_sources
@@ -62,6 +64,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read_table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +80,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_posting_lists": op2_posting_lists, "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules, "op5_rule_ensemble": op5_rule_ensemble, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity,
-    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece, "op12_whitening": op12_whitening, "op13_secret_scan": op13_secret_scan,
+    "op8_license_scan": op8_license_scan, "op9_html_text": op9_html_text, "op10_sentencepiece": op10_sentencepiece, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening, "op13_secret_scan": op13_secret_scan,
 }
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -89,6 +96,14 @@ def _matches(rank: int) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op13_secret_scan": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_matches(rank) for rank in range(len(KINDS)))}),
