@@ -266,28 +266,69 @@ def text_grid_long(spark, sf_dir):
 
 
 # --- JSON -----------------------------------------------------------------------------------
+# Every page holds its JSON some levels deeper than the one before; the SQL opens it by a recursive query.
+def _depth(n):
+    return n % 23
+
+
+def _sunk(before, body, after, n):
+    """``body`` below as many levels as the page's number says."""
+    depth = _depth(n).cast("int")
+    return F.concat(F.repeat(F.lit(before), depth), body, F.repeat(F.lit(after), depth))
+
+
+def _opened_sql(html: str, pattern: str, graph: bool = False) -> str:
+    """``walk(page_id, ord, j)``: JSON texts of the pages and all values below them (lists and @graph alone with ``graph``)."""
+    below = ("CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN "
+             + ("list_filter([json_extract(j, '$.\"@graph\"')], lambda g: g IS NOT NULL)" if graph else "json_extract(j, '$.*')") + " ELSE [] END")
+    return (f"walk AS (SELECT page_id, regexp_extract(html, '{pattern}', 1)::JSON AS j FROM {html} UNION ALL "
+            f"SELECT page_id, unnest({below}) AS j FROM walk WHERE json_type(j) IN ('ARRAY', 'OBJECT'))")
+
+
 def _ld(n):
     name, other = pick(DISH_NAMES[:20], n), pick(DISH_NAMES[:20], n + 5)
-    body = F.concat(
-        F.lit('<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Restaurant","name":"R","hasMenu":"/our-menu"},'
+    deeper = _sunk('{"name":"","menuSection":[', F.concat(F.lit('{"name":"Depths","hasMenuItem":[{"name":"'), pick(DISH_NAMES[:20], n + 9), F.lit('","price":"7.0"}]}')), "]}", n)
+    menu = F.concat(
+        F.lit('[{"@type":"Restaurant","name":"R","hasMenu":"/our-menu"},'
               '{"@type":"Menu","hasMenuSection":{"name":"Mains","hasMenuItem":[{"@type":"MenuItem","name":"'), name,
         F.lit('","description":"with milk","offers":{"price":"'), (n % 30 + 5).cast("string"), F.lit('.00"}}],"hasMenuSection":[{"name":"Specials","hasMenuItem":{"name":"'), other,
-        F.lit('","price":"$12"}}]}}]}</script>'))
-    return body
+        F.lit('","price":"$12"}},'), deeper, F.lit("]}}]"))
+    return F.concat(F.lit('<script type="application/ld+json">'), _sunk('{"@graph":[', F.concat(F.lit('{"@context":"https://schema.org","@graph":'), menu, F.lit("}")), "]}", n), F.lit("</script>"))
 
 
 def _ld_pages(spark, sf_dir):
     return _marked_up(spark, sf_dir, _ld(F.col(_N)))
 
 
-@query("json_ld_objects", "TX-6", "SELECT page_id, t AS object_type FROM pages, (SELECT unnest(['', 'Restaurant', 'Menu']) AS t)")
+def _repeated(text: str) -> str:
+    return f"repeat('{text}', CAST(page_id % 23 AS INTEGER))"
+
+
+_LD_SQL = (
+    "(SELECT page_id, '<script type=\"application/ld+json\">' || " + _repeated('{"@graph":[') + """ || '{"@context":"https://schema.org","@graph":[{"@type":"Restaurant","name":"R","hasMenu":"/our-menu"},'"""
+    """ || '{"@type":"Menu","hasMenuSection":{"name":"Mains","hasMenuItem":[{"@type":"MenuItem","name":"' || """ + pick_sql(DISH_NAMES[:20], "page_id")
+    + """ || '","description":"with milk","offers":{"price":"' || (page_id % 30 + 5) || '.00"}}],"hasMenuSection":[{"name":"Specials","hasMenuItem":{"name":"' || """ + pick_sql(DISH_NAMES[:20], "page_id + 5")
+    + """ || '","price":"$12"}},' || """ + _repeated('{"name":"","menuSection":[') + """ || '{"name":"Depths","hasMenuItem":[{"name":"' || """ + pick_sql(DISH_NAMES[:20], "page_id + 9") + """ || '","price":"7.0"}]}' || """
+    + _repeated("]}") + """ || ']}}]}' || """ + _repeated("]}") + " || '</script>' AS html FROM pages)")
+_LD_TEXT = "(?s)ld[+]json[^>]*>(.*?)</script>"
+
+
+@query("json_ld_objects", "TX-6",
+       "WITH RECURSIVE " + _opened_sql(_LD_SQL, _LD_TEXT, graph=True) + " SELECT page_id, coalesce(j->>'@type', '') AS object_type FROM walk WHERE json_type(j) = 'OBJECT'")
 def json_ld_objects(spark, sf_dir):
     return x.json_ld_objects(_ld_pages(spark, sf_dir)).select("page_id", F.coalesce(F.get_json_object("object", "$['@type']"), F.lit("")).alias("object_type"))
 
 
+def _listed_sql(value: str) -> str:
+    return f"CASE json_type({value}) WHEN 'ARRAY' THEN json_extract({value}, '$[*]') WHEN 'OBJECT' THEN [{value}] ELSE [] END"
+
+
 @query("schema_menu_items", "TX-7",
-       f"SELECT page_id, {pick_sql(DISH_NAMES[:20], 'page_id')} AS item_name, 'Mains' AS category, CAST(page_id % 30 + 5 AS VARCHAR) AS price FROM pages UNION ALL "
-       f"SELECT page_id, {pick_sql(DISH_NAMES[:20], 'page_id + 5')}, 'Specials', '$12' FROM pages")
+       "WITH RECURSIVE " + _opened_sql(_LD_SQL, _LD_TEXT, graph=True) + ", section(page_id, category, s) AS ("
+       "SELECT page_id, coalesce(nullif(s->>'name', ''), ''), s FROM (SELECT page_id, unnest(" + _listed_sql("json_extract(j, '$.hasMenuSection')") + ") AS s FROM walk WHERE j->>'@type' = 'Menu') UNION ALL "
+       "SELECT page_id, coalesce(nullif(c->>'name', ''), category), c FROM (SELECT page_id, category, unnest(" + _listed_sql("coalesce(json_extract(s, '$.hasMenuSection'), json_extract(s, '$.menuSection'))") + ") AS c FROM section)) "
+       "SELECT page_id, i->>'name' AS item_name, category, regexp_replace(coalesce(i->'offers'->>'price', i->>'price'), '[.]0+$', '') AS price FROM (SELECT page_id, category, unnest("
+       + _listed_sql("json_extract(s, '$.hasMenuItem')") + ") AS i FROM section) QUALIFY row_number() OVER (PARTITION BY page_id, category, item_name, price) = 1")
 def schema_menu_items(spark, sf_dir):
     return x.schema_menu_items(_ld_pages(spark, sf_dir)).select("page_id", "item_name", "category", "price")
 
@@ -307,22 +348,39 @@ def microdata_items(spark, sf_dir):
     return x.microdata_items(_marked_up(spark, sf_dir, markup)).select("page_id", "item_name", "category", "price")
 
 
+def _state_pages(spark, sf_dir, before, body, after):
+    return _marked_up(spark, sf_dir, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), _sunk(before, body, after, F.col(_N)), F.lit("</script>")))
+
+
+_STATE_TEXT = "(?s)application/json\">(.*?)</script>"
+_ITEM_STATE = ("(SELECT page_id, '<script type=\"application/json\">' || " + _repeated('{"props":[0,[') + """ || '{"menus":[{"items":[{"name":"' || """ + pick_sql(DISH_NAMES[:20], "page_id")
+               + """ || '","price":' || ((page_id % 20 + 1) * 100 + 95) || '},{"title":"Plain Tea","cost":"3","id":7}]}]}' || """ + _repeated(']],"name":"no price"}') + " || '</script>' AS html FROM pages)")
+
+
 @query("embedded_json_items", "TX-12",
-       f"SELECT page_id, {pick_sql(DISH_NAMES[:20], 'page_id')} AS item_name, '$' || CAST(page_id % 20 + 1 AS VARCHAR) || '.95' AS price FROM pages UNION ALL SELECT page_id, 'Plain Tea', '$3' FROM pages")
+       "WITH RECURSIVE " + _opened_sql(_ITEM_STATE, _STATE_TEXT) + " SELECT DISTINCT page_id, coalesce(j->>'name', j->>'title') AS item_name, CASE WHEN json_type(j, '$.price') = 'UBIGINT' "
+       "THEN '$' || CAST((j->>'price')::BIGINT // 100 AS VARCHAR) || '.' || lpad(CAST((j->>'price')::BIGINT % 100 AS VARCHAR), 2, '0') ELSE '$' || (j->>'cost') END AS price FROM walk "
+       "WHERE json_type(j) = 'OBJECT' AND coalesce(j->>'price', j->>'cost') IS NOT NULL AND coalesce(j->>'name', j->>'title') IS NOT NULL")
 def embedded_json_items(spark, sf_dir):
     n = F.col(_N)
-    markup = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"menus":[{"items":[{"name":"'), pick(DISH_NAMES[:20], n),
-                      F.lit('","price":'), ((n % 20 + 1) * 100 + 95).cast("string"), F.lit('},{"title":"Plain Tea","cost":"3","id":7}]}]}}</script>'))
-    return x.embedded_json_items(_marked_up(spark, sf_dir, markup)).select("page_id", "item_name", "price")
+    body = F.concat(F.lit('{"menus":[{"items":[{"name":"'), pick(DISH_NAMES[:20], n), F.lit('","price":'), ((n % 20 + 1) * 100 + 95).cast("string"),
+                    F.lit('},{"title":"Plain Tea","cost":"3","id":7}]}]}'))
+    return x.embedded_json_items(_state_pages(spark, sf_dir, '{"props":[0,[', body, ']],"name":"no price"}')).select("page_id", "item_name", "price")
+
+
+_ALLERGEN_STATE = ("(SELECT page_id, '<script type=\"application/json\">' || " + _repeated('[{"a":') + """ || '{"dishes":[{"name":"' || """ + pick_sql(DISH_NAMES[:20], "page_id")
+                   + """ || '","allergens":' || CASE WHEN page_id % 2 = 0 THEN '["Milk","Egg"]' ELSE '["Soy","Peanut"]' END || '},{"name":{"en":"Flag Soup"},"flags":{"wheat":true,"milk":false}},"""
+                   """{"label":"Row Pie","list":[{"name":"Sesame","contains":"yes"},{"name":"Crab","contains":"no"}]}]}' || """ + _repeated("}]") + " || '</script>' AS html FROM pages)")
 
 
 @query("embedded_allergen_items", "TX-13",
-       f"SELECT page_id, item_name, array_to_string(list_sort(list_distinct(flatten(list(terms)))), ',') AS allergen_terms FROM (SELECT page_id, {pick_sql(DISH_NAMES[:20], 'page_id')} AS item_name, "
-       "CASE WHEN page_id % 2 = 0 THEN ['milk', 'egg'] ELSE ['soy', 'peanut'] END AS terms FROM pages UNION ALL SELECT page_id, 'Flag Soup', ['wheat'] FROM pages UNION ALL SELECT page_id, 'Row Pie', ['sesame'] FROM pages) GROUP BY page_id, item_name")
+       "WITH RECURSIVE " + _opened_sql(_ALLERGEN_STATE, _STATE_TEXT) + ", word AS ("
+       "SELECT page_id, j->>'name' AS item_name, unnest(json_extract_string(j, '$.allergens[*]')) AS w FROM walk WHERE json_type(j, '$.allergens') = 'ARRAY' UNION ALL "
+       "SELECT page_id, j->'name'->>'en', unnest(list_filter(json_keys(j, '$.flags'), lambda k: json_extract_string(j, '$.flags.' || k) = 'true')) FROM walk WHERE json_type(j, '$.flags') = 'OBJECT' UNION ALL "
+       "SELECT page_id, label, f->>'name' FROM (SELECT page_id, j->>'label' AS label, unnest(json_extract(j, '$.list[*]')) AS f FROM walk WHERE json_type(j, '$.list') = 'ARRAY') WHERE f->>'contains' = 'yes') "
+       "SELECT page_id, item_name, array_to_string(list_sort(list(DISTINCT lower(w))), ',') AS allergen_terms FROM word GROUP BY page_id, item_name")
 def embedded_allergen_items(spark, sf_dir):
     n = F.col(_N)
-    markup = F.concat(F.lit('<script type="application/json">{"dishes":[{"name":"'), pick(DISH_NAMES[:20], n), F.lit('","allergens":'),
-                      F.when(n % 2 == 0, '["Milk","Egg"]').otherwise('["Soy","Peanut"]'),
-                      F.lit('},{"name":{"en":"Flag Soup"},"flags":{"wheat":true,"milk":false}},{"label":"Row Pie","list":[{"name":"Sesame","contains":"yes"},{"name":"Crab","contains":"no"}]}]}</script>'))
-    return x.embedded_allergen_items(_marked_up(spark, sf_dir, markup)).select("page_id", "item_name", F.array_join("allergen_terms", ",").alias("allergen_terms"))
-
+    body = F.concat(F.lit('{"dishes":[{"name":"'), pick(DISH_NAMES[:20], n), F.lit('","allergens":'), F.when(n % 2 == 0, '["Milk","Egg"]').otherwise('["Soy","Peanut"]'),
+                    F.lit('},{"name":{"en":"Flag Soup"},"flags":{"wheat":true,"milk":false}},{"label":"Row Pie","list":[{"name":"Sesame","contains":"yes"},{"name":"Crab","contains":"no"}]}]}'))
+    return x.embedded_allergen_items(_state_pages(spark, sf_dir, '[{"a":', body, "}]")).select("page_id", "item_name", F.array_join("allergen_terms", ",").alias("allergen_terms"))

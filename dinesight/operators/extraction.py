@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from dinesight.functions.text import (
 from dinesight.operators.common import keep_first
 from dinesight.operators.evidence import fold_by_name
 from dinesight.operators.tagging import chart_token, matched_terms
+from dinesight.session import cut_lineage
 from dinesight.vocab import allergens as av
 from dinesight.vocab import places as pv
 from dinesight.vocab import web
@@ -319,6 +321,30 @@ def text_grid_long(grids: DataFrame, id_col: str = "grid_id") -> DataFrame:
 
 
 # --- Embedded JSON -----------------------------------------------------------------------
+#: Levels of nesting that one job opens; deeper ones follow in further jobs.
+LEVELS = 8
+
+
+def walk_levels(rows: DataFrame, keep: Sequence[str], start: Column, children: Callable[[Column], Column], levels: int = LEVELS) -> DataFrame:
+    """``keep, node_ord, node``: the entries of the array ``start`` and all that ``children`` finds below them, breadth first.
+
+    ``children`` turns an entry into the array of the entries below it. A job opens ``levels`` of them within the row; rows that have
+    more go on in the next job, from a checkpoint that holds only their unopened entries, until none is left. JSON nested more than
+    1,000 deep is no JSON to the parser, so there are at most that many levels.
+    """
+    found, frontier = [], rows.select(*keep, start.alias("_0"))
+    while True:
+        staged = frontier
+        for i in range(levels):
+            staged = staged.withColumn(f"_{i + 1}", F.flatten(F.transform(f"_{i}", children)))
+        opened = F.concat(*[F.col(f"_{i}") for i in range(levels)])
+        found.append(staged.select(*keep, F.posexplode(opened).alias("_ord", "node")).select(
+            *keep, (F.col("_ord") + F.lit(len(found)).cast("long") * (1 << 32)).alias("node_ord"), "node"))
+        frontier = cut_lineage(staged.where(F.size(f"_{levels}") > 0).select(*keep, F.col(f"_{levels}").alias("_0")))
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def _as_list(json: Column) -> Column:
     """JSON text of an object or list -> array of element texts."""
     return F.when(json.startswith("["), F.from_json(json, "array<string>")).when(json.startswith("{"), F.array(json)).otherwise(text_array([]))
@@ -328,24 +354,17 @@ def _field(json: Column, *names: str) -> Column:
     return F.coalesce(*[F.get_json_object(json, f"$['{name}']") for name in names])
 
 
-def json_ld_objects(pages: DataFrame, id_col: str = "page_id", depth: int = 3) -> DataFrame:
-    """schema.org objects of a page, lists and @graph flattened."""
+def json_ld_objects(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """schema.org objects of a page; lists and @graph opened however deep they go."""
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*ld\+json[^>]*>(.*?)</script\s*>"), F.lit(1))
-    texts = F.transform(scripts, lambda s: F.trim(s))
+    texts = F.filter(F.transform(scripts, lambda s: F.trim(s)), lambda j: j.rlike(r"^[\[{]"))
 
-    def spread(arr: Column) -> Column:
-        """Nested lists opened up to the depth bound."""
-        for _ in range(depth):
-            arr = F.flatten(F.transform(arr, lambda j: F.coalesce(_as_list(j), text_array([]))))
-        return F.filter(arr, lambda j: j.startswith("{"))
+    def below(j: Column) -> Column:
+        inner = F.when(j.startswith("["), j).otherwise(F.coalesce(_field(j, "@graph"), F.lit("")))
+        return F.filter(F.coalesce(_as_list(inner), text_array([])), lambda v: v.rlike(r"^[\[{]"))
 
-    level = spread(texts)
-    staged = pages.select(id_col, level.alias("_l0"))
-    for i in range(depth):
-        nested = F.flatten(F.transform(F.col(f"_l{i}"), lambda j: _as_list(F.coalesce(_field(j, "@graph"), F.lit("")))))
-        staged = staged.withColumn(f"_l{i + 1}", F.filter(nested, lambda j: j.startswith("{")))
-    everything = F.filter(F.concat(*[F.col(f"_l{i}") for i in range(depth + 1)]), lambda j: F.try_parse_json(j).isNotNull())
-    return staged.select(id_col, F.posexplode(everything).alias("object_ord", "object"))
+    objects = walk_levels(pages, [id_col], texts, below).where(F.col("node").startswith("{"))
+    return objects.where(F.try_parse_json("node").isNotNull()).withColumnsRenamed({"node_ord": "object_ord", "node": "object"})
 
 
 def _is_type(obj: Column, name: str) -> Column:
@@ -384,9 +403,10 @@ def _item_price(item: Column) -> Column:
         F.when(has_value(_field(item, "priceRange")), _field(item, "priceRange")), F.get(priced_names, F.lit(0)))))
 
 
-def schema_menu_items(pages: DataFrame, id_col: str = "page_id", depth: int = 4) -> DataFrame:
-    """Items of schema.org menus: nested sections (depth-bounded), inherited categories."""
-    objects = json_ld_objects(pages, id_col)
+def schema_menu_items(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Items of schema.org menus: sections however deep they nest, inherited categories."""
+    # Opened once: its sections are walked in jobs of their own.
+    objects = cut_lineage(json_ld_objects(pages, id_col).where(_is_type(F.col("object"), "menu") | _is_type(F.col("object"), "menuitem")))
 
     def sections(parent: Column, category: Column, *names: str) -> Column:
         return F.transform(_as_list(F.coalesce(_field(parent, *names), F.lit(""))), lambda s: F.struct(
@@ -394,15 +414,13 @@ def schema_menu_items(pages: DataFrame, id_col: str = "page_id", depth: int = 4)
             s.alias("section")))
 
     obj = F.col("object")
-    staged = objects.where(_is_type(obj, "menu") | _is_type(obj, "menuitem")).withColumn(
-        "_s1", F.when(_is_type(obj, "menu"), sections(obj, F.lit(""), "hasMenuSection")).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<category: STRING, section: STRING>>)")))
-    for i in range(1, depth):
-        staged = staged.withColumn(f"_s{i + 1}", F.flatten(F.transform(f"_s{i}", lambda s: sections(s.section, s.category, "hasMenuSection", "menuSection"))))
-    every = F.concat(*[F.col(f"_s{i}") for i in range(1, depth + 1)])
-    in_sections = F.flatten(F.transform(every, lambda s: F.transform(
-        _as_list(F.coalesce(_field(s.section, "hasMenuItem", "menuItem"), F.lit(""))), lambda m: F.struct(s.category.alias("category"), m.alias("item")))))
-    own = F.when(_is_type(obj, "menuitem"), F.array(F.struct(F.lit("").alias("category"), obj.alias("item"))))
-    rows = staged.select(id_col, "object_ord", F.posexplode(F.coalesce(own, in_sections)).alias("item_ord", "m"))
+    menus = walk_levels(objects.where(_is_type(obj, "menu")), [id_col, "object_ord"], sections(obj, F.lit(""), "hasMenuSection"),
+                        lambda s: sections(s.section, s.category, "hasMenuSection", "menuSection"))
+    listed = menus.select(id_col, "object_ord", "node_ord", "node.category", F.posexplode(
+        _as_list(F.coalesce(_field(F.col("node.section"), "hasMenuItem", "menuItem"), F.lit("")))).alias("item_ord", "item"))
+    own = objects.where(_is_type(obj, "menuitem")).select(
+        id_col, "object_ord", F.lit(0).cast("long").alias("node_ord"), F.lit("").alias("category"), F.lit(0).alias("item_ord"), obj.alias("item"))
+    rows = listed.unionByName(own).select(id_col, "object_ord", F.struct("node_ord", "item_ord").alias("item_ord"), F.struct("category", "item").alias("m"))
     item = F.col("m.item")
     fields = rows.select(id_col, "object_ord", "item_ord", "m.category", _schema_text(F.coalesce(_field(item, "name"), F.lit(""))).alias("item_name"),
                          _schema_text(F.coalesce(_field(item, "description"), F.lit(""))).alias("description"), _item_price(item).alias("price"))
@@ -472,18 +490,14 @@ def json_blobs(html: Column) -> Column:
     return F.concat(data, state, flight)
 
 
-def json_nodes(pages: DataFrame, id_col: str, blobs: Column, depth: int = 8) -> DataFrame:
-    """Every object inside a page's JSON texts, breadth first, depth-bounded."""
+def json_nodes(pages: DataFrame, id_col: str, blobs: Column) -> DataFrame:
+    """Every object inside a page's JSON texts, breadth first, down to the leaves."""
     def children(j: Column) -> Column:
         values = F.when(j.startswith("{"), F.map_values(F.from_json(j, "map<string,string>"))).when(
             j.startswith("["), F.from_json(j, "array<string>"))
         return F.filter(F.coalesce(values, text_array([])), lambda v: v.rlike(r"^[\[{]"))
 
-    staged = pages.select(id_col, blobs.alias("_d0"))
-    for i in range(depth):
-        staged = staged.withColumn(f"_d{i + 1}", F.flatten(F.transform(f"_d{i}", children)))
-    nodes = F.filter(F.concat(*[F.col(f"_d{i}") for i in range(depth + 1)]), lambda j: j.startswith("{"))
-    return staged.select(id_col, F.posexplode(nodes).alias("node_ord", "node"))
+    return walk_levels(pages, [id_col], blobs, children).where(F.col("node").startswith("{"))
 
 
 def _first_string(node: Column, keys: Sequence[str]) -> Column:
@@ -526,9 +540,9 @@ def _node_price(node: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
-def embedded_json_items(pages: DataFrame, id_col: str = "page_id", depth: int = 8) -> DataFrame:
+def embedded_json_items(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Objects with a name and a price inside a page's data blobs."""
-    nodes = json_nodes(pages, id_col, json_blobs(F.col("html")), depth)
+    nodes = json_nodes(pages, id_col, json_blobs(F.col("html")))
     fields = nodes.select(id_col, "node_ord", F.trim(_first_string(F.col("node"), av.OBJECT_NAME_KEYS)).alias("item_name"),
                           blank_to_empty(F.trim(_first_string(F.col("node"), av.OBJECT_TEXT_KEYS))).alias("description"),
                           _node_price(F.col("node")).alias("price"))
@@ -545,13 +559,13 @@ def _truthy(value: Column) -> Column:
     return F.coalesce(value.try_cast("double") > 0, F.lower(F.trim(value)).isin(av.TRUE_WORDS))
 
 
-def embedded_allergen_items(pages: DataFrame, id_col: str = "page_id", depth: int = 8, json: Column | None = None) -> DataFrame:
+def embedded_allergen_items(pages: DataFrame, id_col: str = "page_id", json: Column | None = None) -> DataFrame:
     """Objects with a name and structured allergen data: lists, flag maps, flag rows.
 
     ``json`` replaces the page's blobs, e.g. captured API responses.
     """
     blobs = json_blobs(F.col("html")) if json is None else F.array(json)
-    nodes = json_nodes(pages, id_col, blobs, depth)
+    nodes = json_nodes(pages, id_col, blobs)
     fields = F.filter(F.map_entries(F.from_json("node", "map<string,string>")), lambda e: ~F.lower(e.key).isin(av.OBJECT_NAME_KEYS))
 
     def words(e: Column) -> Column:

@@ -62,3 +62,29 @@ def test_riskiest_items_take_the_top_before_they_filter(spark):
             ("x", "c", "b", "01", 0.2, True, True, False), ("x", "c", "a", "02", 0.9, True, True, False), ("x", "c", "z", "00", 0.99, False, True, False)]
     got = sorted((r["restaurant_id"], r["position"], r["name"], r["risk"]) for r in risk.riskiest_items(spark.createDataFrame(rows, schema)).collect())
     assert got == [("r", 1, "named", 0.9), ("x", 1, "b", 0.95), ("x", 2, "a", 0.95)]
+
+
+def _script(body: str) -> str:
+    return f'<html><script type="application/json">{body}</script></html>'
+
+
+def test_json_is_walked_to_the_leaves(spark):
+    """Items 10, 17 and 60 levels down; text nested beyond what the parser reads, broken text and null pages."""
+    def sunk(body, depth):
+        return '{"a":[1,' * depth + body + "]}" * depth
+    rows = [(k, _script(sunk(f'{{"name":"Dish {k}","price":"{k}.5","allergens":["Milk"]}}', depth))) for k, depth in ((1, 0), (2, 5), (3, 8), (4, 30))]
+    rows += [(5, _script("[" * 3000 + '{"name":"Lost","price":"1"}' + "]" * 3000)), (6, _script('{"a":[{"name":"Cut","price":"2"')), (7, None), (8, ""),
+             (9, _script('[{"name":"Outer","price":"3","inner":{"name":"Outer","price":"3","inner":{"name":"Inner","price":"4","contains":["Egg"]}}}]'))]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    items = sorted((r["page_id"], r["item_name"], r["price"]) for r in extraction.embedded_json_items(pages).collect())
+    assert items == [(1, "Dish 1", "$1.5"), (2, "Dish 2", "$2.5"), (3, "Dish 3", "$3.5"), (4, "Dish 4", "$4.5"), (9, "Inner", "$4"), (9, "Outer", "$3")]
+    tagged = sorted((r["page_id"], r["item_name"], *r["allergen_terms"]) for r in extraction.embedded_allergen_items(pages).collect())
+    assert tagged == [(k, f"Dish {k}", "milk") for k in (1, 2, 3, 4)] + [(9, "Inner", "egg")]
+
+
+def test_schema_menus_nest_without_bound(spark):
+    section = '{"name":"S%d","hasMenuItem":{"name":"Dish number %d","price":"%d"},"menuSection":[' * 12 % tuple(x for k in range(12) for x in (k, k, k + 1)) + "]}" * 12
+    menu = '{"@graph":[[' * 9 + '{"@type":"Menu","hasMenuSection":' + section + "}" + "]]}" * 9
+    pages = spark.createDataFrame([(1, f'<script type="application/ld+json">{menu}</script>')], "page_id long, html string")
+    got = sorted((r["category"], r["item_name"], r["price"]) for r in extraction.schema_menu_items(pages).collect())
+    assert got == sorted((f"S{k}", f"Dish number {k}", str(k + 1)) for k in range(12))
