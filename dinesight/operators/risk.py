@@ -8,6 +8,7 @@ ladder runs on that one row per (user, restaurant, pref).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from dinesight.functions.urls import absence_factor, labeling_trust, source_trus
 from dinesight.operators.common import bounded_rows, keep_first
 from dinesight.operators.entities import at_home, boost_at_home, cuisine_prior
 from dinesight.operators.tagging import (
-    best_dish, canonical_allergen, dish_hits, dish_text, first_suspected, generic_dish_prior, suspected_hits)
+    canonical_allergen, dish_hits, dish_text, generic_dish_prior, suspected_hits)
 from dinesight.vocab import allergens as av
 from dinesight.vocab import cuisines as cv
 from dinesight.vocab import scoring as sv
@@ -139,44 +140,110 @@ def _kb_literal(kb: DataFrame | Sequence[Mapping] | None):
     return bounded_rows(kb, MAX_LITERAL_ENTRIES) if isinstance(kb, DataFrame) else list(kb)
 
 
-_EVIDENCE_COLUMNS = ["restaurant_id", "item_name", "description", "extraction_method", "menu_source_url", "allergen_terms",
-                     "cross_contact_terms", "matrix_allergen_columns"]
+#: Bits of a mask: the nuts a text can name, what a nut term names as a whole, then the other allergens.
+_NUT_BITS = {nut: 1 << i for i, nut in enumerate(av.NUT_TYPES)}
+_FAMILY_BITS = {"peanuts": 1 << 11, "tree_nuts": 1 << 12}
+_GENERIC, _UNNAMED_TREE, _ONLY_GENERIC = 1 << 13, 1 << 14, 1 << 15
+_ALLERGEN_BITS = {key: 1 << (16 + i) for i, key in enumerate(av.ALLERGEN_FORMS)}
 
 
-def distinct_dishes(items: DataFrame) -> DataFrame:
-    """Equal dish rows as one row with their count, combined map-side.
+def _bit(value: Column, table: Mapping[str, int]) -> Column:
+    return F.coalesce(lookup(value, table), F.lit(0))
 
-    Evidence flags do not change with repetition, so copies (however many share
-    one dish) never travel or get analysed twice. Rows leave this step spread by
-    their whole content, not by restaurant.
-    """
-    arrival = F.min("arrival") if "arrival" in items.columns else F.lit(None).cast("string")
-    return items.groupBy(*_EVIDENCE_COLUMNS).agg(F.count("*").alias("n_rows"), arrival.alias("arrival"))
+
+def _any(flag: Column, bit: int) -> Column:
+    return F.when(flag, bit).otherwise(0)
+
+
+def _joined_bits(masks: Column) -> Column:
+    """All bits of an array of masks; none for null."""
+    return F.coalesce(F.aggregate(masks, F.lit(0), lambda acc, m: acc.bitwiseOR(m)), F.lit(0))
+
+
+def _bits(values: Column, table: Mapping[str, int]) -> Column:
+    return _joined_bits(F.transform(values, lambda v: _bit(v, table)))
 
 
-def dish_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None) -> DataFrame:
-    """Everything about a dish that no pref changes, computed once per dish."""
-    named = items.withColumn("_text", dish_text(F.col("item_name"), F.col("description")))
-    schema = "allergen string, pattern string, risk double, note string, ord int"
+def _nut_mask(f: Column) -> Column:
+    """What one term names on the nut path; a peanut term counts for no tree nut of a selection."""
+    tree = f.tree & ~f.peanut
+    parts = [_any(f.peanut, _FAMILY_BITS["peanuts"]), _any(f.tree, _FAMILY_BITS["tree_nuts"]), _any(f.generic, _GENERIC),
+             _any(tree & (F.size(f.nuts) == 0), _UNNAMED_TREE), F.when(tree, _bits(f.nuts, _NUT_BITS)).otherwise(0),
+             _any(f.generic & ~f.peanut & ~f.tree, _ONLY_GENERIC)]
+    return reduce(Column.bitwiseOR, parts)
+
+
+def text_facts(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None = None) -> DataFrame:
+    """What each different dish text says, whoever serves it: ``text, claim, entries, suspects, dairy, kb_hits``."""
+    texts = items.select(dish_text(F.col("item_name"), F.col("description")).alias("text")).distinct()
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")
     rows = _kb_literal(kb)
     if rows is None:
-        # A base too large to inline: equi-join, then at most one row per allergen and dish.
+        # A base too large to inline: equi-join, then at most one row per allergen and text.
         # The key is the text, never null, so a dish without a description finds its hits.
-        texts = named.select(F.col("_text").alias("dish")).distinct().withColumns({"item_name": F.col("dish"), "description": F.lit(None).cast("string")})
-        hits = generic_dish_prior(texts, kb, ["dish"]).groupBy(F.col("dish").alias("_text")).agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
-        named = named.join(hits, "_text", "left").withColumn("kb_hits", F.coalesce("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)")))
+        dishes = texts.withColumns({"item_name": F.col("text"), "description": F.lit(None).cast("string")})
+        hits = generic_dish_prior(dishes, kb, ["text"]).groupBy("text").agg(F.collect_list(F.struct("allergen", "risk", "note")).alias("kb_hits"))
+        texts = texts.join(hits, "text", "left").withColumn("kb_hits", F.coalesce("kb_hits", none))
     elif rows:
-        found = F.filter(contained_rows(F.col("_text"), rows, "pattern", schema), lambda r: r.risk > 0)
-        named = named.withColumn("kb_hits", F.transform(found, lambda r: F.struct(r.allergen.alias("allergen"), r.risk.alias("risk"), r.note.alias("note"))))
+        found = F.filter(contained_rows(F.col("text"), rows, "pattern", "allergen string, pattern string, risk double, note string, ord int"), lambda r: r.risk > 0)
+        texts = texts.withColumn("kb_hits", F.transform(found, lambda r: F.struct(r.allergen.alias("allergen"), r.risk.alias("risk"), r.note.alias("note"))))
     else:
-        named = named.withColumn("kb_hits", F.expr("CAST(array() AS ARRAY<STRUCT<allergen: STRING, risk: DOUBLE, note: STRING>>)"))
-    text = F.col("_text")
-    return named.select(
-        "restaurant_id", "n_rows", "arrival", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), text.alias("text"),
-        F.lower(blank_to_empty(F.col("extraction_method"))).alias("method"), F.col("menu_source_url").alias("url"),
-        contains_any(text, av.NUT_FREE_CLAIMS).alias("claim"), dish_hits(text).alias("dishes"), suspected_hits(text).alias("suspects"),
-        "kb_hits", term_facts(F.col("allergen_terms")).alias("terms"), term_facts(F.col("cross_contact_terms")).alias("cross_terms"),
-        F.coalesce("matrix_allergen_columns", text_array([])).alias("columns"))
+        texts = texts.withColumn("kb_hits", none)
+    text = F.col("text")
+    entries = F.array_distinct(F.transform(dish_hits(text), lambda r: F.struct(
+        _bits(r.families, _FAMILY_BITS).alias("families"), _bits(r.nuts, _NUT_BITS).alias("nuts"), r.risk.alias("risk"))))
+    return texts.select("text", contains_any(text, av.NUT_FREE_CLAIMS).alias("claim"), entries.alias("entries"),
+                        _joined_bits(F.transform(suspected_hits(text), lambda r: _bits(r.families, _FAMILY_BITS))).alias("suspects"),
+                        contains_any(text, cv.VEGAN_SUSPECTED).alias("dairy"), "kb_hits")
+
+
+def term_masks(items: DataFrame) -> DataFrame:
+    """What each different set of grounded terms names: ``terms, hit, cross, covered, nut_terms``.
+
+    ``nut_terms`` keeps the masks of single nut terms, for terms that name none of the wanted nuts.
+    """
+    sets = items.select(_term_sets().alias("terms")).distinct()
+    facts = sets.select("terms", term_facts(F.col("terms.own")).alias("own"), term_facts(F.col("terms.cross")).alias("other"))
+
+    def keys(f: Column) -> Column:
+        return _bit(f.key, _ALLERGEN_BITS).bitwiseOR(_bit(f.whole_key, _ALLERGEN_BITS))
+
+    def named(array: str, cross: bool) -> Column:
+        return _joined_bits(F.transform(F.filter(array, lambda f: f.cross if cross else ~f.cross), keys))
+
+    nut_terms = F.array_sort(F.array_distinct(F.filter(F.transform("own", _nut_mask), lambda m: m != 0)))
+    columns = F.col("terms.columns")
+    covered = _joined_bits(F.transform(columns, lambda t: _bit(canonical_allergen(t), _ALLERGEN_BITS))).bitwiseOR(
+        _any(F.array_contains(columns, "peanut"), _FAMILY_BITS["peanuts"])).bitwiseOR(_any(F.array_contains(columns, "tree nut"), _FAMILY_BITS["tree_nuts"]))
+    return facts.select("terms", _joined_bits(nut_terms).bitwiseOR(named("own", False)).alias("hit"),
+                        _joined_bits(F.transform("other", _nut_mask)).bitwiseOR(named("own", True)).bitwiseOR(named("other", False)).alias("cross"),
+                        covered.alias("covered"), nut_terms.alias("nut_terms"))
+
+
+def _term_sets() -> Column:
+    empty = text_array([])
+    return F.struct(F.coalesce("allergen_terms", empty).alias("own"), F.coalesce("cross_contact_terms", empty).alias("cross"),
+                    F.coalesce("matrix_allergen_columns", empty).alias("columns"))
+
+
+def dish_signatures(items: DataFrame, kb: DataFrame | Sequence[Mapping] | None = None) -> DataFrame:
+    """One row per restaurant and dish name: masks of what its rows name, before any pref is known.
+
+    Texts and term sets are read once each, however many restaurants share them; copies of a dish combine map-side.
+    """
+    arrival = F.col("arrival") if "arrival" in items.columns else F.lit(None).cast("string")
+    method = F.lower(blank_to_empty(F.col("extraction_method")))
+    rows = items.select("restaurant_id", F.trim(blank_to_empty(F.col("item_name"))).alias("name"), dish_text(F.col("item_name"), F.col("description")).alias("text"),
+                        method.contains("matrix").alias("chart"), (method != "community_mention").alias("menu"), _term_sets().alias("terms"), arrival.alias("arrival"))
+    rows = rows.join(text_facts(items, kb), "text").join(term_masks(items), "terms")
+    named, chart = F.length("name") > 0, F.col("chart")
+    prior = F.struct(F.when(named, F.col("claim")).alias("claim"), F.when(named, F.col("entries")).alias("entries"), F.when(named, F.col("suspects")).alias("suspects"),
+                     F.when(named, F.col("dairy")).alias("dairy"), F.transform("kb_hits", lambda h: F.struct(h.allergen.alias("allergen"), h.risk.alias("risk"))).alias("kb"))
+    return rows.groupBy("restaurant_id", "name").agg(
+        F.count_if(named & F.col("menu")).alias("parsed"), F.min("arrival").alias("arrival"), F.bool_or("chart").alias("chart"),
+        F.bit_or(F.when(chart & named, F.col("hit")).otherwise(0)).alias("chart_mask"), F.bit_or(F.when(~chart & named, F.col("hit")).otherwise(0)).alias("text_mask"),
+        F.bit_or(F.when(named, F.col("cross")).otherwise(0)).alias("cross_mask"), F.bit_or(F.when(chart, F.col("covered")).otherwise(0)).alias("cover_mask"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("nut_terms")))).alias("nut_terms"), F.array_sort(F.collect_set(prior)).alias("priors"))
 
 
 def _class_base(cuisines: Column, region: Column, allergen: Column, baselines: Mapping[str, Mapping[str, float]]) -> Column:
@@ -194,64 +261,99 @@ def _class_base(cuisines: Column, region: Column, allergen: Column, baselines: M
     return F.struct(F.when(is_nut, nut["risk"]).otherwise(boosted).alias("risk"), F.when(is_nut, nut["confidence"]).otherwise(0.5).alias("confidence"))
 
 
+_SIGNATURE = ["chart", "chart_mask", "text_mask", "cross_mask", "cover_mask", "nut_terms", "priors"]
+
+
+def _class_masks(families: Column, nuts: Column, allergen: Column) -> Column:
+    """struct(hit, cover, families, nuts): the bits that a class looks for."""
+    is_nut, own = allergen.isin(NUT_KEYS), _bit(allergen, _ALLERGEN_BITS)
+    wanted = _bits(families, _FAMILY_BITS)
+    selected = (_any(F.array_contains(nuts, "peanuts"), _FAMILY_BITS["peanuts"]).bitwiseOR(_any(F.array_contains(families, "tree_nuts"), _UNNAMED_TREE))
+                .bitwiseOR(_bits(F.filter(nuts, lambda n: n != "peanuts"), _NUT_BITS)).bitwiseOR(F.lit(_ONLY_GENERIC)))
+    hit = F.when(~is_nut, own).when(nuts.isNull(), wanted.bitwiseOR(F.lit(_GENERIC))).otherwise(selected)
+    return F.struct(hit.alias("hit"), F.when(is_nut, wanted).otherwise(own).alias("cover"), wanted.alias("families"), _bits(nuts, _NUT_BITS).alias("nuts"))
+
+
+def _tested(rows: DataFrame, items: DataFrame, restaurants: DataFrame, needs: DataFrame, as_of_year: int,
+            baselines: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """The masks of ``rows`` tested against the classes that users of the restaurant need."""
+    places = restaurants.select("restaurant_id", "cuisines", "region", "official_domain", at_home(F.col("cuisines"), F.col("region")).alias("_home"),
+                                F.coalesce(F.arrays_overlap("cuisines", text_array(["vegan", "vegetarian"])), F.lit(False)).alias("_plant"))
+    charts = items.where(F.lower(blank_to_empty(F.col("extraction_method"))).contains("matrix")).select("restaurant_id", F.col("menu_source_url").alias("url")).distinct()
+    trust = charts.join(places.select("restaurant_id", "official_domain"), "restaurant_id").groupBy("restaurant_id").agg(
+        F.min(source_trust(F.col("url"), F.col("official_domain"), as_of_year)).alias("trust"))
+    classes = needs.join(places.drop("official_domain"), "restaurant_id").join(trust, "restaurant_id", "left").select(
+        "restaurant_id", "class_key", "allergen", "_home", "trust", F.col("allergen").isin(NUT_KEYS).alias("is_nut"), F.col("nut_types").isNotNull().alias("selects"),
+        (F.col("_plant") & F.array_contains("families", "tree_nuts")).alias("_plant"), _class_masks(F.col("families"), F.col("nut_types"), F.col("allergen")).alias("c"),
+        _class_base(F.col("cuisines"), F.col("region"), F.col("allergen"), baselines)["risk"].alias("base_risk"))
+    pairs = rows.join(classes, "restaurant_id")
+
+    def meets(mask: Column | str, bits: Column) -> Column:
+        return (F.col(mask) if isinstance(mask, str) else mask).bitwiseAND(bits) != 0
+
+    def boosted(risk: Column) -> Column:
+        return F.least(F.lit(cv.MAX_RISK), F.when(F.col("_home"), risk * 1.10).otherwise(risk))
+
+    def wanted(e: Column) -> Column:
+        return meets(e.families, F.col("c.families")) & (~F.col("selects") | (e.nuts == 0) | meets(e.nuts, F.col("c.nuts")))
+
+    def dish_risk(p: Column) -> Column:
+        return F.array_max(F.transform(F.filter(p.entries, wanted), lambda e: e.risk))
+
+    def hidden(p: Column) -> Column:
+        return meets(p.suspects, F.col("c.families")) | (F.col("_plant") & p.dairy)
+
+    def nut_prior(p: Column) -> Column:
+        base = F.col("base_risk")
+        known = let(dish_risk(p), lambda risk: F.when(risk.isNotNull(), boosted(risk)))
+        return F.when(p.claim.isNotNull(), F.when(p.claim, 0.08).otherwise(
+            F.coalesce(known, F.when(hidden(p), F.greatest(base, F.lit(cv.SUSPECTED_RISK))).otherwise(base))))
+
+    def kb_prior(p: Column) -> Column:
+        return boosted(F.array_max(F.transform(F.filter(p.kb, lambda h: h.allergen == F.col("allergen")), lambda h: h.risk)))
+
+    is_nut = F.col("is_nut")
+    prior = F.when(is_nut, F.array_max(F.transform("priors", nut_prior))).otherwise(F.array_max(F.transform("priors", kb_prior)))
+    suspected = is_nut & F.exists("priors", lambda p: F.coalesce(~p.claim & dish_risk(p).isNull() & hidden(p), F.lit(False)))
+    flags = pairs.withColumns({
+        "chart_hit": meets("chart_mask", F.col("c.hit")), "text_hit": meets("text_mask", F.col("c.hit")), "cross_hit": meets("cross_mask", F.col("c.hit")),
+        "covers": meets("cover_mask", F.col("c.cover")), "prior_risk": prior, "suspected": suspected,
+        "other_nuts": is_nut & F.col("selects") & F.exists("nut_terms", lambda m: m.bitwiseAND(F.col("c.hit")) == 0)})
+    return flags.withColumn("risky", F.col("chart_hit") | F.col("text_hit") | F.coalesce(
+        F.col("prior_risk") >= F.greatest(F.lit(0.5), F.col("base_risk") + 0.1), F.lit(False))).drop(
+        "c", "is_nut", "selects", "allergen", "_home", "_plant", "chart_mask", "text_mask", "cross_mask", "cover_mask", "nut_terms", "priors")
+
+
 def dish_evidence(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as_of_year: int, kb=None,
                   baselines: Mapping[str, Mapping[str, float]] = sv.GENERIC_BASELINES) -> DataFrame:
     """One row per restaurant, class and dish name: which evidence it gives.
 
-    ``needs`` holds restaurant_id and the class columns. A restaurant's classes
-    ride along as one bounded array, so dishes shuffle once.
+    ``needs`` holds restaurant_id and the class columns.
     """
-    # Whatever depends on the restaurant and class only is settled before dishes join.
-    places = restaurants.select("restaurant_id", "cuisines", "region", "official_domain", at_home(F.col("cuisines"), F.col("region")).alias("_home"))
-    based = needs.join(places.select("restaurant_id", "cuisines", "region"), "restaurant_id").withColumn(
-        "base_risk", _class_base(F.col("cuisines"), F.col("region"), F.col("allergen"), baselines)["risk"])
-    classes = based.groupBy("restaurant_id").agg(F.collect_set(F.struct("class_key", "allergen", "nut_types", "families", "base_risk")).alias("classes"))
-    context = places.drop("region").join(classes, "restaurant_id")
-    joined = dish_facts(distinct_dishes(items), kb).join(context, "restaurant_id")
-    staged = joined.withColumns({"is_chart": F.col("method").contains("matrix"), "trust": source_trust(F.col("url"), F.col("official_domain"), as_of_year)})
-    per_class = staged.withColumn("c", F.explode("classes")).withColumn("is_nut", F.col("c.allergen").isin(NUT_KEYS))
-    families, nuts, allergen = F.col("c.families"), F.col("c.nut_types"), F.col("c.allergen")
-    per_class = per_class.withColumns({
-        "_dish": F.when(F.col("is_nut"), best_dish(F.col("dishes"), families, nuts)),
-        "_suspect": F.when(F.col("is_nut"), first_suspected(F.col("suspects"), F.col("text"), families, F.col("cuisines"))),
-        "_nut": F.when(F.col("is_nut"), split_nut_terms(F.col("terms"), families, nuts)),
-        "_nut_cross": F.when(F.col("is_nut"), split_nut_terms(F.col("cross_terms"), families, nuts)),
-        "_own": F.when(~F.col("is_nut"), split_allergen_terms(F.col("terms"), allergen)),
-        "_own_cross": F.when(~F.col("is_nut"), split_allergen_terms(F.col("cross_terms"), allergen)),
-        "_kb": F.array_max(F.transform(F.filter("kb_hits", lambda h: h.allergen == allergen), lambda h: h.risk))})
+    return _tested(dish_signatures(items, kb), items, restaurants, needs, as_of_year, baselines)
 
-    def boosted(risk: Column) -> Column:
-        return F.least(F.lit(cv.MAX_RISK), F.when(F.col("_home"), risk * 1.10).otherwise(risk))
 
-    nut_prior = (F.when(F.col("claim"), 0.08).when(F.col("_dish").isNotNull(), boosted(F.col("_dish.risk")))
-                 .when(F.col("_suspect").isNotNull(), F.greatest(F.col("c.base_risk"), F.lit(cv.SUSPECTED_RISK))).otherwise(F.col("c.base_risk")))
-    is_nut, named = F.col("is_nut"), F.length("name") > 0
-    suspected = is_nut & ~F.col("claim") & F.col("_dish").isNull() & F.col("_suspect").isNotNull()
-    hit = F.when(is_nut, F.size("_nut.contains") > 0).otherwise(F.size("_own.contains") > 0)
-    cross = F.when(is_nut, F.size("_nut_cross.contains") > 0).otherwise((F.size("_own.cross") > 0) | (F.size("_own_cross.contains") > 0))
-    covers = F.when(is_nut, (F.array_contains(families, "peanuts") & F.array_contains("columns", "peanut"))
-                    | (F.array_contains(families, "tree_nuts") & F.array_contains("columns", "tree nut"))).otherwise(
-        F.exists("columns", lambda t: F.coalesce(canonical_allergen(t) == allergen, F.lit(False))))
-    chart = F.col("is_chart")
-    flags = per_class.select(
-        "restaurant_id", F.col("c.class_key").alias("class_key"), "name", "arrival", F.col("c.base_risk").alias("base_risk"),
-        F.when(named & (F.col("method") != "community_mention"), F.col("n_rows")).otherwise(0).alias("parsed"), (chart & hit & named).alias("chart_hit"), (~chart & hit & named).alias("text_hit"),
-        (cross & named).alias("cross_hit"), F.when(is_nut, F.when(named, nut_prior)).otherwise(boosted(F.col("_kb"))).alias("prior_risk"),
-        (suspected & named).alias("suspected"), chart.alias("chart"), (chart & covers).alias("covers"), F.when(chart, F.col("trust")).alias("trust"),
-        (is_nut & (F.size("_nut.other") > 0)).alias("other_nuts"))
-    ors = ["chart_hit", "text_hit", "cross_hit", "suspected", "chart", "covers", "other_nuts"]
-    return flags.groupBy("restaurant_id", "class_key", "name").agg(
-        F.sum("parsed").alias("parsed"), F.max("prior_risk").alias("prior_risk"), F.max("base_risk").alias("base_risk"),
-        F.min("trust").alias("trust"), F.min("arrival").alias("arrival"), *[F.bool_or(o).alias(o) for o in ors]).withColumn(
-        "risky", F.col("chart_hit") | F.col("text_hit") | F.coalesce(
-            F.col("prior_risk") >= F.greatest(F.lit(0.5), F.col("base_risk") + 0.1), F.lit(False)))
+def class_flags(items: DataFrame, restaurants: DataFrame, needs: DataFrame, as_of_year: int, kb=None,
+                baselines: Mapping[str, Mapping[str, float]] = sv.GENERIC_BASELINES) -> DataFrame:
+    """Evidence of every class at a restaurant: ``evidence_flags`` without a row per class and dish.
+
+    Dishes of a restaurant that say the same become one row with their number, and only those meet the classes.
+    """
+    alike = dish_signatures(items, kb).groupBy("restaurant_id", (F.length("name") > 0).alias("_named"), *_SIGNATURE).agg(
+        F.sum("parsed").alias("parsed"), F.count("*").alias("names")).withColumn("name", F.when(F.col("_named"), "*").otherwise(""))
+    return evidence_flags(_tested(alike.drop("_named"), items, restaurants, needs, as_of_year, baselines))
 
 
 def evidence_flags(evidence: DataFrame) -> DataFrame:
-    """Dish evidence rolled up to one row per restaurant and class."""
+    """Dish evidence rolled up to one row per restaurant and class; a row stands for ``names`` dishes, or for one."""
+    names = F.col("names") if "names" in evidence.columns else F.lit(1).cast("bigint")
+
+    def dishes(flag: Column) -> Column:
+        return F.sum(F.when(flag, names).otherwise(0))
+
     return evidence.groupBy("restaurant_id", "class_key").agg(
-        F.sum("parsed").alias("parsed"), F.count_if(F.col("prior_risk").isNotNull() & (F.length("name") > 0)).alias("n_details"),
-        F.max("prior_risk").alias("top_risk"), F.count_if("risky").alias("risky"), F.count_if(F.col("suspected") & ~F.col("risky")).alias("suspected"),
+        F.sum("parsed").alias("parsed"), dishes(F.col("prior_risk").isNotNull() & (F.length("name") > 0)).alias("n_details"),
+        F.max("prior_risk").alias("top_risk"), dishes(F.col("risky")).alias("risky"), dishes(F.col("suspected") & ~F.col("risky")).alias("suspected"),
         F.bool_or("chart_hit").alias("chart_hit"), F.bool_or("text_hit").alias("text_hit"), F.bool_or("cross_hit").alias("cross_hit"),
         F.bool_or("chart").alias("chart"), F.bool_or("covers").alias("covers"), F.min("trust").alias("trust"), F.bool_or("other_nuts").alias("other_nuts"))
 
@@ -440,7 +542,7 @@ def score(pairs: DataFrame, prefs: DataFrame, restaurants: DataFrame, items: Dat
     classed = with_class(prefs)
     requests = pairs.select("user_id", "restaurant_id").join(classed, "user_id")
     needs = requests.select("restaurant_id", "class_key", "allergen", "nut_types", "families").distinct()
-    flags = evidence_flags(dish_evidence(items, restaurants, needs, as_of_year, kb, baselines))
+    flags = class_flags(items, restaurants, needs, as_of_year, kb, baselines)
     facts = (needs.select("restaurant_id", "class_key", "allergen").join(flags, ["restaurant_id", "class_key"], "left")
              .join(restaurants.select("restaurant_id", "cuisines", "region", *SIGNALS), "restaurant_id")
              .join(community_rollup(community).select("restaurant_id", "adverse", "n_poor", "best_poor"), "restaurant_id", "left"))

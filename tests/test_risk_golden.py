@@ -111,3 +111,29 @@ def test_nut_label(spark):
     df = spark.createDataFrame([("nuts", ["almond"]), ("nuts", ["pecan", "almond"]), ("nuts", None)], "a string, n array<string>")
     labels = [r[0] for r in df.select(risk.nut_label(F.col("a"), F.col("n"))).collect()]
     assert labels == ["almonds", "almonds & pecans", "nuts"]
+
+
+def test_masks_agree_with_the_terms(spark):
+    """Bits of a dish tested against a class say the same as the lists of its terms."""
+    words = ["peanut", "tree nut", "almond", "walnut oil", "almond and cashew", "mixed nuts", "coconut", "nutmeg", "nut", "peanut and pecan", "milk", "may contain milk", "egg",
+             "traces of soy", "tree nut egg", "Groundnut", "marzipan", "pine nut", "dairy", "sesame seeds"]
+    sets = [[w] for w in words] + [[words[i], words[(i * 7 + 3) % 20], words[(i * 3 + 5) % 20]] for i in range(20)] + [[], None]
+    items = spark.createDataFrame([("r", f"Dish number {i}", "", "gemini_text", t, sets[(i * 5 + 1) % len(sets)], [], "u", i) for i, t in enumerate(sets)], ITEMS)
+    prefs = [("nuts", None), ("peanuts", None), ("tree_nuts", None), ("nuts", ["almond"]), ("nuts", ["peanuts"]), ("nuts", ["cashew", "pecan", "peanuts"]), ("milk", None), ("egg", None),
+             ("soy", None), ("tree_nut", None), ("peanut", None), ("unknown", None)]
+    classes = risk.with_class(spark.createDataFrame(prefs, "allergen string, nut_types array<string>")).withColumn("restaurant_id", F.lit("r"))
+    rests = spark.createDataFrame([("r", ["thai"], "US", "", *[False] * len(risk.SIGNALS))], RESTAURANTS)
+    got = {(r["class_key"], r["name"]): r for r in risk.dish_evidence(items, rests, classes, 2026).collect()}
+    is_nut = F.col("allergen").isin(risk.NUT_KEYS)
+    own, cross = risk.term_facts(F.col("allergen_terms")), risk.term_facts(F.col("cross_contact_terms"))
+    nut, nut_cross = (risk.split_nut_terms(f, F.col("families"), F.col("nut_types")) for f in (own, cross))
+    other, other_cross = (risk.split_allergen_terms(f, F.col("allergen")) for f in (own, cross))
+    want = items.join(classes, "restaurant_id").select(
+        "class_key", "item_name", (F.size(F.when(is_nut, nut["contains"]).otherwise(other["contains"])) > 0).alias("hit"),
+        F.when(is_nut, F.size(nut_cross["contains"]) > 0).otherwise((F.size(other["cross"]) > 0) | (F.size(other_cross["contains"]) > 0)).alias("cross"),
+        (is_nut & (F.size(nut["other"]) > 0)).alias("other")).collect()
+    assert len(want) == len(got) == len(sets) * len(prefs)
+    for r in want:
+        mine = got[r["class_key"], r["item_name"]]
+        assert (mine["text_hit"], mine["cross_hit"], mine["other_nuts"]) == (r["hit"], r["cross"], r["other"]), (r, mine)
+    assert {r["hit"] for r in want} == {r["cross"] for r in want} == {r["other"] for r in want} == {True, False}

@@ -15,11 +15,9 @@ def test_both_knowledge_base_paths_agree(spark):
                                       F.lit(0.5).alias("risk"), F.lit("n").alias("note"), (F.col("id") + 10).cast("int").alias("ord"))
     items = spark.createDataFrame([("r", "Pasta Alfredo", None), ("r", "Tofu", "with cream"), ("r", "Tofu", None), ("r", None, None)],
                                   "restaurant_id string, item_name string, description string")
-    arrays = {c: F.expr("CAST(array() AS ARRAY<STRING>)") for c in ("allergen_terms", "cross_contact_terms", "matrix_allergen_columns")}
-    dishes = risk.distinct_dishes(items.withColumns({"extraction_method": F.lit("text"), "menu_source_url": F.lit("u"), **arrays}))
 
     def hits(kb):
-        facts = risk.dish_facts(dishes, kb).select("text", F.explode("kb_hits").alias("h")).select("text", "h.allergen", "h.risk")
+        facts = risk.text_facts(items, kb).select("text", F.explode("kb_hits").alias("h")).select("text", "h.allergen", "h.risk")
         return sorted(tuple(r) for r in facts.groupBy("text", "allergen").agg(F.max("risk")).collect())
     inline, joined = hits(small), hits(small.unionByName(filler))
     assert inline == joined and ("pasta alfredo", "milk", 0.95) in [(t.lower(), a, r) for t, a, r in inline]
