@@ -139,12 +139,27 @@ def _matched(spark, sf_dir):
     return e.match_entities(ordered, "ordinal")
 
 
-@query("match_entities", "JN-1")
+# The greedy rule walked row by row: ``firsts`` are the first rows of a name's groups so far.
+_WALK = (
+    "WITH RECURSIVE places AS (" + PLACES_SQL + "), keyed AS (SELECT restaurant_id, source_name, k * 2 + CAST(source_name = 'openstreetmap' AS INT) AS ordinal, latitude, longitude, "
+    "regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '', 'g') AS key FROM places), "
+    "ordered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS i FROM keyed WHERE key <> ''), "
+    "walk(key, i, ordinal, group_id, firsts) AS (SELECT key, i, ordinal, ordinal, [{'o': ordinal, 'lat': latitude, 'lon': longitude}] FROM ordered WHERE i = 1 UNION ALL "
+    "SELECT key, i, ordinal, coalesce(near[1].o, ordinal), CASE WHEN len(near) = 0 THEN list_append(firsts, {'o': ordinal, 'lat': latitude, 'lon': longitude}) ELSE firsts END FROM ("
+    "SELECT o.key, o.i, o.ordinal, o.latitude, o.longitude, w.firsts, list_filter(w.firsts, lambda f: " + dist_sql("f.lat", "f.lon", "o.latitude", "o.longitude") + " <= 75) AS near "
+    "FROM walk w JOIN ordered o ON o.key = w.key AND o.i = w.i + 1)), "
+    "grouped AS (SELECT restaurant_id, source_name, k.ordinal, coalesce(w.group_id, k.ordinal) AS group_id FROM keyed k LEFT JOIN walk w ON w.ordinal = k.ordinal) ")
+
+
+@query("match_entities", "JN-1", _WALK + "SELECT restaurant_id, ordinal, group_id FROM grouped")
 def match_entities(spark, sf_dir):
     return _matched(spark, sf_dir).select("restaurant_id", "ordinal", "group_id")
 
 
-@query("source_coverage", "AG-3")
+@query("source_coverage", "AG-3", _WALK + ", sets AS (SELECT group_id, bool_or(source_name = 'geoapify') AS geoapify, bool_or(source_name = 'openstreetmap') AS openstreetmap FROM grouped GROUP BY 1), "
+       "total AS (SELECT count(*) AS n_groups, count(*) FILTER (geoapify AND openstreetmap) AS matched_in_all, count(*) FILTER (NOT (geoapify AND openstreetmap)) AS not_in_all, "
+       "count(*) FILTER (geoapify AND NOT openstreetmap) AS g, count(*) FILTER (openstreetmap AND NOT geoapify) AS o FROM sets) "
+       "SELECT n_groups, matched_in_all, not_in_all, 'geoapify' AS source_name, g AS only_here, o AS missing_here FROM total UNION ALL SELECT n_groups, matched_in_all, not_in_all, 'openstreetmap', o, g FROM total")
 def source_coverage(spark, sf_dir):
     return e.source_coverage(_matched(spark, sf_dir).select("group_id", "source_name"), ["geoapify", "openstreetmap"])
 

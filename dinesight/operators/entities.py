@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +16,13 @@ from dinesight.functions.literals import contains_any, literal_pattern, lookup,
 from dinesight.functions.text import blank_to_empty, has_value, norm_key, norm_ws
 from dinesight.functions.urls import entity_compact, host, netloc, registrable_domain
 from dinesight.operators.common import keep_first
+from dinesight.operators.components import components
 from dinesight.operators.tagging import match_table
 from dinesight.session import cut_lineage
 from dinesight.vocab import cuisines as cv
 from dinesight.vocab import places as pv
 
+_log = logging.getLogger(__name__)
 QUALITY_KINDS = {name: ("collection" if name == "categories" else "string") for name in pv.QUALITY_FIELDS}
 
 
@@ -150,37 +156,53 @@ def _near_cells(latitude: Column, longitude: Column, reach_m: float, cell_m: flo
     return F.array_distinct(F.flatten(F.transform(F.sequence(row - steps, row + steps), columns)))
 
 
-def match_entities(places: DataFrame, ordinal: str, max_m: float = 75.0) -> DataFrame:
-    """Group rows of one place: same name key, within reach of the group's first row.
+def _around(df: DataFrame, max_m: float, cell_m: float, *columns: str) -> DataFrame:
+    """One row per grid cell (``r, c``) that may hold a point in reach of a row."""
+    return df.select("_key", *columns, F.explode(_near_cells(F.col("latitude"), F.col("longitude"), max_m, cell_m)).alias("_n")).select(
+        "_key", *columns, F.col("_n.r").alias("r"), F.col("_n.c").alias("c"))
 
-    Greedy by ``ordinal`` (a row joins the earliest group whose first row is
-    near, else starts one), computed in rounds without pairing a name's rows:
 
-    * rows at one exact position always share a group, so they collapse first;
-    * grid cells are so small that all their points are in reach of each other,
-      hence at most one group starts in a cell and each point has a bounded
-      number of cells to look at, however many rows share a name or a spot;
-    * a cell's earliest open point starts a group once no nearby cell holds an
-      earlier open point; points it reaches close. Every round settles at
-      least the earliest open point of each neighbourhood.
+def _fold_units(units: DataFrame, max_m: float, cell_m: float) -> DataFrame:
+    """``ord, group_id`` of every spot of ``units (_unit, ord, latitude, longitude, r, c)``, each unit walked once in its order.
 
-    Adds ``group_id``: the first row's ordinal. Rows without a name stay alone.
+    The units of a partition follow each other sorted, so a task holds the first rows of one unit's groups and nothing else.
     """
-    cell_m = max_m / math.sqrt(2) * 0.999
-    keyed = places.withColumn("_key", norm_key(F.col("name")))
-    named = F.length("_key") > 0
-    spots = keyed.where(named).groupBy("_key", "latitude", "longitude").agg(F.min(ordinal).alias("ord"))
-    row = geo.row_cell(F.col("latitude"), cell_m)
-    spots = cut_lineage(spots.withColumn("r", row).withColumn("c", geo.column_cell(F.col("longitude"), F.col("r"), cell_m)))
-    open_spots, starts = spots, None
-
-    def around(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select("_key", *columns, F.explode(_near_cells(F.col("latitude"), F.col("longitude"), max_m, cell_m)).alias("_n")).select(
-            "_key", *columns, F.col("_n.r").alias("r"), F.col("_n.c").alias("c"))
+    def distance(a: tuple[float, float], b: tuple[float, float]) -> float:
+        lat1, lat2 = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * pv.EARTH_RADIUS_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, firsts = None, {}
+        for batch in batches:
+            columns = batch.to_pydict()
+            groups = []
+            for key, order, lat, lon, r, c, near in zip(*(columns[n] for n in ("_unit", "ord", "latitude", "longitude", "r", "c", "_near")), strict=True):
+                if key != unit:
+                    unit, firsts = key, {}
+                known = (firsts[cell] for cell in ((n["r"], n["c"]) for n in near) if cell in firsts)
+                group = min((first for first, place in known if distance(place, (lat, lon)) <= max_m), default=order)
+                if group == order:
+                    firsts[r, c] = (order, (lat, lon))
+                groups.append(group)
+            yield pa.RecordBatch.from_pydict({"ord": batch.column("ord"), "group_id": pa.array(groups, pa.int64())})
+
+    near = _near_cells(F.col("latitude"), F.col("longitude"), max_m, cell_m)
+    placed = units.select("_unit", F.col("ord").cast("bigint").alias("ord"), "latitude", "longitude", "r", "c", near.alias("_near"))
+    return placed.repartition("_unit").sortWithinPartitions("_unit", "ord").mapInArrow(walk, "ord bigint, group_id bigint")
+
+
+def _fold_in_rounds(spots: DataFrame, max_m: float, cell_m: float) -> DataFrame:
+    """``ord, group_id`` of spots that are too many for one task.
+
+    A cell's earliest open point starts a group once no nearby cell holds an earlier open point; points it reaches close. Every
+    round settles at least the earliest open point of each neighbourhood.
+    """
+    open_spots, starts, rounds = spots, None, 0
 
     def reached(points: DataFrame, firsts: DataFrame) -> DataFrame:
-        looked = around(firsts.select("_key", F.col("ord").alias("first_ord"), F.col("latitude").alias("first_lat"),
-                                      F.col("longitude").alias("first_lon"), "latitude", "longitude"), "first_ord", "first_lat", "first_lon")
+        looked = _around(firsts.select("_key", F.col("ord").alias("first_ord"), F.col("latitude").alias("first_lat"),
+                                       F.col("longitude").alias("first_lon"), "latitude", "longitude"), max_m, cell_m, "first_ord", "first_lat", "first_lon")
         near = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("first_lat"), F.col("first_lon")) <= max_m
         return points.join(looked, ["_key", "r", "c"]).where(near & (F.col("first_ord") <= F.col("ord")))
 
@@ -188,16 +210,56 @@ def match_entities(places: DataFrame, ordinal: str, max_m: float = 75.0) -> Data
         heads = open_spots.groupBy("_key", "r", "c").agg(F.min_by(F.struct("latitude", "longitude", "ord"), "ord").alias("h")).select(
             "_key", "r", "c", "h.*")
         earlier = heads.select("_key", F.col("ord").alias("_other"), "r", "c")
-        waiting = around(heads, "ord").join(earlier, ["_key", "r", "c"]).where(F.col("_other") < F.col("ord")).select("ord").distinct()
+        waiting = _around(heads, max_m, cell_m, "ord").join(earlier, ["_key", "r", "c"]).where(F.col("_other") < F.col("ord")).select("ord").distinct()
         new = cut_lineage(heads.join(waiting, "ord", "left_anti"))
         starts = new if starts is None else starts.unionByName(new)
-        closed = reached(open_spots, new).select("_key", "ord").distinct()
-        open_spots = cut_lineage(open_spots.join(closed, ["_key", "ord"], "left_anti"))
+        closed = reached(open_spots, new).select("ord").distinct()
+        open_spots = cut_lineage(open_spots.join(closed, "ord", "left_anti"))
+        rounds += 1
+    _log.info("match_entities: %d rounds for components of too many spots", rounds)
+    return reached(spots, starts).groupBy("ord").agg(F.min("first_ord").alias("group_id"))
 
-    if starts is None:
-        return keyed.withColumn("group_id", F.col(ordinal)).drop("_key")
-    homes = reached(spots, starts).groupBy("_key", "latitude", "longitude").agg(F.min("first_ord").alias("group_id"))
-    joined = keyed.join(homes, ["_key", "latitude", "longitude"], "left")
+
+def match_entities(places: DataFrame, ordinal: str, max_m: float = 75.0, walked: int = 20_000) -> DataFrame:
+    """Group rows of one place: same name key, within reach of the group's first row.
+
+    Greedy by ``ordinal`` (unique integers): a row joins the earliest group whose first row is near, else starts one.
+
+    * Rows at one exact position always share a group, so they collapse first.
+    * Grid cells are so small that all their points are in reach of each other, hence at most one group starts in a cell and
+      each point has a bounded number of cells to look at, however many rows share a name or a spot.
+    * A name with at most ``walked`` spots is walked once in order. A name with more falls into connected components of its
+      occupied cells, which cannot influence each other; those of at most ``walked`` spots are walked likewise.
+    * Only a component of more spots is settled in rounds, so that it never gathers in one task.
+
+    Adds ``group_id``: the first row's ordinal. Rows without a name or valid coordinates stay alone.
+    """
+    cell_m = max_m / math.sqrt(2) * 0.999
+    keyed = places.withColumn("_key", norm_key(F.col("name")))
+    placed = (F.length("_key") > 0) & geo.valid_coordinates(F.col("latitude"), F.col("longitude"))
+    spots = keyed.where(placed).groupBy("_key", "latitude", "longitude").agg(F.min(ordinal).alias("ord"))
+    row = geo.row_cell(F.col("latitude"), cell_m)
+    spots = cut_lineage(spots.withColumn("r", row).withColumn("c", geo.column_cell(F.col("longitude"), F.col("r"), cell_m)))
+    crowded = spots.groupBy("_key").count().where(F.col("count") > walked).select("_key")
+    few = spots.join(crowded, "_key", "left_anti").withColumn("_unit", F.col("_key"))
+    homes = [_fold_units(few, max_m, cell_m)]
+    many = cut_lineage(spots.join(crowded, "_key", "left_semi"))
+    if not many.isEmpty():
+        # A cell goes by its earliest spot.
+        cells = many.groupBy("_key", "r", "c").agg(F.min_by(F.struct("latitude", "longitude"), "ord").alias("p"), F.min("ord").alias("cell"))
+        reach = max_m + 2 * cell_m  # from any point of a cell to any cell that another point of it can reach
+        edges = _around(cells.select("_key", "p.*", "cell"), reach, cell_m, "cell").join(cells.select("_key", "r", "c", F.col("cell").alias("b")), ["_key", "r", "c"])
+        labels = components(edges.select(F.col("cell").alias("a"), "b"))
+        labelled = cut_lineage(many.join(cells.select("_key", "r", "c", "cell"), ["_key", "r", "c"]).join(labels, F.col("cell") == F.col("node"), "left").withColumn(
+            "_label", F.coalesce("label", "cell")).drop("cell", "node", "label"))
+        large = labelled.groupBy("_label").count().where(F.col("count") > walked).select("_label")
+        units = labelled.join(large, "_label", "left_anti").withColumn("_unit", F.col("_label").cast("string"))
+        homes.append(_fold_units(units, max_m, cell_m))
+        rest = cut_lineage(labelled.join(large, "_label", "left_semi").select(*spots.columns))
+        if not rest.isEmpty():
+            homes.append(_fold_in_rounds(rest, max_m, cell_m))
+    found = spots.select("_key", "latitude", "longitude", "ord").join(reduce(DataFrame.unionByName, homes), "ord").drop("ord")
+    joined = keyed.join(found, ["_key", "latitude", "longitude"], "left")
     return joined.withColumn("group_id", F.coalesce("group_id", F.col(ordinal))).drop("_key").select(*places.columns, "group_id")
 
 

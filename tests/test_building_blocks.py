@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from dinesight.operators import common
+from dinesight.operators.components import components as common_components
 from dinesight.operators.entities import match_entities
 from dinesight.operators.evaluation import spearman
 
@@ -74,8 +75,41 @@ def test_match_entities_is_greedy(spark):
             groups.append(home)
         want[i] = home[2]
     df = spark.createDataFrame(rows, "ordinal bigint, name string, latitude double, longitude double")
-    got = {r.ordinal: r.group_id for r in match_entities(df, "ordinal").collect()}
-    assert got == want
+    # All in one walk, names split into components, and components too large for one task.
+    for walked in (20_000, 60, 8):
+        got = {r.ordinal: r.group_id for r in match_entities(df, "ordinal", walked=walked).collect()}
+        assert got == want, walked
+
+
+def test_long_chain_is_walked_at_once(spark, caplog):
+    """10,000 places in a row, 40 m apart: each lies in reach of the next, and no round is needed."""
+    step = 40 / 111194.9266
+    rows = spark.range(10_000).selectExpr("id AS ordinal", "'Chain' AS name", f"10.0D + id * {step!r}D AS latitude", "20.0D AS longitude")
+    with caplog.at_level("INFO", logger="dinesight.operators.entities"):
+        got = {r.ordinal: r.group_id for r in match_entities(rows, "ordinal").collect()}
+    assert got == {i: i - i % 2 for i in range(10_000)} and not caplog.records
+    with caplog.at_level("INFO", logger="dinesight.operators.entities"):
+        split = {r.ordinal: r.group_id for r in match_entities(rows.where("ordinal % 100 < 88"), "ordinal", walked=500).collect()}
+    assert split == {i: i - i % 100 % 2 for i in range(10_000) if i % 100 < 88} and not caplog.records
+
+
+def test_places_without_coordinates_stay_alone(spark):
+    rows = [(0, "A", None, 1.0), (1, "A", None, 1.0), (2, "A", float("nan"), 1.0), (3, "A", 95.0, 1.0), (4, "A", 5.0, 1.0), (5, "a", 5.0, 1.0), (6, None, 5.0, 1.0), (7, "", 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "ordinal bigint, name string, latitude double, longitude double")
+    assert {r.ordinal: r.group_id for r in match_entities(df, "ordinal").collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert match_entities(df.where("false"), "ordinal").collect() == []
+
+
+def test_components(spark):
+    random.seed(3)
+    nodes = list(range(300))
+    random.shuffle(nodes)
+    edges = [(nodes[i], nodes[i + 1]) for i in range(150)] + [(nodes[200], n) for n in nodes[201:260]] + [(nodes[290], nodes[291]), (nodes[291], nodes[290]), (nodes[299], nodes[299])]
+    label = {}
+    for part in (nodes[:151], nodes[200:260], nodes[290:292]):
+        label |= dict.fromkeys(part, min(part))
+    got = {r.node: r.label for r in common_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == label and common_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
 def test_representative_not_chain(spark):
