@@ -91,5 +91,7 @@ def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, unchanged."""
-    times = repetitions(_keyed(docs, seed)).where("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    times = repetitions(_keyed(rows, seed).drop("source", "text")).where("_times > 0")
+    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

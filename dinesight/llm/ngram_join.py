@@ -1,10 +1,11 @@
 """Operator 6: n-gram Jaccard join by rare-first prefix filtering.
 
-A document's set holds its distinct three-word shingles (A-Z lower-cased; a
+A document's set holds its distinct shingles of ``size`` words (A-Z lower-cased; a
 shorter text is one shingle; no words, no set). Documents link when the Jaccard
-similarity of their sets is at least 0.9. Equal sets are one node, so copies are
+similarity of their sets is at least ``percent`` hundredths: three words and 90 unless
+said otherwise. Equal sets are one node, so copies are
 never compared. Each node's shingles are ordered rarest first; two linked nodes
-share a shingle among the first tenth of both (prefix filter), their sizes are
+share a shingle among the first of both, a tenth at 90 (prefix filter), their sizes are
 close (length filter), enough shingles are left after the first shared one
 (positional filter), and their histograms over hash ranges overlap enough
 (suffix filter). A surviving pair is verified once on the exact sets.
@@ -22,7 +23,9 @@ not read by the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +36,44 @@ from dinesight.llm.common import stored
 from dinesight.llm.components import components
 from dinesight.llm.kernel import Chunk, chunks, mix, shingles, texts, words
 
-SIZE = 3
+SIZE, PERCENT = 3, 90
 RARITY_BUCKETS = 1 << 16
 HISTOGRAM = 32
 BROADCAST_ROWS = 250_000
 
 
-def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of ``size`` words; a link from a similarity of ``percent`` hundredths on."""
+    size: int = SIZE
+    percent: int = PERCENT
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many of the rarest shingles two linked sets cannot both miss."""
+        return np.where(n > 0, n - (self.percent * n + 99) // 100 + 1, 0)
+
+    def needed(self, a: Column, b: Column) -> Column:
+        """Least overlap of two linked sets of these sizes."""
+        return F.ceil(self.percent * (a + b) / F.lit(100.0 + self.percent))
+
+    def may_link(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+        """Length and positional filter at a shared shingle with positions ``p1`` and ``p2`` (from 0)."""
+        return (100 * F.least(n1, n2) >= self.percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= self.needed(n1, n2))
+
+
+def shingle_sets(chunk: Chunk, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of every distinct shingle, ordered by both."""
     w = words(chunk)
-    h, first = shingles(w, SIZE)
+    h, first = shingles(w, size)
     doc = w.doc[first]
     count = np.bincount(w.doc, minlength=len(chunk))
-    short = np.flatnonzero((count > 0) & (count < SIZE))
+    short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         begin = np.searchsorted(w.doc, short)
         whole = mix(w.hash[begin] + count[short].astype(np.uint64))
-        two = count[short] == 2
-        whole[two] = mix(whole[two] + w.hash[begin[two] + 1] * np.uint64(5))
+        for k in range(1, size - 1):
+            more = count[short] > k
+            whole[more] = mix(whole[more] + w.hash[begin[more] + k] * np.uint64(2 * k + 3))
         h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -59,13 +82,15 @@ def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(RARITY_BUCKETS, np.int64)
-    for batch in batches:
-        for chunk in chunks(texts(batch.column("text")), lower=True):
-            total += np.bincount((shingle_sets(chunk)[1] % np.uint64(RARITY_BUCKETS)).astype(np.int64), minlength=RARITY_BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": total[used]})
+def _rarity(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BUCKETS, np.int64)
+        for batch in batches:
+            for chunk in chunks(texts(batch.column("text")), lower=True):
+                total += np.bincount((shingle_sets(chunk, size)[1] % np.uint64(RARITY_BUCKETS)).astype(np.int64), minlength=RARITY_BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": total[used]})
+    return count
 
 
 def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -75,10 +100,10 @@ def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return running[edges[1:]] - running[edges[:-1]]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per row: uid, doc_id, n (set size), node (key of the set), prefix (rarest first), histogram."""
     totals = np.zeros(RARITY_BUCKETS, np.int64)
-    counted = docs.select("text").mapInArrow(_rarity, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_rarity(rule.size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # one row per bucket at most
         totals[r["bucket"]] = r["n"]
     rarity = docs.sparkSession.sparkContext.broadcast(totals)
@@ -86,14 +111,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(texts(batch.column("text")), lower=True):
-                doc, h = shingle_sets(chunk)
+                doc, h = shingle_sets(chunk, rule.size)
                 n = np.bincount(doc, minlength=len(chunk))
                 node = mix(_sums(doc, mix(h ^ np.uint64(0x51ED270B)), len(chunk)) ^ mix(_sums(doc, h, len(chunk)) + n.astype(np.uint64)))
                 cells = np.bincount(doc * HISTOGRAM + (h >> np.uint64(59)).astype(np.int64), minlength=len(chunk) * HISTOGRAM)
                 order = np.lexsort((h, rarity.value[(h % np.uint64(RARITY_BUCKETS)).astype(np.int64)], doc))
                 begin = np.concatenate([[0], np.cumsum(n)])
                 rank = np.arange(len(h)) - begin[doc]
-                length = np.where(n > 0, n - (9 * n + 9) // 10 + 1, 0)
+                length = rule.prefix(n)
                 prefix = h[order][rank < length[doc]]
                 rows = slice(chunk.first, chunk.first + len(chunk))
                 yield pa.RecordBatch.from_pydict({
@@ -105,16 +130,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "uid long, doc_id long, n long, node long, prefix array<long>, histogram array<int>")
 
 
-def _needed(a: Column, b: Column) -> Column:
-    """Least overlap of two sets of these sizes for a similarity of 0.9."""
-    return F.ceil(9 * (a + b) / F.lit(19.0))
-
-
-def _may_link(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filter at a shared shingle with positions ``p1`` and ``p2`` (from 0)."""
-    return (10 * F.least(n1, n2) >= 9 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= _needed(n1, n2))
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted postings: those that share their shingle with the row before or after, with the row after.
 
@@ -153,21 +168,21 @@ def _linked(table: pa.Table, first: bool, last: bool) -> tuple[list[pa.RecordBat
     return part.combine_chunks().to_batches(), table.slice(max(0, len(tok) - 2))
 
 
-def _ordered(postings: DataFrame, seed: int) -> DataFrame:
+def _ordered(postings: DataFrame, rule: Rule, seed: int) -> DataFrame:
     """Postings in lists: those that may pass the positional filter first, by like size, in a shuffled order."""
-    late = F.col("pos") > F.col("n") - F.ceil(18 * F.col("n") / F.lit(19.0))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(0.9))).cast("int")
+    late = F.col("pos") > F.col("n") - rule.needed(F.col("n"), F.col("n"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(rule.percent / 100))).cast("int")
     keys = ["tok", "_late", "_band", "_order"]
     return (postings.withColumns({"_late": late, "_band": band, "_order": F.xxhash64("node", F.lit(seed))})
             .repartitionByRange(*keys).sortWithinPartitions(*keys).select("tok", "node", "pos", "n"))
 
 
-def chained(postings: DataFrame) -> DataFrame:
+def chained(postings: DataFrame, rule: Rule) -> DataFrame:
     """Postings of shared shingles, each with the next one of its list."""
-    return _ordered(postings, 0).mapInArrow(_neighbours, "tok long, node long, pos int, n long, next_node long, next_pos int, next_n long")
+    return _ordered(postings, rule, 0).mapInArrow(_neighbours, "tok long, node long, pos int, n long, next_node long, next_pos int, next_n long")
 
 
-def paired(postings: DataFrame, seed: int, reach: int) -> DataFrame:
+def paired(postings: DataFrame, rule: Rule, seed: int, reach: int) -> DataFrame:
     """Each posting with the ``reach`` next ones of its list, in another order."""
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
@@ -181,11 +196,11 @@ def paired(postings: DataFrame, seed: int, reach: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({f"{x}{c}": rows[i][at] for x, at in (("", later - k), ("next_", later)) for i, c in ((1, "node"), (2, "pos"), (3, "n"))})
             held = [v[-reach:] for v in rows]
 
-    return _ordered(postings, seed).mapInArrow(pair, "node long, pos int, n long, next_node long, next_pos int, next_n long")
+    return _ordered(postings, rule, seed).mapInArrow(pair, "node long, pos int, n long, next_node long, next_pos int, next_n long")
 
 
-def _pairs(chain: DataFrame) -> DataFrame:
-    may = _may_link(F.col("n"), F.col("pos"), F.col("next_n"), F.col("next_pos"))
+def _pairs(chain: DataFrame, rule: Rule) -> DataFrame:
+    may = rule.may_link(F.col("n"), F.col("pos"), F.col("next_n"), F.col("next_pos"))
     return (chain.where(F.col("next_node").isNotNull() & (F.col("node") != F.col("next_node")) & may)
             .select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct())
 
@@ -197,7 +212,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "packed": pa.array([pa.compress(v, "zstd", asbytes=True) for v in values], pa.binary())})
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Compare the exact sets, made anew from the texts: a packed text is a fraction of its set."""
     for batch in batches:
         packed: dict[int, tuple[bytes, int]] = {}
@@ -206,28 +221,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         names = list(packed)
         for chunk in chunks([pa.decompress(t, n, "zstd", asbytes=True) for t, n in packed.values()], lower=True):
-            doc, h = shingle_sets(chunk)
+            doc, h = shingle_sets(chunk, rule.size)
             edges = np.searchsorted(doc, np.arange(len(chunk) + 1))
             for k in range(len(chunk)):
                 sets[names[chunk.first + k]] = h[edges[k]:edges[k + 1]]
         keep = []
         for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             both = np.concatenate([sets[x], sets[y]])
-            size = len(both)
+            total = len(both)
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= 90 * (size - shared))
+            keep.append(100 * shared >= rule.percent * (total - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose exact sets link; the suffix filter spares most others the texts."""
     facts = nodes.select("node", "n", "uid", "histogram")
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(facts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "uid", "histogram")]), side)
     shared = F.aggregate(F.zip_with("histogram_a", "histogram_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = stored(sides.where(shared >= _needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "uid_a", "uid_b"))
+    left = stored(sides.where(shared >= rule.needed(F.col("n_a"), F.col("n_b"))).select("a", "b", "uid_a", "uid_b"))
     if left.isEmpty():
         return left.select("a", "b")
     wanted = stored(left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("uid_a").alias("uid")), F.struct(F.col("b").alias("node"), F.col("uid_b").alias("uid")))).alias("w"))
@@ -239,7 +254,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     joined = left.select("a", "b")
     for side in ("a", "b"):
         joined = joined.join(packed.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("packed").alias(f"packed_{side}")), side)
-    return stored(joined.mapInArrow(_verify, "a long, b long"))
+    return stored(joined.mapInArrow(partial(_verify, rule=rule), "a long, b long"))
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -263,36 +278,38 @@ def _labelled(postings: DataFrame, found: DataFrame) -> DataFrame:
     return stored(marked.join(mixed, "tok").select("tok", "node", "pos", "n", "label"))
 
 
-def jaccard_classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, rounds: int = 2, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``uid, doc_id, n_shingles, class, component_id`` of every row.
 
     ``class`` is a key of the component (null without shingles), component_id the smallest doc_id in it, ``uid``
     xxhash64 of doc_id and text. ``rounds`` sets how often neighbours are tested before the remaining pairs are.
+    Ties: of equal nodes the smaller id and uid stand for all.
     """
+    rule = Rule(size, percent)
     docs = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(signatures(docs))
+    rows = stored(signatures(docs, rule))
     nodes = stored(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("histogram").alias("histogram")))
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "tok"))
-    chain = stored(chained(postings))
+    chain = stored(chained(postings, rule))
     postings = chain.select("tok", "node", "pos", "n")
-    tested = stored(_pairs(chain))
-    found = _joined(None, verified(tested, nodes, docs))
+    tested = stored(_pairs(chain, rule))
+    found = _joined(None, verified(tested, nodes, docs, rule))
     for seed in range(1, rounds):
         left = _labelled(postings, found)
         crossing = left.select("node", "label").distinct()
-        new = _pairs(paired(left.select("tok", "node", "pos", "n"), seed, 4 * seed))
+        new = _pairs(paired(left.select("tok", "node", "pos", "n"), rule, seed, 4 * seed), rule)
         for side in ("a", "b"):
             new = new.join(crossing.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side)
         new = stored(new.where("label_a <> label_b").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        found, tested = _joined(found, verified(new, nodes, docs)), tested.unionByName(new)
+        found, tested = _joined(found, verified(new, nodes, docs, rule)), tested.unionByName(new)
     left = _labelled(postings, found)
     x, y = left.alias("x"), left.alias("y")
-    may = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    may = rule.may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     rest = (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") < F.col("y.label")) & may)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
-    found = _joined(found, verified(rest, nodes, docs))
+    found = _joined(found, verified(rest, nodes, docs, rule))
     named = nodes.select("node", "smallest").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
     by_node = stored(named.join(smallest, "label").select("node", F.col("label").alias("class"), "component_id"))
@@ -301,12 +318,14 @@ def jaccard_classes(docs: DataFrame, rounds: int = 2) -> DataFrame:
     return linked.select(alone.columns).unionByName(alone)
 
 
-def keep_one_per_class(docs: DataFrame) -> DataFrame:
+def keep_one_per_class(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One document of each class, unchanged, the one with the smallest doc_id; documents without shingles all stay."""
-    classes = jaccard_classes(docs)
-    chosen = classes.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("least")).select(F.col("least.uid").alias("_uid"), F.lit(False).alias("_alone"))
-    alone = classes.where("class IS NULL").select(F.col("uid").alias("_uid"), F.lit(True).alias("_alone")).distinct()
-    kept = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(chosen.unionByName(alone), "_uid")
+    classes = jaccard_classes(docs, size=size, percent=percent)
+    chosen = classes.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("least")).select(F.col("least.uid").alias("uid"), F.lit(False).alias("alone"))
+    alone = classes.where("class IS NULL").select("uid", F.lit(True).alias("alone")).distinct()
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.struct("*").alias("row"))
+    kept = rows.join(chosen.unionByName(alone), "uid")
     # Equal rows of one document are copies of each other; rows without shingles are copies of nothing.
-    row = F.when(F.col("_alone"), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    return kept.withColumn("_row", row).dropDuplicates(["_uid", "_row"]).select(docs.columns)
+    copy = F.when(F.col("alone"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return kept.withColumn("copy", copy).dropDuplicates(["uid", "copy"]).select("row.*")

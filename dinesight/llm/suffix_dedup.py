@@ -232,7 +232,8 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     groups = 1 + (kinds.agg(F.sum("n")).first()[0] or 0) // group_bytes
     # As many as a text has fragments at most.
     wanted = kinds.groupBy("uid").agg(F.collect_list(F.struct("key", "frag", "copies", "hot", "anchor", "lo", "n")).alias("wanted"))
-    cut = packed.join(wanted, "uid").select("packed", "size", "wanted").mapInArrow(
+    # Equal rows share their uid: one of them stands for all.
+    cut = packed.join(wanted, "uid").dropDuplicates(["uid"]).select("packed", "size", "wanted").mapInArrow(
         _cut_out, "key long, frag long, copies long, hot boolean, anchor int, bytes binary")
     # Hot keys are spread by fragment; the others stay together, several to a group of bounded size.
     group = F.pmod(F.when(F.col("hot"), F.xxhash64("key", "frag")).otherwise(F.xxhash64("key")), F.lit(groups))
@@ -241,7 +242,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     often = windows.groupBy("key", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("key", "hash")
     ranges = found.where("hash IS NULL").select("key", "frag", "s", "e").unionByName(windows.join(often, ["key", "hash"]).select("key", "frag", "s", "e"))
     back = mixed.join(ranges, ["key", "frag"]).select("uid", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
-    return plain.unionByName(back).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return plain.unionByName(back).groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -289,14 +290,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column("text").to_pylist()
+            row = batch.column("row")
+            given = row.field("text").to_pylist()
             left = [None if g is None else b"".join(_cut(g.encode(), runs)[0]).decode("utf-8", "ignore")
-                    for g, runs in zip(given, batch.column("_spans").to_pylist(), strict=True)]
-            values = {c: batch.column(c) for c in columns} | {"text": pa.array(left, pa.string())}
+                    for g, runs in zip(given, batch.column("spans").to_pylist(), strict=True)]
+            values = {c: row.field(c) for c in columns} | {"text": pa.array(left, pa.string())}
             if "n_chars" in columns:
-                values["n_chars"] = pa.array([None if t is None else len(t) for t in left], batch.column("n_chars").type)
+                values["n_chars"] = pa.array([None if t is None else len(t) for t in left], values["n_chars"].type)
             yield pa.RecordBatch.from_pydict(values)
 
-    keyed = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    spans = spans.select(F.col("uid").alias("_uid"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, "_uid", "left").select(*columns, "_spans").mapInArrow(cut, schema)
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("uid"), F.struct("*").alias("row"))
+    return rows.join(spans, "uid", "left").select("row", "spans").mapInArrow(cut, schema)

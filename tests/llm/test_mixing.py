@@ -45,7 +45,7 @@ def test_targets_and_taken(table):
 
 
 def test_mix_repeats_documents_unchanged(table):
-    docs = table(corpus()).selectExpr("*", "doc_id AS _extra")
+    docs = table(corpus()).selectExpr("*", "doc_id AS _extra", "1 AS target", "2 AS source_size", "3 AS _size", "4 AS _s", "5 AS row", "6 AS _order")
     times = defaultdict(int)
     for r in mixed_documents(docs).collect():
         assert r["_extra"] == r["doc_id"]

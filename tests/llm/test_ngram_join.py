@@ -3,13 +3,13 @@ import random
 from dinesight.llm.ngram_join import jaccard_classes, keep_one_per_class
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\n", " ").split(" ") if w]
-    return {tuple(words[k:k + 3]) for k in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} - {()}
+    return {tuple(words[k:k + size]) for k in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, size=3, percent=90):
+    sets = [shingles(t, size) for _, t in rows]
     label = list(range(len(rows)))
 
     def find(k):
@@ -19,7 +19,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 label[find(i)] = find(j)
     least = {}
     for k, (doc, _) in enumerate(rows):
@@ -54,9 +54,20 @@ def test_classes_against_brute_force(table):
     assert got == brute(rows)
 
 
+def test_five_words_and_eight_tenths(table):
+    """Also a pair of similarity 0.82 that three words and 0.9 do not link."""
+    near = [f"v{k}" for k in range(104)]
+    other = [*near[:50], "edit", *near[51:90], "edit", *near[91:]]
+    assert 0.8 <= len(shingles(" ".join(near), 5) & shingles(" ".join(other), 5)) / len(shingles(" ".join(near), 5) | shingles(" ".join(other), 5)) < 0.84
+    rows = corpus() + [(900, " ".join(near)), (901, " ".join(other)), (902, "a b c d"), (903, "a b c d e")]
+    for size, percent in ((5, 80), (1, 70)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_classes(table(rows), size=size, percent=percent).collect())
+        assert got == brute(rows, size, percent)
+
+
 def test_one_of_each_class_stays(table):
     rows = corpus()
-    docs = table(rows).selectExpr("*", "doc_id AS uid", "doc_id AS node")
+    docs = table(rows).selectExpr("*", "doc_id AS uid", "doc_id AS node", "1 AS _uid", "2 AS _row", "3 AS _alone", "4 AS row", "5 AS alone", "6 AS copy", "7 AS class")
     kept = sorted(r["doc_id"] for r in keep_one_per_class(docs).collect())
     assert kept == sorted({c if n else d for d, n, c in brute(rows)})
 

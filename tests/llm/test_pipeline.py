@@ -28,10 +28,10 @@ def test_every_stage_on_its_own_input(spark):
             junk = [r["doc_id"] for r in before if quality.get(r["doc_id"]) == 0]
             assert sum(d not in ids for d in junk) >= 0.5 * len(junk)
         elif name == "ngram_join":
-            assert sorted(ids) == sorted({c for _, _, c in classes([(r["doc_id"], r["text"]) for r in before])}) and len(after) == len(ids)
+            assert sorted(ids) == sorted({c for _, _, c in classes([(r["doc_id"], r["text"]) for r in before], 5, 80)}) and len(after) == len(ids)
         elif name == "suffix_dedup":
             assert len(after) == len(before)
-            want = {r["doc_id"]: n - removed for r, (n, removed, _, _) in zip(before, cut([r["text"] for r in before], 400), strict=True)}
+            want = {r["doc_id"]: n - removed for r, (n, removed, _, _) in zip(before, cut([r["text"] for r in before], corpus_pipeline.REPEATED_BYTES), strict=True)}
             assert all(0 <= want[r["doc_id"]] - len(r["text"].encode()) <= 8 and r["n_chars"] == len(r["text"]) for r in after)
         elif name == "mixing":
             assert 1.2 < sum(len(r["text"].split()) for r in after) / sum(len(r["text"].split()) for r in before) < 1.8

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from dinesight.llm.suffix_array import suffix_array
-from dinesight.llm.suffix_dedup import suffix_dedup, without_repeats
+from dinesight.llm.suffix_dedup import _keyed, _packed, repeated_spans, suffix_dedup, without_repeats
 
 
 def test_suffix_array_against_sorting():
@@ -60,9 +60,24 @@ def test_repeated_rows_nulls_and_empty_table(table):
     assert suffix_dedup(table([])).collect() == []
 
 
+def test_a_thousand_equal_rows(table):
+    """Equal rows share their spans instead of multiplying them."""
+    random.seed(3)
+    shared = "".join(random.choice("abcdefgh ") for _ in range(700))
+    others = [(2, "y" * 70 + shared), (3, shared[50:600] + "z" * 30)]
+
+    def spans(times):
+        keyed = _keyed(table([(1, shared + "x" * 90)] * times + others))
+        return sorted(len(r["spans"]) for r in repeated_spans(keyed, _packed(keyed), 60).collect())
+    assert spans(1000) == spans(2)
+    docs = table([(1, shared + "x" * 90)] * 1000 + others)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup(docs, 60).collect())
+    assert got == [(1, 790, 790)] * 1000 + [(2, 770, 700), (3, 580, 550)]
+
+
 def test_cut_texts_keep_columns(table):
     texts = corpus()
-    docs = table(texts).selectExpr("*", "doc_id AS uid", "doc_id AS spans")
+    docs = table(texts).selectExpr("*", "doc_id AS uid", "doc_id AS spans", "1 AS _uid", "2 AS _spans", "3 AS row", "4 AS packed")
     rows = {r["doc_id"]: r for r in without_repeats(docs, 60).collect()}
     assert rows[0]["text"] is None and rows[2]["text"] == "short" and rows[3]["text"] == "" and rows[3]["n_chars"] == 0
     for k, (_, _, _, digest) in enumerate(brute(texts, 60)):
