@@ -18,19 +18,23 @@ from dinesight.llm.sentencepiece import encoded
 from dinesight.llm.suffix_dedup import without_repeats
 
 
+#: Fifty words with a space each take more; a passage has to be caught wherever it begins and ends.
+REPEATED_BYTES = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return keep_one_per_class(docs)
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return keep_one_per_class(docs, size=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that repeat are cut from the texts."""
-    return without_repeats(docs)
+    """Repeated strings are cut from the texts, from the length of a passage of some 50 short words on."""
+    return without_repeats(docs, REPEATED_BYTES)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
