@@ -27,7 +27,12 @@ def daily_requests(spark, sf_dir):
     return jobs.daily_requests(_log(spark, sf_dir), 330)
 
 
-@query("admissions", "ST-2")
+@query("admissions", "ST-2",
+       "WITH RECURSIVE o AS (SELECT CAST(user_id % 5 AS VARCHAR) AS client, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events), "
+       "w(client, i, event_id, admitted, hits) AS (SELECT client, i, event_id, true, [t] FROM o WHERE i = 1 UNION ALL "
+       "SELECT client, i, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END FROM ("
+       "SELECT o.client, o.i, o.event_id, o.t, list_filter(w.hits, lambda h: h > o.t - 600000000) AS live FROM w JOIN o ON o.client = w.client AND o.i = w.i + 1)) "
+       "SELECT client, event_id, admitted FROM w")
 def admissions(spark, sf_dir):
     return jobs.admissions(_log(spark, sf_dir), limit=2, window_s=600)
 

@@ -10,6 +10,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dinesight.operators.caching import NEGATIVE_TTL_S, POSITIVE_TTL_S, attempts_in_window
 from dinesight.operators.common import carry_forward, keep_first
+from dinesight.session import cut_lineage
 
 WATERMARK = "10 minutes"
 REQUEST_LIMIT, AUTH_FAILURE_LIMIT = 30, 15
@@ -88,39 +90,96 @@ def admission_stream(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int =
 
 
 def _admit(batches: Iterator[pd.DataFrame], limit: int, window_us: int) -> Iterator[pd.DataFrame]:
-    """Walk sorted rows, keeping at most ``limit`` timestamps of the current run."""
+    """Walk sorted rows, keeping the admitted timestamps of the current piece; rows with ``held`` were admitted before.
+
+    While the queue is full no row is looked at until the oldest timestamp leaves the window.
+    """
     current, hits = None, deque()
     for rows in batches:
-        admitted = []
-        for client, run, at in zip(rows["client"], rows["run"], rows["t"]):
-            if (client, run) != current:
-                current, hits = (client, run), deque()
-            while hits and hits[0] <= at - window_us:
-                hits.popleft()
-            admitted.append(len(hits) < limit)
-            if admitted[-1]:
-                hits.append(at)
-        yield rows[["client", "event_id"]].assign(admitted=admitted)
-
-
-def admissions(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int = 60) -> DataFrame:
-    """Batch twin of admission_stream.
-
-    A client's log splits where it paused for a whole window: nothing before a
-    pause can matter after it. Where a run never has more than ``limit`` attempts
-    in a window, all are admitted as they are; only other runs are walked, spread
-    over tasks, each streaming over sorted rows with a bounded queue.
+        times, held = rows["t"].to_numpy(), rows["held"].to_numpy()
+        admitted = held.copy()
+        same = (rows["client"] == rows["client"].shift()) & (rows["piece"] == rows["piece"].shift())
+        edges = [*np.flatnonzero(~same.to_numpy()).tolist(), len(rows)]
+        for first, stop in zip(edges, edges[1:]):
+            key = (rows["client"].iloc[first], rows["piece"].iloc[first])
+            if key != current:
+                current, hits = key, deque()
+            k = first
+            while k < stop:
+                at = times[k]
+                while hits and hits[0] <= at - window_us:
+                    hits.popleft()
+                if held[k] or len(hits) < limit:
+                    admitted[k] = True
+                    hits.append(at)
+                    k += 1
+                else:
+                    k += max(1, int(np.searchsorted(times[k:stop], hits[0] + window_us)))
+        yield rows[["client", "piece", "event_id", "t", "held"]].assign(admitted=admitted)
+
+
+def _pieces(counted: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Rows that may meet a full queue, with the piece of the log they belong to: ``client, piece, event_id, t``.
+
+    An attempt with at most ``limit`` attempts in its window is admitted whatever came before. So the queue is known wherever a
+    whole window held no fuller one: a piece starts a window before the first full attempt and ends with the last.
+    """
+    rows = counted.select("client", "event_id", F.unix_micros("ts").alias("t"), "ts", "attempts")
+    full = rows.where(F.col("attempts") > limit).select("client", "ts", "t").distinct()
+    before = full.select("client", F.timestamp_micros(F.col("t") + 1).alias("ts"), F.col("t").alias("_seen"), F.lit(None).cast("bigint").alias("t"))
+    asked = full.select("client", "ts", F.lit(None).cast("bigint").alias("_seen"), "t").unionByName(before)
+    # What lies just behind an attempt sorts after it and before the next one.
+    last = carry_forward(asked, ["client"], "ts", ["ts", "t"], F.col("_seen"), "_last").where("t IS NOT NULL")
+    starts = last.withColumn("_start", F.when(F.col("_last").isNull() | (F.col("t") - F.col("_last") >= window_us), F.col("t")))
+    chains = carry_forward(starts, ["client"], "ts", ["ts"], F.col("_start"), "piece")
+    pieces = chains.groupBy("client", "piece").agg(F.max("t").alias("end"))
+    opening = pieces.select("client", F.timestamp_micros(F.col("piece") - window_us + 1).alias("ts"), F.struct("piece", "end").alias("_p"),
+                            F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("attempts"))
+    every = rows.withColumn("_p", F.lit(None).cast("struct<piece:bigint,end:bigint>")).unionByName(opening)
+    held = carry_forward(every, ["client"], "ts", ["ts", "event_id"], F.col("_p"), "_in").where("t IS NOT NULL")
+    return held.where(F.col("t") <= F.col("_in.end")).select("client", F.col("_in.piece").alias("piece"), "event_id", "t")
+
+
+def admissions(log: DataFrame, limit: int = REQUEST_LIMIT, window_s: int = 60, slice_rows: int = 1_000_000) -> DataFrame:
+    """Batch twin of admission_stream: ``client, event_id, admitted``.
+
+    Only pieces of a client's log in which the queue can be full are walked, each streaming over sorted rows with a bounded queue. Of
+    the attempts of one instant only the first ``limit`` can be admitted. A piece of more than ``slice_rows`` rows is cut in
+    slices that hand their queue over: the admitted rows of the last window lead the next slice, so no task holds or
+    sorts more than a slice, and a lost one costs that slice.
     """
+    window_us = window_s * 1_000_000
     counted = attempts_in_window(log, "client", "ts", window_s)
-    peers = counted.groupBy("client", "ts").agg(F.count("*").alias("_peers"))
-    marked = counted.join(peers, ["client", "ts"]).withColumn("_start", F.when(F.col("attempts") == F.col("_peers"), F.unix_micros("ts")))
-    runs = carry_forward(marked, ["client"], "ts", ["ts", "event_id"], F.col("_start"), "run")
-    flat = runs.select("client", "event_id", "run", F.unix_micros("ts").alias("t"), "attempts")
-    crowded = flat.groupBy("client", "run").agg(F.max("attempts").alias("_most")).where(F.col("_most") > limit).select("client", "run")
-    ordered = flat.join(crowded, ["client", "run"], "left_semi").repartition("client", "run").sortWithinPartitions("client", "run", "t", "event_id")
-    walked = ordered.mapInPandas(partial(_admit, limit=limit, window_us=window_s * 1_000_000), "client string, event_id bigint, admitted boolean")
-    free = flat.join(crowded, ["client", "run"], "left_anti").select(F.col("client").cast("string").alias("client"), "event_id", F.lit(True).alias("admitted"))
-    return walked.unionByName(free)
+    near = cut_lineage(keep_first(_pieces(counted, limit, window_us), ["client", "piece", "t"], [F.asc("event_id")], limit))
+    sizes = near.groupBy("client", "piece").agg(F.count("*").alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > slice_rows))
+    schema = "client string, piece bigint, event_id bigint, t bigint, held boolean, admitted boolean"
+
+    def walk(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("client", "piece").sortWithinPartitions("client", "piece", "t", F.desc("held"), "event_id")
+        return ordered.mapInPandas(partial(_admit, limit=limit, window_us=window_us), schema)
+
+    fresh = near.select(F.col("client").cast("string").alias("client"), "piece", "event_id", "t", F.lit(False).alias("held"))
+    big = large.select(F.col("client").cast("string").alias("client"), "piece", "n")
+    walked = walk(fresh.join(big, ["client", "piece"], "left_anti"))
+    most = big.agg(F.max("n")).first()[0] or 0
+    if most:
+        # Cuts at approximate quantiles of time, at most one per slice_rows rows.
+        parts = -(-most // slice_rows)
+        cuts = fresh.join(big, ["client", "piece"]).groupBy("client", "piece").agg(F.percentile_approx("t", [k / parts for k in range(1, parts)], 10_000).alias("cuts"))
+        sliced = cut_lineage(fresh.join(cuts, ["client", "piece"]).withColumn("_slice", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("t")))).drop("cuts"))
+        queue = None
+        for k in range(parts):
+            rows = sliced.where(F.col("_slice") == k).drop("_slice")
+            done = cut_lineage(walk(rows if queue is None else rows.unionByName(queue)))
+            ends = done.groupBy("client", "piece").agg(F.max("t").alias("_end"))
+            queue = done.join(ends, ["client", "piece"]).where(F.col("admitted") & (F.col("t") > F.col("_end") - window_us)).select(
+                "client", "piece", "event_id", "t", F.lit(True).alias("held"))
+            walked = walked.unionByName(done)
+    decided = walked.where("NOT held").select("client", "event_id", "admitted")
+    # Full attempts beyond the first ones of their instant were never walked, and all others are admitted.
+    all_rows = counted.select(F.col("client").cast("string").alias("client"), "event_id", (F.col("attempts") <= limit).alias("_free"))
+    return all_rows.join(decided, ["client", "event_id"], "left").select("client", "event_id", F.coalesce("admitted", "_free").alias("admitted"))
 
 
 # --- Keyed tables fed by streams -------------------------------------------------------

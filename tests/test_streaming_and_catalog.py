@@ -102,3 +102,26 @@ def test_query_equals_sql(spark, name):
 def test_catalog_covers_inventory():
     covered = {c for e in load().values() for c in e.covers}
     assert len(load()) > 200 and {"JN-1", "RS-2", "TX-9", "ST-2", "WI-10", "AG-21"} <= covered
+
+
+@pytest.mark.parametrize("slice_rows", [1_000_000, 700])
+def test_admissions_of_crowded_clients(spark, slice_rows):
+    """A flood, busy stretches with pauses, many attempts in one instant; pieces whole and cut in slices."""
+    import random
+    draw = random.Random(5)
+    rows, t = [], 0
+    for k in range(6000):
+        t += draw.choice([0, 0, 1, 2]) if k % 2000 < 1500 else draw.choice([5, 20, 59, 60, 61, 130])
+        rows.append(("flood" if k % 3 else "other", k, t))
+    rows += [("instant", 10_000 + k, 100 + (k // 400) * 30) for k in range(1600)]
+    rows += [("calm", 20_000 + k, k * 61) for k in range(50)]
+    draw.shuffle(rows)
+    log = spark.createDataFrame(rows, "client string, event_id bigint, s bigint").select("client", "event_id", F.timestamp_seconds("s").alias("ts"))
+    got = {r.event_id: r.admitted for r in jobs.admissions(log, limit=7, slice_rows=slice_rows).collect()}
+    hits, want = {}, {}
+    for client, event, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        live = [h for h in hits.get(client, []) if h > at - 60]
+        want[event] = len(live) < 7
+        hits[client] = live + ([at] if want[event] else [])
+    assert got == want and set(want.values()) == {True, False}
+    assert jobs.admissions(log.where("false"), slice_rows=slice_rows).collect() == []
