@@ -290,6 +290,20 @@ def community_signals(spark, sf_dir):
     return found.select(F.split("restaurant_id", "-")[0].cast("bigint").alias("restaurant_id"), "turn", "type", "allergen", "quote")
 
 
+_DIETS = ["Vegan", "vegetarian ", "keto", "", "vegan"]
+
+
+@query("community_diets", "TX-23", with_tables(
+    f"SELECT restaurant_id, turn, lower(trim(diet)) AS diet, quote[1:240] AS quote, 'https://r.test/' || restaurant_id AS url, 'community' AS source FROM (SELECT *, {pick_sql(_DIETS, 'restaurant_id + turn')} AS diet FROM reviews) "
+    f"WHERE lower(trim(diet)) IN ('vegan', 'vegetarian') AND quote <> '' AND contains({collapsed('bundle')}, {collapsed('quote')})", reviews=REVIEWS_SQL))
+def community_diets(spark, sf_dir):
+    rows = parsed_reviews(spark, sf_dir).withColumns({
+        "diet": pick(_DIETS, F.col("restaurant_id") + F.col("turn")), "url": F.concat(F.lit("https://r.test/"), F.col("restaurant_id").cast("string")),
+        "restaurant_id": F.concat_ws("-", "restaurant_id", "turn")})
+    found = ev.community_diets(rows.select("restaurant_id", "turn", "diet", "quote"), rows.select("restaurant_id", "bundle", "url"))
+    return found.select(F.split("restaurant_id", "-")[0].cast("bigint").alias("restaurant_id"), "turn", "diet", "quote", "url", "source")
+
+
 @query("community_dishes", "TX-23",
        "SELECT restaurant_id, item_name FROM (SELECT conv_id AS restaurant_id, trim(w) AS item_name, row_number() OVER (PARTITION BY conv_id, lower(trim(w)) ORDER BY turn, w) AS rn "
        "FROM (SELECT conv_id, turn, unnest(string_split(text, '.')) AS w FROM conversations) WHERE length(trim(w)) BETWEEN 1 AND 80) WHERE rn = 1")

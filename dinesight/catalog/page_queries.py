@@ -248,7 +248,11 @@ _GRID_SQL = (f"SELECT page_id, item_name, array_to_string(list_sort(list_distinc
 
 @query("allergen_grid_long", "TX-9", _GRID_SQL)
 def allergen_grid_long(spark, sf_dir):
-    pages = _marked_up(spark, sf_dir, _grid_html(F.col(_N)))
+    # On two pages of three the chart stands inside layout tables.
+    depth = (F.col(_N) % 3).cast("int")
+    nested = F.concat(F.repeat(F.lit("<TABLE class=layout><tr><td>Menu</td><td>Allergens</td></tr><tr><td>"), depth), _grid_html(F.col(_N)),
+                      F.repeat(F.lit("</td><td>x</td></tr></table >"), depth))
+    pages = _marked_up(spark, sf_dir, nested)
     return x.allergen_grid_long(pages).select("page_id", "item_name", F.array_join("allergen_terms", ",").alias("allergen_terms"),
                                               F.array_join("matrix_allergen_columns", ",").alias("columns"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dinesight.catalog import query
 from dinesight.catalog.evidence_queries import first
+from dinesight.catalog.scoring_queries import NUT_TABLES, RISKIEST, all_class_evidence, doubles
 from dinesight.catalog.source_queries import CITY_FACTS, HOST
 from dinesight.catalog.tables import DISHES_SQL, LINKS_SQL, PLACES_SQL, dishes, links, pick, pick_sql, places, table, with_tables
 from dinesight.functions import urls as u
@@ -136,19 +137,48 @@ def sample_items(spark, sf_dir):
     return r.sample_items(dishes(spark, sf_dir)).select("restaurant_id", "item_name", "position")
 
 
-@query("dossier", "RS-13")
+_QUOTES = (f"(SELECT restaurant_id, position, text AS quote FROM (SELECT 's' || CAST(conv_id % 100 AS VARCHAR) AS restaurant_id, n * 50 % 1000 AS position, text, {pick_sql(plan.REVIEW_KINDS, 'n')} AS type "
+           "FROM (SELECT *, conv_id * 3 + turn AS n FROM conversations)) WHERE type IN ('adverse_event', 'allergen_presence', 'good_handling'))")
+_DOSSIER = (
+    "SELECT s.user_id, p.restaurant_id, p.name, coalesce(s.tier, 'unknown') AS tier, s.tier IS NOT NULL AS verified, s.risk, coalesce(s.basis, '') AS basis, coalesce(w.watch, '') AS watch, coalesce(w.n_watch, 0) AS n_watch, "
+    "coalesce(f.parsed, 0) AS parsed_count, greatest(0, coalesce(f.parsed, 0) - coalesce(w.shown, 0)) AS other_count, coalesce(q.quotes, '') AS quotes, coalesce(q.n_quotes, 0) AS n_quotes, "
+    "coalesce(u.sources, '') AS sources, coalesce(u.n_sources, 0) AS n_sources, r.ask_staff, r.nut_free_claim FROM places p LEFT JOIN scored s ON s.restaurant_id = p.restaurant_id "
+    "LEFT JOIN flags f ON f.restaurant_id = p.restaurant_id LEFT JOIN rest r ON r.restaurant_id = p.restaurant_id "
+    f"LEFT JOIN (SELECT restaurant_id, string_agg(name, '|' ORDER BY position) AS watch, count(*) AS n_watch, count(*) AS shown FROM ({RISKIEST}) GROUP BY 1) w ON w.restaurant_id = p.restaurant_id "
+    "LEFT JOIN (SELECT restaurant_id, md5(string_agg(quote, '|' ORDER BY position, quote) FILTER (rn <= 12)) AS quotes, count(*) AS n_quotes FROM (SELECT *, row_number() OVER (PARTITION BY restaurant_id ORDER BY position, quote) AS rn "
+    f"FROM {_QUOTES}) GROUP BY 1) q ON q.restaurant_id = p.restaurant_id "
+    "LEFT JOIN (SELECT restaurant_id, string_agg(menu_source_url, '|' ORDER BY menu_source_url) AS sources, count(*) AS n_sources FROM (SELECT DISTINCT restaurant_id, menu_source_url FROM dishes) GROUP BY 1) u ON u.restaurant_id = p.restaurant_id")
+
+
+def _quotes(spark, sf_dir):
+    shown = plan.reviews(spark, sf_dir).where(F.col("type").isin("adverse_event", "allergen_presence", "good_handling"))
+    return shown.select("restaurant_id", F.col("age_days").alias("position"), "quote", "type")
+
+
+@query("dossier", "RS-13", doubles(with_tables(_DOSSIER, **NUT_TABLES)))
 def dossier(spark, sf_dir):
-    rows = places(spark, sf_dir)
-    verdicts = risk.profile_rollup(plan.assessed(spark, sf_dir, "nuts").where("user_id = 1")).drop("user_id")
-    watch = dishes(spark, sf_dir).where("arrival LIKE '%01'").select("restaurant_id", F.substring("arrival", 1, 14).cast("bigint").alias("position"), F.col("item_name").alias("name"), F.lit(0.9).alias("risk"))
-    from dinesight.operators.common import keep_first
-    top = keep_first(watch, ["restaurant_id"], [F.asc("position"), F.asc("name")], 5)
+    verdicts = risk.profile_rollup(plan.assessed(spark, sf_dir, "nuts"))
+    evidence = all_class_evidence(spark, sf_dir)
     signals = plan.restaurants(spark, sf_dir).select("restaurant_id", *risk.SIGNALS)
-    return r.dossier(rows, verdicts, top, signals).select("restaurant_id", "verdict.tier", "verdict.verified", "dishes.n_watch")
+    sources = dishes(spark, sf_dir).select("restaurant_id", F.col("menu_source_url").alias("source_url"))
+    out = r.dossier(places(spark, sf_dir), verdicts, risk.riskiest_items(evidence), signals, items=evidence.select("restaurant_id", "parsed"),
+                    quotes=_quotes(spark, sf_dir).drop("type"), sources=sources)
+
+    def joined(c):
+        return F.coalesce(F.array_join(c, "|"), F.lit(""))
+
+    return out.select("user_id", "restaurant_id", "header.name", "verdict.tier", "verdict.verified", F.col("verdict.overall_risk").alias("risk"), "verdict.basis",
+                      joined(F.col("dishes.watch.name")).alias("watch"), "dishes.n_watch", "dishes.parsed_count", "dishes.other_count",
+                      F.when(F.col("community.quotes").isNotNull(), F.md5(joined(F.col("community.quotes")))).otherwise("").alias("quotes"), "community.n_quotes",
+                      joined(F.col("provenance.sources")).alias("sources"), "provenance.n_sources", "restaurant_signals.ask_staff", "restaurant_signals.nut_free_claim")
 
 
 @query("score_bundles", "RS-10")
 def score_bundles(spark, sf_dir):
-    assessments = plan.assessed(spark, sf_dir, "nuts").where("severity = 'anaphylaxis'")
-    menus = risk.compact_menu(dishes(spark, sf_dir), 20)
-    return r.score_bundles(assessments, plan.restaurants(spark, sf_dir), menus).select("user_id", "restaurant_id", F.length("bundle").alias("n_chars"))
+    assessments = plan.assessed(spark, sf_dir, "nuts")
+    evidence = all_class_evidence(spark, sf_dir)
+    charts = evidence.groupBy("restaurant_id").agg(F.bool_or("chart").alias("chart"))
+    named = places(spark, sf_dir).select("restaurant_id", "name")
+    rests = plan.restaurants(spark, sf_dir).join(charts, "restaurant_id", "left").join(named, "restaurant_id", "left").withColumn("chart", F.coalesce("chart", F.lit(False)))
+    flagged = risk.riskiest_items(evidence).where("NOT is_suspected").select("restaurant_id", "position", "name")
+    return r.score_bundles(assessments, rests, risk.compact_menu(dishes(spark, sf_dir)), _quotes(spark, sf_dir), flagged)

@@ -178,7 +178,7 @@ def ranked_restaurants(spark, sf_dir):
     return plan.ranked_restaurants(spark, sf_dir)
 
 
-def _all_class_evidence(spark, sf_dir):
+def all_class_evidence(spark, sf_dir):
     rest = plan.restaurants(spark, sf_dir)
     none = F.lit(None).cast("array<string>")
     needs = rest.select("restaurant_id", F.lit("nuts|*").alias("class_key"), F.lit("nuts").alias("allergen"), none.alias("nut_types"), text_array(["peanuts", "tree_nuts"]).alias("families"))
@@ -191,20 +191,22 @@ FLAG_COLUMNS = "restaurant_id, parsed, risky, suspected, chart_hit, text_hit, cr
 @query("evidence_flags", "AG-10", with_tables(f"SELECT {FLAG_COLUMNS}, round(CAST(top AS DOUBLE), 4) AS top_risk, round(CAST(trust AS DOUBLE), 4) AS trust FROM flags",
                                                **{k: v for k, v in NUT_TABLES.items() if k not in ("scored", "prefs", "comm", "pairs", "reviews")}))
 def evidence_flags(spark, sf_dir):
-    return risk.evidence_flags(_all_class_evidence(spark, sf_dir)).select(
+    return risk.evidence_flags(all_class_evidence(spark, sf_dir)).select(
         *FLAG_COLUMNS.replace(" ", "").split(","), F.round("top_risk", 4).alias("top_risk"), F.round("trust", 4).alias("trust"))
 
 
 _PER_DISH = f"SELECT restaurant_id, trim(item_name) AS name, max(prior_risk) AS prior, max(base_risk) AS base, bool_or({_NUTS_HIT} AND chart) AS ch, bool_or({_NUTS_HIT}) AS hit, bool_or(prior_basis = 'suspected_nuts') AS sus, min(arrival) AS arrival FROM {_NUT_ITEMS} GROUP BY ALL"
 
 
-@query("riskiest_items", "WI-15", with_tables(
+RISKIEST = (
     "SELECT restaurant_id, name, CAST(row_number() OVER (PARTITION BY restaurant_id ORDER BY CASE WHEN charted THEN pc ELSE pp END) AS INTEGER) AS position, CAST(CASE WHEN charted THEN 0.95 ELSE round(prior, 3) END AS DOUBLE) AS risk FROM (SELECT *, "
     "bool_or(ch) OVER (PARTITION BY restaurant_id) AS charted, row_number() OVER (PARTITION BY restaurant_id, ch ORDER BY arrival, name) AS pc, row_number() OVER (PARTITION BY restaurant_id ORDER BY prior DESC, arrival, name) AS pp "
-    f"FROM ({_PER_DISH})) WHERE CASE WHEN charted THEN ch AND pc <= 8 ELSE pp <= 8 AND (hit OR sus OR prior >= greatest(0.5, base + 0.1)) END",
-    **{k: v for k, v in COMMON.items() if k not in ("pairs", "reviews")}))
+    f"FROM ({_PER_DISH})) WHERE CASE WHEN charted THEN ch AND pc <= 8 ELSE pp <= 8 AND (hit OR sus OR prior >= greatest(0.5, base + 0.1)) END")
+
+
+@query("riskiest_items", "WI-15", with_tables(RISKIEST, **{k: v for k, v in COMMON.items() if k not in ("pairs", "reviews")}))
 def riskiest_items(spark, sf_dir):
-    return risk.riskiest_items(_all_class_evidence(spark, sf_dir)).select("restaurant_id", "name", "position", "risk")
+    return risk.riskiest_items(all_class_evidence(spark, sf_dir)).select("restaurant_id", "name", "position", "risk")
 
 
 @query("restaurant_risk_rollup", "AG-9", with_tables(

@@ -258,6 +258,24 @@ def community_signals(parsed: DataFrame, snippets: DataFrame) -> DataFrame:
     return joined.drop("_text").withColumns({"type": kind, "allergen": community_allergen(F.col("allergen")), "quote": F.substring(quote, 1, 240)})
 
 
+def community_quotes(signals: DataFrame) -> DataFrame:
+    """The grounded quotes of ``community_signals`` that are worth showing: reactions, presence and good handling."""
+    return signals.where(F.col("type").isin("adverse_event", "allergen_presence", "good_handling")).select("restaurant_id", "quote")
+
+
+def community_diets(parsed: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Vegetarian and vegan quotes that occur in the snippets they came from, with the snippets' first address.
+
+    ``parsed`` holds restaurant_id, diet, quote; ``snippets`` restaurant_id, bundle, url. The text of a bundle is normalised once,
+    whatever the number of quotes; quotes of one place and diet that say the same stay apart, as they came.
+    """
+    texts = snippets.select("restaurant_id", norm_ws(F.col("bundle")).alias("_text"), blank_to_empty(F.col("url")).alias("url"))
+    diet, quote = F.lower(F.trim(blank_to_empty(F.col("diet")))), F.trim(blank_to_empty(F.col("quote")))
+    wanted = parsed.withColumns({"diet": diet, "quote": quote}).where(F.col("diet").isin("vegetarian", "vegan") & (F.length("quote") > 0))
+    grounded = wanted.join(texts, "restaurant_id").where(F.col("_text").contains(norm_ws(F.col("quote")))).drop("_text")
+    return grounded.withColumns({"quote": F.substring("quote", 1, 240), "source": F.lit("community")})
+
+
 def community_dishes(mentions: DataFrame) -> DataFrame:
     """Review-mentioned dishes: distinct names up to 80 characters, low confidence."""
     name = F.trim("dish")

@@ -282,9 +282,29 @@ def _grid_items(rows: DataFrame, id_cols: Sequence[str], name_text, marked) -> D
         F.lit("allergen_matrix").alias("extraction_method"), F.lit(0.9).alias("confidence"))
 
 
+def own_tables(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``id_col, table_ord, _table``: markup of every table, tables inside it left out; they are rows of their own.
+
+    A page is cut at the tags of tables. Running sums give the depth of each piece (a stray end tag does not go below the page), and a
+    piece belongs to the table that was opened last at its depth. A table without an end goes to the end of the page.
+    """
+    parts = F.split("html", r"(?i)(?=<table\b)|(?=</table\s*>)")
+    pieces = pages.where(F.col("html").rlike(r"(?i)<table\b")).select(id_col, F.xxhash64("html").alias("_page"), F.posexplode(parts).alias("_i", "_piece"))
+    order = Window.partitionBy(id_col, "_page").orderBy("_i")
+    # The same page given twice is one page.
+    pieces = pieces.withColumn("_again", F.lag("_i").over(order) == F.col("_i")).where(F.coalesce(~F.col("_again"), F.lit(True)))
+    step = F.when(F.col("_piece").rlike(r"(?i)^<table\b"), 1).when(F.col("_piece").rlike(r"(?i)^</table"), -1).otherwise(0)
+    pieces = pieces.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(order))
+    pieces = pieces.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order)))
+    opened = F.last(F.when(F.col("_step") == 1, F.col("_i")), ignorenulls=True).over(Window.partitionBy(id_col, "_page", "_depth").orderBy("_i"))
+    inside = pieces.where("_depth > 0").withColumn("table_ord", opened).withColumn("_piece", F.regexp_replace("_piece", r"(?i)^</table\s*>", " "))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_piece"))), lambda p: p["_piece"]), "")
+    return inside.groupBy(id_col, "_page", "table_ord").agg(joined.alias("_table")).drop("_page")
+
+
 def allergen_grid_long(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Dish rows of HTML dish-by-allergen tables, one row per dish and page."""
-    tables = pages.select(id_col, F.posexplode(blocks(F.col("html"), "table")).alias("table_ord", "_table"))
+    """Dish rows of HTML dish-by-allergen tables, one row per dish and page, also of tables inside tables."""
+    tables = own_tables(pages, id_col)
 
     def cells(row: Column) -> Column:
         found = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>.*?(?=<t[dh]\b|</tr|$)"), F.lit(0))

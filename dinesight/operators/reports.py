@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinesight.functions.literals import lookup
+from dinesight.functions.literals import lookup, text_array
 from dinesight.functions.text import has_value
 from dinesight.functions.urls import (
-    city_from_address, country_label, host, menu_city_mismatch, source_city_slug, url_has_city)
+    city_from_address, country_label, host, labeling_trust, menu_city_mismatch, source_city_slug, url_has_city)
 from dinesight.operators.common import keep_first
 from dinesight.operators.entities import cuisine_prior
+from dinesight.vocab import scoring as sv
 
 
 def restaurant_risk_rollup(scored: DataFrame, cuisines: Column, region: Column, top: int = 5) -> DataFrame:
@@ -165,22 +168,105 @@ def sample_items(items: DataFrame, top: int = 6) -> DataFrame:
     return keep_first(items.select("restaurant_id", "arrival", "item_name"), ["restaurant_id"], [F.asc("arrival")], top, rank="position")
 
 
-def dossier(restaurants: DataFrame, verdicts: DataFrame, watch: DataFrame, signals: DataFrame) -> DataFrame:
-    """Nested document per restaurant; a missing extraction is unverified, never safe."""
-    listed = watch.groupBy("restaurant_id").agg(F.array_sort(F.collect_list(F.struct("position", "name", "risk"))).alias("_watch"))
-    joined = restaurants.join(verdicts, "restaurant_id", "left").join(listed, "restaurant_id", "left").join(signals, "restaurant_id", "left")
+#: Longest lists of a report: watched dishes, quotes, sources; of a bundle: flagged dishes, cited reports, menu lines.
+WATCHED, QUOTED, SOURCES, FLAGGED, CITED, MENU_LINES = 8, 12, 40, 20, 20, 60
+
+
+def _top_list(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], fields: Sequence[str], name: str, limit: int) -> DataFrame:
+    """Per key the first ``limit`` rows as an array of structs, and ``n_<name>``, how many there are.
+
+    Ranked before anything is collected: tasks cut their part to ``limit`` rows, so a key of any size stays small.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"))
+    first = keep_first(rows, keys, order, limit, rank="_rank")
+    listed = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+    return listed.join(counts, list(keys))
+
+
+def dossier(restaurants: DataFrame, verdicts: DataFrame, watch: DataFrame, signals: DataFrame, items: DataFrame | None = None, site: DataFrame | None = None,
+            quotes: DataFrame | None = None, sources: DataFrame | None = None, notices: DataFrame | None = None, per_allergen: DataFrame | None = None) -> DataFrame:
+    """Nested document per verdict and restaurant; a missing extraction is unverified, never safe.
+
+    ``verdicts`` is keyed by restaurant_id, and by user_id where it has one; restaurants without a verdict get one document. All other
+    tables are keyed by restaurant_id and may be left out: ``watch`` (position, name, risk), ``items`` (parsed), ``site`` (pages_scanned, signals,
+    social_links, error), ``quotes`` (position, quote), ``sources`` (source_url), ``notices`` (region_notice, location_notice), ``per_allergen``
+    (allergen, tier, risk; by user_id where verdicts are). Lists hold their first rows, with their full number beside them.
+    """
+    key = ["restaurant_id"]
+    by_user = [c for c in ("user_id",) if c in verdicts.columns]
+    out = restaurants.select("restaurant_id", F.struct("name", "address", F.col("website_url").alias("website"), F.col("phone_number").alias("phone"), "categories").alias("header"))
+    out = out.join(verdicts, key, "left").join(_top_list(watch, key, [F.asc("position"), F.asc("name")], ["name", "risk"], "watch", WATCHED), key, "left")
+    out = out.join(signals.select("restaurant_id", F.struct(*[c for c in signals.columns if c != "restaurant_id"]).alias("restaurant_signals")), key, "left")
+
+    def optional(df: DataFrame | None, make, empty: dict[str, str]) -> None:
+        nonlocal out
+        out = out.join(make(df), key, "left") if df is not None else out.withColumns({c: F.lit(None).cast(kind) for c, kind in empty.items()})
+
+    optional(items, lambda d: d.groupBy("restaurant_id").agg(F.sum("parsed").alias("_parsed")), {"_parsed": "bigint"})
+    optional(site, lambda d: d.select("restaurant_id", F.struct("pages_scanned", "signals", "social_links", "error").alias("deeper_site")),
+             {"deeper_site": "struct<pages_scanned:int,signals:array<string>,social_links:array<string>,error:string>"})
+    optional(quotes, lambda d: _top_list(d, key, [F.asc("position"), F.asc("quote")], ["quote"], "quotes", QUOTED), {"quotes": "array<struct<quote:string>>", "n_quotes": "bigint"})
+    optional(sources, lambda d: _top_list(d.select("restaurant_id", "source_url").distinct(), key, [F.asc("source_url")], ["source_url"], "sources", SOURCES),
+             {"sources": "array<struct<source_url:string>>", "n_sources": "bigint"})
+    optional(notices, lambda d: d.select("restaurant_id", "region_notice", "location_notice"), {"region_notice": "string", "location_notice": "string"})
+    if per_allergen is not None:
+        keys = key + [c for c in by_user if c in per_allergen.columns]
+        # One row per pref of a user: bounded by the allergens there are.
+        each = per_allergen.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("allergen", "tier", "risk"))).alias("per_allergen"))
+        out = out.join(each, keys, "left")
+    else:
+        out = out.withColumn("per_allergen", F.lit(None).cast("array<struct<allergen:string,tier:string,risk:double>>"))
+
+    parsed, watched = F.coalesce("_parsed", F.lit(0)), F.coalesce(F.size("watch"), F.lit(0))
     verified = F.col("tier").isNotNull()
-    header = F.struct("name", "address", F.col("website_url").alias("website"), F.col("phone_number").alias("phone"), "categories")
     verdict = F.struct(F.coalesce("tier", F.lit("unknown")).alias("tier"), "overall_risk", "overall_confidence", F.coalesce("evidence_basis", F.lit("")).alias("basis"), verified.alias("verified"))
-    return joined.select("restaurant_id", header.alias("header"), verdict.alias("verdict"), F.struct(F.col("_watch").alias("watch"), F.coalesce(F.size("_watch"), F.lit(0)).alias("n_watch")).alias("dishes"),
-                         F.struct(*[c for c in signals.columns if c != "restaurant_id"]).alias("restaurant_signals"))
-
-
-def score_bundles(assessments: DataFrame, restaurants: DataFrame, menus: DataFrame) -> DataFrame:
-    """Evidence bundle of every (user, restaurant) for an outside scorer, as JSON."""
-    lines = menus.groupBy("restaurant_id").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_m"))
-    joined = assessments.join(restaurants.select("restaurant_id", "cuisines", "region"), "restaurant_id").join(lines, "restaurant_id", "left")
-    cuisine = F.concat(F.lit("Cuisine(s): "), F.array_join("cuisines", ", "), F.lit("; region "), "region")
-    bundle = F.struct(F.struct("allergen", "severity").alias("user"), F.struct("risk", "tier", "basis").alias("deterministic_baseline"),
-                      F.array(F.struct(F.lit("E1").alias("id"), F.lit("cuisine").alias("type"), cuisine.alias("text"))).alias("evidence"), F.col("_m.line").alias("menu"))
-    return joined.select("user_id", "restaurant_id", "allergen", F.to_json(bundle).alias("bundle"))
+    counted = lambda name: F.coalesce(f"n_{name}", F.lit(0)).alias(f"n_{name}")
+    return out.select(
+        *by_user, "restaurant_id", "header", verdict.alias("verdict"),
+        F.struct("watch", counted("watch"), parsed.alias("parsed_count"), F.greatest(F.lit(0), parsed - watched).alias("other_count")).alias("dishes"), "restaurant_signals", "deeper_site",
+        F.struct(F.transform("quotes", lambda q: q["quote"]).alias("quotes"), counted("quotes")).alias("community"),
+        F.struct(F.transform("sources", lambda q: q["source_url"]).alias("sources"), counted("sources"), "region_notice", "location_notice", "per_allergen").alias("provenance"))
+
+
+_SIGNAL_LABELS = {
+    "allergy_disclaimer": "allergy disclaimer / allergy-aware", "cross_contact_warning": "cross-contact / 'may contain' warning",
+    "ask_staff": "tells customers to ask staff about allergies", "allergen_menu_available": "publishes an allergen menu/chart", "nut_free_claim": "explicit nut-free claim"}
+
+
+def score_bundles(assessments: DataFrame, restaurants: DataFrame, menus: DataFrame, quotes: DataFrame | None = None, flagged: DataFrame | None = None) -> DataFrame:
+    """Evidence bundle of every (user, restaurant, pref) for an outside scorer, as JSON.
+
+    The scenario says which menu the scorer sees: a restaurant with a chart (``chart`` in ``restaurants``, else none has) shows its counts and
+    flagged dishes, one with parsed dishes the first of its compact ``menus`` lines (position, line), others
+    neither. Evidence is numbered: cuisine, the handling signals that hold, then community reports (``quotes``: type, quote, position). What
+    depends on the restaurant only is built once per restaurant.
+    """
+    key = ["restaurant_id"]
+    lines = _top_list(menus, key, [F.asc("position")], ["line"], "_m", MENU_LINES)
+    trust = F.format_string("%.2f", labeling_trust(F.col("region")))
+    name = F.col("name") if "name" in restaurants.columns else F.lit(None).cast("string")
+    cuisine = F.concat(F.when(has_value(name), F.concat(F.lit('Restaurant name: "'), name, F.lit('". '))).otherwise(""), F.lit("Cuisine(s): "),
+                       F.when(F.size("cuisines") > 0, F.array_join("cuisines", ", ")).otherwise("unknown; infer the likely cuisine from the name"),
+                       F.lit("; region "), F.coalesce("region", F.lit("unknown")), F.lit("; allergen-labeling trust "), trust, F.lit("."))
+    entry = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    held = F.array_compact(F.array(*[F.when(F.col(c), entry("handling", F.lit(f"Restaurant signal: {label}."))) for c, label in _SIGNAL_LABELS.items() if c in restaurants.columns]))
+    chart = F.col("chart") if "chart" in restaurants.columns else F.lit(False)
+    places = restaurants.select("restaurant_id", chart.alias("_chart"), F.concat(F.array(entry("cuisine", cuisine)), held).alias("_e")).join(lines, key, "left")
+    if quotes is not None:
+        cited = _top_list(quotes, key, [F.asc("position"), F.asc("type"), F.asc("quote")], ["type", "quote"], "cited", CITED)
+        places = places.join(cited, key, "left").withColumn("_e", F.concat("_e", F.coalesce(F.transform("cited", lambda q: entry("community", F.concat(
+            F.lit("Community "), q["type"], F.lit(': "'), F.substring(F.coalesce(q["quote"], F.lit("")), 1, 140), F.lit('".')))), F.expr("CAST(array() AS ARRAY<STRUCT<type: STRING, text: STRING>>)"))))
+    if flagged is not None:
+        places = places.join(_top_list(flagged, key, [F.asc("position"), F.asc("name")], ["name"], "flagged", FLAGGED), key, "left")
+    else:
+        places = places.withColumn("flagged", F.lit(None).cast("array<struct<name:string>>"))
+    scenario = F.when(F.col("_chart"), "labeled").when(F.size("_m") > 0, "raw_menu").otherwise("no_menu")
+    numbered = F.transform("_e", lambda e, i: F.struct(F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), e["type"].alias("type"), e["text"].alias("text")))
+    places = places.select("restaurant_id", scenario.alias("scenario"), numbered.alias("evidence"), F.col("_m.line").alias("_lines"), F.transform("flagged", lambda x: x["name"]).alias("_flagged"))
+    joined = assessments.join(places, key)
+    labeled, raw = F.col("scenario") == "labeled", F.col("scenario") == "raw_menu"
+    summary = F.struct(F.col("menu_total").alias("total_dishes"), F.col("menu_flagged").alias("dishes_with_allergen"), F.coalesce("_flagged", text_array([])).alias("flagged_dishes"))
+    bundle = F.struct("scenario", F.struct("allergen", "severity").alias("user"),
+                      F.struct("risk", "tier", "basis", F.col("basis").isin(list(sv.GROUNDED_BASES)).alias("grounded_presence")).alias("deterministic_baseline"),
+                      "evidence", F.when(labeled, summary).alias("chart_summary"), F.when(raw, F.col("_lines")).alias("menu"))
+    return joined.select("user_id", "restaurant_id", "allergen", "scenario", F.to_json(bundle).alias("bundle"))

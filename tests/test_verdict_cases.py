@@ -86,3 +86,16 @@ def test_schema_menus_nest_without_bound(spark):
     pages = spark.createDataFrame([(1, f'<script type="application/ld+json">{menu}</script>')], "page_id long, html string")
     got = sorted((r["category"], r["item_name"], r["price"]) for r in extraction.schema_menu_items(pages).collect())
     assert got == sorted((f"S{k}", f"Dish number {k}", str(k + 1)) for k in range(12))
+
+
+def test_charts_inside_layout_tables(spark):
+    """Nested, side by side, unclosed, with stray end tags, and the same page twice."""
+    def chart(dish):
+        return f"<table><tr><th>Dish</th><th>Milk</th><th>Egg</th><th>Soy</th></tr><tr><td>{dish}</td><td>x</td><td></td><td>x</td></tr></table>"
+    layout = "<table><tr><td>Left</td><td>%s</td></tr><tr><td>%s</td></tr></table>"
+    rows = [(1, layout % (chart("Inner One"), chart("Inner Two"))), (2, layout % (layout % (chart("Deep"), ""), chart("Shallow"))), (3, "</table></table>" + chart("After strays")),
+            (4, "<table><tr><td>" + chart("Unclosed around")), (5, "no tables"), (6, None), (7, chart("Plain")), (7, chart("Plain"))]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = sorted((r["page_id"], r["item_name"], tuple(r["allergen_terms"])) for r in extraction.allergen_grid_long(pages).collect())
+    names = [(1, "Inner One"), (1, "Inner Two"), (2, "Deep"), (2, "Shallow"), (3, "After strays"), (4, "Unclosed around"), (7, "Plain")]
+    assert got == [(k, name, ("milk", "soy")) for k, name in names]
