@@ -10,6 +10,7 @@ from dinesight.catalog.tables import PLACES_SQL, pick, pick_sql, places, sql_lis
 from dinesight.functions import geo
 from dinesight.functions.text import quality_score
 from dinesight.operators import entities as e
+from dinesight.sources import places as sources
 from dinesight.vocab import cuisines as cv
 from dinesight.vocab import places as pv
 
@@ -281,3 +282,93 @@ def name_candidates(spark, sf_dir):
     return e.name_candidates(*_name_tables(spark, sf_dir), 5).select("query_id", "row_id", "position")
 
 
+
+
+# --- Provider dumps: places written as each provider would, some of them broken, and read again ------------
+_ORIGIN = (37.02, -121.98)
+_OUT_COLUMNS = ["source_id", "name", "address", "latitude", "longitude", "distance_meters", "website_url", "phone_number", "opening_hours", "business_status", "source_last_updated"]
+
+
+def _dumps(rows, field, record):
+    """One dump per place: every 17th cut short, every 18th with a record that is no object."""
+    body = F.to_json(F.struct(F.array(record).alias(field), F.lit("2026-01-01").alias("fetched_at")))
+    k = F.col("k")
+    broken = F.when(k % 17 == 0, F.substring(body, 1, 40)).when(k % 18 == 0, F.concat(F.lit('{"' + field + '":[7],"fetched_at":""}'))).otherwise(body)
+    return rows.select(F.col("restaurant_id").alias("file_path"), broken.alias("body"))
+
+
+def _osm_dumps(spark, sf_dir):
+    k = F.col("k")
+    tags = F.create_map(*[x for name, value in (
+        ("name", F.col("name")), ("addr:street", F.col("address")), ("cuisine", pick(["thai", "", "pizza"], k)), ("website", F.when(k % 2 == 0, F.col("website_url"))),
+        ("contact:website", F.col("website_url")), ("phone", F.col("phone_number")), ("opening_hours", F.col("opening_hours")), ("amenity", pick(["restaurant", "cafe", "bank"], k)),
+        ("disused:amenity", F.when(k % 29 == 0, "restaurant")), ("check_date", F.col("source_last_updated"))) for x in (F.lit(name), value)])
+    none = F.lit(None).cast("double")
+    lat, lon = F.col("latitude"), F.col("longitude")
+    own, away = k % 19 != 0, k % 23 != 0
+    record = F.struct(F.lit("node").alias("type"), k.alias("id"), F.when(own & away, lat).otherwise(none).alias("lat"), F.when(own & away, lon).otherwise(none).alias("lon"),
+                      F.when(~own & away, F.struct(lat.alias("lat"), lon.alias("lon"))).alias("center"), tags.alias("tags"))
+    return _dumps(places(spark, sf_dir), "elements", record)
+
+
+_READ = "k % 17 <> 0 AND k % 18 <> 0 AND k % 23 <> 0"
+_AWAY = "round(" + dist_sql(str(_ORIGIN[0]), str(_ORIGIN[1]), "latitude", "longitude") + ", 1)"
+
+
+@query("places_from_osm", "SC-1", with_tables(
+    f"SELECT 'node/' || k AS source_id, name, address, latitude, longitude, {_AWAY} AS distance_meters, website_url, phone_number, opening_hours, "
+    "CASE WHEN k % 29 = 0 THEN 'closed_or_inactive' WHEN k % 3 <> 2 THEN 'presumed_operational' END AS business_status, source_last_updated, "
+    f"'amenity:' || {pick_sql(['restaurant', 'cafe', 'bank'], 'k')} || {pick_sql([';cuisine:thai', '', ';cuisine:pizza'], 'k')} AS categories FROM places WHERE {_READ}", places=PLACES_SQL))
+def places_from_osm(spark, sf_dir):
+    rows, _ = sources.places_from_osm(_osm_dumps(spark, sf_dir), _ORIGIN)
+    return rows.select(*_OUT_COLUMNS, F.array_join("categories", ";").alias("categories"))
+
+
+def _geoapify_dumps(spark, sf_dir):
+    k = F.col("k")
+    raw = F.create_map(F.lit("website"), F.when(k % 3 == 2, F.col("website_url")), F.lit("phone"), F.col("phone_number"), F.lit("takeaway"), pick(["yes", "no", "maybe"], k),
+                       F.lit("osm_type"), F.lit("way"), F.lit("osm_id"), k.cast("string"), F.lit("check_date"), F.col("source_last_updated"), F.lit("disused:amenity"), F.when(k % 29 == 0, "cafe"))
+    properties = F.struct("name", F.col("address").alias("formatted"), ((k % 500) * 1.37).alias("distance"), F.col("categories"), F.when(k % 3 == 0, F.col("website_url")).alias("website"),
+                          F.when(k % 2 == 0, k.cast("string")).alias("place_id"), F.struct(F.when(k % 3 == 1, F.col("website_url")).alias("website")).alias("contact"),
+                          F.col("opening_hours"), F.struct(raw.alias("raw")).alias("datasource"))
+    point = F.when(k % 23 != 0, F.array("longitude", "latitude")).otherwise(F.array("longitude"))
+    return _dumps(places(spark, sf_dir), "features", F.struct(F.struct(point.alias("coordinates")).alias("geometry"), properties.alias("properties")))
+
+
+@query("places_from_geoapify", "SC-2", with_tables(
+    "SELECT CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE 'way/' || k END AS source_id, name, address, latitude, longitude, round((k % 500) * 1.37::DOUBLE, 1) AS distance_meters, website_url, phone_number, opening_hours, "
+    "CASE WHEN k % 29 = 0 THEN 'closed_or_inactive' ELSE 'presumed_operational' END AS business_status, nullif(trim(source_last_updated), '') AS source_last_updated, "
+    f"CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END AS takeout FROM places WHERE {_READ}", places=PLACES_SQL))
+def places_from_geoapify(spark, sf_dir):
+    rows, _ = sources.places_from_geoapify(_geoapify_dumps(spark, sf_dir))
+    return rows.select(*_OUT_COLUMNS, F.try_element_at("service_options", F.lit("takeout")).alias("takeout"))
+
+
+def _google_dumps(spark, sf_dir):
+    k = F.col("k")
+    hours = F.struct(F.when(F.col("opening_hours").isNotNull(), F.array("opening_hours", F.lit("Mon: closed"))).alias("weekdayDescriptions"), (k % 2 == 0).alias("openNow"))
+    record = F.struct(k.cast("string").alias("id"), F.struct(F.col("name").alias("text")).alias("displayName"), F.col("address").alias("formattedAddress"),
+                      F.when(k % 23 != 0, F.struct("latitude", "longitude")).alias("location"), (k % 5 + 0.5).alias("rating"), (k % 900).cast("int").alias("userRatingCount"),
+                      F.when(k % 2 == 0, "cafe").alias("primaryType"), F.array(F.lit("food"), F.lit("bar")).alias("types"), F.col("website_url").alias("websiteUri"),
+                      F.when(k % 4 == 0, F.col("phone_number")).alias("nationalPhoneNumber"), F.col("phone_number").alias("internationalPhoneNumber"), F.lit("OPERATIONAL").alias("businessStatus"),
+                      F.when(k % 3 == 0, hours).alias("currentOpeningHours"), hours.alias("regularOpeningHours"), F.when(k % 2 == 0, k % 4 == 0).alias("delivery"))
+    return _dumps(places(spark, sf_dir), "places", record)
+
+
+@query("places_from_google", "SC-3", with_tables(
+    f"SELECT CAST(k AS VARCHAR) AS source_id, name, address, latitude, longitude, {_AWAY} AS distance_meters, website_url, phone_number, opening_hours || '; Mon: closed' AS opening_hours, 'OPERATIONAL' AS business_status, "
+    "CAST(NULL AS VARCHAR) AS source_last_updated, (k % 5 + 0.5)::DOUBLE AS rating, CAST(k % 900 AS INTEGER) AS review_count, k % 2 = 0 AS is_open_now, CASE WHEN k % 2 = 0 THEN k % 4 = 0 END AS delivery, "
+    f"CASE WHEN k % 2 = 0 THEN 'primary_type:cafe;' ELSE '' END || 'food;bar' AS categories FROM places WHERE {_READ}", places=PLACES_SQL))
+def places_from_google(spark, sf_dir):
+    rows, _ = sources.places_from_google(_google_dumps(spark, sf_dir), _ORIGIN)
+    return rows.select(*_OUT_COLUMNS, "rating", "review_count", "is_open_now", F.try_element_at("service_options", F.lit("delivery")).alias("delivery"), F.array_join("categories", ";").alias("categories"))
+
+
+@query("unreadable_places", "SC-1 SC-2 SC-3", with_tables(
+    "SELECT provider, restaurant_id AS file_path, CASE WHEN k % 17 = 0 THEN 'unreadable dump' WHEN k % 18 = 0 THEN 'not an object' ELSE 'no coordinates' END AS reason "
+    f"FROM places, (SELECT unnest(['osm', 'geoapify', 'google']) AS provider) WHERE NOT ({_READ})", places=PLACES_SQL))
+def unreadable_places(spark, sf_dir):
+    found = {"osm": sources.places_from_osm(_osm_dumps(spark, sf_dir), _ORIGIN), "geoapify": sources.places_from_geoapify(_geoapify_dumps(spark, sf_dir)),
+             "google": sources.places_from_google(_google_dumps(spark, sf_dir), _ORIGIN)}
+    parts = [rejected.select(F.lit(name).alias("provider"), "file_path", "reason") for name, (_, rejected) in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

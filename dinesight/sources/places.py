@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dinesight.functions import geo
 from dinesight.functions.literals import text_array
@@ -35,10 +36,39 @@ def _distance(origin: tuple[float, float] | None, latitude: Column, longitude: C
     return F.round(geo.haversine_m(F.lit(origin[0]), F.lit(origin[1]), latitude, longitude), 1)
 
 
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Dumps as (file_path, body)."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))
+
+
+def _records(docs: DataFrame, field: str, schema: str) -> DataFrame:
+    """``file_path, ord, raw, e, fetched_at``: the records of every dump (file_path, body), as text and parsed each by itself.
+
+    A record with one odd field does not cost the others theirs. A dump that cannot be read, or has no list of records, is one row
+    without text; an empty list gives none.
+    """
+    element = T.StructType.fromDDL(schema)[field].dataType.elementType
+    opened = docs.select("file_path", F.from_json("body", f"{field} ARRAY<STRING>, fetched_at STRING").alias("d"))
+    listed = opened.where(F.col("d")[field].isNull() | (F.size(F.col("d")[field]) > 0)).select(
+        "file_path", F.col("d.fetched_at").alias("fetched_at"), F.posexplode_outer(F.col("d")[field]).alias("ord", "raw"))
+    return listed.withColumn("e", F.from_json("raw", element))
+
+
+def _unreadable(records: DataFrame, latitude: Column, longitude: Column) -> DataFrame:
+    """``file_path, ord, reason`` of dumps and records that give no row."""
+    reason = F.when(F.col("raw").isNull(), "unreadable dump").when(~F.ltrim("raw").startswith("{"), "not an object").when(
+        latitude.isNull() | longitude.isNull(), "no coordinates")
+    return records.select("file_path", "ord", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def read_places_osm(spark: SparkSession, path: str, origin: tuple[float, float]) -> DataFrame:
     """Overpass JSON dumps: one row per element with coordinates."""
-    e = F.explode("elements").alias("e")
-    elements = spark.read.schema(OSM_DUMP).json(path, multiLine=True).select(e, F.col("fetched_at"))
+    return places_from_osm(_documents(spark, path), origin)[0]
+
+
+def places_from_osm(docs: DataFrame, origin: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    """(rows, unreadable records) of Overpass dumps given as (file_path, body)."""
+    elements = _records(docs, "elements", OSM_DUMP)
     tags = F.col("e.tags")
 
     def tag(name: str) -> Column:
@@ -53,7 +83,7 @@ def read_places_osm(spark: SparkSession, path: str, origin: tuple[float, float])
     categories = F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), tag(k))
                                            for k in ("amenity", "cuisine", "diet:vegan", "diet:vegetarian")]))
     closed = tag("disused:amenity").isNotNull() | tag("abandoned:amenity").isNotNull()
-    return _finish(elements.where(latitude.isNotNull() & longitude.isNotNull()), {
+    rows = _finish(elements.where(latitude.isNotNull() & longitude.isNotNull()), {
         "name": F.try_element_at(tags, F.lit("name")), "address": F.when(F.length(address) > 0, address),
         "latitude": latitude, "longitude": longitude, "distance_meters": _distance(origin, latitude, longitude),
         "rating": F.lit(None).cast("double"), "review_count": F.lit(None).cast("int"), "price_level": F.lit(None).cast("string"),
@@ -63,14 +93,20 @@ def read_places_osm(spark: SparkSession, path: str, origin: tuple[float, float])
         "is_open_now": F.lit(None).cast("boolean"), "service_options": F.expr("CAST(map() AS MAP<STRING, BOOLEAN>)"),
         "source_last_updated": F.coalesce(tag("check_date"), tag("check_date:opening_hours"), tag("survey:date"), tag("opening_hours:signed")),
         "source_name": F.lit("openstreetmap"), "source_id": F.concat_ws("/", F.col("e.type"), F.col("e.id").cast("string")),
-        "fetched_at": F.col("fetched_at"), "raw_payload": F.to_json("e")})
+        "fetched_at": F.col("fetched_at"), "raw_payload": F.col("raw")})
+    return rows, _unreadable(elements, latitude, longitude)
 
 
 def read_places_geoapify(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON features: first non-blank of several property paths."""
-    features = spark.read.schema(GEOAPIFY_DUMP).json(path, multiLine=True).select(F.explode("features").alias("f"), "fetched_at")
-    p, raw = F.col("f.properties"), F.col("f.properties.datasource.raw")
-    point = F.col("f.geometry.coordinates")
+    return places_from_geoapify(_documents(spark, path))[0]
+
+
+def places_from_geoapify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, unreadable records) of GeoJSON dumps given as (file_path, body)."""
+    features = _records(docs, "features", GEOAPIFY_DUMP)
+    p, raw = F.col("e.properties"), F.col("e.properties.datasource.raw")
+    point = F.col("e.geometry.coordinates")
 
     def from_raw(name: str) -> Column:
         return F.try_element_at(raw, F.lit(name))
@@ -83,7 +119,7 @@ def read_places_geoapify(spark: SparkSession, path: str) -> DataFrame:
     closed = has_value(from_raw("disused:amenity")) | has_value(from_raw("abandoned:amenity"))
     osm_id = F.concat_ws("/", from_raw("osm_type"), from_raw("osm_id"))
     latitude, longitude = F.get(point, F.lit(1)), F.get(point, F.lit(0))
-    return _finish(features.where(F.size(point) >= 2), {
+    rows = _finish(features.where(F.size(point) >= 2), {
         "name": p["name"], "address": p["formatted"], "latitude": latitude, "longitude": longitude,
         "distance_meters": F.round(F.coalesce(p["distance"], F.lit(0.0)), 1),
         "rating": F.lit(None).cast("double"), "review_count": F.lit(None).cast("int"), "price_level": F.lit(None).cast("string"),
@@ -96,7 +132,8 @@ def read_places_geoapify(spark: SparkSession, path: str) -> DataFrame:
         "source_last_updated": _first_value(from_raw("check_date"), from_raw("check_date:opening_hours"), from_raw("survey:date")),
         "source_name": F.lit("geoapify"),
         "source_id": F.coalesce(F.when(has_value(p["place_id"]), p["place_id"]), F.when(has_value(from_raw("osm_id")), osm_id), F.lit("")),
-        "fetched_at": F.col("fetched_at"), "raw_payload": F.to_json("f")})
+        "fetched_at": F.col("fetched_at"), "raw_payload": F.col("raw")})
+    return rows, _unreadable(features, latitude, longitude)
 
 
 _GOOGLE_FLAGS = ("servesBreakfast servesLunch servesDinner servesBrunch servesVegetarianFood servesBeer servesWine servesCocktails "
@@ -105,8 +142,13 @@ _GOOGLE_FLAGS = ("servesBreakfast servesLunch servesDinner servesBrunch servesVe
 
 def read_places_google(spark: SparkSession, path: str, origin: tuple[float, float] | None = None) -> DataFrame:
     """Places dumps: typed categories, joined hours, present-only services."""
-    places = spark.read.schema(GOOGLE_DUMP).json(path, multiLine=True).select(F.explode("places").alias("g"), "fetched_at")
-    g = F.col("g")
+    return places_from_google(_documents(spark, path), origin)[0]
+
+
+def places_from_google(docs: DataFrame, origin: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, unreadable records) of Places dumps given as (file_path, body)."""
+    places = _records(docs, "places", GOOGLE_DUMP)
+    g = F.col("e")
     latitude, longitude = g["location"]["latitude"], g["location"]["longitude"]
     current, regular = g["currentOpeningHours"], g["regularOpeningHours"]
 
@@ -117,7 +159,7 @@ def read_places_google(spark: SparkSession, path: str, origin: tuple[float, floa
         F.when(g[name].isNotNull(), F.struct(F.lit(name).alias("key"), g[name].alias("value"))) for name in _GOOGLE_FLAGS])))
     categories = F.concat(F.array_compact(F.array(F.when(has_value(g["primaryType"]), F.concat(F.lit("primary_type:"), g["primaryType"])))),
                           F.coalesce(g["types"], text_array([])))
-    return _finish(places.where(latitude.isNotNull() & longitude.isNotNull()), {
+    rows = _finish(places.where(latitude.isNotNull() & longitude.isNotNull()), {
         "name": g["displayName"]["text"], "address": g["formattedAddress"], "latitude": latitude, "longitude": longitude,
         "distance_meters": _distance(origin, latitude, longitude), "rating": g["rating"], "review_count": g["userRatingCount"],
         "price_level": g["priceLevel"], "categories": categories, "website_url": g["websiteUri"],
@@ -125,4 +167,5 @@ def read_places_google(spark: SparkSession, path: str, origin: tuple[float, floa
         "opening_hours": F.coalesce(hours(current), hours(regular)), "business_status": g["businessStatus"],
         "is_open_now": F.coalesce(current["openNow"], regular["openNow"]), "service_options": services,
         "source_last_updated": F.lit(None).cast("string"), "source_name": F.lit("google_places"),
-        "source_id": F.coalesce(g["id"], F.lit("")), "fetched_at": F.col("fetched_at"), "raw_payload": F.to_json("g")})
+        "source_id": F.coalesce(g["id"], F.lit("")), "fetched_at": F.col("fetched_at"), "raw_payload": F.col("raw")})
+    return rows, _unreadable(places, latitude, longitude)
