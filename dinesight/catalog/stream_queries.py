@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dinesight.catalog import query
 from dinesight.catalog.tables import table
+from dinesight.session import cut_lineage
 from dinesight.streaming import jobs
 
 
@@ -46,3 +47,40 @@ def pair_stages(spark, sf_dir):
     paired = jobs.pair_stages(starts.select("run_id", "stage", "started_at"), ends, "12 hours")
     keyed = paired.join(starts.select("run_id", "started_at", "_id"), ["run_id", "started_at"])
     return keyed.groupBy(F.col("_id").cast("bigint").alias("event_id")).agg(F.count("done_at").alias("n_done"))
+
+
+_NEGATIVE, _POSITIVE = 6 * 3600, 36 * 3600
+
+
+@query("live_entries", "ST-4",
+       "WITH e AS (SELECT event_type AS namespace, CAST(user_id AS VARCHAR) AS key, ts AS moment, event_id AS entry_id, event_id % 3 = 0 AS is_negative FROM events), "
+       "n AS (SELECT max(moment) - INTERVAL 12 HOURS AS t FROM e), l AS (SELECT e.*, t FROM e, n WHERE moment <= t QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY moment DESC, entry_id DESC) = 1) "
+       f"SELECT namespace, key, entry_id, is_negative FROM l WHERE epoch_us(t) - epoch_us(moment) <= CASE WHEN is_negative THEN {_NEGATIVE} ELSE {_POSITIVE} END * 1000000")
+def live_entries(spark, sf_dir):
+    entries = table(spark, sf_dir, "events").select(F.col("event_type").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"),
+                                                    F.col("event_id").alias("entry_id"), (F.col("event_id") % 3 == 0).alias("is_negative"))
+    as_of = entries.agg((F.max("at") - F.expr("INTERVAL 12 HOURS")).alias("t")).first()["t"]
+    return jobs.live_entries(entries, F.lit(as_of), _NEGATIVE, _POSITIVE).select("namespace", "key", "entry_id", "is_negative")
+
+
+@query("rescored_in_batches", "ST-7",
+       "WITH v AS (SELECT 's' || CAST(conv_id % 100 AS VARCHAR) AS restaurant_id, count(*) AS n_reports, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1) "
+       "SELECT user_id, v.* FROM v JOIN (SELECT DISTINCT o_custkey AS user_id, 's' || CAST(l_suppkey AS VARCHAR) AS restaurant_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey) USING (restaurant_id)")
+def rescored_in_batches(spark, sf_dir):
+    """Reports arrive in three batches; every batch withdraws and adds, and what is left equals one computation over all."""
+    from dinesight.plans.ranking import requested_pairs
+    reports = table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), (F.col("conv_id") % 100).cast("string")).alias("restaurant_id"), "text", (F.col("conv_id") * 7 % 3).alias("batch"))
+    pairs = requested_pairs(spark, sf_dir)
+
+    def score(known, touched):
+        counted = known.join(touched, "restaurant_id", "left_semi").groupBy("restaurant_id").agg(F.count("*").alias("n_reports"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+        return pairs.join(counted, "restaurant_id").select("user_id", "restaurant_id", "n_reports", "n_chars")
+
+    log = None
+    for k in range(3):
+        touched = reports.where(F.col("batch") == k).select("restaurant_id").distinct()
+        new = score(reports.where(F.col("batch") <= k), touched)
+        old = new.limit(0) if log is None else jobs.applied(log).join(touched, "restaurant_id", "left_semi").select(new.columns)
+        deltas = cut_lineage(jobs.rescore_deltas(old, new))
+        log = deltas if log is None else log.unionByName(deltas)
+    return jobs.applied(log)

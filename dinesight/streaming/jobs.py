@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -213,19 +213,99 @@ def compact_cache(spark: SparkSession, path: str, target: str, keys: list[str] |
     latest.drop("epoch").write.mode("overwrite").parquet(f"{target}/epoch=0")
 
 
+def rescore_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What turns the rows ``before`` into ``after``: withdrawn rows with ``change`` -1, new ones with 1; rows in both give none.
+
+    Rows are compared whole, nulls equal; a row that stands several times counts as often. Sums combine before they are shuffled.
+    """
+    columns = before.columns
+    both = before.withColumn("change", F.lit(-1)).unionByName(after.select(columns).withColumn("change", F.lit(1)))
+    return both.groupBy(*columns).agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def applied(deltas: DataFrame) -> DataFrame:
+    """The rows that a log of deltas leaves."""
+    columns = [c for c in deltas.columns if c not in ("change", "epoch")]
+    left = deltas.groupBy(*columns).agg(F.sum("change").alias("_n")).where("_n > 0")
+    return left.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select(columns)
+
+
 def incremental_rescore(evidence: DataFrame, pairs: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Re-scores only the (user, restaurant) pairs whose restaurant got new evidence.
 
-    ``score`` maps the touched pairs to assessments; results land in one folder
-    per epoch, the highest epoch of a pair being current.
+    ``score`` maps the touched pairs to assessments, from all evidence so far. Of every touched pair the assessment that no longer holds is
+    withdrawn and the new one added, in one folder of deltas per epoch; a replayed epoch sees the epochs before it and writes its folder anew.
     """
     def rescore(batch: DataFrame, epoch: int) -> None:
-        touched = pairs.join(batch.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
-        score(touched).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark = batch.sparkSession
+        restaurants = cut_lineage(batch.select("restaurant_id").distinct())
+        new = score(pairs.join(restaurants, "restaurant_id", "left_semi"))
+        old = _earlier(spark, path, epoch)
+        old = new.limit(0) if old is None else applied(old).join(restaurants, "restaurant_id", "left_semi").select(new.columns)
+        rescore_deltas(old, new).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return evidence.writeStream.foreachBatch(rescore).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _earlier(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """Deltas of the epochs before this one; none before the first."""
+    if epoch == 0:
+        return None
+    return spark.read.parquet(path).where(F.col("epoch") < epoch)
+
+
 def current_assessments(spark: SparkSession, path: str) -> DataFrame:
-    """Latest assessment of every pair and pref."""
-    return keep_first(spark.read.parquet(path), ["user_id", "restaurant_id", "allergen"], [F.desc("epoch")]).drop("epoch")
+    """Assessments that hold after all epochs."""
+    return applied(spark.read.parquet(path))
+
+
+def compact_assessments(spark: SparkSession, path: str, target: str) -> None:
+    """The log as one folder of rows that hold."""
+    current_assessments(spark, path).withColumn("change", F.lit(1).cast("bigint")).write.mode("overwrite").parquet(f"{target}/epoch=0")
+
+
+# --- Cache with lifetimes -----------------------------------------------------------------
+_CACHE_EVENT = "namespace string, key string, at timestamp, entry_id bigint, is_negative boolean, event string"
+
+
+def cache_state_stream(entries: DataFrame, negative_ttl_s: int = NEGATIVE_TTL_S, positive_ttl_s: int = POSITIVE_TTL_S) -> DataFrame:
+    """The newest entry per key as state that expires in event time; emits ``stored`` and ``expired`` events.
+
+    ``entries`` holds namespace, key, at, entry_id, is_negative. State is one entry per key; it goes, and says so, once the watermark has
+    passed its lifetime. An entry older than the one held is ignored; of the same instant the larger entry_id wins.
+    """
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def row(entry: tuple, event: str) -> pd.DataFrame:
+            return pd.DataFrame({"namespace": [key[0]], "key": [key[1]], "at": [pd.Timestamp(entry[0], unit="us")], "entry_id": [entry[1]], "is_negative": [entry[2]], "event": [event]})
+
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield row(held, "expired")
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "entry_id"])
+        last = rows.iloc[-1]
+        entry = (int(pd.Timestamp(last["at"]).value // 1000), int(last["entry_id"]), bool(last["is_negative"]))
+        if held is None or entry[:2] > tuple(held)[:2]:
+            if held is not None and entry[0] > _ends(held, negative_ttl_s, positive_ttl_s):
+                yield row(held, "expired")
+            held = entry
+            state.update(held)
+            yield row(held, "stored")
+        state.setTimeoutTimestamp(max(_ends(held, negative_ttl_s, positive_ttl_s) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    keyed = entries.select("namespace", "key", F.col("at").cast("timestamp").alias("at"), F.col("entry_id").cast("bigint").alias("entry_id"), "is_negative")
+    return keyed.withWatermark("at", WATERMARK).groupBy("namespace", "key").applyInPandasWithState(
+        keep, _CACHE_EVENT, "at bigint, entry_id bigint, is_negative boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _ends(entry: tuple, negative_ttl_s: int, positive_ttl_s: int) -> int:
+    """Microsecond in which an entry's lifetime ends."""
+    return entry[0] + (negative_ttl_s if entry[2] else positive_ttl_s) * 1_000_000
+
+
+def live_entries(entries: DataFrame, as_of: Column, negative_ttl_s: int = NEGATIVE_TTL_S, positive_ttl_s: int = POSITIVE_TTL_S) -> DataFrame:
+    """Batch twin of the cache state: the newest entry per key at ``as_of``, if its lifetime has not passed."""
+    known = entries.where(F.col("at") <= as_of)
+    latest = keep_first(known, ["namespace", "key"], [F.desc("at"), F.desc("entry_id")])
+    return latest.where(F.unix_micros(as_of) - F.unix_micros("at") <= F.when(F.col("is_negative"), F.lit(negative_ttl_s * 1_000_000)).otherwise(F.lit(positive_ttl_s * 1_000_000)))

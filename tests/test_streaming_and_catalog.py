@@ -125,3 +125,48 @@ def test_admissions_of_crowded_clients(spark, slice_rows):
         hits[client] = live + ([at] if want[event] else [])
     assert got == want and set(want.values()) == {True, False}
     assert jobs.admissions(log.where("false"), slice_rows=slice_rows).collect() == []
+
+
+def test_cache_entries_expire_in_event_time(spark, tmp_path):
+    """Positive and negative entries leave the state when the log passes their lifetime, however fast it is read."""
+    batches = [[("n", "good", 0, 1, False), ("n", "bad", 0, 2, True), ("n", "kept", 0, 3, False)], [("n", "kept", 5_000, 4, False), ("n", "kept", 4_000, 5, True)],
+               [("n", "other", 9_000, 6, False)], [("n", "other", 40_000, 7, True)], [("n", "last", 41_000, 8, False)]]
+    schema = "namespace string, key string, s bigint, entry_id bigint, is_negative boolean"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.col("s") + 86_400)).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"batch={k}"))
+    given = spark.read.parquet(str(tmp_path / "in")).drop("batch")
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in") + "/*")
+    _run(jobs.cache_state_stream(stream, negative_ttl_s=3_000, positive_ttl_s=30_000), "cache_events")
+    events = [(r.key, r.entry_id, r.event) for r in spark.table("cache_events").collect()]
+    assert sorted(e for e in events if e[2] == "stored") == sorted([("good", 1, "stored"), ("bad", 2, "stored"), ("kept", 3, "stored"), ("kept", 4, "stored"), ("other", 6, "stored"),
+                                                                    ("other", 7, "stored"), ("last", 8, "stored")])
+    expired = {e[:2] for e in events if e[2] == "expired"}
+    assert {("good", 1), ("bad", 2), ("kept", 4), ("other", 6)} <= expired and ("last", 8) not in expired and ("kept", 3) not in expired
+    at = {"early": "1970-01-02 00:40:00", "late": "1970-01-02 11:25:00"}
+    live = {name: sorted(r.entry_id for r in jobs.live_entries(given, F.lit(t).cast("timestamp"), 3_000, 30_000).collect()) for name, t in at.items()}
+    assert live == {"early": [1, 2, 3], "late": [7, 8]}
+
+
+def test_rescoring_in_batches_equals_one_computation(spark, tmp_path):
+    import random
+    draw = random.Random(2)
+    pairs = spark.createDataFrame([(u, f"r{k}") for u in range(6) for k in range(8) if (u + k) % 3], "user_id bigint, restaurant_id string")
+    notes = [(f"r{draw.randrange(8)}", draw.randrange(100)) for _ in range(60)]
+    for k in range(4):
+        spark.createDataFrame(notes[k * 15:(k + 1) * 15], "restaurant_id string, weight int").coalesce(1).write.parquet(str(tmp_path / "ev" / f"batch={k}"))
+    every = spark.read.parquet(str(tmp_path / "ev")).drop("batch")
+
+    def score(touched):
+        # A restaurant with few notes has no assessment, one with many loses that of the heavy kind: rows come and go.
+        rolled = every.groupBy("restaurant_id").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
+        return touched.join(rolled.where("n % 5 <> 0"), "restaurant_id").select("user_id", "restaurant_id", F.lit("nuts").alias("allergen"), "n", F.when(F.col("top") < 90, F.col("top")).alias("top"))
+
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev") + "/*")
+    out = str(tmp_path / "out")
+    jobs.incremental_rescore(stream, pairs, score, out, str(tmp_path / "ck")).awaitTermination(240)
+    want = sorted(map(tuple, score(pairs).collect()), key=repr)
+    assert want and sorted(map(tuple, jobs.current_assessments(spark, out).collect()), key=repr) == want
+    jobs.compact_assessments(spark, out, str(tmp_path / "compact"))
+    assert sorted(map(tuple, jobs.current_assessments(spark, str(tmp_path / "compact")).collect()), key=repr) == want
+    before, after = (spark.createDataFrame(rows, "a int, b string") for rows in ([(1, None), (2, "x"), (2, "x")], [(1, None), (2, "x"), (3, "y")]))
+    assert sorted(map(tuple, jobs.rescore_deltas(before, after).collect())) == [(2, "x", -1), (3, "y", 1)]
