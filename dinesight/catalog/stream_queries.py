@@ -55,7 +55,7 @@ _NEGATIVE, _POSITIVE = 6 * 3600, 36 * 3600
 @query("live_entries", "ST-4",
        "WITH e AS (SELECT event_type AS namespace, CAST(user_id AS VARCHAR) AS key, ts AS moment, event_id AS entry_id, event_id % 3 = 0 AS is_negative FROM events), "
        "n AS (SELECT max(moment) - INTERVAL 12 HOURS AS t FROM e), l AS (SELECT e.*, t FROM e, n WHERE moment <= t QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY moment DESC, entry_id DESC) = 1) "
-       f"SELECT namespace, key, entry_id, is_negative FROM l WHERE epoch_us(t) - epoch_us(moment) <= CASE WHEN is_negative THEN {_NEGATIVE} ELSE {_POSITIVE} END * 1000000")
+       f"SELECT namespace, key, entry_id, is_negative FROM l WHERE epoch_us(t) - epoch_us(moment) <= CASE WHEN is_negative THEN {_NEGATIVE} ELSE {_POSITIVE} END * 1000000::BIGINT")
 def live_entries(spark, sf_dir):
     entries = table(spark, sf_dir, "events").select(F.col("event_type").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"),
                                                     F.col("event_id").alias("entry_id"), (F.col("event_id") % 3 == 0).alias("is_negative"))
