@@ -106,13 +106,13 @@ SCORED_LINKS = (f"(SELECT *, {_STRICT} AS s1, {_SECOND} AS s2 FROM (SELECT *, {_
 
 @query("score_source_candidate", "PR-14", with_tables(
     f"SELECT link_id, round(CAST({CANDIDATE_SCORE} AS DOUBLE), 4) AS score, array_to_string(list_filter(["
-    "CASE WHEN len(s1) > 0 THEN 'strict keywords: ' || array_to_string(s1[1:5], ', ') END, "
-    "CASE WHEN len(s2) > 0 THEN 'secondary keywords: ' || array_to_string(s2[1:5], ', ') END, "
-    "CASE WHEN ends_with(path, '.pdf') THEN 'PDF link' END, "
-    f"CASE WHEN {any_sql('loc', web.ORDERING_HOSTS)} THEN 'known ordering/menu platform' END, "
-    "CASE WHEN regexp_matches(path, '/menu/?$') THEN 'menu-like path' END, "
-    "CASE WHEN len(list_filter(hint, lambda w: contains(path, w))) > 0 THEN 'matches location hint: ' || address "
-    f"WHEN {any_sql('path', web.LOCATION_PATH_WORDS)} THEN 'possible different-location menu' END"
+    "CASE WHEN len(s1) > 0 THEN 'says it is a menu: ' || array_to_string(s1[1:5], ', ') END, "
+    "CASE WHEN len(s2) > 0 THEN 'food words: ' || array_to_string(s2[1:5], ', ') END, "
+    "CASE WHEN ends_with(path, '.pdf') THEN 'is a PDF' END, "
+    f"CASE WHEN {any_sql('loc', web.ORDERING_HOSTS)} THEN 'host of a menu or ordering service' END, "
+    "CASE WHEN regexp_matches(path, '/menu/?$') THEN 'address ends in menu' END, "
+    "CASE WHEN len(list_filter(hint, lambda w: contains(path, w))) > 0 THEN 'names the place asked for: ' || address "
+    f"WHEN {any_sql('path', web.LOCATION_PATH_WORDS)} THEN 'names some other branch' END"
     f"], lambda v: v IS NOT NULL), '; ') AS reasons FROM {SCORED_LINKS}", links=LINKS_SQL))
 def score_source_candidate(spark, sf_dir):
     scored = u.score_source_candidate(F.col("url"), F.col("anchor"), F.col("address"))

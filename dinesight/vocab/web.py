@@ -124,8 +124,8 @@ NON_DISH_PHRASES = [
     "follow us", "sign in", "sign up", "add to cart", "view menu", "read more", "learn more", "download", "app store",
     "google play", "all rights", "opening hours", "view cart", "checkout", "book a table", "delivery in", "order now",
     "see menu", "our menu", "www.", "modern slavery", "slavery act", "pursuant to", "conservation international",
-    "this statement is made", "fiscal year", "operated by", "sourced by",
-] + ["© ", " fy2"]
+    "this statement is made", "fiscal year", "operated by", "sourced by", "© ", " fy2",
+]
 SENTENCE_MARKS = "、。，％〜「」『』…"
 # --- Fixed values: bare prices ----------------------------------------------------------
 PRICE_FOLLOWERS = ["%", "am", "pm", "cal", "g", "gram", "grams", "kg", "kcal", "lb", "lbs", "ml", "oz", "year", "years"]
@@ -153,7 +153,8 @@ NOISE_MODIFIERS = [
 NOISE_UI_WORDS = [
     "cart", "checkout", "subtotal", "add to", "select", "choose", "quantity", "sign in", "log in", "your order",
     "view menu", "order online", "served until", "serves", "click", "©", "all rights", "copyright", "www.", "http",
-] + ["page "]
+    "page ",
+]
 NOISE_ENDINGS = ["with", "and", "&", "of", "the", "in", "on", "to", "de", "la", "or", ",", "-", "~"]
 NOISE_MARKS = "、。，％~〜・「」『』…"
 SIZE_LINE = r"(?i)^\s*\d+\s*(oz|ml|g|gm|kg|inch|in|pc|pcs|pieces|cl|l)\b|^\s*\d+\s*/"
