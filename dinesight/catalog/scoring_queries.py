@@ -72,6 +72,15 @@ def flags_sql(prior: str, base: str, hit: str, cross: str, covers: str, suspecte
 _SEV = {i: "CASE severity " + " ".join(f"WHEN '{k}' THEN {v[i]!r}" for k, v in sv.SEVERITY.items()) + " END" for i in range(4)}
 
 
+_AWARE, _SPARED = "(allergy_disclaimer OR ask_staff OR allergen_menu_available)", "(lvl = 'strict' AND safe >= 3 AND NOT (parsed > 0 AND share >= 0.6))"
+_REASONS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {holds} THEN {text} END" for holds, text in (
+    ("nav_ok", "'avoid_flagged_dishes:' || risky || '/' || parsed"), ("nav_ok AND susp > 0", "'some_types_may_hide_it:' || susp || '/' || parsed"), (f"nav_ok AND {_AWARE}", "'handles_allergies'"),
+    ("NOT nav_ok AND risky = 0 AND susp > 0", "'only_types_that_may_hide_it:' || susp || '/' || parsed"),
+    (f"NOT nav_ok AND risky > 0 AND {_SPARED}", "'traces_matter_to_this_diner:' || safe || '/' || parsed"), (f"NOT nav_ok AND risky > 0 AND NOT {_SPARED}", "'across_the_menu:' || risky || '/' || parsed"),
+    ("clean", "'chart_does_not_list_it'"), ("claim", "'nut_free_claim'"), ("seen", "'menu_does_not_name_it:' || parsed || '/' || parsed"), ("chart AND covers AND trust < 0.85", "'chart_from_elsewhere'"),
+    ("ccf > r2", "'cross_contact_warning'"), ("reported", "'diners_reported_it'"))) + "], lambda x: x IS NOT NULL), ',')"
+
+
 def ladder_sql(base: str, base_conf: str, is_nut: bool) -> str:
     """The fusion ladder for one class; reads flags, rest, comm, prefs, pairs."""
     labels, mandates = ", ".join(repr(c) for c in pv.HIGH_LABELING_REGIONS), ", ".join(repr(c) for c in pv.MANDATE_REGIONS)
@@ -102,7 +111,7 @@ def ladder_sql(base: str, base_conf: str, is_nut: bool) -> str:
     s8 = ("SELECT *, least(0.97, r3 + delta) AS r5, CASE WHEN n_adv > 0 THEN greatest(c2, least(0.6, 0.3 + 0.1 * n_adv)) ELSE c2 END AS c5, n_adv > 0 AND least(0.97, r3 + delta) > r3 + 1e-9 AS reported FROM (" + s7 + ")")
     return ("SELECT user_id, restaurant_id, pref_ord, allergen, severity, round(CAST(r5 AS DOUBLE), 3) AS risk, round(CAST(c5 AS DOUBLE), 2) AS confidence, CASE WHEN chart_hit AND NOT nav_ok THEN 'avoid' "
             "WHEN presence AND NOT chart_hit AND sev >= 1 THEN 'avoid' WHEN reported AND r5 >= 0.5 AND sev >= 2 THEN 'avoid' WHEN r5 >= caution THEN 'caution' ELSE 'likely_ok' END AS tier, b3 AS basis, reported AS community_reported, "
-            f"parsed AS menu_total, risky AS menu_flagged, susp AS menu_suspected, nav_ok AS navigable, quality FROM ({s8})")
+            f"parsed AS menu_total, risky AS menu_flagged, susp AS menu_suspected, nav_ok AS navigable, quality, {_REASONS} AS reasons FROM ({s8})")
 
 
 _NUTS_HIT = "list_has_any(allergen_terms, ['peanut', 'tree nut', 'almond'])"
@@ -139,6 +148,13 @@ def score_generic(spark, sf_dir):
     return plan.assessed(spark, sf_dir, "milk", kb=KB).select(*_COLUMNS)
 
 
+@query("score_reasons", "RS-15", doubles(with_tables("SELECT user_id, restaurant_id, tier, reasons FROM scored", **NUT_TABLES)))
+def score_reasons(spark, sf_dir):
+    scored = plan.assessed(spark, sf_dir, "nuts", with_reasons=True)
+    texts = F.transform("reasons", lambda x: F.concat(x["code"], F.when(x["n"].isNotNull(), F.concat(F.lit(":"), x["n"].cast("string"), F.lit("/"), x["total"].cast("string"))).otherwise("")))
+    return scored.select("user_id", "restaurant_id", "tier", F.array_join(texts, ",").alias("reasons"))
+
+
 @query("score_prefs", "RS-8")
 def score_prefs(spark, sf_dir):
     return plan.assessed(spark, sf_dir, kb=KB, with_rationale=True).select("user_id", "restaurant_id", "class_key", "risk", "tier", "basis", "rationale")

@@ -438,8 +438,11 @@ def tier_for(risk: Column, severity_rank: Column, caution: Column, presence: Col
 
 
 # --- The ladder ----------------------------------------------------------------------------
-def fuse(facts: DataFrame, with_rationale: bool = False) -> DataFrame:
-    """Severity ladder over one row per (user, restaurant, pref)."""
+def fuse(facts: DataFrame, with_rationale: bool = False, with_reasons: bool = False) -> DataFrame:
+    """Severity ladder over one row per (user, restaurant, pref).
+
+    ``with_reasons`` adds every step that spoke, in its order: ``reasons``, an array of (code, n, total) with the dishes counted.
+    """
     def tuned(i: int) -> Column:
         return lookup(F.col("severity"), {k: v[i] for k, v in sv.SEVERITY.items()})
 
@@ -506,6 +509,18 @@ def fuse(facts: DataFrame, with_rationale: bool = False) -> DataFrame:
     df = df.withColumn("_s", apply_community(F.col("_r4"), F.col("_c4"), F.aggregate("_mine", F.lit(0).cast("bigint"), lambda acc, a: acc + a.n),
                                              F.array_max(F.transform("_mine", lambda a: a.best)), F.col("n_poor"), F.col("best_poor")))
     tier = tier_for(F.col("_s.risk"), F.col("severity_rank"), F.col("caution"), F.col("_presence"), F.col("chart_hit"), F.col("navigable"), F.col("_s.reported"))
+    def reason(code: str, holds: Column, n: Column | None = None, total: Column | None = None) -> Column:
+        return F.when(holds, F.struct(F.lit(code).alias("code"), *[(F.lit(None) if c is None else c).cast("bigint").alias(name) for name, c in (("n", n), ("total", total))]))
+
+    n_risky, n_suspected, n_parsed = F.col("risky"), F.col("suspected"), F.col("parsed")
+    spared = F.col("_strict") & (F.col("_safe") >= 3) & ~F.col("_pervasive")
+    reasons = F.array_compact(F.array(
+        reason("avoid_flagged_dishes", navigable, n_risky, n_parsed), reason("some_types_may_hide_it", navigable & (n_suspected > 0), n_suspected, n_parsed),
+        reason("handles_allergies", navigable & aware), reason("only_types_that_may_hide_it", ~navigable & only_suspected, n_suspected, n_parsed),
+        reason("traces_matter_to_this_diner", ~navigable & risky & spared, F.col("_safe"), n_parsed), reason("across_the_menu", ~navigable & risky & ~spared, n_risky, n_parsed),
+        reason("chart_does_not_list_it", clean_chart), reason("nut_free_claim", claim), reason("menu_does_not_name_it", read, n_parsed, n_parsed),
+        reason("chart_from_elsewhere", F.col("chart") & F.col("covers") & (F.col("trust") < 0.85)), reason("cross_contact_warning", warned & (F.col("_r2") < cc_floor)),
+        reason("other_nuts_in_kitchen", F.coalesce(other, F.lit(False))), reason("diners_reported_it", F.col("_s.reported"))))
     out = df.withColumns({"risk": py_round(clamp(F.col("_s.risk")), 3), "confidence": py_round(F.col("_s.confidence"), 2), "tier": tier, "basis": F.col("_b3"),
                           "community_reported": F.col("_s.reported"), "menu_total": F.col("parsed"), "menu_flagged": F.col("risky"), "menu_suspected": F.col("suspected")})
     columns = ["user_id", "restaurant_id", "pref_ord", "allergen", "class_key", "severity", "risk", "confidence", "tier", "basis", "community_reported",
@@ -514,6 +529,9 @@ def fuse(facts: DataFrame, with_rationale: bool = False) -> DataFrame:
         out = out.withColumn("rationale", rationale_text(F.col("tier"), F.col("basis"), nut_label(F.col("allergen"), F.col("nut_types")),
                                                          F.col("menu_flagged"), F.col("menu_total"), F.col("navigable")))
         columns.append("rationale")
+    if with_reasons:
+        out = out.withColumn("reasons", reasons)
+        columns.append("reasons")
     return out.select(*columns)
 
 
@@ -537,7 +555,7 @@ def rationale_text(tier: Column, basis: Column, label: Column, flagged: Column,
 
 
 def score(pairs: DataFrame, prefs: DataFrame, restaurants: DataFrame, items: DataFrame, community: DataFrame, as_of_year: int, kb=None,
-          baselines: Mapping[str, Mapping[str, float]] = sv.GENERIC_BASELINES, with_rationale: bool = False) -> DataFrame:
+          baselines: Mapping[str, Mapping[str, float]] = sv.GENERIC_BASELINES, with_rationale: bool = False, with_reasons: bool = False) -> DataFrame:
     """Risk of every requested (user, restaurant) pair and pref."""
     classed = with_class(prefs)
     requests = pairs.select("user_id", "restaurant_id").join(classed, "user_id")
@@ -547,7 +565,7 @@ def score(pairs: DataFrame, prefs: DataFrame, restaurants: DataFrame, items: Dat
              .join(restaurants.select("restaurant_id", "cuisines", "region", *SIGNALS), "restaurant_id")
              .join(community_rollup(community).select("restaurant_id", "adverse", "n_poor", "best_poor"), "restaurant_id", "left"))
     facts = facts.withColumn("base", _class_base(F.col("cuisines"), F.col("region"), F.col("allergen"), baselines)).drop("cuisines", "allergen")
-    return fuse(requests.join(facts, ["restaurant_id", "class_key"]), with_rationale)
+    return fuse(requests.join(facts, ["restaurant_id", "class_key"]), with_rationale, with_reasons)
 
 
 def profile_rollup(assessments: DataFrame) -> DataFrame:
