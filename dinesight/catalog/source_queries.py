@@ -309,15 +309,18 @@ def website_recovery_queries(spark, sf_dir):
     return search_queries(places(spark, sf_dir), "website")
 
 
-@query("region_from_address", "PR-21 JN-4")
+_BOXES = " ".join(f"WHEN lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e} THEN '{c}'" for c, s, n, w, e in pv.COUNTRY_BOXES)
+
+
+@query("region_from_address", "PR-21 JN-4", with_tables(
+    f"SELECT restaurant_id, CASE WHEN address IS NULL THEN coalesce(CASE {_BOXES} END, 'unknown') WHEN tail = 'USA' OR tail = 'Oregon' OR regexp_matches(tail, ' [0-9]{{5}}$') THEN 'US' WHEN tail = 'United Kingdom' THEN 'GB' "
+    "WHEN ends_with(tail, ' - United Arab Emirates') THEN 'AE' WHEN tail = 'Norway' THEN 'NO' WHEN tail = 'Georgia' THEN 'GE' END AS region "
+    "FROM (SELECT *, latitude AS lat, longitude AS lon, trim(split_part(address, ',', -1)) AS tail FROM places)", places=PLACES_SQL))
 def region_from_address(spark, sf_dir):
     return places(spark, sf_dir).select("restaurant_id", u.region_from_address(
         F.col("address"), F.col("latitude"), F.col("longitude")).alias("region"))
 
 
-_BOXES = " ".join(f"WHEN lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e} THEN '{c}'" for c, s, n, w, e in pv.COUNTRY_BOXES)
-
-
 @query("bbox_country", "JN-4",
        f"SELECT c_custkey, CASE {_BOXES} END AS country FROM (SELECT c_custkey, CAST(-60 + (c_custkey * 17 % 1400) / 10.0 AS DOUBLE) AS lat, "
        "CAST(-170 + (c_custkey * 29 % 3500) / 10.0 AS DOUBLE) AS lon FROM customer)")
