@@ -116,12 +116,13 @@ def region_notice(spark, sf_dir):
 
 
 @query("location_notice", "RS-11", with_tables(
-    "SELECT restaurant_id, city AS home_city, coalesce(min(CASE WHEN mm THEN shown END), '') AS shown_city, CASE WHEN bool_or(mm) THEN 'labeled' WHEN bool_or(url_has) AND NOT bool_or(url_has AND link_id % 2 = 0) THEN 'inferred' END AS confidence "
-    f"FROM (SELECT *, link_id % 2 = 0 AND coalesce(city <> '' AND NOT url_has AND shown IS NOT NULL AND shown <> city, false) AS mm FROM {CITY_FACTS}) WHERE city <> '' GROUP BY ALL HAVING bool_or(link_id % 2 = 0) AND confidence IS NOT NULL", links=LINKS_SQL))
+    "SELECT restaurant_id, city AS home_city, coalesce(min(CASE WHEN mm THEN shown END), '') AS shown_city, CASE WHEN bool_or(mm) THEN 'labeled' WHEN bool_or(url_has) AND NOT bool_or(url_has AND validation_status = 'validated') THEN 'inferred' END AS confidence "
+    f"FROM (SELECT *, validation_status = 'validated' AND coalesce(city <> '' AND NOT url_has AND shown IS NOT NULL AND shown <> city, false) AS mm FROM {CITY_FACTS}) WHERE city <> '' GROUP BY ALL HAVING bool_or(validation_status = 'validated') AND confidence IS NOT NULL", links=LINKS_SQL))
 def location_notice(spark, sf_dir):
     rows = links(spark, sf_dir)
     rest = rows.select("restaurant_id", "name", "address").distinct()
-    items = rows.where("link_id % 2 = 0").select("restaurant_id", F.col("url").alias("menu_source_url"))
+    # Menus are shown from validated links; the others were found, too.
+    items = rows.where("validation_status = 'validated'").select("restaurant_id", F.col("url").alias("menu_source_url"))
     return r.location_notice(rest, items, rows.select("restaurant_id", "url"))
 
 
