@@ -5,7 +5,9 @@ vector goes to its nearest list and, at a boundary, to up to ``COPIES`` lists th
 are nearly as near and not behind each other. A query finds its nearest centroids
 by best-first search in a neighbour graph of the centroids held in memory, takes
 lists in order of distance until they hold enough candidates, keeps those within a
-ratio of the distance reached then, and is compared with their lists.
+ratio of the distance reached then, and is compared with their lists. The ratio and the
+width of the search are measured: a bounded sample of the queries meets every vector, and
+both are set so that the lists read hold all but a small share of what is nearest.
 Lists and the queries that meet them are cut into blocks of bounded size, so a
 list that holds a third of all vectors (copies of one) is spread.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,9 @@ SEARCH_RATIO = 1.5
 NEIGHBOURS = 16
 BLOCK = 4_096
 NEAREST = 20
+#: Queries that meet every vector, and the share of their nearest that ratio and width may each leave out.
+MEASURED = 256
+LEFT_OUT = 0.01
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,6 +67,8 @@ class Lists:
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
+    ratio: float = SEARCH_RATIO
+    width: int = SEARCHED
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Stored vectors with the component that makes all norms equal."""
@@ -99,16 +106,16 @@ class Lists:
         open_, best = [(first, 0)], [(-first, 0)]
         while open_:
             d, c = heapq.heappop(open_)
-            if len(best) >= SEARCHED and d > -best[0][0]:
+            if len(best) >= self.width and d > -best[0][0]:
                 break
             new = [n for n in self.graph[c].tolist() if n >= 0 and n not in seen]
             seen.update(new)
             if new:
                 for e, n in zip(np.linalg.norm(self.centroids[new] - target, axis=1).tolist(), new, strict=True):
-                    if len(best) < SEARCHED or e < -best[0][0]:
+                    if len(best) < self.width or e < -best[0][0]:
                         heapq.heappush(open_, (e, n))
                         heapq.heappush(best, (-e, n))
-                        if len(best) > SEARCHED:
+                        if len(best) > self.width:
                             heapq.heappop(best)
         found = sorted((-d, n) for d, n in best)
         filled = 0
@@ -116,7 +123,30 @@ class Lists:
             if size[[n for _, n in found]].sum() < least:
                 found = sorted(zip(np.linalg.norm(self.centroids - target, axis=1).tolist(), range(len(self.centroids)), strict=True))
             filled = min(int(np.searchsorted(np.cumsum(size[[n for _, n in found]]), least)), len(found) - 1)
-        return [n for d, n in found if d <= SEARCH_RATIO * found[filled][0] + 1e-12]
+        return [n for d, n in found if d <= self.ratio * found[filled][0] + 1e-12]
+
+    def measured(self, asked: dict[int, np.ndarray], nearest: dict[int, np.ndarray], size: np.ndarray, least: int) -> Lists:
+        """With a ratio and a width that reach the ``nearest`` vectors of the ``asked``, never less than the given ones."""
+        known = [(asked[k], nearest[k], self.homes(nearest[k])) for k in asked if k in nearest]
+        if not known:
+            return self
+        needed = []
+        for query, found, (row, home) in known:
+            target = np.append(query * (self.norm / np.linalg.norm(query)), 0.0)
+            distance = np.linalg.norm(self.centroids - target, axis=1)
+            order = np.argsort(distance, kind="stable")
+            filled = min(int(np.searchsorted(np.cumsum(size[order]), least)), len(order) - 1)
+            best = np.full(len(found), np.inf)
+            np.minimum.at(best, row, distance[home])
+            needed += (best / max(distance[order[filled]], 1e-300)).tolist()
+        best = replace(self, ratio=max(self.ratio, float(np.quantile(needed, 1 - LEFT_OUT, method="higher")) * (1 + 1e-9)))
+        # The graph may not lead to the nearest lists; with all lists as its width the search is exact.
+        while best.width < len(self.centroids):
+            reached = sum(len(set(row[np.isin(home, best.search(query, size, least))].tolist())) for query, _, (row, home) in known)
+            if reached >= (1 - 2 * LEFT_OUT) * len(needed):
+                break
+            best = replace(best, width=min(2 * best.width, len(self.centroids)))
+        return best
 
 
 def fit_lists(sample: np.ndarray, norm: float) -> Lists:
@@ -145,21 +175,47 @@ def _top(ids: np.ndarray, x: np.ndarray, queries: pd.DataFrame, nearest: int) ->
     """The nearest candidates of one block for each query; every product is summed in the order of components."""
     out = []
     q_ids, q = queries["id"].to_numpy(), np.stack(queries["v"].to_numpy())
-    columns = np.ascontiguousarray(x.T)
+    longest = float(np.sqrt((x ** 2).sum(1)).max())
     for a in range(0, len(q), 64):
         part = q[a:a + 64]
-        score = np.zeros((len(part), len(ids)))
-        for d in range(x.shape[1]):
-            score += part[:, d:d + 1] * columns[d]
+        rough = part @ x.T
         for k, query in enumerate(q_ids[a:a + 64]):
-            row = np.where(ids == query, -np.inf, score[k])
+            row = np.where(ids == query, -np.inf, rough[k])
             cut = np.partition(row, -nearest)[-nearest] if len(row) > nearest else -np.inf
-            some = np.flatnonzero((row >= cut) & (row > -np.inf))
-            some = some[np.lexsort((ids[some], -row[some]))[:nearest]]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some], "score": row[some]}))
+            # The rough product only chooses; its error is far below this margin.
+            margin = 1e-13 * x.shape[1] * longest * float(np.linalg.norm(part[k]))
+            some = np.flatnonzero((row >= cut - margin) & (row > -np.inf))
+            score = np.zeros(len(some))
+            for d in range(x.shape[1]):
+                score += part[k, d] * x[some, d]
+            best = np.lexsort((ids[some], -score))[:nearest]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some[best]], "score": score[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def _truly_nearest(base: DataFrame, asked: dict[int, np.ndarray], nearest: int) -> dict[int, np.ndarray]:
+    """The nearest vectors of a few queries among all: every task keeps ``nearest`` rows a query."""
+    queries = base.sparkSession.sparkContext.broadcast(pd.DataFrame({"id": list(asked), "v": list(asked.values())}))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, x = batch.column("id").to_numpy(), np.stack(batch.column("v").to_numpy(zero_copy_only=False))
+                top = _top(ids, x, queries.value, nearest)
+                at = {i: k for k, i in enumerate(ids.tolist())}
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": pa.array(top["query_id"].to_numpy(), pa.int64()), "vec_id": pa.array(top["vec_id"].to_numpy(), pa.int64()),
+                    "score": pa.array(top["score"].to_numpy(), pa.float64()), "v": batch.column("v").take(pa.array([at[i] for i in top["vec_id"].tolist()], pa.int64()))})
+
+    found = base.mapInArrow(met, "query_id long, vec_id long, score double, v array<double>")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kept = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "v")
+    out: dict[int, list] = {}
+    for r in kept.collect():  # MEASURED * nearest rows at most
+        out.setdefault(r["query_id"], []).append(r["v"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of ``vectors (vec_id, embedding)`` for each of ``queries``."""
     base = stored(usable(vectors))
@@ -175,7 +231,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
         for batch in batches:
             x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
             if asking:
-                found = [lists.value.search(v, size.value, COPIES * (nearest + 1)) for v in x]
+                found = [searched.value.search(v, size.value, COPIES * (nearest + 1)) for v in x]
                 row, home = np.repeat(np.arange(len(x)), [len(f) for f in found]), np.array([c for f in found for c in f], np.int64)
             else:
                 row, home = lists.value.homes(x) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -185,7 +241,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
     filed = stored(base.mapInArrow(lambda b: route(b, False), schema))
     # One number per list. A vector stands in COPIES lists at most, and the query itself is no candidate.
     held = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    size = vectors.sparkSession.sparkContext.broadcast(np.array([held.get(k, 0) for k in range(len(lists.value.centroids))], np.int64))
+    sizes = np.array([held.get(k, 0) for k in range(len(lists.value.centroids))], np.int64)
+    size = vectors.sparkSession.sparkContext.broadcast(sizes)
+    some = {r["id"]: np.array(r["v"]) for r in asked.orderBy(F.xxhash64("id"), "id").limit(MEASURED).collect()}
+    searched = lists.value.measured(some, _truly_nearest(base, some, nearest), sizes, COPIES * (nearest + 1)) if some else lists.value
+    searched = vectors.sparkSession.sparkContext.broadcast(searched)
     reading = stored(asked.mapInArrow(lambda b: route(b, True), schema))
     # One row per list: in how many blocks its vectors and its queries are cut.
     blocks = filed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nv")).join(

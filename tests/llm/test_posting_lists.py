@@ -90,3 +90,30 @@ def test_lists_are_read_until_they_hold_enough():
     few = np.where(np.arange(256) < 50, 1, 0)
     assert few[lists.search(centroids[128, :2], few, 84)].sum() == 50
     assert lists.search(centroids[9, :2], np.full(256, 100), 84) == [9]
+
+
+def test_ratio_and_width_are_measured():
+    """Vectors of very different norms: the usual ratio and width miss many lists that hold what is nearest."""
+    random = np.random.default_rng(7)
+    x = random.normal(size=(6000, 64)) * np.exp(random.normal(size=(6000, 1)))
+    lists = fit_lists(x, float(np.sqrt((x ** 2).sum(1)).max()))
+    row, home = lists.homes(x)
+    size = np.bincount(home, minlength=len(lists.centroids))
+    asked = {k: x[k] for k in range(0, 6000, 20)}
+    nearest = {}
+    for k, q in asked.items():
+        product = x @ q
+        product[k] = -np.inf
+        nearest[k] = np.argsort(-product)[:20]
+
+    def recall(searched):
+        found = 0
+        for k, q in asked.items():
+            held = set(row[np.isin(home, searched.search(q, size, 84))].tolist())
+            found += len(held & set(nearest[k].tolist()))
+        return found / (20 * len(asked))
+
+    known = dict(list(asked.items())[:100])
+    better = lists.measured(known, {k: x[nearest[k]] for k in known}, size, 84)
+    assert recall(lists) < 0.97 < recall(better), (recall(lists), recall(better))
+    assert better.ratio >= lists.ratio and better.width >= lists.width
