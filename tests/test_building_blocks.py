@@ -123,3 +123,19 @@ def test_keep_first_prunes_before_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = common.keep_first(df, ["k"], [F.asc("id")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_nearby_is_dealt_out(spark):
+    """One file and one crowded spot do not leave all pairs to one task; the rows are those of a plain comparison."""
+    from dinesight.functions.geo import haversine_m
+    from dinesight.operators.entities import nearby
+    spots = spark.range(3000).selectExpr("concat('p', id) AS restaurant_id", "CAST(37.0 + IF(id < 2000, 0, (id % 100) / 10000) AS DOUBLE) AS latitude",
+                                         "CAST(-122.0 + IF(id < 2000, 0, (id % 70) / 10000) AS DOUBLE) AS longitude").coalesce(1)
+    origins = spark.range(20).selectExpr("concat('o', id) AS origin_id", "CAST(37.0 + id / 5000 AS DOUBLE) AS latitude", "CAST(-122.0 + id / 7000 AS DOUBLE) AS longitude").coalesce(1)
+    found = nearby(origins, spots, 400.0).withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    other = origins.withColumnsRenamed({"latitude": "a", "longitude": "b"}).crossJoin(spots)
+    metres = haversine_m(F.col("a"), F.col("b"), F.col("latitude"), F.col("longitude"))
+    want = {(r[0], r[1]): r[2] for r in other.withColumn("m", metres).where("m <= 400").select("origin_id", "restaurant_id", "m").collect()}
+    assert {(r["origin_id"], r["restaurant_id"]): r["distance_m"] for r in rows} == want and len(rows) == len(want) > 0
+    assert len({r["task"] for r in rows}) > 1
