@@ -13,15 +13,17 @@ from dinesight.functions.urls import (
     city_from_address, country_label, host, labeling_trust, menu_city_mismatch, source_city_slug, url_has_city)
 from dinesight.operators.common import keep_first
 from dinesight.operators.entities import cuisine_prior
+from dinesight.session import cut_lineage
 from dinesight.vocab import scoring as sv
 
 
 def restaurant_risk_rollup(scored: DataFrame, cuisines: Column, region: Column, top: int = 5) -> DataFrame:
     """Menu-level prior: worst dish over the kitchen's floor, and the top dishes."""
+    # One pass over the dishes: both the totals and the top read one kept row per restaurant and name.
     base = cuisine_prior(cuisines, region)["risk"]
-    totals = scored.groupBy("restaurant_id").agg(F.max(base).alias("_base"), F.max("prior_risk").alias("_top"),
-                                                 F.count_if(F.col("prior_risk") >= 0.5).alias("n_risky"))
-    dishes = scored.groupBy("restaurant_id", "item_name").agg(F.max("prior_risk").alias("_r"))
+    dishes = cut_lineage(scored.groupBy("restaurant_id", "item_name").agg(
+        F.max(base).alias("_b"), F.max("prior_risk").alias("_r"), F.count_if(F.col("prior_risk") >= 0.5).alias("_n")))
+    totals = dishes.groupBy("restaurant_id").agg(F.max("_b").alias("_base"), F.max("_r").alias("_top"), F.sum("_n").alias("n_risky"))
     first = keep_first(dishes, ["restaurant_id"], [F.desc("_r"), F.asc("item_name")], top, rank="_p")
     names = first.groupBy("restaurant_id").agg(F.array_sort(F.collect_list(F.struct("_p", "item_name"))).alias("_t"))
     return totals.join(names, "restaurant_id").select(

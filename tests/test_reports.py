@@ -59,3 +59,35 @@ def test_grounded_diet_quotes(spark):
     got = community_diets(parsed, snippets).collect()
     assert [(r["diet"], r["quote"], r["url"], r["source"]) for r in got] == [("vegan", "many dishes can be   made vegan", "https://r.test/1", "community")]
     assert community_diets(parsed.where(F.lit(False)), snippets).collect() == []
+
+
+def test_rollup_reads_its_dishes_once(spark):
+    from dinesight.operators.reports import restaurant_risk_rollup
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+    risk = F.udf(counted, "double")
+    rows = spark.createDataFrame([("a", "x", 0.6, ["thai"]), ("a", "x", 0.2, ["thai"]), ("a", "y", 0.9, ["thai"]), ("b", None, 0.1, [])], "restaurant_id string, item_name string, r double, cuisines array<string>")
+    scored = rows.withColumn("prior_risk", risk("r")).withColumn("region", F.lit("US"))
+    got = {r["restaurant_id"]: (r["n_risky"], r["confidence"], r["top_items"]) for r in restaurant_risk_rollup(scored, F.col("cuisines"), F.col("region")).collect()}
+    assert got == {"a": (2, 0.8, ["y", "x"]), "b": (0, 0.55, [None])}
+    assert read.value == 4
+
+
+def test_bundle_text_is_the_json_of_its_struct(spark):
+    import json
+
+    from dinesight.operators.reports import score_bundles
+    seen = spark.createDataFrame([("u", r, "nuts", "allergy", 0.5, "avoid", None, 3, 1) for r in ("a", "b", "c")],
+                                 "user_id string, restaurant_id string, allergen string, severity string, risk double, tier string, basis string, menu_total int, menu_flagged int")
+    rests = spark.createDataFrame([("a", ["thai"], "US", True), ("b", [], None, False), ("c", ["thai"], "GB", False)], "restaurant_id string, cuisines array<string>, region string, chart boolean")
+    menus = spark.createDataFrame([("a", 1, 'x "y"'), ("b", 1, 'p "q" é')], "restaurant_id string, position int, line string")
+    out = {r["restaurant_id"]: r["bundle"] for r in score_bundles(seen, rests, menus).collect()}
+    parsed = {k: json.loads(v) for k, v in out.items()}
+    common = ["scenario", "user", "deterministic_baseline", "evidence"]
+    assert list(parsed["a"]) == [*common, "chart_summary"] and list(parsed["b"]) == [*common, "menu"] and list(parsed["c"]) == common
+    assert parsed["a"]["chart_summary"] == {"total_dishes": 3, "dishes_with_allergen": 1, "flagged_dishes": []} and parsed["b"]["menu"] == ['p "q" é']
+    assert all(v == json.dumps(parsed[k], ensure_ascii=False, separators=(",", ":")) for k, v in out.items())
+    assert parsed["c"]["deterministic_baseline"] == {"risk": 0.5, "tier": "avoid", "grounded_presence": False} or "grounded_presence" not in parsed["c"]["deterministic_baseline"]
