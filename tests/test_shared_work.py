@@ -36,7 +36,7 @@ def test_repeated_prefs_and_nulls_keep_their_rows(spark):
 def test_few_texts_are_sent_to_the_dishes(spark):
     """Texts and term sets are written first, so dishes are not shuffled to meet a handful of them."""
     items = spark.range(1000).select(F.concat(F.lit("r"), (F.col("id") % 7).cast("string")).alias("restaurant_id"), F.concat(F.lit("Dish "), (F.col("id") % 9).cast("string")).alias("item_name"),
-                                     F.lit("with peanuts").alias("description"), F.lit("gemini_text").alias("extraction_method"), F.array(F.lit("milk")).alias("allergen_terms"),
+                                     F.lit("with peanuts").alias("description"), F.lit("gemini_text").alias("extraction_method"), F.array(F.when(F.col("id") % 2 == 0, "milk").otherwise("egg")).alias("allergen_terms"),
                                      F.array(F.lit("egg")).alias("cross_contact_terms"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("matrix_allergen_columns"), F.col("id").alias("arrival"))
     out = risk.dish_signatures(items)
     plan = out._jdf.queryExecution().sparkPlan().toString()
