@@ -12,6 +12,10 @@ pieces' text gives these two pieces again; every other arc weighs infinitely
 much. Exactly one path is finite, and it is the one that merging finds, so each
 position needs one state.
 
+The pieces form an automaton that reads a word once, from left to right: a state
+is the longest end of what is read that begins a piece, and knows the pieces that
+end there, longest first.
+
 No piece holds a mark after another character, so a path always passes the start
 of a word: words are composed one at a time and remembered. Null gives null ids,
 an empty text none; repeated rows are encoded alike; texts of any length are
@@ -23,7 +27,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,20 +76,74 @@ def read_model(path: str) -> Model:
     return Model(pieces, ids, [p.score for p in proto.pieces], byte_ids, proto.trainer_spec.model_type == 2)
 
 
+class Automaton:
+    """Finds the pieces that end at each character; states are numbers, 0 has read nothing that begins a piece."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.steps: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]  # piece and its length, longest first
+        self._shorter = [0]
+        self._known = 0
+        level = {0: sorted(ids)}
+        depth = 0
+        while level:
+            below: dict[int, list[str]] = {}
+            for state, pieces in level.items():
+                self.ends[state] = self.ends[self._shorter[state]]
+                for p in pieces:
+                    if len(p) == depth:
+                        self.ends[state] = ((ids[p], depth), *self.ends[state])
+                        continue
+                    if (child := self.steps[state].get(p[depth])) is None:
+                        child = self.steps[state][p[depth]] = len(self.steps)
+                        self.steps.append({})
+                        self._shorter.append(self._walk(self._shorter[state], p[depth]) if depth else 0)
+                        self.ends.append(())
+                    below.setdefault(child, []).append(p)
+            level, depth = below, depth + 1
+
+    def _walk(self, state: int, character: str) -> int:
+        while (found := self.steps[state].get(character)) is None and state:
+            state = self._shorter[state]
+        return found or 0
+
+    def step(self, state: int, character: str) -> int:
+        """The next state where ``steps`` has none yet."""
+        found = self._walk(state, character)
+        if self._known < REMEMBERED:
+            self.steps[state][character] = found
+            self._known += 1
+        return found
+
+
+class _Words(dict):
+    """Words and their ids; a word that is not remembered is composed."""
+
+    def __init__(self, word: Callable[[str], list[int]]):
+        super().__init__()
+        self._word = word
+
+    def __missing__(self, text: str) -> bytes:
+        ids = array("i", self._word(text)).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(text) <= 64:
+            self[text] = ids
+        return ids
+
+
 @dataclass
 class Transducer:
     """Encodes word by word; ``words`` and ``allowed`` remember what was composed."""
     model: Model
-    words: dict[str, bytes] = field(default_factory=dict)
-    allowed: dict[tuple[int, int], bool] = field(default_factory=dict)
+    allowed: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.words = _Words(self.word)
         self._longest = max(map(len, self.model.ids), default=1)
         order = sorted(self.model.ids.values(), key=lambda k: -self.model.scores[k])
         self._rank = {k: r for r, k in enumerate(order)}
-        self._reach: dict[str, int] = {}  # the longest piece that ends in a character
-        for p in self.model.ids:
-            self._reach[p[-1]] = max(self._reach.get(p[-1], 0), len(p))
+        self._automaton = Automaton(self.model.ids if self.model.merges else {})
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._surface = [p.replace(MARK, " ").encode() for p in self.model.pieces]
         for b, k in enumerate(self.model.byte_ids):
@@ -96,9 +155,6 @@ class Transducer:
         Undo the merges next to the border, latest first. A merge across the border that ranks before the one undone
         would have come first; of equal merges the left one does.
         """
-        known = self.allowed.get((before, piece))
-        if known is not None:
-            return known
         text, ids, rank = self.model.pieces, self.model.ids, self._rank
         left, right, limit, passes = before, piece, math.inf, True
         while True:
@@ -115,7 +171,7 @@ class Transducer:
                 break
         if len(self.allowed) >= REMEMBERED:
             self.allowed.clear()
-        self.allowed[before, piece] = passes
+        self.allowed[before * len(text) + piece] = passes
         return passes
 
     def _split(self, piece: int) -> tuple[int, int] | None:
@@ -148,20 +204,21 @@ class Transducer:
 
     def _only(self, text: str) -> tuple[list[int], list[int]]:
         """The same for a merge model, where one path into every position is finite."""
-        ids, reach, allowed = self.model.ids, self._reach, self.allowed
-        state, arrived = [_START], [0]
-        for end in range(1, len(text) + 1):
-            piece, begin = _BYTES, end - 1
-            longest = reach.get(text[begin], 0)
-            for start in range(end - longest if end > longest else 0, end):
-                found = ids.get(text[start:end])
-                if found is not None:
-                    before = state[start]
-                    if before < 0 or allowed.get((before, found)) or self._passes(before, found):
-                        piece, begin = found, start
-                        break
-            state.append(piece)
-            arrived.append(begin)
+        steps, ends, allowed, size = self._automaton.steps, self._automaton.ends, self.allowed, len(self.model.pieces)
+        state, arrived, read = [_START], [0], 0
+        for end, character in enumerate(text, 1):
+            before = read
+            if (read := steps[before].get(character)) is None:
+                read = self._automaton.step(before, character)
+            for piece, length in ends[read]:
+                last = state[end - length]
+                if last < 0 or ((passes := allowed.get(last * size + piece)) is None and self._passes(last, piece)) or passes:
+                    state.append(piece)
+                    arrived.append(end - length)
+                    break
+            else:
+                state.append(_BYTES)
+                arrived.append(end - 1)
         return state, arrived
 
     def word(self, text: str) -> list[int]:
@@ -177,20 +234,11 @@ class Transducer:
             end = arrived[end]
         return out[::-1]
 
-    def _remembered(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is None:
-            known = np.array(self.word(word), np.int32).tobytes()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = known
-        return known
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self._remembered, _WORD.findall(marked))), np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, _WORD.findall(marked))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the mark in front; bytes that are no UTF-8 become the replacement character."""

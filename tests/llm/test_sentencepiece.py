@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from dinesight.llm.sentencepiece import MARK, Model, Transducer, default_model, encoded, read_model
+from dinesight.llm.sentencepiece import MARK, Automaton, Model, Transducer, default_model, encoded, read_model
 
 sp = pytest.importorskip("sentencepiece")
 
@@ -49,3 +49,17 @@ def test_table(table):
     assert sorted((r["doc_id"], r["n_tokens"], r["round_trip"]) for r in rows if r["ids"] is not None) == [(1, 0, True), (2, 3, True), (2, 3, True)]
     assert [r["n_tokens"] for r in rows if r["ids"] is None] == [None] and "text" not in rows[0]
     assert encoded(table([])).collect() == []
+
+
+def test_automaton_finds_every_piece_with_one_step_a_character():
+    random.seed(3)
+    ids = {p: k for k, p in enumerate({"".join(random.choice("abc") for _ in range(random.randint(1, 6))) for _ in range(60)})}
+    automaton = Automaton(ids)
+    text = "".join(random.choice("abcd") for _ in range(2000))
+    state = 0
+    for end, character in enumerate(text, 1):
+        before = state
+        if (state := automaton.steps[before].get(character)) is None:
+            state = automaton.step(before, character)
+            assert automaton.steps[before][character] == state
+        assert list(automaton.ends[state]) == [(ids[p], n) for n in range(6, 0, -1) if n <= end and (p := text[end - n:end]) in ids]
