@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from dinesight.llm import suffix_dedup as module
 from dinesight.llm.suffix_array import suffix_array
 from dinesight.llm.suffix_dedup import _keyed, _packed, repeated_spans, suffix_dedup, without_repeats
 
@@ -84,3 +85,23 @@ def test_cut_texts_keep_columns(table):
         if texts[k] and texts[k].isascii():
             assert hashlib.sha256(rows[k]["text"].encode()).hexdigest() == digest
     assert rows[5]["uid"] == 5 and rows[5]["spans"] == 5
+
+
+def test_a_hot_passage_is_counted_by_blocks(table, monkeypatch):
+    """Few of the repeated windows of a passage amid ever different text are looked up one by one."""
+    random.seed(5)
+    letters = lambda n: "".join(random.choice("abcdefghijkl ") for _ in range(n))
+    passage = letters(150)
+    texts = [letters(80) + passage + letters(80) for _ in range(30)]
+    blocks, ranges = [], []
+
+    def seen(rows, length, whole=module._hot_ranges):
+        blocks.append(rows.count())
+        ranges.append(whole(rows, length))
+        return ranges[-1]
+    monkeypatch.setattr(module, "_hot_ranges", seen)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(table(texts), 60, 10, 300).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 60)
+    # At least 91 windows repeat in each of 30 texts; a fragment gives one range and a row per block.
+    found = ranges[0].groupBy("key", "frag").count().collect()
+    assert found and all(r["count"] == 1 for r in found) and blocks[0] < 30 * 311 / 4
