@@ -7,6 +7,7 @@ import pytest
 from dinesight.operators import reports, risk
 from dinesight.plans import ranking as plan
 
+from tests.test_risk_golden import COMMUNITY, ITEMS, PREFS as PREF_ROWS, RESTAURANTS
 from tests.test_shared_work import scored
 
 SF = "/root/testdata/sf0.001"
@@ -33,10 +34,26 @@ def test_scores(spark, planned):
     assert planned | set(broadcast_keys(out)) <= {"pref_key", "text", "terms"}
 
 
-def test_what_is_asked_of_a_restaurant_is_written_once(spark, monkeypatch):
-    """Users are met twice, for what is asked and for what they get; not once more per step of the evidence."""
-    out = scored(spark, PREFS)
-    assert out._jdf.queryExecution().sparkPlan().toString().count("Join [user_id") == 1
+def test_requests_are_found_once(spark, monkeypatch):
+    """Users meet their pairs once, not once more per step of the evidence."""
+    plans, written = [], risk.written
+    monkeypatch.setattr(risk, "written", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), written(df))[1])
+    plans.append(scored(spark, PREFS)._jdf.queryExecution().sparkPlan().toString())
+    assert sum(p.count("Join [user_id") for p in plans) == 1
+
+
+def test_verdicts_in_order_lie_side_by_side(spark):
+    """Long texts are the same for many users; one after another they take little room."""
+    users = range(60)
+    pairs = spark.createDataFrame([(u * 37 % 60, r) for u in users for r in "abcdef"], "user_id bigint, restaurant_id string")
+    prefs = spark.createDataFrame([(u, 0, "nuts", ["allergy", "intolerance"][u % 2], None, None) for u in users], PREF_ROWS)
+    rests = spark.createDataFrame([(r, ["thai"], "US", "", *[False] * len(risk.SIGNALS)) for r in "abcdef"], RESTAURANTS)
+    args = (rests, spark.createDataFrame([], ITEMS), spark.createDataFrame([], COMMUNITY), 2026)
+    told = lambda verdicts: verdicts.select("restaurant_id", "pref_key", plan.F.concat("restaurant_id", "severity").alias("text"))
+    out = risk.score(pairs, prefs, *args, told=told, in_order=True)
+    rows = [r.text for r in out.coalesce(1).collect()]
+    assert len(rows) == 360 and sum(a != b for a, b in zip(rows, rows[1:])) == 11
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, risk.score(pairs, prefs, *args, told=told).collect()))
 
 
 @pytest.mark.parametrize("query", ["rank_for_user", "score_prefs"])
